@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import line_windows, raster, token_counts
+from fathomline.llm import hypervectors, line_windows, positions, raster, token_counts
+from fathomline.llm._shared import id_crc32
 
 
 def tokenizer_path(name: str) -> str:
@@ -21,6 +22,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside benchmark windows, by the positional index."""
+    found = positions.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the rows that aren't held out."""
+    docs = table(spark, sf_dir, "documents").withColumn("_held_out", F.pmod(id_crc32(), F.lit(4)) == 2)
+    model = hypervectors.fit(hypervectors.learning_rows(docs, ~F.col("_held_out")))
+    found = hypervectors.predict(docs, model)
+    return found.select("doc_id", (F.pmod(id_crc32(), F.lit(4)) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their later repeats of three-line windows removed."""
     return line_windows.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
@@ -62,7 +78,9 @@ FROM documents d LEFT JOIN out o ON d.doc_id = o.doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_decontamination": op4_decontamination,
     "op5_line_dedup": op5_line_dedup,
+    "op6_language_id": op6_language_id,
     "op7_token_counts": op7_token_counts,
     "op8_media_columns": op8_media_columns,
 }
