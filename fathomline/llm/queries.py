@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import hypervectors, line_windows, positions, ppm, raster, token_counts
+from fathomline.llm import chosen_path, hypervectors, line_windows, positions, ppm, raster, token_counts
 from fathomline.llm._shared import id_crc32
 
 
@@ -60,6 +60,11 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.text_media(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 OP5_SQL = """
 WITH ln AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op7_token_counts": op7_token_counts,
     "op8_media_columns": op8_media_columns,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL}
