@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import chosen_path, hypervectors, line_windows, positions, ppm, raster, token_counts
+from fathomline.llm import chosen_path, cotraining, hypervectors, line_windows, positions, ppm, raster, token_counts
 from fathomline.llm._shared import id_crc32
 
 
@@ -30,6 +30,13 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_symbols")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities that documents are good, by co-training on the labels."""
+    docs = table(spark, sf_dir, "documents")
+    found = cotraining.score(docs, cotraining.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", "p_text", "p_meta", "p_good", (F.col("p_good") >= 0.5).alias("kept"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside benchmark windows, by the positional index."""
     found = positions.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -92,6 +99,7 @@ FROM documents d LEFT JOIN out o ON d.doc_id = o.doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_quality_classifier": op2_quality_classifier,
     "op4_decontamination": op4_decontamination,
     "op5_line_dedup": op5_line_dedup,
     "op6_language_id": op6_language_id,
