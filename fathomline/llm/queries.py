@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import chosen_path, cotraining, hypervectors, line_windows, positions, ppm, raster, token_counts
+from fathomline.llm import chosen_path, cotraining, hypervectors, line_windows, merge_dropout, positions, ppm, raster, token_counts
 from fathomline.llm._shared import id_crc32
 
 
@@ -18,6 +18,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Seed of the merge-dropout.
+SEED = 17
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -37,6 +41,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "p_text", "p_meta", "p_good", (F.col("p_good") >= 0.5).alias("kept"))
 
 
+def op3_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents under seeded merge-dropout, and whether they decode to the text."""
+    return merge_dropout.encode_texts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), seed=SEED)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside benchmark windows, by the positional index."""
     found = positions.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -100,6 +109,7 @@ FROM documents d LEFT JOIN out o ON d.doc_id = o.doc_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_sentencepiece_dropout": op3_sentencepiece_dropout,
     "op4_decontamination": op4_decontamination,
     "op5_line_dedup": op5_line_dedup,
     "op6_language_id": op6_language_id,
