@@ -1,12 +1,65 @@
-"""A corpus pipeline of operators, each stage written as Parquet and read again."""
+"""A corpus pipeline of five operators, each stage written as Parquet and read again."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fathomline.llm import chosen_path, cotraining, line_windows, merge_dropout, positions
+from fathomline.llm._shared import stage
+from fathomline.llm.queries import SEED, table, tokenizer_path
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier, learned from these documents and labels, takes for good."""
+    scored = cotraining.score(docs, cotraining.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.where("p_good >= 0.5").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later repeats of line windows; those that lose all they had go. n_chars follows the text."""
+    found = line_windows.dedup_lines(docs)
+    changed = F.col("n_removed") > 0
+    n_chars = F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return found.where(~changed | (F.trim("text") != "")).withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of near duplicates."""
+    kept = chosen_path.near_duplicates(docs.select("doc_id", "text")).where("kept and doc_id is not null").select("doc_id").distinct()
+    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without an occurrence of a benchmark window."""
+    found = positions.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    hit = found.where("contaminated and doc_id is not null").select("doc_id").distinct()
+    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of the documents under seeded merge-dropout."""
+    return merge_dropout.encode_texts(docs, tokenizer_path("piece_bpe_32k.model"), seed=SEED)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("sentencepiece", sentencepiece),
+]
+
+#: SQL can express neither the classifier nor the encoding: tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """All stages in order over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order over documents; what a stage returns is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, work in STAGES:
+        docs = stage(work(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
