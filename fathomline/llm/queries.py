@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import chosen_path, cotraining, hypervectors, line_windows, merge_dropout, positions, ppm, raster, token_counts
+from fathomline.llm import chosen_path, cotraining, hypervectors, line_windows, merge_dropout, mixcoder, positions, ppm, raster, token_counts
 from fathomline.llm._shared import id_crc32
 
 
@@ -81,6 +81,11 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_token_id_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written by the context-mixing coder and read back."""
+    return mixcoder.id_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 OP5_SQL = """
 WITH ln AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
@@ -116,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_counts": op7_token_counts,
     "op8_media_columns": op8_media_columns,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_token_id_coder": op10_token_id_coder,
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL}
