@@ -323,12 +323,15 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
                 out[at == k] = v
             return out
 
-        uniq = np.zeros(0, np.int64)
+        found = []
         words: dict[bytes, int] = {}
         for p in parts:
-            uniq = np.union1d(uniq, grams(p["texts"])[0])
+            packed, sizes = grams(p["texts"])
+            own, at = np.unique(packed, return_inverse=True)
+            found.append((own, at.astype(np.int32), np.cumsum(sizes) - sizes, sizes))
             for t in p["texts"]:
                 words.update(dict.fromkeys(tokens(t)))
+        uniq = np.unique(np.concatenate([own for own, *_ in found]))
         logs = placed(uniq, gram_bucket, value["g"])
         keys = token_keys(words)
         order = np.argsort(keys, kind="stable")
@@ -338,10 +341,8 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
         for i, w in enumerate(words):
             words[w] = i
         out = []
-        for p in parts:
-            packed, sizes = grams(p["texts"])
-            edges = np.cumsum(sizes) - sizes
-            scores = np.add.reduceat(logs[np.searchsorted(uniq, packed)], edges)
+        for p, (own, at, edges, sizes) in zip(parts, found):
+            scores = np.add.reduceat(logs[np.searchsorted(uniq, own)][at], edges)
             for doc, t, size, s in zip(p["doc_ids"], p["texts"], sizes.tolist(), scores.tolist()):
                 at = np.fromiter(map(words.__getitem__, own := tokens(t)), np.int64, len(own))
                 out.append((doc, len(at), int((known[at] > 0).sum()), total, float(base[at].sum()), s, size))
