@@ -7,10 +7,12 @@ cheapest of three by Stulz 1982 in Clark's moment-matched form. `right` columns
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.functions.normal import norm_cdf, norm_pdf, norm_ppf
+from fathomline.functions.normal import CDF_DEN, CDF_NUM, norm_cdf, norm_pdf, norm_ppf
 
 INF = float("inf")
 
@@ -106,9 +108,6 @@ def vol_from_premium(premium, s, k, t, r, right, steps: int = 12) -> Column:
     Vectorised over Arrow batches; null without time value or where no volatility
     gives the premium.
     """
-    import numpy as np
-    import pandas as pd
-
     call = call_from_put(premium, s, k, t, r, right) * F.exp(r * t)
 
     @F.pandas_udf("double")
@@ -125,7 +124,7 @@ def vol_from_premium(premium, s, k, t, r, right, steps: int = 12) -> Column:
                 vega = s * np.sqrt(t) * np.exp(-d1 * d1 / 2) / np.sqrt(2 * np.pi)
                 vol = np.clip(vol - (value - c) / np.maximum(vega, 1e-300), vol / 4, vol * 4)
             miss = np.abs(value - c) > 1e-7 * np.maximum(s, 1)
-        return pd.Series(np.where(ok & ~miss, vol, np.nan)).astype(object).where(ok & ~miss, None).astype(float)
+        return pd.Series(np.where(ok & ~miss, vol, np.nan))
 
     found = solve(call, s, k, t)
     return F.when(~F.isnan(found), found)
@@ -133,10 +132,6 @@ def vol_from_premium(premium, s, k, t, r, right, steps: int = 12) -> Column:
 
 def _cdf(x):
     """Normal probabilities of an array, by the same approximation as norm_cdf."""
-    import numpy as np
-
-    from fathomline.functions.normal import CDF_DEN, CDF_NUM
-
     a = np.abs(np.clip(np.nan_to_num(x), -37, 37))
     e = np.exp(-a * a / 2)
     tail = a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65))))
@@ -174,9 +169,6 @@ def bachelier_theta(s, k, vol, t, r, right) -> Column:
 
 def bachelier_vol(premium, s, k, t, r, right, steps: int = 30) -> Column:
     """Implied normal volatility: closed form at the money, Newton steps elsewhere."""
-    import numpy as np
-    import pandas as pd
-
     call = call_from_put(premium, s, k, t, r, right) * F.exp(r * t)
 
     @F.pandas_udf("double")
@@ -214,108 +206,34 @@ def kirk_vol(vol1, vol2, rho, f2, k) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), vol1 * vol1 + b * b - 2 * rho * vol1 * b))
 
 
-def kirk_value(f1, f2, k, vol1, vol2, rho, t, r, right) -> Column:
-    return black_value(f1, f2 + k, kirk_vol(vol1, vol2, rho, f2, k), t, r, right)
-
-
-def _kirk_chain(vol1, vol2, rho, f2, k) -> tuple[Column, Column, Column]:
-    """The ratio's volatility and its derivatives by both legs' volatilities."""
-    share = F.try_divide(f2, f2 + k)
-    b, v = vol2 * share, kirk_vol(vol1, vol2, rho, f2, k)
-    return v, F.when(v > 1e-6, (vol1 - rho * b) / v).otherwise(0.0), F.when(v > 1e-6, (b - rho * vol1) / v * share).otherwise(0.0)
-
-
-def kirk_delta1(f1, f2, k, vol1, vol2, rho, t, r, right) -> Column:
-    """Sensitivity to the first leg."""
-    return black_delta(f1, f2 + k, kirk_vol(vol1, vol2, rho, f2, k), t, r, right)
-
-
-def kirk_delta2(f1, f2, k, vol1, vol2, rho, t, r, right) -> Column:
-    """Sensitivity to the second leg, with the ratio's volatility held: -w N(w d2) e^{-rt}."""
-    w, v = omega(right), kirk_vol(vol1, vol2, rho, f2, k)
-    return -w * norm_cdf(w * black_d2(f1, f2 + k, v, t)) * F.exp(-r * t)
-
-
-def kirk_gamma1(f1, f2, k, vol1, vol2, rho, t, r) -> Column:
-    return black_gamma(f1, f2 + k, kirk_vol(vol1, vol2, rho, f2, k), t, r)
-
-
-def kirk_gamma2(f1, f2, k, vol1, vol2, rho, t, r) -> Column:
-    v = kirk_vol(vol1, vol2, rho, f2, k)
-    return F.exp(-r * t) * norm_pdf(black_d2(f1, f2 + k, v, t)) / ((f2 + k) * v * F.sqrt(t))
-
-
-def kirk_vega1(f1, f2, k, vol1, vol2, rho, t, r) -> Column:
-    v, by1, _ = _kirk_chain(vol1, vol2, rho, f2, k)
-    return black_vega(f1, f2 + k, v, t, r) * by1
-
+def with_margrabe(rows: DataFrame, name: str, f1: Column, f2: Column, vol1: Column, vol2: Column, rho: Column, t: Column) -> DataFrame:
+    """rows with E max(f1 - f2, 0), the right to give the second for the first, not discounted; and name_n1, the weight of the first."""
+    out = rows.withColumns({"_f1": f1, "_f2": f2, "_mt": t, "_mv": F.sqrt(F.greatest(F.lit(0.0), vol1 * vol1 + vol2 * vol2 - 2 * rho * vol1 * vol2))})
+    out = out.withColumn("_msd", F.col("_mv") * F.sqrt("_mt"))
+    out = out.withColumn("_md", F.when(F.col("_msd") > 1e-12, F.ln(F.col("_f1") / F.col("_f2")) / F.col("_msd") + F.col("_msd") / 2))
+    out = out.withColumn("_md2", F.col("_md") - F.col("_msd")).withColumns({"_mn1": norm_cdf(F.col("_md")), "_mn2": norm_cdf(F.col("_md2"))})
+    value = F.when(F.col("_md").isNull(), F.greatest(F.col("_f1") - F.col("_f2"), F.lit(0.0))).otherwise(F.col("_f1") * F.col("_mn1") - F.col("_f2") * F.col("_mn2"))
+    weight = F.when(F.col("_md").isNull(), (F.col("_f1") > F.col("_f2")).cast("double")).otherwise(F.col("_mn1"))
+    return out.withColumns({name: value, f"{name}_n1": weight}).drop("_f1", "_f2", "_mt", "_mv", "_msd", "_md", "_md2", "_mn1", "_mn2")
 
-def kirk_vega2(f1, f2, k, vol1, vol2, rho, t, r) -> Column:
-    v, _, by2 = _kirk_chain(vol1, vol2, rho, f2, k)
-    return black_vega(f1, f2 + k, v, t, r) * by2
 
+def with_cheapest(rows: DataFrame, f: list[Column], vol: list[Column], rho12: Column, rho13: Column, rho23: Column, t: Column, r: Column, name: str = "value") -> DataFrame:
+    """rows with discounted E min(f1, f2, f3), by inclusion and exclusion of the larger of two and of three legs.
 
-def kirk_theta(f1, f2, k, vol1, vol2, rho, t, r, right) -> Column:
-    return black_theta(f1, f2 + k, kirk_vol(vol1, vol2, rho, f2, k), t, r, right)
-
-
-def kirk_rho_sensitivity(f1, f2, k, vol1, vol2, rho, t, r, right, bump: float = 1e-4) -> Column:
-    """Central difference by the correlation; each bumped price scales the second leg's volatility once."""
-    up = kirk_value(f1, f2, k, vol1, vol2, rho + bump, t, r, right)
-    down = kirk_value(f1, f2, k, vol1, vol2, rho - bump, t, r, right)
-    return (up - down) / (2 * bump)
-
-
-def kirk_all(f1, f2, k, vol1, vol2, rho, t, r, right) -> Column:
-    """All nine figures of a spread option as a struct."""
-    a = (f1, f2, k, vol1, vol2, rho, t, r)
-    return F.struct(
-        kirk_value(*a, right).alias("value"),
-        kirk_delta1(*a, right).alias("delta1"),
-        kirk_delta2(*a, right).alias("delta2"),
-        kirk_gamma1(*a).alias("gamma1"),
-        kirk_gamma2(*a).alias("gamma2"),
-        kirk_vega1(*a).alias("vega1"),
-        kirk_vega2(*a).alias("vega2"),
-        (kirk_theta(*a, right) / 365).alias("theta"),
-        kirk_rho_sensitivity(*a, right).alias("rho_sensitivity"),
-    )
-
-
-def margrabe(f1, f2, vol1, vol2, rho, t) -> Column:
-    """Right to give the second for the first: E max(f1 - f2, 0), not discounted."""
-    v = F.sqrt(F.greatest(F.lit(0.0), vol1 * vol1 + vol2 * vol2 - 2 * rho * vol1 * vol2))
-    d1 = F.when(v * F.sqrt(t) > 1e-12, (F.ln(f1 / f2) + v * v * t / 2) / (v * F.sqrt(t)))
-    return F.when(d1.isNull(), F.greatest(f1 - f2, F.lit(0.0))).otherwise(f1 * norm_cdf(d1) - f2 * norm_cdf(d1 - v * F.sqrt(t)))
-
-
-def larger_of_two(f1, f2, vol1, vol2, rho, t) -> Column:
-    """E max(f1, f2), not discounted."""
-    return f2 + margrabe(f1, f2, vol1, vol2, rho, t)
-
-
-def larger_as_lognormal(f1, f2, vol1, vol2, rho, rho1, rho2, t) -> tuple[Column, Column, Column]:
-    """max(f1, f2) as one lognormal: mean, volatility, and correlation with a third leg that has rho1 and rho2 with the two.
-
-    Each leg weighs with its part of the mean; the volatility is that of the
-    weighted legs.
+    The larger of the first two stands as one lognormal: each leg weighs with its
+    part of the mean, in the volatility and in the correlation with the third.
     """
-    mean = larger_of_two(f1, f2, vol1, vol2, rho, t)
-    v = F.sqrt(F.greatest(F.lit(1e-12), vol1 * vol1 + vol2 * vol2 - 2 * rho * vol1 * vol2))
-    w1 = f1 * norm_cdf((F.ln(f1 / f2) + v * v * t / 2) / (v * F.sqrt(t))) / mean
-    w2 = 1 - w1
-    vol = F.sqrt(w1 * w1 * vol1 * vol1 + w2 * w2 * vol2 * vol2 + 2 * w1 * w2 * rho * vol1 * vol2)
-    mixed = (w1 * rho1 * vol1 + w2 * rho2 * vol2) / (vol + 1e-12)
-    return mean, vol, F.greatest(F.lit(-0.9999), F.least(F.lit(0.9999), mixed))
-
-
-def cheapest_of_three(f: list[Column], vol: list[Column], rho12, rho13, rho23, t, r) -> Column:
-    """Discounted E min(f1, f2, f3) by inclusion and exclusion of the larger of two and of three legs."""
-    (f1, f2, f3), (v1, v2, v3) = f, vol
-    mean, v12, rho = larger_as_lognormal(f1, f2, v1, v2, rho12, rho13, rho23, t)
-    three = larger_of_two(mean, f3, v12, v3, rho, t)
-    pairs = larger_of_two(f1, f2, v1, v2, rho12, t) + larger_of_two(f1, f3, v1, v3, rho13, t) + larger_of_two(f2, f3, v2, v3, rho23, t)
-    return F.exp(-r * t) * (f1 + f2 + f3 - pairs + three)
+    c = F.col
+    out = rows.withColumns({"_1": f[0], "_2": f[1], "_3": f[2], "_v1": vol[0], "_v2": vol[1], "_v3": vol[2], "_r12": rho12, "_r13": rho13, "_r23": rho23, "_t": t})
+    for i, j in ((1, 2), (1, 3), (2, 3)):
+        out = with_margrabe(out, f"_m{i}{j}", c(f"_{i}"), c(f"_{j}"), c(f"_v{i}"), c(f"_v{j}"), c(f"_r{i}{j}"), c("_t"))
+    out = out.withColumn("_mean", c("_2") + c("_m12")).withColumn("_w", c("_1") * c("_m12_n1") / c("_mean"))
+    out = out.withColumn("_v", F.sqrt((c("_w") * c("_v1")) ** 2 + ((1 - c("_w")) * c("_v2")) ** 2 + 2 * c("_w") * (1 - c("_w")) * c("_r12") * c("_v1") * c("_v2")))
+    mixed = (c("_w") * c("_r13") * c("_v1") + (1 - c("_w")) * c("_r23") * c("_v2")) / (c("_v") + 1e-12)
+    out = out.withColumn("_rho", F.greatest(F.lit(-0.9999), F.least(F.lit(0.9999), mixed)))
+    out = with_margrabe(out, "_m3", c("_mean"), c("_3"), c("_v"), c("_v3"), c("_rho"), c("_t"))
+    least = c("_1") + c("_2") + c("_3") - (c("_2") + c("_m12")) - (c("_3") + c("_m13")) - (c("_3") + c("_m23")) + (c("_3") + c("_m3"))
+    return out.withColumn(name, F.exp(-r * t) * least).select(*rows.columns, name)
 
 
 def prob_vol(probability: Column, share: Column) -> Column:
@@ -338,3 +256,49 @@ def two_factor_sigmas(probability: Column, share: Column, slow: Column, fast: Co
     lead = x * F.sin(angle) / F.sqrt((1 - 4 * rho * rho * product / (total * total)) / (2 * slow)) / (1 - F.exp(-slow))
     lag = F.sqrt(2 * fast) / (1 - F.exp(-fast)) * (x * F.cos(angle) - 2 * x * F.sqrt(product) * rho * F.sin(angle) / whole)
     return F.struct((lead * slow).alias("slow"), (lag * fast).alias("fast"))
+
+
+def with_black(rows: DataFrame, s: Column, k: Column, vol: Column, t: Column, r: Column, right: Column, prefix: str = "") -> DataFrame:
+    """rows with value, delta, gamma, vega and theta (a day) of Black options.
+
+    Shared parts are columns of their own, so every one of them is computed once
+    and the generated code stays small.
+    """
+    c = lambda name: F.col(f"_{name}")
+    out = rows.withColumns({"_s": s, "_k": k, "_v": vol, "_t": t, "_r": r, "_w": omega(right)})
+    out = out.withColumns({"_sd": c("v") * F.sqrt(F.greatest(c("t"), F.lit(0.0))), "_df": F.exp(-c("r") * F.greatest(c("t"), F.lit(0.0)))})
+    out = out.withColumn("_d1", F.when((c("sd") > 0) & (c("s") > 0) & (c("k") > 0) & (c("k") < INF), F.ln(c("s") / c("k")) / c("sd") + c("sd") / 2))
+    out = out.withColumns({"_a1": c("w") * c("d1"), "_a2": c("w") * (c("d1") - c("sd"))})
+    out = out.withColumns({"_n1": norm_cdf(c("a1")), "_n2": norm_cdf(c("a2")), "_p": norm_pdf(c("d1"))})
+    open_value = c("w") * (c("s") * c("n1") - c("k") * c("n2"))
+    figures = {
+        "value": c("df") * F.when(c("d1").isNull(), F.greatest(c("w") * (c("s") - c("k")), F.lit(0.0))).otherwise(open_value),
+        "delta": c("w") * c("n1") * c("df"),
+        "gamma": F.try_divide(c("df") * c("p"), c("s") * c("sd")),
+        "vega": c("s") * c("df") * c("p") * F.sqrt(c("t")),
+        "theta": (F.try_divide(-c("s") * c("df") * c("p") * c("v"), 2 * F.sqrt(c("t"))) + c("w") * c("r") * c("df") * (c("s") * c("n1") - c("k") * c("n2"))) / 365,
+    }
+    return out.withColumns({prefix + name: x for name, x in figures.items()}).drop(*[f"_{n}" for n in ("s", "k", "v", "t", "r", "w", "sd", "df", "d1", "a1", "a2", "n1", "n2", "p")])
+
+
+def with_kirk(rows: DataFrame, f1: Column, f2: Column, k: Column, vol1: Column, vol2: Column, rho: Column, t: Column, r: Column, right: Column) -> DataFrame:
+    """rows with all figures of Kirk spread options, shared parts computed once: value, delta1, delta2, gamma1, gamma2, vega1, vega2, theta (a day), rho_sensitivity."""
+    out = rows.withColumns({"_f1": f1, "_f2": f2, "_kk": f2 + k, "_v1": vol1, "_rho": rho, "_tt": t, "_rr": r, "_right": right, "_vol2": vol2})
+    out = out.withColumn("_b", kirk_leg_vol(F.col("_vol2"), F.col("_f2"), F.col("_kk") - F.col("_f2")))
+    out = out.withColumn("_vol", F.sqrt(F.greatest(F.lit(0.0), F.col("_v1") * F.col("_v1") + F.col("_b") * F.col("_b") - 2 * F.col("_rho") * F.col("_v1") * F.col("_b"))))
+    out = with_black(out, F.col("_f1"), F.col("_kk"), F.col("_vol"), F.col("_tt"), F.col("_rr"), F.col("_right"), "_x_")
+    out = out.withColumn("_dd2", F.ln(F.col("_f1") / F.col("_kk")) / (F.col("_vol") * F.sqrt("_tt")) - F.col("_vol") * F.sqrt("_tt") / 2)
+    w, v, kept = omega(F.col("_right")), F.col("_vol"), F.exp(-F.col("_rr") * F.col("_tt"))
+    out = out.withColumns({"_n2w": norm_cdf(w * F.col("_dd2")), "_p2": norm_pdf(F.col("_dd2"))})
+    figures = {
+        "value": F.col("_x_value"),
+        "delta1": F.col("_x_delta"),
+        "delta2": -w * F.col("_n2w") * kept,
+        "gamma1": F.col("_x_gamma"),
+        "gamma2": kept * F.col("_p2") / (F.col("_kk") * v * F.sqrt("_tt")),
+        "vega1": F.col("_x_vega") * F.when(v > 1e-6, (F.col("_v1") - F.col("_rho") * F.col("_b")) / v).otherwise(0.0),
+        "vega2": F.col("_x_vega") * F.when(v > 1e-6, (F.col("_b") - F.col("_rho") * F.col("_v1")) / v * F.col("_f2") / F.col("_kk")).otherwise(0.0),
+        "theta": F.col("_x_theta"),
+        "rho_sensitivity": F.when(v > 1e-6, -F.col("_x_vega") * F.col("_v1") * F.col("_b") / v).otherwise(0.0),
+    }
+    return out.withColumns(figures).select(*rows.columns, *figures)
