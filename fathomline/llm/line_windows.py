@@ -49,7 +49,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     through; columns of the input named n_lines or n_removed are replaced.
     """
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    docs = docs.select(*rest, F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(F.col(text_col)).alias("_row"))
+    text = docs[text_col]
+    docs = docs.select(F.struct(*[docs[c] for c in rest]).alias("_doc"), docs[id_col].alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_row"))
     found = line_windows(docs.select("_id", "_row", "_text"), window)
     place = F.struct("_id", "_row", "pos")
     firsts = (
@@ -78,7 +79,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_lines = F.when(F.col("_text").isNull(), 0).otherwise(F.size(lines)).cast("long")
     return joined.withColumn("_kept", F.when(F.col("later").isNotNull(), kept)).select(
         *[
-            F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col("_text")).alias(c) if c == text_col else F.col(f"d.`{c}`")
+            F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col("_text")).alias(c) if c == text_col else F.col("_doc").getField(c).alias(c)
             for c in rest
         ],
         n_lines.alias("n_lines"),
