@@ -17,7 +17,7 @@ def _days(spark, sf_dir):
 
 
 @query("tenor_labels", f"""WITH {_DAYS} SELECT d, strftime(d, '%b_%y') AS label, month(d) AS number, strftime(d, '%b') AS name,
-date_trunc('month', d) AS start, strftime(d, '%Y%m%d') AS compact, substr('FGHJKMNQUVXZ', month(d), 1) || (year(d) % 10) AS code,
+CAST(date_trunc('month', d) AS DATE) AS start, strftime(d, '%Y%m%d') AS compact, substr('FGHJKMNQUVXZ', month(d), 1) || (year(d) % 10) AS code,
 strftime(date_trunc('month', d + 3) + INTERVAL 2 MONTH, '%b_%y') AS second FROM days WHERE year(d) >= 1990""")
 def tenor_labels(spark, sf_dir):
     d = F.col("d")

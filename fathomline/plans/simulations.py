@@ -61,7 +61,7 @@ def _scenarios(spark):
     return spark.createDataFrame(_SCENARIOS, "scenario string, f0 double, f1 double, f2 double, v0 double, v1 double, v2 double, t double, r double")
 
 
-@query("chooser_scenarios", f"WITH {_weyl(N, 3, True)}, {_correlated(RHO3, 3)}, s(scenario, f0, f1, f2, v0, v1, v2, t, r) AS (VALUES {', '.join(map(str, _SCENARIOS))}) SELECT scenario, round(avg({_LEAST}), 4) AS value, round(stddev_samp({_LEAST}) / sqrt(count(*)), 4) AS error, count(*) AS paths FROM w CROSS JOIN s GROUP BY 1")
+@query("chooser_scenarios", f"WITH {_weyl(N, 3, True)}, {_correlated(RHO3, 3)}, s(scenario, f0, f1, f2, v0, v1, v2, t, r) AS (SELECT col0, {', '.join(f'CAST(col{k} AS DOUBLE)' for k in range(1, 9))} FROM (VALUES {', '.join(map(str, _SCENARIOS))})) SELECT scenario, round(avg({_LEAST}), 4) AS value, round(stddev_samp({_LEAST}) / sqrt(count(*)), 4) AS error, count(*) AS paths FROM w CROSS JOIN s GROUP BY 1")
 def chooser_scenarios(spark, sf_dir):
     """The least of three forwards under shifts of volatility, curve, shape and time."""
     draws = mc.correlated(mc.paths(spark, N, 3, antithetic=True), RHO3)
