@@ -3,15 +3,16 @@
 A text is cut into units, each a run of space marks and what follows up to the next
 one; no piece of the vocabulary crosses the start of a unit. In each unit an agenda
 of adjacent symbol pairs is worked off, best piece first and leftmost first among
-equals. A candidate that a keyed hash of (seed, variant, unit, place, piece) picks is
-skipped. Characters without a piece become byte pieces.
+equals. A candidate that a keyed hash of (seed, document, place of the unit, number of
+the candidate in the unit) picks is skipped, so every occurrence has draws of its own.
+Characters without a piece become byte pieces.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
-import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
@@ -25,10 +26,12 @@ from fathomline.llm._shared import by_bytes, mix64
 
 #: The mark that stands for a space in pieces.
 MARK = "▁"
-#: Share of candidates that are skipped, and segmentations of a unit that there can be.
-DROPOUT, VARIANTS = 0.1, 4
-#: Units that a worker remembers for each variant.
+#: Share of candidates that are skipped.
+DROPOUT = 0.1
+#: Units, and segmentations of units by their skipped candidates, that a worker remembers; others are worked out anew.
 REMEMBERED = 250_000
+#: Draws of a unit that are made at once for all units of a text; segmentations that take more are not remembered.
+DRAWN = 32
 #: Longest unit whose agenda is a list.
 LONG = 64
 NONE = float("inf")
@@ -62,6 +65,7 @@ class Pieces:
         self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.mark = np.array([self.byte[b] for b in MARK.encode()], np.int32).tobytes()
         self.known: dict = {}
+        self.branches = 0
 
 
 @cache
@@ -69,32 +73,51 @@ def vocabulary(path: str) -> Pieces:
     return Pieces(path)
 
 
-def skipped(table: bytes, key: int, place: int, left: int, rank: int) -> int:
-    """Whether the keyed hash of a candidate (its place, the length of its left symbol, its piece) picks it."""
-    return table[key + place * 40503 + rank * 30011 + left * 7919 & 0xFFFF]
+def skip_table(seed: int, limit: int) -> tuple[int, int]:
+    """What draws depend on besides a unit's key: the seed, and the limit out of 2**32 below which a draw is a skip."""
+    return seed, limit
 
 
-@cache
-def skip_table(seed: int, limit: int) -> bytes:
-    """65,536 draws of a skip with probability limit / 2**32."""
-    draws = mix64(np.arange(65536, dtype=np.uint64) + np.uint64((seed & 0xFFFFFFFF) << 20)) >> np.uint64(32)
-    return (draws < limit).astype(np.uint8).tobytes()
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _skips(keys: np.ndarray, limit: int, n: int) -> np.ndarray:
+    """The first n (even) draws of each unit key: whether the candidate of that number is skipped."""
+    words = mix64(keys[:, None] + np.arange(1, n // 2 + 1, dtype=np.uint64) * _STEP)
+    return words.view(np.uint32) < limit
 
 
-def segment(unit: str, pieces: Pieces, key: int, table: bytes | None) -> list[str]:
+def _flags(length: int, key: int, table: tuple[int, int] | None) -> bytes:
+    """Draws for all candidates that a unit of this length can have."""
+    if table is None:
+        return bytes(3 * length)
+    own = np.array([(key ^ table[0] * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF], np.uint64)
+    return _skips(own, table[1], 4 * length)[0].tobytes()
+
+
+def segment(unit: str, pieces: Pieces, key: int, table: tuple[int, int] | None) -> list[str]:
     """The symbols of a unit (spaces as marks) after all merges but the skipped ones; without a table none is skipped."""
+    return _segment(unit, pieces.rank.get, _flags(len(unit), key, table), 0)[0]
+
+
+def _segment_long(symbols: list[str], rank, key: int, table: tuple[int, int] | None) -> list[str]:
+    return _merge_long(symbols, rank, _flags(len(symbols), key, table), 0)[0]
+
+
+def _segment(unit: str, rank, flags: bytes, at: int) -> tuple[list[str], int]:
+    """Symbols after all merges but those whose flag, counted from at in the order in which they come up, is set; and the next flag."""
     symbols: list[str] = list(unit)
     n = len(symbols)
-    rank = pieces.rank.get
     if n > LONG:
-        return _segment_long(symbols, rank, key, table)
+        return _merge_long(symbols, rank, flags, at)
 
-    place = list(range(n))
     agenda = []
     for i in range(n - 1):
         r = rank(symbols[i] + symbols[i + 1], NONE)
-        if r is not NONE and table is not None and table[key + i * 40503 + r * 30011 + 7919 & 0xFFFF]:
-            r = NONE
+        if r is not NONE:
+            if flags[at]:
+                r = NONE
+            at += 1
         agenda.append(r)
     while agenda:
         best = min(agenda)
@@ -102,31 +125,37 @@ def segment(unit: str, pieces: Pieces, key: int, table: bytes | None) -> list[st
             break
         i = agenda.index(best)
         both = symbols[i] = symbols[i] + symbols.pop(i + 1)
-        del place[i + 1], agenda[i]
+        del agenda[i]
         if i < len(agenda):
             r = rank(both + symbols[i + 1], NONE)
-            if r is not NONE and table is not None and table[key + place[i] * 40503 + r * 30011 + len(both) * 7919 & 0xFFFF]:
-                r = NONE
+            if r is not NONE:
+                if flags[at]:
+                    r = NONE
+                at += 1
             agenda[i] = r
         if i:
-            left = symbols[i - 1]
-            r = rank(left + both, NONE)
-            if r is not NONE and table is not None and table[key + place[i - 1] * 40503 + r * 30011 + len(left) * 7919 & 0xFFFF]:
-                r = NONE
+            r = rank(symbols[i - 1] + both, NONE)
+            if r is not NONE:
+                if flags[at]:
+                    r = NONE
+                at += 1
             agenda[i - 1] = r
-    return symbols
+    return symbols, at
 
 
-def _segment_long(symbols: list[str], rank, key: int, table: bytes | None) -> list[str]:
-    """As segment(), with a heap for the agenda, for units in which a scan for the best would cost too much."""
+def _merge_long(symbols: list[str], rank, flags: bytes, at: int) -> tuple[list[str], int]:
+    """As _segment(), with a heap for the agenda, for units in which a scan for the best would cost too much."""
     n, push = len(symbols), heapq.heappush
     before, after = list(range(-1, n - 1)), [*range(1, n), -1]
     agenda: list = []
 
     def consider(i: int, j: int) -> None:
+        nonlocal at
         r = rank(symbols[i] + symbols[j])
-        if r is not None and not (table is not None and skipped(table, key, i, len(symbols[i]), r)):
-            push(agenda, (r, i, len(symbols[i]), len(symbols[j])))
+        if r is not None:
+            if not flags[at]:
+                push(agenda, (r, i, len(symbols[i]), len(symbols[j])))
+            at += 1
 
     for i in range(n - 1):
         consider(i, i + 1)
@@ -143,12 +172,12 @@ def _segment_long(symbols: list[str], rank, key: int, table: bytes | None) -> li
         k = before[i]
         if k >= 0:
             consider(k, i)
-    return [s for s in symbols if s]
+    return [s for s in symbols if s], at
 
 
-def unit_ids(unit: str, pieces: Pieces, seed: int, variant: int, table: bytes | None, known: dict) -> bytes:
-    """Ids of a unit as 32-bit numbers. It is cut where no piece has the two characters side by side; a mark of the text itself becomes bytes."""
-    out = []
+def unit_ids(unit: str, pieces: Pieces, flags: bytes) -> tuple[bytes, int]:
+    """Ids of a unit as 32-bit numbers, and how many flags they took. It is cut where no piece has the two characters side by side; a mark of the text itself becomes bytes."""
+    out, at, rank, known = [], 0, pieces.rank.get, pieces.ids.get
     for k, own in enumerate(unit.split(MARK)):
         if k:
             out.append(pieces.mark)
@@ -158,45 +187,87 @@ def unit_ids(unit: str, pieces: Pieces, seed: int, variant: int, table: bytes |
             if i < n and own[i - 1 : i + 1] in pairs:
                 continue
             part = own[a:i]
-            found = known.get(part)
-            if found is None and part:
-                key = zlib.crc32(part.encode(), (seed * 0x01000193 ^ variant * 0x9E3779B1) & 0xFFFFFFFF)
-                ids: list[int] = []
-                for s in segment(part, pieces, key, table) if len(part) > 1 else [part]:
-                    at = pieces.ids.get(s)
-                    ids.extend([at] if at is not None else [pieces.byte[b] for b in s.encode()])
-                found = array("i", ids).tobytes()
-                if len(known) < REMEMBERED:
-                    known[part] = found
-            out.append(found or b"")
+            ids: list[int] = []
+            if len(part) > 1:
+                symbols, at = _segment(part, rank, flags, at)
+            else:
+                symbols = [part] if part else []
+            for s in symbols:
+                found = known(s)
+                ids.extend([found] if found is not None else [pieces.byte[b] for b in s.encode()])
+            out.append(array("i", ids).tobytes())
             a = i
-    return b"".join(out)
+    return b"".join(out), at
+
+
+class Node:
+    """Ids of a unit whose skipped candidates are known: mask has a bit for each draw they depend on, after leads on by the next skipped one."""
+
+    __slots__ = ("after", "ids", "mask")
+
+    def __init__(self, unit: str, pieces: Pieces, skipped: int):
+        self.ids, used = unit_ids(unit, pieces, bytes(skipped >> k & 1 for k in range(DRAWN)) + bytes(3 * len(unit)))
+        self.mask = (1 << used) - 1 if used <= DRAWN else None
+        self.after: dict[int, Node] | None = None
 
 
-def encode(text: str, path: str, seed: int, key: int, dropout: float = DROPOUT, variants: int = VARIANTS) -> np.ndarray:
-    """Ids of a text. key, with a unit's place, decides which of the variants of its segmentation is taken."""
+def _branch(unit: str, pieces: Pieces, node: Node, drawn: int) -> Node | None:
+    """The node of a unit's draws, from that without a skip; None where it depends on more than DRAWN."""
+    skipped = 0
+    while node.mask is not None:
+        left = drawn & node.mask & ~skipped
+        if not left:
+            return node
+        first = left & -left
+        skipped |= first
+        if node.after is None:
+            node.after = {}
+        found = node.after.get(first)
+        if found is None:
+            found = Node(unit, pieces, skipped)
+            if pieces.branches < REMEMBERED:
+                node.after[first] = found
+                pieces.branches += 1
+        node = found
+    return None
+
+
+def text_key(doc: object, text: str) -> bytes:
+    """What the draws of a document depend on: its id as text, or its text where it has none."""
+    return b"i" + str(doc).encode() if doc is not None else b"t" + text.encode()
+
+
+def encode(text: str, path: str, seed: int, key: bytes, dropout: float = DROPOUT) -> np.ndarray:
+    """Ids of a text. The draws of a unit depend on the seed, the key and the unit's place."""
     if not text:
         return np.zeros(0, np.int32)
     pieces, limit = vocabulary(path), int(dropout * 0x100000000)
-    variants = variants if limit else 1
-    table = skip_table(seed, limit) if limit else None
     units = (" " + text).split(" ")[1:] if "  " not in text and text[0] != " " and text[-1] != " " else None
     plain = units is not None
     if not plain:
         units = _UNIT.findall(" " + text)
-    out: list = [None] * len(units)
-    for j in range(min(variants, len(units))):
-        v = (j + key) % variants
-        known, parts = pieces.known.setdefault((seed, v, limit, plain), ({}, {}))
-        own = units[j::variants]
-        found = list(map(known.get, own))
-        if None in found:
-            for i, x in enumerate(found):
-                if x is None:
-                    found[i] = unit_ids(" " + own[i] if plain else own[i], pieces, seed, v, table, parts)
-                    if len(known) < REMEMBERED:
-                        known[own[i]] = found[i]
-        out[j::variants] = found
+    n = len(units)
+    if limit:
+        digest = hashlib.blake2b(key, digest_size=8, key=(seed & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little")).digest()
+        keys = mix64(np.arange(n, dtype=np.uint64) * _STEP + np.frombuffer(digest, np.uint64))
+        drawn = np.packbits(_skips(keys, limit, DRAWN), axis=1, bitorder="little").view(np.uint32)[:, 0].tolist()
+    else:
+        drawn = [0] * n
+    known = pieces.known.setdefault(plain, {})
+    out: list = []
+    for j, (unit, p) in enumerate(zip(units, drawn)):
+        node = known.get(unit)
+        if node is None:
+            node = Node(" " + unit if plain else unit, pieces, 0)
+            if len(known) < REMEMBERED:
+                known[unit] = node
+        if limit and (node.mask is None or p & node.mask):
+            own = " " + unit if plain else unit
+            node = _branch(own, pieces, node, p)
+            if node is None:
+                out.append(unit_ids(own, pieces, _skips(keys[j : j + 1], limit, max(DRAWN, 4 * len(own)))[0].tobytes())[0])
+                continue
+        out.append(node.ids)
     return np.frombuffer(b"".join(out), np.int32)
 
 
@@ -207,12 +278,12 @@ def decode(ids: list[int] | np.ndarray, path: str) -> str:
     return (found[1:] if found[:1] == b" " else found).decode("utf-8", "replace")
 
 
-def encode_texts(docs: DataFrame, path: str, seed: int = 0, dropout: float = DROPOUT, variants: int = VARIANTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, seed: int = 0, dropout: float = DROPOUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_tokens, ids (array of int), lossless (decoding gives the text again).
 
-    The variant of a unit depends on the seed, the document's id as text and the
-    unit's place, so documents and places differ while every run with the same seed
-    gives the same ids on any cluster. With dropout 0 the ids are those of the
+    Each candidate of a unit is drawn for by the seed, the document's id as text (its
+    text where the id is null) and the unit's place, so all occurrences differ while
+    every run with the same seed gives the same ids on any cluster. With dropout 0 the ids are those of the
     sentencepiece library (for texts without U+2581, which is encoded as bytes here
     so that it is not taken for a space).
 
@@ -226,7 +297,7 @@ def encode_texts(docs: DataFrame, path: str, seed: int = 0, dropout: float = DRO
                 b = big.slice(i, 1024)
                 rows, same = [], []
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1).fill_null("").to_pylist()):
-                    ids = encode(text, path, seed, zlib.crc32(str("" if doc is None else doc).encode()), dropout, variants)
+                    ids = encode(text, path, seed, text_key(doc, text), dropout)
                     rows.append(ids)
                     same.append(decode(ids, path) == text)
                 sizes = np.array([len(r) for r in rows], np.int64)
