@@ -200,19 +200,27 @@ def unit_ids(unit: str, pieces: Pieces, flags: bytes) -> tuple[bytes, int]:
     return b"".join(out), at
 
 
+_BYTE = [bytes(b >> k & 1 for k in range(8)) for b in range(256)]
+
+
+def _bits(drawn: int) -> bytes:
+    """The DRAWN flags of a number."""
+    return _BYTE[drawn & 255] + _BYTE[drawn >> 8 & 255] + _BYTE[drawn >> 16 & 255] + _BYTE[drawn >> 24]
+
+
 class Node:
     """Ids of a unit whose skipped candidates are known: mask has a bit for each draw they depend on, after leads on by the next skipped one."""
 
     __slots__ = ("after", "ids", "mask")
 
     def __init__(self, unit: str, pieces: Pieces, skipped: int):
-        self.ids, used = unit_ids(unit, pieces, bytes(skipped >> k & 1 for k in range(DRAWN)) + bytes(3 * len(unit)))
+        self.ids, used = unit_ids(unit, pieces, _bits(skipped) + bytes(3 * len(unit)))
         self.mask = (1 << used) - 1 if used <= DRAWN else None
         self.after: dict[int, Node] | None = None
 
 
 def _branch(unit: str, pieces: Pieces, node: Node, drawn: int) -> Node | None:
-    """The node of a unit's draws, from that without a skip; None where it depends on more than DRAWN."""
+    """The node of a unit's draws, from that without a skip; None where it depends on more than DRAWN or has no room to be remembered."""
     skipped = 0
     while node.mask is not None:
         left = drawn & node.mask & ~skipped
@@ -224,10 +232,10 @@ def _branch(unit: str, pieces: Pieces, node: Node, drawn: int) -> Node | None:
             node.after = {}
         found = node.after.get(first)
         if found is None:
-            found = Node(unit, pieces, skipped)
-            if pieces.branches < REMEMBERED:
-                node.after[first] = found
-                pieces.branches += 1
+            if pieces.branches >= REMEMBERED:
+                return None
+            found = node.after[first] = Node(unit, pieces, skipped)
+            pieces.branches += 1
         node = found
     return None
 
@@ -257,15 +265,15 @@ def encode(text: str, path: str, seed: int, key: bytes, dropout: float = DROPOUT
     out: list = []
     for j, (unit, p) in enumerate(zip(units, drawn)):
         node = known.get(unit)
-        if node is None:
-            node = Node(" " + unit if plain else unit, pieces, 0)
-            if len(known) < REMEMBERED:
-                known[unit] = node
-        if limit and (node.mask is None or p & node.mask):
+        if node is None and len(known) < REMEMBERED:
+            node = known[unit] = Node(" " + unit if plain else unit, pieces, 0)
+        if node is None or node.mask is None or p & node.mask:
             own = " " + unit if plain else unit
-            node = _branch(own, pieces, node, p)
+            node = None if node is None else _branch(own, pieces, node, p)
             if node is None:
-                out.append(unit_ids(own, pieces, _skips(keys[j : j + 1], limit, max(DRAWN, 4 * len(own)))[0].tobytes())[0])
+                many = 3 * len(own)
+                flags = _bits(p) if many <= DRAWN else _skips(keys[j : j + 1], limit, many + many % 2)[0].tobytes() if limit else bytes(many)
+                out.append(unit_ids(own, pieces, flags)[0])
                 continue
         out.append(node.ids)
     return np.frombuffer(b"".join(out), np.int32)
