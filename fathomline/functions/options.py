@@ -71,9 +71,10 @@ def delta_star(s, k, vol, t, r, right) -> Column:
 
 
 def strike_from_delta(delta, s, vol, t, r, right) -> Column:
-    """The strike at which an option with this volatility has this delta."""
+    """The strike at which an option with this volatility has this delta; null where the delta, as a number, is nothing or that of the forward."""
     w, sd = omega(right), vol * F.sqrt(t)
-    return s * F.exp(sd * sd / 2 - w * sd * norm_ppf(w * delta * F.exp(r * t)))
+    p = w * delta * F.exp(r * t)
+    return F.when((p > 0) & (p < 1), s * F.exp(sd * sd / 2 - w * sd * norm_ppf(p)))
 
 
 def strike_from_delta_star(delta, s, vol, t, r, right) -> Column:
@@ -102,7 +103,7 @@ def vol_bharadia(premium, s, k, t, r, right) -> Column:
     return F.sqrt(2 * F.lit(3.141592653589793) / t) * (call - delta) / (s - delta)
 
 
-def vol_from_premium(premium, s, k, t, r, right, steps: int = 12) -> Column:
+def vol_from_premium(premium, s, k, t, r, right, steps: int = 40) -> Column:
     """Implied Black volatility by Newton steps from the inflection point sqrt(2 |ln(s/k)| / t).
 
     Vectorised over Arrow batches; null without time value or where no volatility
@@ -123,7 +124,7 @@ def vol_from_premium(premium, s, k, t, r, right, steps: int = 12) -> Column:
                 value = s * _cdf(d1) - k * _cdf(d1 - sd)
                 vega = s * np.sqrt(t) * np.exp(-d1 * d1 / 2) / np.sqrt(2 * np.pi)
                 vol = np.clip(vol - (value - c) / np.maximum(vega, 1e-300), vol / 4, vol * 4)
-            miss = np.abs(value - c) > 1e-7 * np.maximum(s, 1)
+            miss = np.abs(value - c) > 1e-7 * (c - np.maximum(s - k, 0)) + 1e-12 * np.maximum(s, 1)
         return pd.Series(np.where(ok & ~miss, vol, np.nan))
 
     found = solve(call, s, k, t)

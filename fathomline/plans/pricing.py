@@ -72,10 +72,20 @@ def black76_expired(spark, sf_dir):
 
 @query("delta_strikes", f"""WITH {_D}, x AS (SELECT *, w * df * {cdf('a1')} AS delta, w * ln(s / k) / (vol * sqrt(t)) AS b FROM e) SELECT id, round(k, 5) AS strike, round(w * {cdf('b')} * df, 7) AS star FROM x WHERE abs(d1) < 3""")
 def delta_strikes(spark, sf_dir):
-    """The strike that an option's own delta leads back to, and its symmetric delta."""
+    """The strike that an option's own delta leads back to, and its symmetric delta, where |d1| < 3; delta_strikes_all has all trades."""
+    return _delta_strikes(trades(spark, sf_dir).where(F.abs(op.black_d1(*_args()[:4])) < 3))
+
+
+@query("delta_strikes_all")
+def delta_strikes_all(spark, sf_dir):
+    """All trades; the strike is null where the delta is too near to a bound to tell it."""
+    return _delta_strikes(trades(spark, sf_dir))
+
+
+def _delta_strikes(found):
     s, k, vol, t, r = _args()
     cp = F.col("cp")
-    rows = op.with_black(trades(spark, sf_dir).where(F.abs(op.black_d1(s, k, vol, t)) < 3), s, k, vol, t, r, cp)
+    rows = op.with_black(found, s, k, vol, t, r, cp)
     return rows.select("id", *rounded(5, strike=op.strike_from_delta(F.col("delta"), s, vol, t, r, cp)), *rounded(7, star=op.delta_star(s, k, vol, t, r, cp)))
 
 
@@ -83,17 +93,38 @@ def delta_strikes(spark, sf_dir):
 SELECT id, round(CASE WHEN c - greatest(s - k, 0) > 1e-8 THEN sqrt(2 * pi() / t) / (s + k) * (c - (s - k) / 2 + sqrt(greatest((c - (s - k) / 2) ** 2 - (s - k) ** 2 / pi(), 0))) END, 6) AS corrado,
 round(sqrt(2 * pi() / t) * (c - (s - k) / 2) / (s - (s - k) / 2), 6) AS bharadia FROM p WHERE t > 0.2 AND t < 1.5""")
 def approximate_vols(spark, sf_dir):
+    """Those with t > 0.2 and t < 1.5; approximate_vols_all has all trades."""
+    return _approximate_vols(trades(spark, sf_dir).where("t > 0.2 and t < 1.5"))
+
+
+@query("approximate_vols_all")
+def approximate_vols_all(spark, sf_dir):
+    """All trades; corrado is null without time value."""
+    return _approximate_vols(trades(spark, sf_dir))
+
+
+def _approximate_vols(found):
     s, k, vol, t, r = _args()
     a = (F.col("value"), s, k, t, r, F.col("cp"))
-    rows = op.with_black(trades(spark, sf_dir).where("t > 0.2 and t < 1.5"), s, k, vol, t, r, F.col("cp"))
+    rows = op.with_black(found, s, k, vol, t, r, F.col("cp"))
     return rows.select("id", *rounded(6, corrado=op.vol_corrado_miller(*a), bharadia=op.vol_bharadia(*a)))
 
 
 @query("implied_vols", f"WITH {TRADES} SELECT id, round(vol, 5) AS vol FROM trades WHERE t > 0.4 AND t < 1.5")
 def implied_vols(spark, sf_dir):
-    """Volatilities solved from premiums give back those that priced them."""
+    """Volatilities solved from premiums give back those that priced them, with t > 0.4 and t < 1.5; implied_vols_all has all trades."""
+    return _implied_vols(trades(spark, sf_dir).where("t > 0.4 and t < 1.5"))
+
+
+@query("implied_vols_all")
+def implied_vols_all(spark, sf_dir):
+    """All trades; null without time value."""
+    return _implied_vols(trades(spark, sf_dir))
+
+
+def _implied_vols(found):
     s, k, vol, t, r = _args()
-    rows = op.with_black(trades(spark, sf_dir).where("t > 0.4 and t < 1.5"), s, k, vol, t, r, F.col("cp"))
+    rows = op.with_black(found, s, k, vol, t, r, F.col("cp"))
     return rows.select("id", *rounded(5, vol=op.vol_from_premium(F.col("value"), s, k, t, r, F.col("cp"))))
 
 
@@ -110,9 +141,20 @@ def bachelier(spark, sf_dir):
 
 @query("bachelier_vols", f"WITH {TRADES} SELECT id, round(vol * s, 3) AS vol FROM trades WHERE t > 0.4 AND t < 1.5")
 def bachelier_vols(spark, sf_dir):
+    """Those with t > 0.4 and t < 1.5; bachelier_vols_all has all trades."""
+    return _bachelier_vols(trades(spark, sf_dir).where("t > 0.4 and t < 1.5"))
+
+
+@query("bachelier_vols_all")
+def bachelier_vols_all(spark, sf_dir):
+    """All trades; null without time value."""
+    return _bachelier_vols(trades(spark, sf_dir))
+
+
+def _bachelier_vols(found):
     s, k, vol, t, r = _args()
     cp = F.col("cp")
-    rows = trades(spark, sf_dir).where("t > 0.4 and t < 1.5").withColumn("premium", op.bachelier_value(s, k, vol * s, t, r, cp))
+    rows = found.withColumn("premium", op.bachelier_value(s, k, vol * s, t, r, cp))
     return rows.select("id", *rounded(3, vol=op.bachelier_vol(F.col("premium"), s, k, t, r, cp)))
 
 
