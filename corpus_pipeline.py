@@ -53,7 +53,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sentencepiece", sentencepiece),
 ]
 
-#: SQL can express neither the classifier nor the encoding: tests hold the stages against brute force.
+#: SQL can express neither the classifier nor the encoding: tests hold the operators of the stages, not the stages, against brute force or held-out labels.
 ORACLE_SQL = None
 
 
