@@ -1,19 +1,21 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
-A text is cut into units, each a run of space marks and what follows up to the next
-one; no piece of the vocabulary crosses the start of a unit. In each unit an agenda
-of adjacent symbol pairs is worked off, best piece first and leftmost first among
-equals. A candidate that a keyed hash of (seed, document, place of the unit, number of
-the candidate in the unit) picks is skipped, so every occurrence has draws of its own.
-Characters without a piece become byte pieces.
+A text, with one space put before it, is a row of characters. An agenda of adjacent
+symbol pairs that form a piece is worked off, best piece first and leftmost first
+among equals. A candidate merge is skipped if a keyed hash of (seed, document,
+characters at which the pair begins, is joined and ends) falls below the dropout, so
+every candidate of every occurrence has a draw of its own, whatever else is merged
+before it. Characters without a piece become byte pieces.
+
+No piece crosses a place whose two characters no piece has side by side: there a text
+falls into parts. The agendas of all parts of a batch, grouped by length, are worked
+off in step as columns of numpy arrays; only parts beyond LONG have an agenda alone.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
-import re
-from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -28,27 +30,68 @@ from fathomline.llm._shared import by_bytes, mix64
 MARK = "▁"
 #: Share of candidates that are skipped.
 DROPOUT = 0.1
-#: Units, and segmentations of units by their skipped candidates, that a worker remembers; others are worked out anew.
-REMEMBERED = 250_000
-#: Draws of a unit that are made at once for all units of a text; segmentations that take more are not remembered.
-DRAWN = 32
-#: Longest unit whose agenda is a list.
+#: Longest part whose agenda is a column of an array, and lengths that such arrays have.
 LONG = 64
-NONE = float("inf")
-_UNIT = re.compile(r" +[^ ]*|[^ ]+")
+WIDTHS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 24, 40, LONG)
+#: Columns that are worked on together, and bytes of text in a batch.
+COLUMNS, BYTES = 8192, 1 << 20
+#: Factors of the three places of a candidate in its draw.
+_PLACES = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+_NONE, _LOW = 0xFFFFFF, 24
+_OUT = np.int32(0x7FFFFFFF)
+
+
+class Pairs:
+    """A map from two symbols to the piece they form, in layers of open slots: what finds its slot taken lies in the next layer."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, symbols: int):
+        self.symbols, self.layers = symbols, []
+        packed = keys << _LOW | values
+        while len(keys):
+            bits = max(4, int(4 * len(keys)).bit_length())
+            factor = np.int64(int(mix64(np.array([len(self.layers) + 1]))[0]) >> 1 | 1)
+            slot = self._slot(keys, factor, bits)
+            _, first = np.unique(slot, return_index=True)
+            table = np.full(1 << bits, -1, np.int64)
+            table[slot[first]] = packed[first]
+            self.layers.append((factor, bits, table))
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, packed = keys[rest], packed[rest]
+
+    @staticmethod
+    def _slot(keys: np.ndarray, factor: np.int64, bits: int) -> np.ndarray:
+        return (keys * factor).view(np.uint64) >> np.uint64(64 - bits)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece of each pair; _NONE if it forms none but lies in one, -1 if no piece has it."""
+        keys = left.astype(np.int64) * self.symbols + right
+        out = np.full(len(keys), -1, np.int32)
+        at = None
+        for factor, bits, table in self.layers:
+            found = table[self._slot(keys, factor, bits)]
+            hit = found >> _LOW == keys
+            own = np.flatnonzero(hit)
+            out[own if at is None else at[own]] = found[own] & _NONE
+            rest = np.flatnonzero(~hit & (found >= 0))
+            if not len(rest):
+                break
+            at = rest if at is None else at[rest]
+            keys = keys[rest]
+        return out
 
 
 class Pieces:
-    """The vocabulary of a model file: ids and scores by piece, bytes by id."""
+    """The vocabulary of a model file. Symbols are the pieces by id, then characters that are only in longer pieces, then one for all other characters."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.ids: dict[str, int] = {}
-        self.rank = {}
         self.byte = [0] * 256
         self.raw: list[bytes] = []
+        score: dict[int, float] = {}
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -58,14 +101,36 @@ class Pieces:
                 self.raw.append(b"")
             else:
                 self.ids[piece] = i
-                self.rank[piece] = -model.get_score(i)
+                score[i] = -model.get_score(i)
                 self.raw.append(piece.replace(MARK, " ").encode())
-        order = {score: k for k, score in enumerate(sorted(set(self.rank.values())))}
-        self.rank: dict[str, int] = {piece: order[score] for piece, score in self.rank.items()}
-        self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self.mark = np.array([self.byte[b] for b in MARK.encode()], np.int32).tobytes()
-        self.known: dict = {}
-        self.branches = 0
+        order = {s: k for k, s in enumerate(sorted(set(score.values())))}
+        self.size = len(self.raw)
+        symbol = dict(self.ids)
+        for c in sorted({c for p in self.ids for c in p}):
+            symbol.setdefault(c, self.size + len(symbol) - len(self.ids))
+        self.other = max([self.size - 1, *symbol.values()]) + 1
+        self.rank = np.zeros(self.other + 1, np.int32)
+        self.rank[list(score)] = [order[s] for s in score.values()]
+        #: Symbols by code point; a space is the mark, a mark of a text is a character without a piece.
+        self.char = np.full(0x110000, self.other, np.int32)
+        for c, s in symbol.items():
+            if len(c) == 1:
+                self.char[ord(c)] = s
+        self.char[ord(" ")], self.char[ord(MARK)] = self.char[ord(MARK)], self.other
+        found: dict[tuple[int, int], int] = {}
+        for p in self.ids:
+            for a, b in zip(p, p[1:]):
+                found.setdefault((symbol[a], symbol[b]), _NONE)
+        for p, i in self.ids.items():
+            for k in range(1, len(p)):
+                if p[:k] in symbol and p[k:] in symbol:
+                    found[symbol[p[:k]], symbol[p[k:]]] = i
+        both = np.array(list(found), np.int64).reshape(-1, 2)
+        self.pairs = Pairs(both[:, 0] * (self.other + 1) + both[:, 1], np.array(list(found.values()), np.int64), self.other + 1)
+
+    def bytes_of(self, char: str) -> list[int]:
+        """Byte pieces of a character."""
+        return [self.byte[b] for b in char.encode()]
 
 
 @cache
@@ -73,171 +138,92 @@ def vocabulary(path: str) -> Pieces:
     return Pieces(path)
 
 
-def skip_table(seed: int, limit: int) -> tuple[int, int]:
-    """What draws depend on besides a unit's key: the seed, and the limit out of 2**32 below which a draw is a skip."""
-    return seed, limit
-
-
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _skips(keys: np.ndarray, limit: int, n: int) -> np.ndarray:
-    """The first n (even) draws of each unit key: whether the candidate of that number is skipped."""
-    words = mix64(keys[:, None] + np.arange(1, n // 2 + 1, dtype=np.uint64) * _STEP)
-    return words.view(np.uint32) < limit
-
-
-def _flags(length: int, key: int, table: tuple[int, int] | None) -> bytes:
-    """Draws for all candidates that a unit of this length can have."""
-    if table is None:
-        return bytes(3 * length)
-    own = np.array([(key ^ table[0] * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF], np.uint64)
-    return _skips(own, table[1], 4 * length)[0].tobytes()
-
-
-def segment(unit: str, pieces: Pieces, key: int, table: tuple[int, int] | None) -> list[str]:
-    """The symbols of a unit (spaces as marks) after all merges but the skipped ones; without a table none is skipped."""
-    return _segment(unit, pieces.rank.get, _flags(len(unit), key, table), 0)[0]
-
-
-def _segment_long(symbols: list[str], rank, key: int, table: tuple[int, int] | None) -> list[str]:
-    return _merge_long(symbols, rank, _flags(len(symbols), key, table), 0)[0]
-
-
-def _segment(unit: str, rank, flags: bytes, at: int) -> tuple[list[str], int]:
-    """Symbols after all merges but those whose flag, counted from at in the order in which they come up, is set; and the next flag."""
-    symbols: list[str] = list(unit)
-    n = len(symbols)
-    if n > LONG:
-        return _merge_long(symbols, rank, flags, at)
-
-    agenda = []
-    for i in range(n - 1):
-        r = rank(symbols[i] + symbols[i + 1], NONE)
-        if r is not NONE:
-            if flags[at]:
-                r = NONE
-            at += 1
-        agenda.append(r)
+def draws(keys: np.ndarray, first: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """32-bit draws of candidates: a keyed hash of the characters at which a pair begins, is joined and ends."""
+    places = (x.astype(np.uint64) * f for x, f in zip((first, middle, end), _PLACES))
+    return mix64(keys + sum(places)) >> np.uint64(32)
+
+
+def _in_step(pieces: Pieces, sym: np.ndarray, size: np.ndarray, start: np.ndarray, keys: np.ndarray, limit: int) -> np.ndarray:
+    """Work off the agendas of parts, one a column; start: the character of the document at which a part begins. Symbols by place, -1 where merged away."""
+    out, column = np.empty_like(sym), np.arange(sym.shape[1])
+    width, m = sym.shape
+    rows = np.arange(width, dtype=np.int32)[:, None]
+    after = np.where(rows < size, np.minimum(rows + 1, size), size).astype(np.int32)
+    before = np.broadcast_to(np.r_[rows - 1, [[width - 1]]], (width + 1, m)).astype(np.int32)
+    joined, agenda = np.zeros((width, m), np.int32), np.full((width, m), _OUT, np.int32)
+
+    def consider(place: np.ndarray, next_: np.ndarray, at: np.ndarray) -> None:
+        """Put the pairs at (place, next_) of columns on the agenda, or take what is there off it."""
+        here = place * m + at
+        piece = pieces.pairs.find(sym.reshape(-1)[here], sym.reshape(-1)[next_ * m + at])
+        good = (piece >= 0) & (piece != _NONE)
+        if limit:
+            own = np.flatnonzero(good)
+            a, p, n = at[own], place[own], next_[own]
+            s = start[a]
+            good[own] = draws(keys[a], s + p, s + n, s + after.reshape(-1)[n * m + a]) >= limit
+        agenda.reshape(-1)[here] = np.where(good, pieces.rank[piece * good] << 6 | place, _OUT)
+        joined.reshape(-1)[here] = piece
+
+    for i in range(width - 1):
+        at = np.flatnonzero(size > i + 1)
+        if len(at):
+            consider(np.full(len(at), i, np.int32), np.full(len(at), i + 1, np.int32), at)
+    while True:
+        best = agenda.min(0)
+        at = np.flatnonzero(best != _OUT)
+        if len(at) < 0.75 * m:
+            done = np.flatnonzero(best == _OUT)
+            out[:, column[done]] = sym[:, done]
+            column, size, start, keys, best, m = column[at], size[at], start[at], keys[at], best[at], len(at)
+            sym, after, before, joined, agenda = (np.ascontiguousarray(x[:, at]) for x in (sym, after, before, joined, agenda))
+            at = np.arange(m)
+        if not len(at):
+            return out
+        place = best[at] & 63
+        here = place * m + at
+        gone = after.reshape(-1)[here]
+        sym.reshape(-1)[here] = joined.reshape(-1)[here]
+        sym.reshape(-1)[gone * m + at] = -1
+        agenda.reshape(-1)[gone * m + at] = _OUT
+        next_ = after.reshape(-1)[gone * m + at]
+        after.reshape(-1)[here] = next_
+        before.reshape(-1)[next_ * m + at] = place
+        agenda.reshape(-1)[here] = _OUT
+        prior = before.reshape(-1)[here]
+        right, left = np.flatnonzero(next_ < size[at]), np.flatnonzero(prior >= 0)
+        consider(np.r_[place[right], prior[left]], np.r_[next_[right], place[left]], np.r_[at[right], at[left]])
+
+
+def _alone(pieces: Pieces, sym: np.ndarray, start: int, key: np.uint64, limit: int) -> np.ndarray:
+    """As _in_step() for one part of any length, its agenda a heap."""
+    own, n = sym.tolist(), len(sym)
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    agenda: list[tuple[int, int, int, int, int]] = []
+    rank = pieces.rank
+
+    def consider(first: np.ndarray, middle: np.ndarray) -> None:
+        end = np.array([after[j] for j in middle.tolist()], np.int64)
+        piece = pieces.pairs.find(np.array([own[i] for i in first.tolist()]), np.array([own[j] for j in middle.tolist()]))
+        good = (piece >= 0) & (piece != _NONE)
+        if limit:
+            good &= draws(key, start + first, start + middle, start + end) >= limit
+        for i, j, e, p in zip(first[good].tolist(), middle[good].tolist(), end[good].tolist(), piece[good].tolist()):
+            heapq.heappush(agenda, (int(rank[p]), i, j, e, p))
+
+    consider(np.arange(n - 1), np.arange(1, n))
     while agenda:
-        best = min(agenda)
-        if best is NONE:
-            break
-        i = agenda.index(best)
-        both = symbols[i] = symbols[i] + symbols.pop(i + 1)
-        del agenda[i]
-        if i < len(agenda):
-            r = rank(both + symbols[i + 1], NONE)
-            if r is not NONE:
-                if flags[at]:
-                    r = NONE
-                at += 1
-            agenda[i] = r
-        if i:
-            r = rank(symbols[i - 1] + both, NONE)
-            if r is not NONE:
-                if flags[at]:
-                    r = NONE
-                at += 1
-            agenda[i - 1] = r
-    return symbols, at
-
-
-def _merge_long(symbols: list[str], rank, flags: bytes, at: int) -> tuple[list[str], int]:
-    """As _segment(), with a heap for the agenda, for units in which a scan for the best would cost too much."""
-    n, push = len(symbols), heapq.heappush
-    before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-    agenda: list = []
-
-    def consider(i: int, j: int) -> None:
-        nonlocal at
-        r = rank(symbols[i] + symbols[j])
-        if r is not None:
-            if not flags[at]:
-                push(agenda, (r, i, len(symbols[i]), len(symbols[j])))
-            at += 1
-
-    for i in range(n - 1):
-        consider(i, i + 1)
-    while agenda:
-        _, i, left, right = heapq.heappop(agenda)
-        j = after[i]
-        if j < 0 or len(symbols[i]) != left or len(symbols[j]) != right:
+        _, i, j, e, p = heapq.heappop(agenda)
+        if own[i] < 0 or own[j] < 0 or after[i] != j or after[j] != e:
             continue
-        symbols[i], symbols[j] = symbols[i] + symbols[j], ""
-        k = after[i] = after[j]
-        if k >= 0:
-            before[k] = i
-            consider(i, k)
-        k = before[i]
-        if k >= 0:
-            consider(k, i)
-    return [s for s in symbols if s], at
-
-
-def unit_ids(unit: str, pieces: Pieces, flags: bytes) -> tuple[bytes, int]:
-    """Ids of a unit as 32-bit numbers, and how many flags they took. It is cut where no piece has the two characters side by side; a mark of the text itself becomes bytes."""
-    out, at, rank, known = [], 0, pieces.rank.get, pieces.ids.get
-    for k, own in enumerate(unit.split(MARK)):
-        if k:
-            out.append(pieces.mark)
-        own = own.replace(" ", MARK)
-        pairs, a, n = pieces.pairs, 0, len(own)
-        for i in [n] if own[1:].isalpha() else range(1, n + 1):
-            if i < n and own[i - 1 : i + 1] in pairs:
-                continue
-            part = own[a:i]
-            ids: list[int] = []
-            if len(part) > 1:
-                symbols, at = _segment(part, rank, flags, at)
-            else:
-                symbols = [part] if part else []
-            for s in symbols:
-                found = known(s)
-                ids.extend([found] if found is not None else [pieces.byte[b] for b in s.encode()])
-            out.append(array("i", ids).tobytes())
-            a = i
-    return b"".join(out), at
-
-
-_BYTE = [bytes(b >> k & 1 for k in range(8)) for b in range(256)]
-
-
-def _bits(drawn: int) -> bytes:
-    """The DRAWN flags of a number."""
-    return _BYTE[drawn & 255] + _BYTE[drawn >> 8 & 255] + _BYTE[drawn >> 16 & 255] + _BYTE[drawn >> 24]
-
-
-class Node:
-    """Ids of a unit whose skipped candidates are known: mask has a bit for each draw they depend on, after leads on by the next skipped one."""
-
-    __slots__ = ("after", "ids", "mask")
-
-    def __init__(self, unit: str, pieces: Pieces, skipped: int):
-        self.ids, used = unit_ids(unit, pieces, _bits(skipped) + bytes(3 * len(unit)))
-        self.mask = (1 << used) - 1 if used <= DRAWN else None
-        self.after: dict[int, Node] | None = None
-
-
-def _branch(unit: str, pieces: Pieces, node: Node, drawn: int) -> Node | None:
-    """The node of a unit's draws, from that without a skip; None where it depends on more than DRAWN or has no room to be remembered."""
-    skipped = 0
-    while node.mask is not None:
-        left = drawn & node.mask & ~skipped
-        if not left:
-            return node
-        first = left & -left
-        skipped |= first
-        if node.after is None:
-            node.after = {}
-        found = node.after.get(first)
-        if found is None:
-            if pieces.branches >= REMEMBERED:
-                return None
-            found = node.after[first] = Node(unit, pieces, skipped)
-            pieces.branches += 1
-        node = found
-    return None
+        own[i], own[j], after[i] = p, -1, e
+        if e < n:
+            before[e] = i
+        near = [(i, e)] * (e < n) + [(before[i], i)] * (before[i] >= 0)
+        if near:
+            consider(*np.array(near, np.int64).T)
+    return np.array(own, np.int32)
 
 
 def text_key(doc: object, text: str) -> bytes:
@@ -245,38 +231,56 @@ def text_key(doc: object, text: str) -> bytes:
     return b"i" + str(doc).encode() if doc is not None else b"t" + text.encode()
 
 
-def encode(text: str, path: str, seed: int, key: bytes, dropout: float = DROPOUT) -> np.ndarray:
-    """Ids of a text. The draws of a unit depend on the seed, the key and the unit's place."""
-    if not text:
-        return np.zeros(0, np.int32)
+def encode_batch(texts: list[str], path: str, seed: int, keys: list[bytes], dropout: float = DROPOUT) -> list[np.ndarray]:
+    """Ids of texts. The draws depend on the seed, a text's key and the places of a candidate."""
     pieces, limit = vocabulary(path), int(dropout * 0x100000000)
-    units = (" " + text).split(" ")[1:] if "  " not in text and text[0] != " " and text[-1] != " " else None
-    plain = units is not None
-    if not plain:
-        units = _UNIT.findall(" " + text)
-    n = len(units)
-    if limit:
-        digest = hashlib.blake2b(key, digest_size=8, key=(seed & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little")).digest()
-        keys = mix64(np.arange(n, dtype=np.uint64) * _STEP + np.frombuffer(digest, np.uint64))
-        drawn = np.packbits(_skips(keys, limit, DRAWN), axis=1, bitorder="little").view(np.uint32)[:, 0].tolist()
-    else:
-        drawn = [0] * n
-    known = pieces.known.setdefault(plain, {})
-    out: list = []
-    for j, (unit, p) in enumerate(zip(units, drawn)):
-        node = known.get(unit)
-        if node is None and len(known) < REMEMBERED:
-            node = known[unit] = Node(" " + unit if plain else unit, pieces, 0)
-        if node is None or node.mask is None or p & node.mask:
-            own = " " + unit if plain else unit
-            node = None if node is None else _branch(own, pieces, node, p)
-            if node is None:
-                many = 3 * len(own)
-                flags = _bits(p) if many <= DRAWN else _skips(keys[j : j + 1], limit, many + many % 2)[0].tobytes() if limit else bytes(many)
-                out.append(unit_ids(own, pieces, flags)[0])
-                continue
-        out.append(node.ids)
-    return np.frombuffer(b"".join(out), np.int32)
+    spaced = [" " + t if t else "" for t in texts]
+    joined = "".join(spaced)
+    if not joined:
+        return [np.zeros(0, np.int32)] * len(texts)
+    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    sym = pieces.char[points]
+    edges = np.cumsum([0, *map(len, spaced)])
+    key = (seed & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little")
+    digests = np.frombuffer(b"".join(hashlib.blake2b(k, digest_size=8, key=key).digest() for k in keys), np.uint64)
+
+    cut = np.ones(len(sym) + 1, bool)
+    cut[1:-1] = pieces.pairs.find(sym[:-1], sym[1:]) < 0
+    cut[edges] = True
+    first = np.flatnonzero(cut)
+    first, sizes = first[:-1], np.diff(first)
+    doc = np.searchsorted(edges, first, side="right") - 1
+    start, own_keys = first - edges[doc], digests[doc]
+    low = 2
+    for width in WIDTHS:
+        group = np.flatnonzero((sizes >= low) & (sizes <= width))
+        low = width + 1
+        for k in range(0, len(group), COLUMNS):
+            own = group[k : k + COLUMNS]
+            size = sizes[own].astype(np.int32)
+            places = first[own] + np.minimum(np.arange(width)[:, None], size - 1)
+            found = _in_step(pieces, np.ascontiguousarray(sym[places]), size, start[own], own_keys[own], limit)
+            inside = np.arange(width)[:, None] < size
+            sym[places[inside]] = found[inside]
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        a, b = int(first[i]), int(first[i] + sizes[i])
+        sym[a:b] = _alone(pieces, sym[a:b], int(start[i]), own_keys[i], limit)
+
+    at = np.flatnonzero(sym >= 0)
+    ids = sym[at]
+    raw = np.flatnonzero(ids >= pieces.size)
+    edges = np.searchsorted(at, edges)
+    if len(raw):
+        cached = {p: pieces.bytes_of(chr(p)) for p in np.unique(points[at[raw]]).tolist()}
+        spelt = [cached[p] for p in points[at[raw]].tolist()]
+        times = np.ones(len(ids), np.int64)
+        times[raw] = [len(x) for x in spelt]
+        ends = np.cumsum(times)
+        ids = np.repeat(ids, times)
+        inside = np.repeat(ends[raw] - times[raw], times[raw]) + np.concatenate([np.arange(len(x)) for x in spelt])
+        ids[inside] = np.concatenate(spelt)
+        edges = np.r_[0, ends][edges]
+    return [ids[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
 
 
 def decode(ids: list[int] | np.ndarray, path: str) -> str:
@@ -289,29 +293,25 @@ def decode(ids: list[int] | np.ndarray, path: str) -> str:
 def encode_texts(docs: DataFrame, path: str, seed: int = 0, dropout: float = DROPOUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_tokens, ids (array of int), lossless (decoding gives the text again).
 
-    Each candidate of a unit is drawn for by the seed, the document's id as text (its
-    text where the id is null) and the unit's place, so all occurrences differ while
-    every run with the same seed gives the same ids on any cluster. With dropout 0 the ids are those of the
-    sentencepiece library (for texts without U+2581, which is encoded as bytes here
-    so that it is not taken for a space).
+    Each candidate merge is drawn for by the seed, the document's id as text (its
+    text where the id is null) and its place, so all occurrences differ while every
+    run with the same seed gives the same ids on any cluster. With dropout 0 the ids
+    are those of the sentencepiece library (for texts without U+2581, which is encoded
+    as bytes here so that it is not taken for a space).
 
-    Nulls and edges: null and empty texts have no ids; ids may be null (as the
-    empty text) or repeated, each row has its own result; other columns are dropped.
+    Nulls and edges: null and empty texts have no ids; ids may be null or repeated,
+    each row has its own result (rows that repeat id and text the same); texts may be
+    of any length; an empty table gives no row; other columns are dropped.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in by_bytes(batches, "text", 2 << 20):
-            for i in range(0, big.num_rows, 1024):
-                b = big.slice(i, 1024)
-                rows, same = [], []
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1).fill_null("").to_pylist()):
-                    ids = encode(text, path, seed, text_key(doc, text), dropout)
-                    rows.append(ids)
-                    same.append(decode(ids, path) == text)
-                sizes = np.array([len(r) for r in rows], np.int64)
-                offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows)))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), lists, pa.array(same)], ["doc_id", "n_tokens", "ids", "lossless"])
+        for b in by_bytes(batches, "text", BYTES):
+            texts = b.column(1).fill_null("").to_pylist()
+            rows = encode_batch(texts, path, seed, [text_key(d, t) for d, t in zip(b.column(0).to_pylist(), texts)], dropout)
+            sizes = np.array([len(r) for r in rows], np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.concatenate(rows)))
+            same = pa.array([decode(ids, path) == t for ids, t in zip(rows, texts)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), lists, same], ["doc_id", "n_tokens", "ids", "lossless"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -319,7 +319,7 @@ def encode_texts(docs: DataFrame, path: str, seed: int = 0, dropout: float = DRO
 
 
 def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id, text): decoded texts of an array column; null ids give a null text."""
+    """(id, text): decoded texts of an array column; null ids give a null text, an empty array an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -36,15 +36,6 @@ def test_dropout_is_lossless_seeded_and_varied(edges, sample, nothing):
     assert merge_dropout.encode_texts(nothing, PIECES).count() == 0
 
 
-def test_long_unit_agenda_is_the_short_one(monkeypatch):
-    pieces = merge_dropout.vocabulary(PIECES)
-    table = merge_dropout.skip_table(9, int(0.1 * 2**32))
-    text = merge_dropout.MARK + "internationalisationcommunication"
-    for key in range(50):
-        short = merge_dropout.segment(text, pieces, key, table)
-        assert short == merge_dropout._segment_long(list(text), pieces.rank.get, key, table)
-
-
 @pytest.mark.parametrize("sizes", [[1], [0, 0, 3], [5000, 1, 0, 9000], [700] * 40])
 def test_id_file_round_trip(sizes):
     rng = np.random.default_rng(len(sizes))
