@@ -1,9 +1,10 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
 The index is a table of segments. A segment holds some documents, the places where
-each of them starts, and for every term the sorted places of its occurrences. A
-phrase is found in a segment by intersecting the lists of its terms, shifted by
-their offsets, from the rarest term on.
+each of them starts, and for every term of its texts the sorted places of its
+occurrences; it knows nothing of what will be looked for. A phrase is found in a
+segment by intersecting the lists of its terms, shifted by their offsets, from the
+rarest term on.
 """
 
 from __future__ import annotations
@@ -17,14 +18,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm._shared import by_bytes, stage
+from fathomline.llm._shared import by_bytes, stage, unstage
 
 #: Words in a window of a benchmark item.
 WINDOW = 10
 #: Bytes of text in a segment, about.
 SEGMENT_BYTES = 8 << 20
 #: Bytes of test texts that are sent to every task at once; more are taken in several turns.
-TURN_BYTES = 8 << 20
+TURN_BYTES = 4 << 20
 
 #: Lower-cases A-Z, keeps digits, a-z and all bytes of characters beyond ASCII, and makes all else a space.
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -35,42 +36,37 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(FOLD).split()
 
 
-def build_index(docs: DataFrame, terms: list[bytes] | None = None, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """The index of all documents, written as a table in the shared folder.
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """The index of all documents and all their terms, written as a table in the shared folder.
 
-    terms restricts the stored lists to the terms that will be looked for; None
-    stores all. Columns: segment, doc_ids, starts (int32, one more than
-    documents), terms, offsets and places (int32, differences within a list).
-    A null or empty text is a document without words; ids may be null or repeated.
+    Columns: segment, doc_ids, starts (int32, one more than documents), terms,
+    offsets and places (int32, differences within a list). A null or empty text is
+    a document without words; ids may be null or repeated.
     """
-    known = None if terms is None else {t: i for i, t in enumerate(terms)}
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for n, b in enumerate(by_bytes(batches, "text", segment_bytes)):
-            table = {} if known is None else known
-            starts, found, places, at = [0], [], [], 0
+            table: dict[bytes, int] = {}
+            number = table.setdefault
+            starts, found, at = [0], [], 0
             for text in b.column(1).to_pylist():
                 own = words(text)
-                ids = np.fromiter([table.setdefault(w, len(table)) for w in own] if known is None else [table.get(w, -1) for w in own], np.int32, len(own))
-                here = np.flatnonzero(ids >= 0)
-                found.append(ids[here])
-                places.append((here + at).astype(np.int32))
+                found.append(np.fromiter([number(w, len(table)) for w in own], np.int32, len(own)))
                 at += len(own)
                 starts.append(at)
-            ids, places = np.concatenate(found), np.concatenate(places)
-            order = np.argsort(ids, kind="stable")
-            ids, places = ids[order], places[order]
+            ids = np.concatenate(found)
+            places = np.argsort(ids, kind="stable").astype(np.int32)
+            ids = ids[places]
             first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, np.int64)
             delta = np.diff(places, prepend=np.int32(0)).astype(np.int32)
             delta[first] = places[first]
-            names = terms if known is not None else list(table)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([f"{TaskContext.get().partitionId()}-{n}"]),
                     pa.array([b.column(0).to_pylist()], pa.list_(b.column(0).type)),
                     pa.array([np.array(starts, np.int32).tobytes()], pa.binary()),
-                    pa.array([[names[i] for i in ids[first]]], pa.list_(pa.binary())),
+                    pa.array([list(table)], pa.list_(pa.binary())),
                     pa.array([np.r_[first, len(ids)].astype(np.int32).tobytes()], pa.binary()),
                     pa.array([delta.tobytes()], pa.binary()),
                 ],
@@ -87,18 +83,18 @@ class Segment:
     def __init__(self, row: dict):
         self.doc_ids = row["doc_ids"]
         self.starts = np.frombuffer(row["starts"], np.int32)
-        offsets, delta = np.frombuffer(row["offsets"], np.int32), np.frombuffer(row["places"], np.int32)
-        self.lists = {t: (delta, offsets[i], offsets[i + 1]) for i, t in enumerate(row["terms"])}
+        self.offsets, self.delta = np.frombuffer(row["offsets"], np.int32), np.frombuffer(row["places"], np.int32)
+        self.lists = dict(zip(row["terms"], range(len(row["terms"]))))
         self.open: dict[bytes, np.ndarray] = {}
 
     def count(self, term: bytes) -> int:
-        found = self.lists.get(term)
-        return 0 if found is None else int(found[2] - found[1])
+        k = self.lists.get(term)
+        return 0 if k is None else int(self.offsets[k + 1] - self.offsets[k])
 
     def places(self, term: bytes) -> np.ndarray:
         if term not in self.open:
-            delta, a, b = self.lists[term]
-            self.open[term] = np.cumsum(delta[a:b])
+            k = self.lists[term]
+            self.open[term] = np.cumsum(self.delta[self.offsets[k] : self.offsets[k + 1]])
         return self.open[term]
 
     def phrase(self, terms: list[bytes]) -> np.ndarray:
@@ -169,18 +165,26 @@ class _Phrases:
     names = ["segment", "ordinal", "doc_id", "n_words", "item_id", "spans"]
     types = [pa.string(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))]
 
-    def __init__(self, phrases: list[tuple[str, list[bytes]]], every: bool):
-        self.phrases, self.every = phrases, every
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int | None, every: bool):
+        self.items, self.window, self.every = items, window, every
 
     def __call__(self, s: Segment):
-        hits: dict[tuple[int, str], list[tuple[int, int]]] = {}
-        for item, terms in self.phrases:
-            start = s.phrase(terms)
-            for d, p in zip((np.searchsorted(s.starts, start, side="right") - 1).tolist(), start.tolist()):
-                hits.setdefault((d, item), []).append((p - int(s.starts[d]), p - int(s.starts[d]) + len(terms) - 1))
+        hits: dict[tuple[int, str | None], list[tuple[int, int]]] = {}
+        for item, own in self.items:
+            size = min(self.window or len(own), len(own))
+            have = [w in s.lists for w in own]
+            missing = size - sum(have[:size]) if own else 1
+            for i in range(len(own) - size + 1):
+                if i:
+                    missing += have[i - 1] - have[i + size - 1]
+                if missing:
+                    continue
+                start = s.phrase(own[i : i + size])
+                for d, p in zip((np.searchsorted(s.starts, start, side="right") - 1).tolist(), start.tolist()):
+                    hits.setdefault((d, item), []).append((p - int(s.starts[d]), p - int(s.starts[d]) + size - 1))
         for (d, item), spans in hits.items():
             merged: list[list[int]] = []
-            for a, b in sorted(spans):
+            for a, b in sorted(set(spans)):
                 if merged and a <= merged[-1][1] + 1:
                     merged[-1][1] = max(b, merged[-1][1])
                 else:
@@ -205,13 +209,15 @@ class _Near:
                 yield d, name, p - int(s.starts[d]), size
 
 
-def phrase_matches(index: DataFrame, phrases: list[tuple[str, list[bytes]]], every: bool = False) -> DataFrame:
+def phrase_matches(index: DataFrame, phrases: list[tuple[str | None, list[bytes]]], every: bool = False, window: int | None = None) -> DataFrame:
     """(segment, ordinal, doc_id, n_words, item_id, spans): merged word spans that the phrases of an item cover.
 
-    phrases is sent to every task: a bounded set, see matches(). every adds a row
-    with a null item for each document.
+    window: every run of so many consecutive terms of a phrase is looked for, not
+    the whole (a shorter phrase is one run). phrases is sent to every task: a
+    bounded set, as decontaminate() takes them in turns. every adds a row with null
+    spans for each document. An item without an id is found under a null id.
     """
-    return _search(index, _Phrases(phrases, every), "item_id string, spans array<struct<first:int,last:int>>")
+    return _search(index, _Phrases(phrases, window, every), "item_id string, spans array<struct<first:int,last:int>>")
 
 
 def proximity_matches(index: DataFrame, groups: list[tuple[str, list[bytes], int]]) -> DataFrame:
@@ -222,45 +228,33 @@ def proximity_matches(index: DataFrame, groups: list[tuple[str, list[bytes], int
     return _search(index, _Near(groups), "query string, first int, size int")
 
 
-def item_phrases(rows: list, window: int) -> list[tuple[str, list[bytes]]]:
-    """The distinct windows of items: (id as text, terms)."""
-    out = {}
-    for item, text in rows:
-        own = words(text)
-        if own:
-            for i in range(max(1, len(own) - window + 1)):
-                out[str(item), tuple(own[i : i + window])] = None
-    return [(item, list(terms)) for item, terms in out]
-
-
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", turn_bytes: int = TURN_BYTES) -> DataFrame:
     """One row per document: id, n_words, n_hit, n_items, item_ids (sorted as text), spans (merged), contaminated.
 
     A word is hit if it lies in an occurrence of `window` consecutive words of an
     item; an item of fewer words, but not none, is one window. Every document is
-    indexed for the terms of the items. The items are taken in turns of about
-    turn_bytes of text, each with an index of its own, so that what is sent to the
-    tasks at once has a bound however large the benchmark is.
-
-    Nulls and edges: a null or empty text has no words; items with a null id are
-    left out, items that share an id are one item; document ids may be null or
-    repeated, each row has its own result; other columns are dropped.
+    indexed with all its terms, once. The items are taken in turns of about
+    turn_bytes of text, the matches of each turn written before the next, so that
+    neither the driver nor a task holds more than one turn, however large the
+    benchmark is.
+
+    Nulls and edges: a null or empty text has no words; items with a null id count
+    for n_hit and contaminated but have no id to be listed or counted in n_items;
+    items that share an id are one item; document ids may be null or repeated, each
+    row has its own result; an empty table gives no row; other columns are dropped.
     """
-    items = items.where("item_id is not null").select("item_id", "text")
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     turns = max(1, math.ceil(size / turn_bytes))
-    found = index = None
+    index, found = build_index(docs, id_col, text_col), None
     for k in range(turns):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(turns)) == k).collect()
-        phrases = item_phrases(rows, window)
-        if index is None:
-            terms = sorted({t for _, own in phrases for t in own}) if turns == 1 else None
-            index = build_index(docs, terms, id_col, text_col)
-        here = phrase_matches(index, phrases, every=k == 0)
+        rows = [(r.item_id, words(r.text)) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(turns)) == k).collect()]
+        here = stage(phrase_matches(index, rows, every=k == 0, window=window), "matches")
         found = here if found is None else found.unionByName(here)
+    unstage(index)
     span = F.flatten(F.collect_list("spans"))
     hit = F.size(F.array_distinct(F.flatten(F.transform("all_spans", lambda s: F.sequence(s["first"], s["last"])))))
     merged = found.groupBy("segment", "ordinal").agg(F.first("doc_id").alias(id_col), F.first("n_words").alias("n_words"), F.array_sort(F.collect_set("item_id")).alias("item_ids"), span.alias("all_spans"))
     return merged.select(
-        id_col, "n_words", hit.cast("long").alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", F.array_sort("all_spans").alias("spans"), (F.size("item_ids") > 0).alias("contaminated")
+        id_col, "n_words", hit.cast("long").alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", F.array_sort("all_spans").alias("spans"), (hit > 0).alias("contaminated")
     )
