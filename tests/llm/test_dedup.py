@@ -116,6 +116,20 @@ def test_near_duplicates_branch(spark, monkeypatch):
     assert near(spark.createDataFrame(rows, "doc_id long, text string")) == brute_near(rows)
 
 
+def test_near_duplicates_of_named_documents(spark):
+    rows = planted(120, 5)
+    docs = spark.createDataFrame([(f"n{i:04}", t) for i, t in rows] + [(None, rows[0][1])], "doc_id string, text string")
+    got = sorted((r.doc_id or "", r.n_shingles, r.component_id or "", r.kept) for r in chosen_path.near_duplicates(docs).collect())
+    assert got[0] == ("", len(shingles(rows[0][1])), "", True)
+    assert got[1:] == [(f"n{i:04}", n, f"n{c:04}", k) for i, n, c, k in brute_near(rows)]
+
+
+def test_components_of_a_hub_and_a_chain(spark):
+    links = [(i, 0) for i in range(1, 500)] + [(1000 + i, 1001 + i) for i in range(60)] + [(7, 7)]
+    found = chosen_path.components(spark.createDataFrame(links, "u long, v long").repartition(7))
+    assert sorted(map(tuple, found.collect())) == [(i, 0) for i in range(1, 500)] + [(1001 + i, 1000) for i in range(60)]
+
+
 def test_near_duplicates_sample(spark, sample, nothing):
     rows = sample.where("length(text) < 4000").select("doc_id", "text")
     assert near(rows) == brute_near([tuple(r) for r in rows.collect()])
@@ -128,13 +142,11 @@ def brute_hits(text, items, window=10):
     at = {}
     for item, t in items:
         w = words(t)
-        if item is None or not w:
-            continue
-        for i in range(max(1, len(w) - window + 1)):
-            at.setdefault(tuple(w[i : i + window]), set()).add(str(item))
+        for i in range(max(1, len(w) - window + 1) if w else 0):
+            at.setdefault(tuple(w[i : i + window]), set()).update([] if item is None else [str(item)])
     for size in {len(w) for w in at}:
         for i in range(len(own) - size + 1):
-            if ids := at.get(tuple(own[i : i + size])):
+            if (ids := at.get(tuple(own[i : i + size]))) is not None:
                 hit |= set(range(i, i + size))
                 found |= ids
     return len(own), len(hit), sorted(found)
