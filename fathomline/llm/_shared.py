@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -18,14 +17,10 @@ BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset (local tests) a folder of this machine takes its place.
-    """
+    """The folder that driver and executors share: spark.checkpoint.dir. An error where it is unset: no folder of one machine can take its place."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="fathomline-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
