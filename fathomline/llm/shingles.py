@@ -26,17 +26,20 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of folded texts, and where each text's words start (one more than texts)."""
-    joined = b"\n".join(texts).lower() + b"\n"
-    data = np.frombuffer(joined, np.uint8)
+def run_hashes(data: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first places of the runs of bytes that aren't blank; the last byte is blank."""
     up, down = _powers(len(data) + 1)
-    space = _SPACE[data]
-    edge = np.flatnonzero(np.diff(np.r_[True, space].astype(np.int8)))
+    edge = np.flatnonzero(np.diff(np.r_[True, blank].astype(np.int8)))
     start, end = edge[0::2], edge[1::2]
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    found = mix64((total[end] - total[start]) * down[start])
+    return mix64((total[end] - total[start]) * down[start]), start
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of folded texts, and where each text's words start (one more than texts)."""
+    data = np.frombuffer(b"\n".join(texts).lower() + b"\n", np.uint8)
+    found, start = run_hashes(data, _SPACE[data])
     first = np.cumsum([0, *(len(t) + 1 for t in texts)])
     return found, np.searchsorted(start, first)
 
