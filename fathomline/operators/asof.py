@@ -4,29 +4,76 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+#: Stretches that the time axis is cut into.
+STRETCHES = 256
+
+
+def _axis(key: Column, kind: T.DataType) -> Column:
+    """A time or number as a double."""
+    if isinstance(kind, T.DateType):
+        return F.unix_date(key).cast("double")
+    if isinstance(kind, T.TimestampType | T.TimestampNTZType):
+        return F.unix_micros(key.cast("timestamp")).cast("double")
+    return key.cast("double")
 
 
 def asof(left: DataFrame, right: DataFrame, on: str, right_on: str, value: str, by: list[str] | None = None, forward: bool = False) -> DataFrame:
     """left with `value` and its key from the last row of right at or before `on` (the first at or after it if forward), per group.
 
-    Both sides are laid together and a window carries the last value on, so there
-    is one shuffle on the group and no pairs are made. Ties in right take the
-    largest value. Rows of left without a match keep nulls.
+    The time axis is cut into STRETCHES equal stretches. Within a group's stretch both
+    sides are laid together and a window carries the last value on; what a stretch
+    begins with comes from one row for each stretch of right before it. So there is one
+    shuffle on group and stretch, no task has a whole group, and no pairs are made.
+
+    Ties in right take the largest value. Rows of right with a null key match nothing;
+    rows of left without a match, or with a null key, keep nulls. A null in `by` is a
+    group of its own.
     """
     by = by or []
-    a = left.select(*by, F.col(on).alias("_t"), F.lit(None).alias("_v"), F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_left"), F.lit(1).alias("_mine"))
-    b = right.groupBy(*by, right_on).agg(F.max(value).alias("_v")).select(*by, F.col(right_on).alias("_t"), F.struct(F.col(right_on).alias("k"), F.col("_v").alias("v")).alias("_v"), F.lit(None).alias("_left"), F.lit(0).alias("_mine"))
-    both = _laid(a, b)
-    order = (F.desc("_t"), F.asc("_mine")) if forward else (F.asc("_t"), F.asc("_mine"))
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    kind = right.schema[right_on].dataType
+    b = right.where(F.col(right_on).isNotNull()).groupBy(*by, right_on).agg(F.max(value).alias("_v"))
+    b = b.select(*by, _axis(F.col(right_on), kind).alias("_t"), F.struct(F.col(right_on).alias("k"), F.col("_v").alias("v")).alias("_v"))
+    a = left.select(*by, _axis(F.col(on), left.schema[on].dataType).alias("_t"), F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_left"))
+    low, high = b.agg(F.min("_t"), F.max("_t")).first()
+    width = (high - low) / STRETCHES if low is not None and high > low else 1.0
+    place = F.least(F.greatest(F.floor((F.col("_t") - (low or 0.0)) / width), F.lit(0)), F.lit(STRETCHES - 1)).cast("int")
+    a, b = a.withColumn("_at", F.coalesce(place, F.lit(0))), b.withColumn("_at", place)
+
+    # the nearest value of each stretch of right, and from these what later (earlier if forward) stretches begin with
+    pick = F.min_by if forward else F.max_by
+    ends = b.groupBy(*by, "_at").agg(pick("_v", "_t").alias("_v"))
+    if by:
+        order = Window.partitionBy(*by).orderBy(F.desc("_at") if forward else F.asc("_at"))
+        ends = ends.withColumn("_next", F.lead("_at").over(order))
+        # a value holds from the stretch after its own to the next one that has values
+        last = F.coalesce("_next", F.lit(0 if forward else STRETCHES - 1))
+        first = F.col("_at") + (-1 if forward else 1)
+        spans = ends.where((first >= last) if forward else (first <= last)).select(*by, F.explode(F.sequence(first, last)).alias("_at"), F.col("_v").alias("_carried"))
+    else:
+        found = {r["_at"]: r["_v"] for r in ends.collect()}  # STRETCHES rows at most
+        carried, rows = None, []
+        for k in range(STRETCHES - 1, -1, -1) if forward else range(STRETCHES):
+            if carried is not None:
+                rows.append((k, carried))
+            carried = found.get(k, carried)
+        spans = left.sparkSession.createDataFrame(rows, T.StructType([T.StructField("_at", T.IntegerType()), T.StructField("_carried", b.schema["_v"].dataType)]))
+        spans = F.broadcast(spans)  # STRETCHES rows at most
+    none = F.lit(None)
+    both = a.select(*by, "_at", "_t", none.cast(b.schema["_v"].dataType).alias("_v"), "_left", F.lit(1).alias("_mine")).unionByName(
+        b.select(*by, "_at", "_t", "_v", none.cast(a.schema["_left"].dataType).alias("_left"), F.lit(0).alias("_mine"))
+    )
+    order = (F.desc_nulls_first("_t"), F.asc("_mine")) if forward else (F.asc_nulls_first("_t"), F.asc("_mine"))
+    w = Window.partitionBy(*by, "_at").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_hit", F.last("_v", ignorenulls=True).over(w)).where("_mine = 1")
-    return found.select("_left.*", F.col("_hit.k").alias(f"{right_on}_asof"), F.col("_hit.v").alias(value))
-
-
-def _laid(a: DataFrame, b: DataFrame) -> DataFrame:
-    a = a.withColumn("_v", F.lit(None).cast(b.schema["_v"].dataType))
-    b = b.withColumn("_left", F.lit(None).cast(a.schema["_left"].dataType))
-    return a.unionByName(b)
+    same = [F.col(f"f.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by]
+    on_all = F.col("f._at") == F.col("s._at")
+    for x in same:
+        on_all = on_all & x
+    found = found.alias("f").join(spans.alias("s"), on_all, "left").select("f.*", F.when(F.col("_t").isNotNull(), F.coalesce("_hit", "_carried")).alias("_found"))
+    return found.select("_left.*", F.col("_found.k").alias(f"{right_on}_asof"), F.col("_found.v").alias(value))
 
 
 def segments(points: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:

@@ -47,24 +47,25 @@ class Factors:
 
     def covariances(self, asked: DataFrame, instant: bool = False) -> DataFrame:
         """asked (lsu1, lsu2, t, t1, d1, t2, d2, …) with cov: over time t, or per unit of time now if instant."""
-        keys = asked.columns
         t = F.lit(0.0) if instant else F.col("t")
-        weight = F.col("rho") if instant else integral(F.col("rho"), F.col("alpha1") + F.col("alpha2"), F.col("t"))
-        part = loading(F.col("sigma1"), F.col("alpha1"), t, F.col("t1"), F.col("d1")) * weight * loading(F.col("sigma2"), F.col("alpha2"), t, F.col("t2"), F.col("d2"))
-        lists = self.pairs().groupBy("lsu1", "lsu2").agg(F.collect_list(F.struct("sigma1", "alpha1", "sigma2", "alpha2", "rho")).alias("p"))
-        rows = asked.join(lists, ["lsu1", "lsu2"], "left").select(*keys, F.explode_outer("p").alias("p")).select(*keys, "p.*")
-        return rows.groupBy(*keys).agg(F.sum(part).alias("cov"))
+
+        def part(p: Column) -> Column:
+            weight = p["rho"] if instant else integral(p["rho"], p["alpha1"] + p["alpha2"], F.col("t"))
+            return loading(p["sigma1"], p["alpha1"], t, F.col("t1"), F.col("d1")) * weight * loading(p["sigma2"], p["alpha2"], t, F.col("t2"), F.col("d2"))
+
+        lists = self.pairs().groupBy("lsu1", "lsu2").agg(F.collect_list(F.struct("sigma1", "alpha1", "sigma2", "alpha2", "rho")).alias("_p"))
+        total = F.aggregate("_p", F.lit(0.0), lambda acc, p: acc + part(p))
+        return asked.join(lists, ["lsu1", "lsu2"], "left").select(*asked.columns, total.alias("cov"))
 
     def correlations(self, asked: DataFrame, instant: bool = False) -> DataFrame:
-        """asked with cov, vol1, vol2 (yearly) and corr. id must tell the rows of asked apart."""
-        kinds = F.explode(F.array(F.lit("12"), F.lit("11"), F.lit("22"))).alias("kind")
-        each = asked.select("*", kinds)
-        one = {c: F.when(F.col("kind") == "22", F.col(f"{c}2")).otherwise(F.col(f"{c}1")) for c in ("lsu", "t", "d")}
-        two = {c: F.when(F.col("kind") == "11", F.col(f"{c}1")).otherwise(F.col(f"{c}2")) for c in ("lsu", "t", "d")}
-        each = each.select("id", "kind", "t", *[one[c].alias(f"{c}1") for c in one], *[two[c].alias(f"{c}2") for c in two])
-        cov = self.covariances(each, instant).groupBy("id").agg(*[F.max(F.when(F.col("kind") == k, F.col("cov"))).alias(f"_{k}") for k in ("12", "11", "22")])
+        """asked (columns as for covariances(), none starting with _) with cov, vol1, vol2 (yearly) and corr; equal rows stay rows of their own."""
+        out = asked
+        for kind, (x, y) in {"_12": ("1", "2"), "_11": ("1", "1"), "_22": ("2", "2")}.items():
+            pair = {f"{c}{k}": F.col(f"{c}{own}") for c in ("lsu", "t", "d") for k, own in (("1", x), ("2", y))}
+            own = out.select("*", F.struct(*[F.col(c) for c in asked.columns]).alias("_own")).withColumns(pair)
+            own = self.covariances(own, instant)
+            out = own.select("_own.*", *[c for c in out.columns if c.startswith("_")], F.col("cov").alias(kind))
         span = F.lit(1.0) if instant else F.col("t")
-        out = asked.join(cov, "id")
         corr = F.try_divide(F.col("_12"), F.sqrt(F.col("_11") * F.col("_22")))
         return out.select(*asked.columns, F.col("_12").alias("cov"), F.sqrt(F.col("_11") / span).alias("vol1"), F.sqrt(F.col("_22") / span).alias("vol2"), corr.alias("corr"))
 

@@ -10,6 +10,11 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+#: Series whose full correlation matrix may be asked for.
+MAX_SERIES = 2000
 
 
 def series(by: list[str], day: str, descending: bool = False):
@@ -73,59 +78,74 @@ def true_range(rows: DataFrame, by: list[str], day: str) -> DataFrame:
     return rows.withColumn("tr", F.greatest(F.abs(F.col("high") - F.col("low")), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
 
 
-def wilder_mean(rows: DataFrame, by: list[str], day: str, value: str, n: int) -> DataFrame:
-    """Column rma: the recurrence m + (x - m) / n from the first value on, in one Arrow pass over each sorted series."""
-    import numpy as np
+def scanned(rows: DataFrame, by: list[str], day: str, uses: list[str], start, step, added: list[tuple[str, T.DataType]]) -> DataFrame:
+    """rows with columns from a state that is carried along each series in order of days.
+
+    start() gives the state before a series, step(state, *values of uses) the next
+    state and the added values of a row. Series are sorted within partitions and read
+    as a stream of Arrow batches, so that no series is ever held whole. Days of a
+    series should differ; rows of the same day follow each other in any order.
+    """
     import pyarrow as pa
 
-    def run(t: pa.Table) -> pa.Table:
-        order = t.sort_by(day)
-        x = order.column(value).to_numpy(zero_copy_only=False).astype(float)
-        out, m = np.empty(len(x)), np.nan
-        for i, v in enumerate(x):
-            m = v if np.isnan(m) else m if np.isnan(v) else m + (v - m) / max(n, 1)
-            out[i] = m
-        return order.append_column("rma", pa.array(out, from_pandas=True))
+    kinds = {"double": pa.float64(), "int": pa.int32()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, state = None, None
+        for b in batches:
+            columns = {c: b.column(b.schema.names.index(c)).to_pylist() for c in {*by, *uses}}
+            out: list[list] = [[] for _ in added]
+            for i in range(b.num_rows):
+                key = tuple(columns[c][i] for c in by)
+                if state is None or key != before:
+                    before, state = key, start()
+                state, values = step(state, *(columns[c][i] for c in uses))
+                for own, v in zip(out, values):
+                    own.append(v)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(v, kinds[k.simpleString()]) for v, (_, k) in zip(out, added))], [*b.schema.names, *(c for c, _ in added)])
 
-    from pyspark.sql import types as T
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(c, k) for c, k in added)])
+    return rows.repartition(*by).sortWithinPartitions(*by, day).mapInArrow(run, schema)
 
-    return rows.groupBy(*by).applyInArrow(run, T.StructType([*rows.schema.fields, T.StructField("rma", T.DoubleType())]))
 
+def wilder_mean(rows: DataFrame, by: list[str], day: str, value: str, n: int) -> DataFrame:
+    """Column rma: the recurrence m + (x - m) / n from the first value on; a missing value leaves the mean as it is, n below 2 gives the values."""
+
+    def step(m, x):
+        m = m if x is None else x if m is None or n < 2 else m + (x - m) / n
+        return m, (m,)
 
-def waves(rows: DataFrame, by: list[str], day: str, box: str, volume: str = "volume", signed: bool = False, per_bar: bool = False) -> DataFrame:
-    """Volume waves: closes move in boxes of column `box`; volume adds up while the direction lasts.
+    return scanned(rows, by, day, [value], lambda: None, step, [("rma", T.DoubleType())])
 
-    Adds wave_close, direction (1, -1; 0 before the first move), wave_bars and
-    wave_volume (negative in falls if signed, over the bars if per_bar).
+
+def waves(rows: DataFrame, by: list[str], day: str, box: str, volume: str = "volume", high: str = "close", low: str = "close", signed: bool = False, per_bar: bool = False) -> DataFrame:
+    """Volume waves: a wave goes on until the price leaves the box around it on the other side.
+
+    A bar whose high lies above wave close + box moves the wave close up to that high,
+    else one whose low lies below wave close - box moves it down to that low (by
+    default both are the close); else wave and direction stay. The volume, or the true
+    range (column tr) where there is none, adds up while the direction stays. Adds
+    wave_close, direction (1, -1; 0 before the first move), wave_bars (counted only if
+    per_bar, else 1) and wave_volume: over the bars if per_bar, negative in falls if
+    signed. A bar without box moves nothing.
     """
-    import numpy as np
-    import pyarrow as pa
-    from pyspark.sql import types as T
-
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by(day)
-        close, size, vol = (t.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("close", box, volume))
-        out: dict[str, list] = {"wave_close": [], "direction": [], "wave_bars": [], "wave_volume": []}
-        at, direction, bars, total = np.nan, 0, 0, 0.0
-        for c, s, v in zip(close, size, vol):
-            if np.isnan(at):
-                at = c
-            elif s > 0 and abs(c - at) >= s:
-                now = 1 if c > at else -1
-                at += now * np.floor(abs(c - at) / s) * s
-                if now != direction:
-                    direction, bars, total = now, 0, 0.0
-            bars += 1
-            total += 0.0 if np.isnan(v) else v
-            shown = total / bars if per_bar else total
-            for name, x in zip(out, (at, direction, bars, -shown if signed and direction < 0 else shown)):
-                out[name].append(x)
-        for name, kind in (("wave_close", pa.float64()), ("direction", pa.int32()), ("wave_bars", pa.int32()), ("wave_volume", pa.float64())):
-            t = t.append_column(name, pa.array(out[name], kind))
-        return t
-
-    kinds = (("wave_close", T.DoubleType()), ("direction", T.IntegerType()), ("wave_bars", T.IntegerType()), ("wave_volume", T.DoubleType()))
-    return rows.groupBy(*by).applyInArrow(run, T.StructType([*rows.schema.fields, *(T.StructField(c, k) for c, k in kinds)]))
+
+    def step(state, close, top, bottom, size, vol, tr):
+        vol = (vol if vol is not None else tr) or 0.0
+        if state is None:
+            state = (close, 0, 1, vol)
+        else:
+            at, direction, bars, total = state
+            now = top if size is not None and top > at + size else bottom if size is not None and bottom < at - size else at
+            turn = 1 if now > at else -1 if now < at else direction
+            state = (now, turn, bars + 1 if per_bar and turn == direction else 1, total + vol if turn == direction else vol)
+        at, direction, bars, total = state
+        shown = total / bars
+        return state, (at, direction, bars, -shown if signed and direction < 0 else shown)
+
+    rows = rows if "tr" in rows.columns else true_range(rows, by, day)
+    added = [("wave_close", T.DoubleType()), ("direction", T.IntegerType()), ("wave_bars", T.IntegerType()), ("wave_volume", T.DoubleType())]
+    return scanned(rows, by, day, ["close", high, low, box, volume, "tr"], lambda: None, step, added)
 
 
 def annualised(ret: str, periods: int, population: bool = False) -> Column:
@@ -134,7 +154,14 @@ def annualised(ret: str, periods: int, population: bool = False) -> Column:
 
 
 def pairwise_corr(returns: DataFrame, name: str, day: str, value: str = "ret", least: int = 2, clip: float = 1.0) -> DataFrame:
-    """(a, b, n, corr) of all pairs of the few series, over the days that both have, clipped; pairs with fewer days go."""
+    """(a, b, n, corr) of all pairs of series, over the days that both have, clipped; pairs with fewer days go.
+
+    Every day gives the square of its series: meant for the tens of series of a price
+    panel, whose correlation matrix is the result; more than MAX_SERIES is an error.
+    """
+    n = returns.agg(F.count_distinct(name)).first()[0]
+    if n > MAX_SERIES:
+        raise ValueError(f"{n} series: a correlation matrix of at most {MAX_SERIES} can be asked for")
     x = returns.where(F.col(value).isNotNull()).select(F.col(name).alias("a"), F.col(day).alias("_d"), F.col(value).alias("_x"))
     y = x.select(F.col("a").alias("b"), "_d", F.col("_x").alias("_y"))
     out = x.join(y, "_d").groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("_x", "_y").alias("corr"))

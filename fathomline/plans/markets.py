@@ -103,7 +103,15 @@ def wilder_mean(spark, sf_dir):
     return ts.wilder_mean(tr, ["instrument"], "d", "tr", 14).select("instrument", "d", r("rma", 7))
 
 
-@query("volume_waves")
+_RMA = f"""{_TR}, n AS (SELECT instrument, d, tr, row_number() OVER (PARTITION BY instrument ORDER BY d) AS k FROM tr),
+m AS (SELECT instrument, d, k, tr AS rma FROM n WHERE k = 1 UNION ALL SELECT n.instrument, n.d, n.k, m.rma + (n.tr - m.rma) / 14 FROM m JOIN n ON m.instrument = n.instrument AND n.k = m.k + 1)"""
+
+
+@query("volume_waves", f"""WITH RECURSIVE {_RMA}, b AS (SELECT bars.instrument, bars.d, k, close, rma, volume FROM bars JOIN m ON bars.instrument = m.instrument AND bars.d = m.d),
+w AS (SELECT instrument, d, k, close AS lvl, 0 AS dir, volume AS total FROM b WHERE k = 1 UNION ALL
+SELECT instrument, d, k, new, turn, CASE WHEN turn = dir THEN total + volume ELSE volume END FROM (SELECT *, CASE WHEN new > lvl THEN 1 WHEN new < lvl THEN -1 ELSE dir END AS turn
+FROM (SELECT b.instrument, b.d, b.k, w.lvl, w.dir, w.total, b.volume, CASE WHEN b.close > w.lvl + b.rma OR b.close < w.lvl - b.rma THEN b.close ELSE w.lvl END AS new FROM w JOIN b ON w.instrument = b.instrument AND b.k = w.k + 1)))
+SELECT instrument, d, round(lvl, 7) AS wave_close, dir AS direction, 1 AS wave_bars, round(total, 7) AS wave_volume FROM w""")
 def volume_waves(spark, sf_dir):
     tr = ts.true_range(bars(spark, sf_dir), ["instrument"], "d")
     return ts.waves(ts.wilder_mean(tr, ["instrument"], "d", "tr", 14), ["instrument"], "d", "rma").select("instrument", "d", r("wave_close", 7), "direction", "wave_bars", r("wave_volume", 7))

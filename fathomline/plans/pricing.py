@@ -164,11 +164,11 @@ e AS (SELECT *, ln(s / kk) / (v * sqrt(t)) + v * sqrt(t) / 2 AS d1, ln(s / kk) /
 
 
 @query("kirk", plain(f"""WITH {_K} SELECT id, round(df * w * (s * {cdf('a1')} - kk * {cdf('a2')}), 6) AS value, round(w * {cdf('a1')} * df, 7) AS delta1, round(-w * {cdf('a2')} * df, 7) AS delta2, round(df * {pdf('d1')} / (s * v * sqrt(t)), 9) AS gamma1,
-round(df * {pdf('d2')} / (kk * v * sqrt(t)), 9) AS gamma2, round(vega * (vol - rho * vb) / v, 5) AS vega1, round(vega * (vb - rho * vol) / v * f2 / kk, 5) AS vega2, round(-vega * vol * vb / v, 2) AS rho_sensitivity FROM g""", "value delta1 delta2 gamma1 gamma2 vega1 vega2 rho_sensitivity"))
+round(df * {pdf('d2')} / (kk * v * sqrt(t)), 9) AS gamma2, round(vega * (vol - rho * vb) / v, 5) AS vega1, round(vega * (vb - rho * vol) / v * f2 / kk, 5) AS vega2, round(-vega * vol * vb / v, 2) AS rho_sensitivity, round((-s * df * {pdf('d1')} * v / (2 * sqrt(t)) + w * r * s * df * {cdf('a1')} - w * r * kk * df * {cdf('a2')}) / 365, 7) AS theta FROM g""", "value delta1 delta2 gamma1 gamma2 vega1 vega2 rho_sensitivity theta"))
 def kirk(spark, sf_dir):
     args = (F.col("s"), 0.9 * F.col("s"), F.lit(5.0), F.col("vol"), F.lit(0.25), F.lit(0.6), F.col("t"), F.col("r"), F.col("cp"))
     rows = op.with_kirk(trades(spark, sf_dir).select("id", "s", "vol", "t", "r", "cp"), *args)
-    n = {"value": 6, "delta1": 7, "delta2": 7, "gamma1": 9, "gamma2": 9, "vega1": 5, "vega2": 5, "rho_sensitivity": 2}
+    n = {"value": 6, "delta1": 7, "delta2": 7, "gamma1": 9, "gamma2": 9, "vega1": 5, "vega2": 5, "rho_sensitivity": 2, "theta": 7}
     return rows.select("id", *[x for c, k in n.items() for x in rounded(k, **{c: F.col(c)})])
 
 
