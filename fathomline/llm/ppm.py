@@ -10,9 +10,13 @@ longer context that has it (update exclusion). A text is preceded by five start
 marks and followed by one end mark, which is coded too.
 
 The corpus is cut into blocks of documents. A block's distinct six-byte strings
-travel once, in buckets by the last two bytes of their context: a bucket has whole
-subtries from order 2 on, and orders 1 and 0 fit in 65,792 numbers. Word counts
-for the base score take the same way, in buckets by hash.
+travel in buckets by the last three bytes of their context: a bucket has whole
+subtries from order 3 on; orders 2 to 0 are one table of at most 2^24 strings of three
+bytes, as many as the languages have, which all tasks get. A bucket's strings are
+dealt into groups by the size of what blocks ask of it, for counting and for looking
+up, so that a common context is no larger task than others and the model is copied
+only once for each LOOKUP_BYTES of questions. Word counts for the base score take the
+same way, in buckets by hash.
 """
 
 from __future__ import annotations
@@ -41,8 +45,8 @@ SYMBOLS = 255
 BLOCK_BYTES, PART_BYTES = 32 << 20, 2 << 20
 #: Buckets for so many bytes of text, and the least number.
 BUCKET_BYTES, BUCKETS = 16 << 20, 64
-#: Blocks whose look-ups in a bucket go to one task.
-LOOKUP_BLOCKS = 64
+#: Bytes of keys of a bucket that one task counts or looks up.
+LOOKUP_BYTES = 48 << 20
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -73,8 +77,8 @@ def token_keys(words) -> np.ndarray:
 
 
 def gram_bucket(packed: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of the last two bytes of the context."""
-    return (mix64((packed >> 8 & 0xFFFF).view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+    """The bucket of the last three bytes of the context."""
+    return (mix64((packed >> 8 & 0xFFFFFF).view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
 
 
 def token_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -146,8 +150,22 @@ def blocks(docs: DataFrame, training: Column, buckets: int) -> DataFrame:
     return stage(docs.select("doc_id", "text", F.coalesce(training, F.lit(False)).alias("training")).mapInArrow(run, schema), "ppm-blocks", by="kind")
 
 
-def bucket_counts(found: DataFrame) -> DataFrame:
-    """Training counts of each bucket over all blocks, folded as they come: (kind, bucket, keys, counts)."""
+def groups(found: DataFrame) -> DataFrame:
+    """(kind, bucket, groups): how many tasks share the keys of a bucket; a row for each bucket, staged."""
+    size = F.sum(F.octet_length("keys") + F.octet_length("counts"))
+    sizes = found.where("kind in ('g', 't')").groupBy("kind", F.col("bucket").cast("long").alias("bucket")).agg(size.alias("size"))
+    return stage(sizes.select("kind", "bucket", F.ceil(F.col("size") / LOOKUP_BYTES).alias("groups")), "ppm-groups")
+
+
+def asked(found: DataFrame, shared: DataFrame) -> DataFrame:
+    """(block, kind, bucket, salt, keys, counts) of all blocks; blocks are dealt to the groups of a bucket."""
+    rows = found.where("kind in ('g', 't')").select("block", "kind", F.col("bucket").cast("long").alias("bucket"), "keys", "counts")
+    salt = F.pmod(F.xxhash64("block"), F.col("groups")).alias("salt")
+    return rows.join(F.broadcast(shared), ["kind", "bucket"]).select("block", "kind", "bucket", salt, "keys", "counts")  # 2 * 65,536 rows at most
+
+
+def bucket_counts(rows: DataFrame) -> DataFrame:
+    """Training counts of each bucket over all blocks: (kind, bucket, keys, counts). Each group of a bucket is folded as it comes, then the groups' sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, size, least = None, [], 0, 0
@@ -155,15 +173,15 @@ def bucket_counts(found: DataFrame) -> DataFrame:
         def done():
             keys, n = summed(held)
             keys, n = keys[n > 0], n[n > 0]
-            return pa.RecordBatch.from_arrays([*(pa.array([v]) for v in at), *(pa.array([x], pa.binary()) for x in pack(keys, n))], ["kind", "bucket", "keys", "counts"])
+            return pa.RecordBatch.from_arrays([*(pa.array([v]) for v in at[:2]), *(pa.array([x], pa.binary()) for x in pack(keys, n))], ["kind", "bucket", "keys", "counts"])
 
         for b in batches:
             for i in range(b.num_rows):
-                kind, bucket, keys, counts = (c[i].as_py() for c in b.columns)
-                if at != (kind, bucket):
+                kind, bucket, salt, keys, counts = (c[i].as_py() for c in b.columns)
+                if at != (kind, bucket, salt):
                     if at is not None:
                         yield done()
-                    at, held, size, least = (kind, bucket), [], 0, 0
+                    at, held, size, least = (kind, bucket, salt), [], 0, 0
                 held.append(unpack(keys, counts))
                 size += len(held[-1][0])
                 if size > 1_000_000 + 2 * least:
@@ -172,24 +190,27 @@ def bucket_counts(found: DataFrame) -> DataFrame:
         if at is not None:
             yield done()
 
-    rows = found.where("kind in ('g', 't')").select("kind", F.col("bucket").cast("long").alias("bucket"), "keys", "counts")
-    return stage(rows.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(run, "kind string, bucket long, keys binary, counts binary"), "ppm-counts")
+    def folded(of: DataFrame) -> DataFrame:
+        by = ("kind", "bucket", "salt")
+        return of.select(*by, "keys", "counts").repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "kind string, bucket long, keys binary, counts binary")
 
+    return stage(folded(folded(rows).withColumn("salt", F.lit(0).cast("long"))), "ppm-counts")
 
-def low_orders(counts: DataFrame) -> np.ndarray:
-    """Numbers of order-1 (byte, symbol) pairs as a 256 x 256 table: a pair counts once for each byte before it."""
+
+def low_orders(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted order-2 (two bytes, symbol) strings and their counts: one for each byte before them. At most 2^24."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for keys, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                triples = np.unique(unpack(keys, n)[0] & 0xFFFFFF)
-                pairs, n = np.unique(triples & 0xFFFF, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs.astype(np.int32)), pa.array(n.astype(np.int64))], ["pair", "n"])
+                fours = np.unique(unpack(keys, n)[0] & 0xFFFFFFFF)
+                triples, n = np.unique(fours & 0xFFFFFF, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(triples.astype(np.int32)), pa.array(n.astype(np.int32))], ["triple", "n"])
 
-    table = np.zeros(65536, np.int64)
-    for r in counts.where("kind = 'g'").select("keys", "counts").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        table[r.pair] = r.n
-    return table.reshape(256, 256)
+    found = counts.where("kind = 'g'").select("keys", "counts").mapInArrow(run, "triple int, n int").groupBy("triple").agg(F.sum("n").cast("int").alias("n")).toArrow()
+    triples, n = (found.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("triple", "n"))
+    order = np.argsort(triples)
+    return triples[order], n[order]
 
 
 def _find(sorted_keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -214,24 +235,31 @@ class Level:
         self.excluded = np.bincount(self.at, below, len(self.contexts)).astype(np.int64)
 
 
+def low_levels(triples: np.ndarray, counts: np.ndarray) -> list[Level]:
+    """Orders 2 to 0 of the whole model."""
+    levels, keys = [], triples
+    for k in (2, 1, 0):
+        levels.append(Level(keys, counts))
+        if k:
+            keys, at, counts = np.unique(keys & ((1 << 8 * k) - 1), return_inverse=True, return_counts=True)
+            levels[-1].shadow(counts[at])
+    return levels
+
+
 class Trie:
-    """The subtries of a bucket, and orders 1 and 0 of the whole model."""
+    """The subtries of a bucket, and orders 2 to 0 of the whole model."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, low: np.ndarray):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, low: list[Level]):
         self.levels = []
-        for k in range(ORDER, -1, -1):
-            if k < ORDER:
-                if k > 1:
-                    own = self.levels[-1].keys & ((1 << 8 * (k + 1)) - 1)
-                    keys, at, counts = np.unique(own, return_inverse=True, return_counts=True)
-                    self.levels[-1].shadow(counts[at])
-                else:
-                    table = low if k else (low > 0).sum(0)
-                    flat = table.reshape(-1)
-                    self.levels[-1].shadow(flat[self.levels[-1].keys & (0xFFFF if k else 0xFF)])
-                    keys = np.flatnonzero(flat)
-                    counts = flat[keys]
+        for k in range(ORDER, 2, -1):
             self.levels.append(Level(keys, counts))
+            own = keys & ((1 << 8 * k) - 1)
+            if k > 3:
+                keys, at, counts = np.unique(own, return_inverse=True, return_counts=True)
+                self.levels[-1].shadow(counts[at])
+            else:
+                self.levels[-1].shadow(low[0].counts[_find(low[0].keys, own)] if len(own) else own)
+        self.levels += low
 
     def log10(self, packed: np.ndarray) -> np.ndarray:
         """log10 probabilities of packed (context, symbol) strings."""
@@ -261,14 +289,13 @@ class Trie:
         return out
 
 
-def look_ups(found: DataFrame, counts: DataFrame, low: np.ndarray, n_blocks: int) -> DataFrame:
+def look_ups(rows: DataFrame, counts: DataFrame, shared: DataFrame, low: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(block, kind, bucket, values): for each block's keys in order their log10 probability (g) or training count (t)."""
-    groups = max(1, n_blocks // LOOKUP_BLOCKS)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         kind = (left if left.num_rows else right).column("kind")[0].as_py()
         keys, n = unpack(right.column("keys")[0].as_py(), right.column("counts")[0].as_py()) if right.num_rows else summed([])
-        trie = Trie(keys, n, low) if kind == "g" and left.num_rows else None
+        trie = Trie(keys, n, low_levels(*low)) if kind == "g" and left.num_rows else None
         out = []
         for own in left.column("keys").to_pylist():
             wanted = np.cumsum(np.frombuffer(own, np.int64))
@@ -279,11 +306,10 @@ def look_ups(found: DataFrame, counts: DataFrame, low: np.ndarray, n_blocks: int
                 out.append((np.where(at >= 0, n[at], 0) if len(n) else np.zeros(len(wanted), np.int64)).astype(np.float64).tobytes())
         return pa.table([left.column("block"), left.column("kind"), left.column("bucket"), pa.array(out, pa.binary())], names=["block", "kind", "bucket", "values"])
 
-    asked = found.where("kind in ('g', 't')").select("block", "kind", F.col("bucket").cast("long").alias("bucket"), "keys", F.pmod(F.xxhash64("block"), F.lit(groups)).alias("salt"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")).alias("salt")
-    model = counts.select("kind", "bucket", "keys", "counts", salts)
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("salt")
+    model = counts.join(F.broadcast(shared), ["kind", "bucket"]).select("kind", "bucket", "keys", "counts", salts)
     by = ("kind", "bucket", "salt")
-    return asked.groupBy(*by).cogroup(model.groupBy(*by)).applyInArrow(run, "block string, kind string, bucket long, values binary")
+    return rows.drop("counts").groupBy(*by).cogroup(model.groupBy(*by)).applyInArrow(run, "block string, kind string, bucket long, values binary")
 
 
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,16 +330,17 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = min(65536, max(BUCKETS, n_bytes // BUCKET_BYTES))
     found = blocks(docs, F.col("training"), buckets)
-    counts = bucket_counts(found)
+    shared = groups(found)
+    rows = asked(found, shared)
+    counts = bucket_counts(rows)
     low = low_orders(counts)
     words = counts.where("kind = 't'").select("counts", "keys").mapInArrow(_totals, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     total, kinds = int(words[0]), int(words[1])
-    n_blocks = found.where("kind = 'd'").select("block").distinct().count()
-    values = look_ups(found, counts, low, n_blocks)
+    values = look_ups(rows, counts, shared, low)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = right.to_pylist()
-        value = {kind: {r["bucket"]: np.frombuffer(r["values"], np.float64) for r in rows if r["kind"] == kind} for kind in "gt"}
+        found_rows = right.to_pylist()
+        value = {kind: {r["bucket"]: np.frombuffer(r["values"], np.float64) for r in found_rows if r["kind"] == kind} for kind in "gt"}
         parts = left.select(["doc_ids", "texts"]).to_pylist()
 
         def placed(keys, bucket_of, table):
