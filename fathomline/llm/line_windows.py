@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomline.llm._shared import stage
+
 #: Lines in a window.
 WINDOW = 3
 
@@ -51,33 +53,23 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     text = docs[text_col]
     docs = docs.select(F.struct(*[docs[c] for c in rest]).alias("_doc"), docs[id_col].alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_row"))
-    found = line_windows(docs.select("_id", "_row", "_text"), window)
+    found = line_windows(docs.select("_id", "_row", "_text"), window).where("key is not null")
     place = F.struct("_id", "_row", "pos")
-    firsts = (
-        found.where("key is not null")
-        .groupBy("key")
-        .agg(F.min(place).alias("first"), F.max(place).alias("last"))
-        .where("first <> last")
-        .select("key", "first")
-    )
-    later = (
-        found.join(firsts, "key", "left")
-        .groupBy("_id", "_row")
-        .agg(F.array_sort(F.collect_set(F.struct("pos", F.coalesce(place != F.col("first"), F.lit(False)).alias("later")))).alias("w"))
-        .where(F.exists("w", lambda x: x["later"]))
-        .select("_id", "_row", F.transform("w", lambda x: x["later"]).alias("later"))
-    )
-    lines = F.split("_text", "\n", -1)
+    firsts = found.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("key", "first")
+    # the first occurrences are written: joined by them, a window that very many share can be split among tasks
+    later = found.join(stage(firsts, "first-windows"), "key").where(place != F.col("first")).groupBy("_id", "_row").agg(F.collect_set("pos").alias("later"))
+    over = F.flatten(F.transform("later", lambda p: F.sequence(p, p + (window - 1))))
+    later = later.select(F.col("_id").alias("_id2"), F.col("_row").alias("_row2"), F.array_sort(F.array_distinct(over)).alias("_covered"))
+    joined = docs.join(later, (F.col("_row") == F.col("_row2")) & F.col("_id").eqNullSafe(F.col("_id2")), "left")
 
-    def covered(i):
-        return F.exists(F.sequence(F.lit(0), F.lit(window - 1)), lambda k: F.coalesce(F.get("later", i - k), F.lit(False)))
-
-    kept = F.filter(lines, lambda _, i: ~covered(i))
-    joined = docs.alias("d").join(
-        later.withColumnsRenamed({"_id": "_id2", "_row": "_row2"}), (F.col("_row") == F.col("_row2")) & F.col("_id").eqNullSafe(F.col("_id2")), "left"
-    )
+    # what stays are the stretches between covered lines
+    lines = F.split("_text", "\n", -1)
+    covered = F.filter("_covered", lambda c: c < F.size(lines))
+    starts = F.concat(F.array(F.lit(0)), F.transform(covered, lambda c: c + 1))
+    ends = F.concat(covered, F.array(F.size(lines)))
+    kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(lines, a + 1, b - a)))
     n_lines = F.when(F.col("_text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    return joined.withColumn("_kept", F.when(F.col("later").isNotNull(), kept)).select(
+    return joined.withColumn("_kept", F.when(F.col("_covered").isNotNull(), kept)).select(
         *[
             F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col("_text")).alias(c) if c == text_col else F.col("_doc").getField(c).alias(c)
             for c in rest
