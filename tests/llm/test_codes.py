@@ -107,3 +107,48 @@ def test_images_and_resize(spark):
     media = [(1, raster.encode_bmp(colour)), (2, b"broken"), (3, None), (None, raster.encode_pgm(grey)), (5, raster.encode_pgm(grey)[:-1])]
     rows = {r.doc_id: r for r in raster.media_tiles(spark.createDataFrame(media, "doc_id long, media binary")).collect()}
     assert rows[1].error is None and len(rows[1].dhash) == 16 and rows[2].error and rows[3].error and rows[5].error and rows[None].rows == 13
+
+
+def test_any_bytes_give_an_image_or_a_reason(spark):
+    import random
+    import time
+
+    rng = random.Random(4)
+    whole = np.arange(12, dtype=np.uint8).reshape(3, 4)
+    good = [raster.encode_pgm(whole), raster.encode_ppm(np.stack([whole] * 3, 2)), raster.encode_bmp(np.stack([whole] * 3, 2)), b"P1\n2 2\n1 0 0 1", b"P4 9 2\n" + bytes(4), b"P2 2 2 9 1 2 3 9", b"P3 1 1 255 1 2 3"]
+    bad = [b"", b"P", b"P7", b"P2 1 1 255 256", b"P2 1 1 9 10", b"P5 0 0 255\n", b"P5 99999999 99999999 255\n", b"P5 " + b"9" * 40 + b" 1 255\n", b"P5" + b" " * 100_000, b"P5 #" + b"x" * 100_000, b"P5" + b" #\n" * 50_000, b"BM" + bytes(60), b"P2 1 1 255 -3", b"P2 1 1 255 x"]
+    for x in good:
+        for _ in range(300):
+            y = bytearray(x)
+            for _ in range(rng.randint(1, 4)):
+                y[rng.randrange(len(y))] = rng.randrange(256)
+            bad.append(bytes(y[: rng.randint(0, len(y))] if rng.random() < 0.3 else y))
+    began = time.time()
+    for x in bad:
+        try:
+            assert raster.decode(x).size
+        except ValueError:
+            pass
+    assert time.time() - began < 10
+    eight = b"BM" + np.array([0, 0, 62], "<u4").tobytes() + np.array([40, 2, 1], "<u4").tobytes() + np.array([1, 8], "<u2").tobytes() + np.array([0, 4, 0, 0, 2, 0], "<u4").tobytes() + bytes([1, 2, 3, 0, 4, 5, 6, 0]) + bytes([0, 1, 0, 0])
+    assert raster.decode(eight).tolist() == [[[3, 2, 1], [6, 5, 4]]]
+    with pytest.raises(ValueError, match="palette"):
+        raster.decode(eight[:-4] + bytes([0, 2, 0, 0]))
+    media = spark.createDataFrame([(i, x) for i, x in enumerate([*good, *bad[:14], eight])], "doc_id long, media binary")
+    rows = raster.media_tiles(media).collect()
+    assert len(rows) == media.count() and sum(r.error is None for r in rows) == len(good) + 1
+    digests = raster.tile_features(raster.media_digests(media.selectExpr("doc_id", "1L as n_bytes", "media"))).collect()
+    assert sum(r.feature is not None for r in digests) == len(good) + 1
+
+
+def test_features_are_difference_hashes_of_area_means(spark):
+    text = "".join(chr(33 + (i * 7) % 90) for i in range(64 * 24))
+    row = raster.text_media(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    image = np.frombuffer(text.encode(), np.uint8).reshape(24, 64).astype(float)
+    fine = np.kron(image, np.ones((1, 9)))  # 64 * 9 columns in 9 equal parts
+    mean = fine.reshape(8, 3, 9, 64).mean((1, 3))
+    tile = raster.area_resize(image.astype(np.uint8), 8, 9)
+    assert np.abs(tile - mean).max() <= 0.5 + 1e-9
+    assert row.feature == f"{np.packbits(tile[:, :-1] > tile[:, 1:]).tobytes().hex()}:{zlib.crc32(tile.tobytes()):08x}"
+    media = b"P5\n64 24\n255\n" + text.encode()
+    assert (row.media_bytes, row.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
