@@ -1,16 +1,18 @@
 """Token-id files with an adaptive context-mixing range coder.
 
-Ids are cut into blocks that share nothing. A block lists its distinct ids and codes
-places in that list. Orders 2 and 1 predict an id each, the one that followed the
-same two ids, or the same id, last time in the block; whether a prediction holds is
-coded with the mixed counts of orders 0 to 2. Where both fail, the place itself
-follows, with adaptive order-0 counts. All blocks of a file are coded in step as
-numpy lanes.
-
-File layout (little-endian): magic, documents, block length, blocks; for each
-document its number of ids; for each block its ids, distinct ids, payload bytes and
-the crc32 of its ids; then for each block the distinct ids (differences, 32 bits)
-and the payload.
+Ids are cut into blocks that share nothing but the file's table of ids. A block's
+model starts anew and learns from the ids before: order 2 predicts the id that has
+followed the same two ids, with how sure it has been; order 1 the last two different
+ids that followed the same id; order 0 the distribution of the file's ids.
+The distributions are mixed with weights that adapt to how often each of them was
+right in the like state, and the mixture drives a range coder. All blocks of a file
+are coded in step, as lanes of numpy arrays.
+
+A file is a row of a Parquet table in the shared folder (part, file, data), as Spark has no
+writer of plain binary objects. Its layout (little-endian): magic, documents, ids in a block, blocks, bytes of the
+table; for each document its number of ids; for each block its ids, payload bytes and
+the crc32 of its ids; the table, ids (as differences) and their counts, deflated; then
+the payloads.
 """
 
 from __future__ import annotations
@@ -29,227 +31,212 @@ from pyspark.sql import functions as F
 from fathomline.llm._shared import by_bytes, partitions_for, stage
 from fathomline.llm.token_counts import PIECE_CHARS, tokenizer, units
 
-MAGIC = b"FLCM1\0\0\0"
+MAGIC = b"FLCM2\0\0\0"
 #: Ids in a block, at most and at least, and blocks that are wished for in a file.
-BLOCK, LEAST, LANES = 4096, 512, 1024
+BLOCK, LEAST, LANES = 8192, 1024, 1024
 #: Ids in a file, about.
 FILE_IDS = BLOCK * LANES
-#: Slots of the order-1 and order-2 contexts of a block.
-SLOTS = 4096
-#: Weights of orders 0 to 2 in a prediction.
-WEIGHTS = (1, 4, 9)
-#: Units that a worker remembers.
-REMEMBERED = 400_000
+#: Bits of the numbers of a block's order-1 and order-2 contexts.
+BITS1, BITS2 = 11, 13
+#: Sum that the weights of a state keep near, how fast they adapt (a share of 1 / 2^RATE at a time), and how sure order 2 may be.
+SUM, RATE, SUREST = 1 << 12, 5, 3
+#: Units that a worker remembers, and bytes of their ids.
+REMEMBERED, REMEMBERED_BYTES = 400_000, 24 << 20
 #: Id that ends a document.
 END_ID = 2
-_STATE = np.arange(4096)
-_N0, _N1 = _STATE >> 6, _STATE & 63
-#: Zeros and ones of a state as fractions of one number: ones in the low, zeros in the high half.
-_COUNTS = (_N0 << 16 | _N1).astype(np.int64)
+#: Registers have 48 bits and give out 16 at a time; a range has more than 32 bits when an id begins.
+_TOP, _LOW = 1 << 48, 1 << 32
 
 
-def _after(own, other):
-    return np.minimum(own + 1, 62), np.where(other > 2, (other >> 1) + 1, other)
+def start_weights() -> np.ndarray:
+    """Weights (order 2, newest follower, follower before it, order 0) by state: how sure order 2 is (0: no prediction), and how many followers there are."""
+    out = np.zeros((4, SUREST + 1, 4), np.int64)
+    for sure in range(SUREST + 1):
+        two = (0.0, 0.15, 0.5, 0.8)[sure]
+        for full in range(3):
+            one = (0.0, 0.15, 0.25)[full] * (1 - two)
+            out[:, sure, full] = np.maximum(1, np.array([two, one * 2 / 3, one / 3, 1 - two - one]) * SUM)
+    return out.reshape(4, -1)
 
 
-_up = _after(_N1, _N0)
-_down = _after(_N0, _N1)
-#: The state after a 0 (first half) and after a 1.
-_NEXT = np.concatenate([_down[0] << 6 | _down[1], _up[1] << 6 | _up[0]]).astype(np.uint16)
-#: Registers have 56 bits. A range has 40 bits when an id begins; its two flags take 11 bits each and its place 16 at most.
-_FULL, _SMALL, _MASK = 1 << 56, 1 << 40, (1 << 56) - 1
-_SURE = 2047 / 2048
-#: What an id adds to its order-0 count, and ids after which the order-0 table is summed anew (sooner at a block's start).
-_ADD, _FRESH = 8, 64
+class Order0:
+    """The distribution of a file's ids (by place in its table) in whole numbers, and what place a number stands for."""
+
+    def __init__(self, counts: np.ndarray):
+        self.bits = max(16, int(2 * len(counts) - 1).bit_length() + 1)
+        spare = (1 << self.bits) - len(counts)
+        share = counts.astype(np.float64) / counts.sum()
+        own = 1 + np.floor(share * spare).astype(np.int64)
+        own[int(np.argmax(counts))] += (1 << self.bits) - own.sum()
+        self.sizes = own
+        self.first = np.cumsum(own) - own
+        self.place = np.repeat(np.arange(len(own), dtype=np.int64), own)
 
 
-class Lanes:
-    """Range coders in step: to bytes, or with data = (bytes, starts) from bytes."""
+class Coder:
+    """Range coders in step: to 16-bit words, or with data = (words, starts) from them."""
 
     def __init__(self, n: int, data: tuple[np.ndarray, np.ndarray] | None = None):
-        self.low, self.high = np.zeros(n, np.int64), np.full(n, _MASK, np.int64)
+        self.low, self.range = np.zeros(n, np.int64), np.full(n, _TOP - 1, np.int64)
         self.lanes: list[np.ndarray] = []
-        self.bytes: list[np.ndarray] = []
-        self.value = None
+        self.words: list[np.ndarray] = []
+        self.code = None
         if data is not None:
-            self.raw, at = data
-            self.at = at + 7
-            self.value = np.zeros(n, np.int64)
-            for k in range(7):
-                self.value = self.value << 8 | self.raw[at + k]
-
-    def turn_over(self, n: int) -> None:
-        """Move out the bytes of the first n lanes that are settled, and cut ranges that became too small."""
-        x1, x2 = self.low[:n], self.high[:n]
-        lane = np.flatnonzero(((x1 ^ x2) < _FULL >> 8) | (x2 - x1 < _SMALL))
-        a, b = x1[lane], x2[lane]
+            self.raw, self.at = data[0], data[1].copy()
+            self.code = np.zeros(n, np.int64)
+            for _ in range(3):
+                self.code = self.code << 16 | self.raw[self.at]
+                self.at += 1
+
+    def narrow(self, lane, part: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
+        """Cut the ranges of lanes (indices or a slice) to size parts from the first on."""
+        if self.code is None:
+            self.low[lane] += part * first
+        else:
+            self.code[lane] -= part * first
+        self.range[lane] = part * size
+
+    def turn_over(self, m: int) -> None:
+        """Move settled words out of (or new ones into) the first m lanes."""
+        lane = np.flatnonzero(self.range[:m] < _LOW)
         while len(lane):
-            b = np.where((a ^ b) < _FULL >> 8, b, np.minimum(b, a | _SMALL - 1))
-            if self.value is None:
+            if self.code is None:
+                low = self.low[lane]
                 self.lanes.append(lane)
-                self.bytes.append((a >> 48).astype(np.uint8))
+                self.words.append(low >> 32)
+                self.low[lane] = (low & (_LOW - 1)) << 16
             else:
-                self.value[lane] = self.value[lane] << 8 & _MASK | self.raw[self.at[lane]]
+                self.code[lane] = self.code[lane] << 16 | self.raw[self.at[lane]]
                 self.at[lane] += 1
-            a, b = a << 8 & _MASK, b << 8 & _MASK | 255
-            x1[lane], x2[lane] = a, b
-            more = ((a ^ b) < _FULL >> 8) | (b - a < _SMALL)
-            lane, a, b = lane[more], a[more], b[more]
-
-    def done(self) -> list[np.ndarray]:
-        """The bytes of each lane."""
-        for shift in range(48, -8, -8):
+            self.range[lane] <<= 16
+            lane = lane[self.range[lane] < _LOW]
+
+    def done(self) -> list[bytes]:
+        """The bytes of each lane. A word may hold a carry for the word before it."""
+        for shift in (32, 16, 0):
             self.lanes.append(np.arange(len(self.low)))
-            self.bytes.append((self.low >> shift & 255).astype(np.uint8))
-        lane, byte = np.concatenate(self.lanes), np.concatenate(self.bytes)
+            self.words.append(self.low >> shift if shift == 32 else self.low >> shift & 0xFFFF)
+        lane, word = np.concatenate(self.lanes), np.concatenate(self.words)
         order = np.argsort(lane, kind="stable")
-        return np.split(byte[order], np.cumsum(np.bincount(lane, minlength=len(self.low)))[:-1])
+        lane, word = lane[order], word[order]
+        while (over := np.flatnonzero(word > 0xFFFF)).size:
+            word[over] &= 0xFFFF
+            word[over - 1] += 1  # the first word of a lane never has a carry
+        ends = np.cumsum(np.bincount(lane, minlength=len(self.low)))
+        raw = word.astype("<u2").tobytes()
+        return [raw[2 * a : 2 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
-class Order0:
-    """Counts of places in each lane and their sums, which follow the counts from time to time."""
-
-    def __init__(self, kinds: np.ndarray, bits: int):
-        self.bits = bits
-        n, width = len(kinds), 1 << bits
-        self.counts = (np.arange(width) < kinds[:, None]).astype(np.int32)
-        self.sums = np.zeros((n, width + 1), np.int32)
-        self.base = np.arange(n, dtype=np.int64) * (width + 1)
-        self.refresh()
-
-    def refresh(self) -> None:
-        np.cumsum(self.counts, axis=1, out=self.sums[:, 1:])
-        self.flat = self.sums.reshape(-1)
-
-    def code(self, lane, x1, x2, place, value):
-        """New ranges, and the places: given, or found from the values."""
-        root, width = self.base[lane], 1 << self.bits
-        total = self.flat.take(root + width)
-        span = x2 - x1
-        scale = span / total
-
-        def edge(at):
-            return x1 + (self.flat.take(root + at) * scale).astype(np.int64)
-
-        if place is None:
-            aim = (value - x1) / scale
-            place = np.zeros(len(lane), np.int64)
-            for k in range(self.bits - 1, -1, -1):
-                place += (self.flat.take(root + place + (1 << k)) <= aim) * np.int64(1 << k)
-            # the quotient may be off by its rounding
-            place -= (edge(place) > value) & (place > 0)
-            place += (place < width - 1) & (edge(place + 1) <= value) & (self.flat.take(root + place + 1) < total)
-        first, last = edge(place), edge(place + 1) - 1
-        last = np.where(self.flat.take(root + place + 1) == total, x2, last)
-        return first, last, place
-
-
-def code_places(places: np.ndarray, sizes: np.ndarray, kinds: np.ndarray, bits: int, data: tuple[np.ndarray, np.ndarray] | None = None) -> list[np.ndarray] | None:
-    """Code lanes x steps of places below each lane's kinds; with data fill places in. Lanes lie by size, the longest first.
-
-    First whether the id is the one that followed the two before it last, then
-    whether it is the one that followed the one before it last, each predicted by
-    the mixed counts of orders 0 to 2; else its place, predicted by order 0.
-    """
+def code_places(places: np.ndarray, sizes: np.ndarray, order0: Order0, data: tuple[np.ndarray, np.ndarray] | None = None) -> list[bytes] | None:
+    """Code lanes x steps of places in the table; with data fill places in. Lanes lie by size, the longest first."""
     n, read = len(sizes), data is not None
-    lanes, order0 = Lanes(n, data), Order0(kinds, bits)
+    coder = Coder(n, data)
     every = np.arange(n, dtype=np.int64)
-    slot = every * SLOTS
-    guess1, guess2 = np.zeros(n * SLOTS, np.uint16), np.zeros(n * SLOTS, np.uint16)
-    hits1, hits2 = np.zeros(n * SLOTS, np.uint16), np.zeros(n * SLOTS, np.uint16)
-    hits0 = np.zeros(2 * n, np.uint16)
+    states = (SUREST + 1) * 4
+    base1, base2, base_w = every << BITS1, every << BITS2, every * states
+    newest, older, second = np.zeros(n << BITS1, np.int32), np.zeros(n << BITS1, np.int32), np.zeros(n << BITS2, np.int32)
+    weights = [np.tile(w, n) for w in start_weights()]
     one, two = np.zeros(n, np.int64), np.zeros(n, np.int64)
 
-    def flag(lane, x1, x2, contexts, guess, symbol):
-        """Code whether guess (0: none) is symbol; new ranges and the bits."""
-        states = [table.take(at) for table, at in contexts]
-        total = sum(_COUNTS.take(s) * w for s, w in zip(states, WEIGHTS))
-        ones = (total & 0xFFFF) + 0.4
-        open_ = guess > 0
-        p = np.where(open_, np.clip(ones / (ones + (total >> 16) + 0.4), 1 - _SURE, _SURE), 1 - _SURE)
-        middle = x1 + ((x2 - x1) * p).astype(np.int64)
-        bit = lanes.value[lane] <= middle if read else guess == symbol
-        turn = bit * np.int64(4096)
-        for (table, at), s in zip(contexts, states):
-            table[at] = np.where(open_, _NEXT.take(s + turn), s)
-        return np.where(bit, x1, middle + 1), np.where(bit, middle, x2), bit
-
     for t in range(int(sizes[0])):
         m = int(np.searchsorted(-sizes, -t, side="left"))
-        i1 = slot[:m] + (one[:m] * 0x2545F491 >> 7 & SLOTS - 1)
-        i2 = slot[:m] + ((two[:m] * 0x1B873593 ^ one[:m] * 0x0C2B2AE3) >> 5 & SLOTS - 1)
-        g1, g2 = guess1.take(i1).astype(np.int64), guess2.take(i2).astype(np.int64)
-        symbol = None if read else places[:m, t] + 1
-        x1, x2, hit = flag(every[:m], lanes.low[:m], lanes.high[:m], ((hits0, every[:m]), (hits1, i1), (hits2, i2)), g2, symbol)
-        lanes.low[:m], lanes.high[:m] = x1, x2
-        found = np.where(hit, g2, 0)
-        rest = np.flatnonzero(~hit)
-        g = g1[rest]
-        g[g == g2[rest]] = 0
-        x1, x2, hit = flag(rest, x1[rest], x2[rest], ((hits0, rest + n), (hits1, i1[rest])), g, None if read else symbol[rest])
-        lanes.low[rest], lanes.high[rest] = x1, x2
-        found[rest] = np.where(hit, g, 0)
-        miss = ~hit
-        rest = rest[miss]
+        a, b = one[:m], two[:m]
+        i1 = base1[:m] + ((a * 0x2545F491 >> 9) & ((1 << BITS1) - 1))
+        i2 = base2[:m] + (((b * 0x1B873593 ^ a * 0x4C2B2AE3) >> 11) & ((1 << BITS2) - 1))
+        first, then, packed = newest.take(i1), older.take(i1), second.take(i2)
+        guess, sure = packed >> 2, packed & 3
+        row = base_w[:m] + (sure * 4 + (first > 0) + (then > 0))
+        w2, w1, w1b, w0 = (w.take(row) for w in weights)
+
+        # the mixture: parts of order 2, of the followers that order 2 didn't name, and of order 0
+        open1, open1b = (first > 0) & (first != guess), (then > 0) & (then != guess)
+        end2 = w2 * (sure > 0)
+        end1 = end2 + w1 * open1
+        end1b = end1 + w1b * open1b
+        whole = end1b + w0
+        part = coder.range[:m] // whole
+        if read:
+            at = coder.code[:m] // part
+            hit2, below1, miss = at < end2, at < end1, at >= end1b
+            hit1 = below1 & ~hit2
+            hit1b = ~below1 & ~miss
+            symbol = np.where(hit2, guess, np.where(hit1, first, then)).astype(np.int64)
+        else:
+            symbol = places[:m, t] + 1
+            hit2 = guess == symbol
+            hit1, hit1b = (first == symbol) & ~hit2, (then == symbol) & ~hit2
+            miss = ~(hit2 | hit1 | hit1b)
+        start = np.where(hit2, 0, np.where(hit1, end2, np.where(hit1b, end1, end1b)))
+        coder.narrow(slice(0, m), part, start, np.where(hit2, end2, np.where(hit1, end1, np.where(hit1b, end1b, whole))) - start)
+        rest = np.flatnonzero(miss)
         if len(rest):
-            x1, x2, place = order0.code(rest, x1[miss], x2[miss], None if read else symbol[rest] - 1, lanes.value[rest] if read else None)
-            lanes.low[rest], lanes.high[rest] = x1, x2
-            found[rest] = place + 1
-            order0.counts[rest, place] += _ADD
-        lanes.turn_over(m)
-        if t % _FRESH == 0 or t < _FRESH and t & t - 1 == 0:
-            order0.refresh()
+            part = coder.range[rest] >> order0.bits
+            place = order0.place[np.minimum(coder.code[rest] // part, len(order0.place) - 1)] if read else symbol[rest] - 1
+            coder.narrow(rest, part, order0.first[place], order0.sizes[place])
+            if read:
+                symbol[rest] = place + 1
+        coder.turn_over(m)
         if read:
-            places[:m, t] = found - 1
-        guess1[i1], guess2[i2] = found, found
-        two[:m] = one[:m]
-        one[:m] = found
-    return None if read else lanes.done()
+            places[:m, t] = symbol - 1
+
+        # the model learns: weights of what could be right, then the predictions
+        weights[0][row] = np.maximum(w2 + (hit2 * SUM - w2 >> RATE), 1)
+        weights[1][row] = np.maximum(np.where(open1, w1 + (hit1 * SUM - w1 >> RATE), w1), 1)
+        weights[2][row] = np.maximum(np.where(open1b, w1b + (hit1b * SUM - w1b >> RATE), w1b), 1)
+        weights[3][row] = np.maximum(w0 + (miss * SUM - w0 >> RATE), 1)
+        second[i2] = np.where(guess == symbol, symbol << 2 | np.minimum(sure + 1, SUREST), np.where(sure > 1, packed - 1, symbol << 2 | 1))
+        older[i1] = np.where(first == symbol, then, first)
+        newest[i1] = symbol
+        two[:m] = a
+        one[:m] = symbol
+    return None if read else coder.done()
 
 
 def encode_file(ids: np.ndarray, counts: list[int]) -> bytes:
     """A file of documents whose ids lie one after the other in ids."""
     length = min(BLOCK, max(LEAST, -(-len(ids) // LANES)))
-    cut = [ids[i : i + length] for i in range(0, len(ids), length)]
-    head = struct.pack("<8sIII", MAGIC, len(counts), length, len(cut)) + np.array(counts, "<u4").tobytes()
-    if not cut:
+    n = -(-len(ids) // length)
+    names, places, times = np.unique(ids, return_inverse=True, return_counts=True)
+    table = zlib.compress(np.diff(names, prepend=0).astype("<u4").tobytes() + times.astype("<u4").tobytes(), 9) if n else b""
+    head = struct.pack("<8sIIII", MAGIC, len(counts), length, n, len(table)) + np.array(counts, "<u4").tobytes()
+    if not n:
         return head
-    sizes = np.array([len(c) for c in cut], np.int64)
-    distinct = [np.unique(c, return_inverse=True) for c in cut]
-    bits = max(1, int(max(len(d) for d, _ in distinct) - 1).bit_length())
-    places = np.zeros((len(cut), length), np.int64)
-    for i, (_, at) in enumerate(distinct):
-        places[i, : len(at)] = at
-    payloads = code_places(places, sizes, np.array([len(d) for d, _ in distinct]), bits)
-    table = [struct.pack("<IIII", len(c), len(d), len(p), zlib.crc32(c.astype("<u4").tobytes())) for c, (d, _), p in zip(cut, distinct, payloads)]
-    body = [np.diff(d, prepend=0).astype("<u4").tobytes() + p.tobytes() for (d, _), p in zip(distinct, payloads)]
-    return b"".join([head, *table, *body])
+    sizes = np.minimum(length, len(ids) - np.arange(n) * length)
+    grid = np.zeros((n, length), np.int64)
+    grid.reshape(-1)[: len(ids)] = places
+    payloads = code_places(grid, sizes, Order0(times))
+    rows = [struct.pack("<III", size, len(p), zlib.crc32(ids[i * length : i * length + size].astype("<u4").tobytes())) for i, (size, p) in enumerate(zip(sizes.tolist(), payloads))]
+    return b"".join([head, *rows, table, *payloads])
 
 
 def decode_file(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The ids of a file and the number of ids of each document; ValueError if a block's checksum differs."""
-    magic, n_docs, length, n = struct.unpack_from("<8sIII", data)
+    magic, n_docs, length, n, n_table = struct.unpack_from("<8sIIII", data)
     if magic != MAGIC:
         raise ValueError("not a token-id file")
-    counts = np.frombuffer(data, "<u4", n_docs, 20)
+    counts = np.frombuffer(data, "<u4", n_docs, 24)
     if not n:
         return np.zeros(0, np.uint32), counts
-    at = 20 + 4 * n_docs
-    table = np.frombuffer(data, "<u4", 4 * n, at).reshape(n, 4).astype(np.int64)
-    at += 16 * n
-    distinct, starts = [], np.zeros(n, np.int64)
-    for i in range(n):
-        distinct.append(np.cumsum(np.frombuffer(data, "<u4", table[i, 1], at), dtype=np.uint32))
-        starts[i] = at + 4 * table[i, 1]
-        at = int(starts[i] + table[i, 2])
-    bits = max(1, int(table[:, 1].max() - 1).bit_length())
-    raw = np.frombuffer(data + bytes(64), np.uint8).astype(np.int64)
-    places = np.zeros((n, length), np.int64)
-    code_places(places, table[:, 0], table[:, 1], bits, (raw, starts))
+    at = 24 + 4 * n_docs
+    rows = np.frombuffer(data, "<u4", 3 * n, at).reshape(n, 3).astype(np.int64)
+    at += 12 * n
+    try:
+        table = np.frombuffer(zlib.decompress(data[at : at + n_table]), "<u4").reshape(2, -1).astype(np.int64)
+    except zlib.error:
+        raise ValueError("the table of ids is broken") from None
+    at += n_table
+    starts = np.cumsum(rows[:, 1]) - rows[:, 1]
+    if (rows[:, 1] % 2).any() or rows[:, 0].max() > length:
+        raise ValueError("the list of blocks is broken")
+    words = np.frombuffer(data[at : at + int(rows[:, 1].sum())] + bytes(64), "<u2").astype(np.int64)
+    padded = np.r_[words, np.zeros(4 * int(rows[:, 0].max()), np.int64)]  # a broken block may ask for more than there is
+    names = np.cumsum(table[0]).astype(np.uint32)
+    grid = np.zeros((n, length), np.int64)
+    code_places(grid, rows[:, 0], Order0(table[1]), (padded, starts // 2))
     out = []
     for i in range(n):
-        own = places[i, : table[i, 0]]
-        if own.max() >= len(distinct[i]) or zlib.crc32((ids := distinct[i][own]).astype("<u4").tobytes()) != table[i, 3]:
+        ids = names[grid[i, : rows[i, 0]]]
+        if zlib.crc32(ids.astype("<u4").tobytes()) != rows[i, 2]:
             raise ValueError(f"block {i} is broken")
         out.append(ids)
     return np.concatenate(out), counts
@@ -263,19 +250,37 @@ def id_bytes(path: str) -> np.ndarray:
     return np.array([special.get(i) or len(tok.id_to_token(i) or "") for i in range(tok.get_vocab_size(with_added_tokens=True))], np.int64)
 
 
+class Remembered(dict):
+    """Ids of units as 32-bit bytes, within a number of units and bytes."""
+
+    size = 0
+
+    def keep(self, unit: str, ids: bytes) -> None:
+        if len(self) < REMEMBERED and self.size < REMEMBERED_BYTES:
+            self[unit] = ids
+            self.size += len(ids)
+
+    def forget(self) -> None:
+        self.clear()
+        self.size = 0
+
+
 @cache
-def remembered(path: str) -> dict:
-    return {}
+def remembered(path: str) -> Remembered:
+    return Remembered()
 
 
 def text_ids(texts: list[str], path: str) -> list[bytes]:
-    """32-bit ids of whole texts. Units that no earlier text had are joined, encoded in pieces and cut apart again."""
+    """32-bit ids of whole texts. Units that aren't remembered are joined, encoded in pieces and cut apart again."""
     tok, known, size = tokenizer(path), remembered(path), id_bytes(path)
     split = [units(t) for t in texts]
     first = [e.ids for e in tok.encode_batch_fast([p[0] for p in split], add_special_tokens=False)]
-    new = list(dict.fromkeys(x for p in split for x in p[1:] if x not in known))
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
+    found = [list(map(known.get, p)) for p in split]
+    total = sum(map(len, split))
+    new = list(dict.fromkeys(x for p, f in zip(split, found) for x, y in zip(p[1:], f[1:]) if y is None))
+    if 2 * len(new) > total and len(known) >= REMEMBERED // 2:
+        known.forget()
+        found = [[None] * len(p) for p in split]
         new = list(dict.fromkeys(x for p in split for x in p[1:]))
     pieces, at, length = [], 0, 0
     for i, x in enumerate(new):
@@ -283,15 +288,21 @@ def text_ids(texts: list[str], path: str) -> list[bytes]:
         if length > PIECE_CHARS or i + 1 == len(new):
             pieces.append(new[at : i + 1])
             at, length = i + 1, 0
+    fresh: dict[str, bytes] = {}
     for own, e in zip(pieces, tok.encode_batch_fast(["".join([" " + x for x in p]) for p in pieces], add_special_tokens=False)):
         ids = np.array(e.ids, np.int32)
         ends = np.cumsum(size[ids])
         cut = np.searchsorted(ends, np.cumsum([len(x.encode()) + 1 for x in own]), side="left") + 1
         data, a = ids.tobytes(), 0
         for x, b in zip(own, cut.tolist()):
-            known[x] = data[4 * a : 4 * b]
+            fresh[x] = data[4 * a : 4 * b]
+            known.keep(x, fresh[x])
             a = b
-    return [np.array(f, np.int32).tobytes() + b"".join(map(known.__getitem__, p[1:])) for f, p in zip(first, split)]
+    out = []
+    for head, p, f in zip(first, split, found):
+        f[0] = np.array(head, np.int32).tobytes()
+        out.append(b"".join(f if None not in f else [fresh[x] if y is None else y for x, y in zip(p, f)]))
+    return out
 
 
 def write_ids(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -152,3 +152,36 @@ def test_features_are_difference_hashes_of_area_means(spark):
     assert row.feature == f"{np.packbits(tile[:, :-1] > tile[:, 1:]).tobytes().hex()}:{zlib.crc32(tile.tobytes()):08x}"
     media = b"P5\n64 24\n255\n" + text.encode()
     assert (row.media_bytes, row.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+
+
+def test_id_files_are_smaller_than_deflated_ids(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()
+    raw = [np.frombuffer(x, np.int32) for x in mixcoder.text_ids([r.text or "" for r in docs], BPE)]
+    ids = np.concatenate([np.r_[x, mixcoder.END_ID] for x in raw]).astype(np.int32)
+    data = mixcoder.encode_file(ids, [len(x) + 1 for x in raw])
+    assert len(data) < len(zlib.compress(ids.astype("<u2").tobytes(), 9)) and (mixcoder.decode_file(data)[0] == ids).all()
+
+
+def test_mixture_is_one_coder_per_block():
+    """Blocks are coded the same alone and beside others, whatever their lengths."""
+    rng = np.random.default_rng(9)
+    sizes = np.array([700, 400, 3])
+    grid = rng.zipf(1.4, (3, 700)) % 50
+    times = np.bincount(grid.reshape(-1), minlength=50) + 1
+    together = mixcoder.code_places(grid.copy(), sizes, mixcoder.Order0(times))
+    for i in range(3):
+        assert mixcoder.code_places(grid[i : i + 1].copy(), sizes[i : i + 1], mixcoder.Order0(times)) == [together[i]]
+
+
+def test_remembered_units_have_bounds(monkeypatch):
+    mixcoder.remembered.cache_clear()
+    monkeypatch.setattr(mixcoder, "REMEMBERED", 4)
+    texts = ["a bb ccc dddd eeeee bb a", "new words only here", "bb  ccc\n a", "", "x y z " * 50]
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(BPE)
+    for _ in range(3):
+        got = [np.frombuffer(x, np.int32).tolist() for x in mixcoder.text_ids(texts, BPE)]
+        assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(mixcoder.remembered(BPE)) <= 4
+    mixcoder.remembered.cache_clear()
