@@ -28,10 +28,6 @@ def black_d1(s: Column, k: Column, vol: Column, t: Column) -> Column:
     return F.when((sd > 0) & (s > 0) & (k > 0) & (k < INF), F.try_divide(F.ln(F.try_divide(s, k)), sd) + sd / 2)
 
 
-def black_d2(s: Column, k: Column, vol: Column, t: Column) -> Column:
-    return black_d1(s, k, vol, t) - vol * F.sqrt(t)
-
-
 def black_value(s: Column, k: Column, vol: Column, t: Column, r: Column, right: Column) -> Column:
     """Black 76 value, the intrinsic value (discounted) where there is no time, volatility or finite strike."""
     w, d1 = omega(right), black_d1(s, k, vol, t)
@@ -40,30 +36,6 @@ def black_value(s: Column, k: Column, vol: Column, t: Column, r: Column, right:
     return disc * F.when((t <= 0) | d1.isNull(), F.greatest(w * (s - k), F.lit(0.0))).otherwise(w * (s * norm_cdf(w * d1) - k * norm_cdf(w * d2)))
 
 
-def black_delta(s, k, vol, t, r, right) -> Column:
-    w = omega(right)
-    return w * norm_cdf(w * black_d1(s, k, vol, t)) * F.exp(-r * t)
-
-
-def black_gamma(s, k, vol, t, r) -> Column:
-    return F.exp(-r * t) * norm_pdf(black_d1(s, k, vol, t)) / (s * vol * F.sqrt(t))
-
-
-def black_vega(s, k, vol, t, r) -> Column:
-    return s * F.exp(-r * t) * norm_pdf(black_d1(s, k, vol, t)) * F.sqrt(t)
-
-
-def black_theta(s, k, vol, t, r, right) -> Column:
-    """Change of value per year of passing time."""
-    w, d1, disc = omega(right), black_d1(s, k, vol, t), F.exp(-r * t)
-    d2 = d1 - vol * F.sqrt(t)
-    return -s * disc * norm_pdf(d1) * vol / (2 * F.sqrt(t)) + w * r * s * disc * norm_cdf(w * d1) - w * r * k * disc * norm_cdf(w * d2)
-
-
-def black_theta_day(s, k, vol, t, r, right) -> Column:
-    return black_theta(s, k, vol, t, r, right) / 365
-
-
 def delta_star(s, k, vol, t, r, right) -> Column:
     """Delta with the symmetric log-moneyness in place of d1."""
     w = omega(right)
@@ -144,11 +116,11 @@ def bachelier_d(s, k, vol, t) -> Column:
     return F.when((vol > 0) & (t > 0), (s - k) / (vol * F.sqrt(t)))
 
 
-def bachelier_value(s, k, vol, t, r, right) -> Column:
-    """Value when the forward moves by normal amounts; intrinsic without time or volatility."""
+def bachelier_value(s, k, vol, t, r, right, paid: Column | None = None) -> Column:
+    """Value when the forward moves by normal amounts; intrinsic without time or volatility. paid: time of payment, if not that of expiry."""
     w, d = omega(right), bachelier_d(s, k, vol, t)
     body = F.when(d.isNull(), F.greatest(w * (s - k), F.lit(0.0))).otherwise(w * (s - k) * norm_cdf(w * d) + vol * F.sqrt(t) * norm_pdf(d))
-    return F.exp(-r * F.greatest(t, F.lit(0.0))) * body
+    return F.exp(-r * F.greatest(t if paid is None else paid, F.lit(0.0))) * body
 
 
 def bachelier_delta(s, k, vol, t, r, right) -> Column:
@@ -201,12 +173,6 @@ def kirk_leg_vol(vol2, f2, k) -> Column:
     return F.coalesce(vol2 * F.try_divide(f2, f2 + k), F.lit(INF))
 
 
-def kirk_vol(vol1, vol2, rho, f2, k) -> Column:
-    """Volatility of the ratio of the first leg to second leg and strike."""
-    b = kirk_leg_vol(vol2, f2, k)
-    return F.sqrt(F.greatest(F.lit(0.0), vol1 * vol1 + b * b - 2 * rho * vol1 * b))
-
-
 def with_margrabe(rows: DataFrame, name: str, f1: Column, f2: Column, vol1: Column, vol2: Column, rho: Column, t: Column) -> DataFrame:
     """rows with E max(f1 - f2, 0), the right to give the second for the first, not discounted; and name_n1, the weight of the first."""
     out = rows.withColumns({"_f1": f1, "_f2": f2, "_mt": t, "_mv": F.sqrt(F.greatest(F.lit(0.0), vol1 * vol1 + vol2 * vol2 - 2 * rho * vol1 * vol2))})
@@ -218,21 +184,36 @@ def with_margrabe(rows: DataFrame, name: str, f1: Column, f2: Column, vol1: Colu
     return out.withColumns({name: value, f"{name}_n1": weight}).drop("_f1", "_f2", "_mt", "_mv", "_msd", "_md", "_md2", "_mn1", "_mn2")
 
 
+def _exchange(rows: DataFrame, name: str, a: str, b: str, sd: str) -> DataFrame:
+    """rows with E max(a - b, 0) of lognormals whose ratio has the deviation sd; columns by name."""
+    d1 = F.when(F.col(sd) > 1e-12, F.ln(F.col(a) / F.col(b)) / F.col(sd) + F.col(sd) / 2)
+    out = rows.withColumn("_d1", d1).withColumn("_d2", F.col("_d1") - F.col(sd))
+    value = F.coalesce(F.col(a) * norm_cdf(F.col("_d1")) - F.col(b) * norm_cdf(F.col("_d2")), F.greatest(F.col(a) - F.col(b), F.lit(0.0)))
+    return out.withColumn(name, value).drop("_d1", "_d2")
+
+
 def with_cheapest(rows: DataFrame, f: list[Column], vol: list[Column], rho12: Column, rho13: Column, rho23: Column, t: Column, r: Column, name: str = "value") -> DataFrame:
     """rows with discounted E min(f1, f2, f3), by inclusion and exclusion of the larger of two and of three legs.
 
-    The larger of the first two stands as one lognormal: each leg weighs with its
-    part of the mean, in the volatility and in the correlation with the third.
+    The larger of the first two stands as the lognormal M with its first two moments
+    and its covariance with the third leg, all of them exact: E M, E M^2 and E M f3 are
+    values of exchange options on the legs, their squares and their products with f3.
     """
     c = F.col
     out = rows.withColumns({"_1": f[0], "_2": f[1], "_3": f[2], "_v1": vol[0], "_v2": vol[1], "_v3": vol[2], "_r12": rho12, "_r13": rho13, "_r23": rho23, "_t": t})
     for i, j in ((1, 2), (1, 3), (2, 3)):
-        out = with_margrabe(out, f"_m{i}{j}", c(f"_{i}"), c(f"_{j}"), c(f"_v{i}"), c(f"_v{j}"), c(f"_r{i}{j}"), c("_t"))
-    out = out.withColumn("_mean", c("_2") + c("_m12")).withColumn("_w", c("_1") * c("_m12_n1") / c("_mean"))
-    out = out.withColumn("_v", F.sqrt((c("_w") * c("_v1")) ** 2 + ((1 - c("_w")) * c("_v2")) ** 2 + 2 * c("_w") * (1 - c("_w")) * c("_r12") * c("_v1") * c("_v2")))
-    mixed = (c("_w") * c("_r13") * c("_v1") + (1 - c("_w")) * c("_r23") * c("_v2")) / (c("_v") + 1e-12)
-    out = out.withColumn("_rho", F.greatest(F.lit(-0.9999), F.least(F.lit(0.9999), mixed)))
-    out = with_margrabe(out, "_m3", c("_mean"), c("_3"), c("_v"), c("_v3"), c("_rho"), c("_t"))
+        spread = c(f"_v{i}") ** 2 + c(f"_v{j}") ** 2 - 2 * c(f"_r{i}{j}") * c(f"_v{i}") * c(f"_v{j}")
+        out = out.withColumn(f"_s{i}{j}", F.sqrt(F.greatest(F.lit(0.0), spread) * c("_t")))
+        out = _exchange(out, f"_m{i}{j}", f"_{i}", f"_{j}", f"_s{i}{j}")
+    squares = {f"_q{i}": c(f"_{i}") ** 2 * F.exp(c(f"_v{i}") ** 2 * c("_t")) for i in (1, 2)}
+    products = {f"_p{i}": c(f"_{i}") * c("_3") * F.exp(c(f"_r{i}3") * c(f"_v{i}") * c("_v3") * c("_t")) for i in (1, 2)}
+    out = out.withColumns({**squares, **products, "_sq": 2 * c("_s12")})
+    out = _exchange(_exchange(out, "_mq", "_q1", "_q2", "_sq"), "_mp", "_p1", "_p2", "_s12")
+    out = out.withColumn("_mean", c("_2") + c("_m12"))
+    var = F.greatest(F.lit(0.0), F.ln((c("_q2") + c("_mq")) / c("_mean") ** 2))
+    cov = F.ln((c("_p2") + c("_mp")) / (c("_mean") * c("_3")))
+    out = out.withColumn("_s3", F.sqrt(F.greatest(F.lit(0.0), var + c("_v3") ** 2 * c("_t") - 2 * cov)))
+    out = _exchange(out, "_m3", "_mean", "_3", "_s3")
     least = c("_1") + c("_2") + c("_3") - (c("_2") + c("_m12")) - (c("_3") + c("_m13")) - (c("_3") + c("_m23")) + (c("_3") + c("_m3"))
     return out.withColumn(name, F.exp(-r * t) * least).select(*rows.columns, name)
 
@@ -248,15 +229,16 @@ def one_factor_sigma(probability: Column, share: Column, alpha: Column) -> Colum
     return prob_vol(probability, share) * F.sqrt(2 * alpha) * alpha / (1 - F.exp(-alpha))
 
 
-def two_factor_sigmas(probability: Column, share: Column, slow: Column, fast: Column, mapping: Column, rho: Column) -> Column:
-    """Struct of the volatilities of a slow and a fast factor that meet the condition of prob_vol; mapping (any number) picks one of the pairs that do."""
-    x, total, product = prob_vol(probability, share), slow + fast, slow * fast
-    whole = F.sqrt(total * total - 4 * rho * rho * product)
-    critical = F.when(F.abs(rho) < 1e-12, 1.5707963267948966).otherwise(F.atan(whole / F.when(F.abs(rho) < 1e-12, 1.0).otherwise(2 * rho * F.sqrt(product))))
-    angle = (critical + F.when(rho >= 0, 0.0).otherwise(3.141592653589793)) / (1 + F.exp(-mapping))
-    lead = x * F.sin(angle) / F.sqrt((1 - 4 * rho * rho * product / (total * total)) / (2 * slow)) / (1 - F.exp(-slow))
-    lag = F.sqrt(2 * fast) / (1 - F.exp(-fast)) * (x * F.cos(angle) - 2 * x * F.sqrt(product) * rho * F.sin(angle) / whole)
-    return F.struct((lead * slow).alias("slow"), (lag * fast).alias("fast"))
+def two_factor_sigmas(probability: Column, share: Column, slow: Column, fast: Column, ratio: Column, rho: Column) -> Column:
+    """Struct of the volatilities (slow, fast) of two mean-reverting factors that together meet the condition of prob_vol over a delivery of one year; ratio is fast over slow.
+
+    The variance at rest of slow S + fast F is a quadratic form in the two, so the
+    slow one is the wanted deviation over the root of the form at (1, ratio).
+    """
+    g = [-F.expm1(-a) / a for a in (slow, fast)]
+    form = g[0] * g[0] / (2 * slow) + 2 * rho * ratio * g[0] * g[1] / (slow + fast) + ratio * ratio * g[1] * g[1] / (2 * fast)
+    first = prob_vol(probability, share) / F.sqrt(form)
+    return F.struct(first.alias("slow"), (first * ratio).alias("fast"))
 
 
 def with_black(rows: DataFrame, s: Column, k: Column, vol: Column, t: Column, r: Column, right: Column, prefix: str = "") -> DataFrame:
@@ -303,3 +285,64 @@ def with_kirk(rows: DataFrame, f1: Column, f2: Column, k: Column, vol1: Column,
         "rho_sensitivity": F.when(v > 1e-6, -F.col("_x_vega") * F.col("_v1") * F.col("_b") / v).otherwise(0.0),
     }
     return out.withColumns(figures).select(*rows.columns, *figures)
+
+
+def with_black_dated(rows: DataFrame, pricing: Column, expiry: Column, s: Column, k: Column, vol: Column, r: Column, right: Column) -> DataFrame:
+    """with_black() between two dates, in years of 365 days."""
+    return with_black(rows, s, k, vol, F.datediff(expiry, pricing) / 365, r, right)
+
+
+def with_kirk_dated(rows: DataFrame, pricing: Column, expiry: Column, f1: Column, f2: Column, k: Column, vol1: Column, vol2: Column, rho: Column, r: Column, right: Column) -> DataFrame:
+    """with_kirk() between two dates, in years of 365 days."""
+    return with_kirk(rows, f1, f2, k, vol1, vol2, rho, F.datediff(expiry, pricing) / 365, r, right)
+
+
+def spread_intrinsic(f1: Column, f2: Column, k: Column, t: Column, r: Column, right: Column) -> Column:
+    """Discounted value of a spread option whose legs no longer move."""
+    return F.exp(-r * F.greatest(t, F.lit(0.0))) * F.greatest(omega(right) * (f1 - f2 - k), F.lit(0.0))
+
+
+def copula_spread(f1: Column, f2: Column, k: Column, vol1: Column, skew1: Column, vol2: Column, skew2: Column, rho: Column, t: Column, points: int = 500, deviations: float = 7.0) -> Column:
+    """E max(f1 - f2 - k, 0), not discounted, of legs with smiles under a Gaussian copula.
+
+    A leg's volatility at price x is vol + skew ln(x / f), at least a hundredth. The
+    value is the integral over y of P(leg1 > y + k, leg2 < y), by `points` steps in
+    ln y over `deviations` at either end, for Arrow batches of rows at once.
+    """
+
+    @F.pandas_udf("double")
+    def integrate(f1: pd.Series, f2: pd.Series, k: pd.Series, v1: pd.Series, w1: pd.Series, v2: pd.Series, w2: pd.Series, rho: pd.Series, t: pd.Series) -> pd.Series:
+        out = np.empty(len(f1))
+        for i in range(0, len(out), 512):
+            out[i : i + 512] = _copula(*[x.to_numpy(dtype=float)[i : i + 512, None] for x in (f1, f2, k, v1, w1, v2, w2, rho, t)], points, deviations)
+        return pd.Series(out)
+
+    return integrate(*[x.cast("double") for x in (f1, f2, k, vol1, skew1, vol2, skew2, rho, t)])
+
+
+def _copula(f1, f2, k, v1, w1, v2, w2, rho, t, points, deviations):
+    with np.errstate(all="ignore"):
+        ends = [f * np.exp(sign * deviations * v * np.sqrt(t)) - shift for f, v, shift in ((f1, v1, k), (f2, v2, 0 * k)) for sign in (-1, 1)]
+        low, high = (np.log(np.maximum(1e-6, pick(ends, axis=0))) for pick in (np.min, np.max))
+        y = np.exp(low + (high - low) * np.linspace(0, 1, points + 1))
+
+        def normal(x, f, v, w):
+            """The normal whose probability is that of a leg below x."""
+            m = np.log(np.maximum(x, 1e-300) / f)
+            sd = np.maximum(v + w * m, 0.01) * np.sqrt(t)
+            return np.where(x > 0, (m + sd * sd / 2) / sd, -38.0)
+
+        a, b = normal(y + k, f1, v1, w1), normal(y, f2, v2, w2)
+        both = _cdf(b) - _cdf2(a, b, rho)
+        return ((both * y).sum(1, keepdims=True) * (high - low) / points)[:, 0]
+
+
+def _cdf2(a, b, rho):
+    """P(X < a, Y < b) of standard normals with correlation rho: the one-dimensional integral over the correlation, by 24 Gauss points."""
+    nodes, weights = np.polynomial.legendre.leggauss(24)
+    angle = np.arcsin(np.clip(rho, -0.999999, 0.999999))
+    total = 0.0
+    for x, w in zip(nodes, weights):
+        s = np.sin(angle * (x + 1) / 2)
+        total = total + w * np.exp(-(a * a + b * b - 2 * a * b * s) / (2 * (1 - s * s)))
+    return _cdf(a) * _cdf(b) + total * angle / 2 / (2 * np.pi)

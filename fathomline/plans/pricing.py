@@ -70,10 +70,11 @@ def black76_expired(spark, sf_dir):
     return trades(spark, sf_dir).select("id", *rounded(7, value=op.black_value(F.col("s"), F.col("k"), F.col("vol"), zero, zero, F.col("cp"))))
 
 
-@query("delta_strikes", f"""WITH {_D}, x AS (SELECT *, w * df * {cdf('a1')} AS delta, w * ln(s / k) / (vol * sqrt(t)) AS b FROM e) SELECT id, round(k, 5) AS strike, round(w * {cdf('b')} * df, 7) AS star FROM x WHERE abs(d1) < 3""")
+@query("delta_strikes", f"""WITH {_D}, x AS (SELECT *, w * df * {cdf('a1')} AS delta, w * ln(s / k) / (vol * sqrt(t)) AS b FROM e) SELECT id, round(k, 5) AS strike, round(w * {cdf('b')} * df, 7) AS star FROM x""".replace("round(k, 5) AS strike", "CASE WHEN abs(d1) < 3 THEN round(k, 4) END AS strike"))
 def delta_strikes(spark, sf_dir):
-    """The strike that an option's own delta leads back to, and its symmetric delta, where |d1| < 3; delta_strikes_all has all trades."""
-    return _delta_strikes(trades(spark, sf_dir).where(F.abs(op.black_d1(*_args()[:4])) < 3))
+    """The strike that each option's own delta leads back to where the delta tells it (|d1| < 3; null elsewhere), and its symmetric delta."""
+    rows = _delta_strikes(trades(spark, sf_dir)).join(trades(spark, sf_dir), "id")
+    return rows.select("id", F.when(F.abs(op.black_d1(*_args()[:4])) < 3, F.round("strike", 4)).alias("strike"), "star")
 
 
 @query("delta_strikes_all")
@@ -91,10 +92,10 @@ def _delta_strikes(found):
 
 @query("approximate_vols", f"""WITH {_D}, p AS (SELECT *, w * (s * {cdf('a1')} - k * {cdf('a2')}) + CASE WHEN w < 0 THEN s - k ELSE 0 END AS c FROM e)
 SELECT id, round(CASE WHEN c - greatest(s - k, 0) > 1e-8 THEN sqrt(2 * pi() / t) / (s + k) * (c - (s - k) / 2 + sqrt(greatest((c - (s - k) / 2) ** 2 - (s - k) ** 2 / pi(), 0))) END, 6) AS corrado,
-round(sqrt(2 * pi() / t) * (c - (s - k) / 2) / (s - (s - k) / 2), 6) AS bharadia FROM p WHERE t > 0.2 AND t < 1.5""")
+round(sqrt(2 * pi() / t) * (c - (s - k) / 2) / (s - (s - k) / 2), 6) AS bharadia FROM p""")
 def approximate_vols(spark, sf_dir):
-    """Those with t > 0.2 and t < 1.5; approximate_vols_all has all trades."""
-    return _approximate_vols(trades(spark, sf_dir).where("t > 0.2 and t < 1.5"))
+    """All trades; corrado is null without time value."""
+    return _approximate_vols(trades(spark, sf_dir))
 
 
 @query("approximate_vols_all")
@@ -110,10 +111,19 @@ def _approximate_vols(found):
     return rows.select("id", *rounded(6, corrado=op.vol_corrado_miller(*a), bharadia=op.vol_bharadia(*a)))
 
 
-@query("implied_vols", f"WITH {TRADES} SELECT id, round(vol, 5) AS vol FROM trades WHERE t > 0.4 AND t < 1.5")
+_TOLD = f"{_D}, p AS (SELECT *, w * (s * {cdf('a1')} - k * {cdf('a2')}) + CASE WHEN w < 0 THEN s - k ELSE 0 END AS c, s * {pdf('d1')} * sqrt(t) AS vega FROM e)"
+
+
+@query("implied_vols", f"WITH {_TOLD} SELECT id, CASE WHEN c - greatest(s - k, 0) > 1e-6 THEN round(c, 4) END AS premium, CASE WHEN c - greatest(s - k, 0) > 1e-6 AND vega > 0.01 * s THEN round(vol, 4) END AS vol FROM p")
 def implied_vols(spark, sf_dir):
-    """Volatilities solved from premiums give back those that priced them, with t > 0.4 and t < 1.5; implied_vols_all has all trades."""
-    return _implied_vols(trades(spark, sf_dir).where("t > 0.4 and t < 1.5"))
+    """Volatilities solved from the premiums of all trades: the call premium they give again (null without time value), and the volatility where a premium tells it (a vega above a hundredth of the forward)."""
+    s, k, vol, t, r = _args()
+    cp = F.col("cp")
+    rows = op.with_black(trades(spark, sf_dir), s, k, vol, t, r, cp)
+    rows = rows.withColumns({"solved": op.vol_from_premium(F.col("value"), s, k, t, r, cp), "call": op.call_from_put(F.col("value"), s, k, t, r, cp) * F.exp(r * t)})
+    rows = rows.select("id", "s", "k", "t", "solved", (F.col("call") - F.greatest(s - k, F.lit(0.0)) > 1e-6).alias("open"), (F.col("vega") * F.exp(r * t) > 0.01 * s).alias("told"))
+    again = op.with_black(rows, s, k, F.col("solved"), t, F.lit(0.0), F.lit("c"))
+    return again.select("id", F.when(F.col("open"), F.round("value", 4)).alias("premium"), F.when(F.col("open") & F.col("told"), F.round("solved", 4)).alias("vol"))
 
 
 @query("implied_vols_all")
@@ -139,10 +149,12 @@ def bachelier(spark, sf_dir):
     return trades(spark, sf_dir).select("id", *rounded(6, value=op.bachelier_value(*a, cp)), *rounded(7, delta=op.bachelier_delta(*a, cp)), *rounded(9, gamma=op.bachelier_gamma(*a)), *rounded(7, vega=op.bachelier_vega(*a)), *rounded(6, theta=op.bachelier_theta(*a, cp)))
 
 
-@query("bachelier_vols", f"WITH {TRADES} SELECT id, round(vol * s, 3) AS vol FROM trades WHERE t > 0.4 AND t < 1.5")
+@query("bachelier_vols", f"WITH {_N} SELECT id, CASE WHEN {pdf('d')} > 0.001 THEN round(nv, 4) END AS vol FROM e")
 def bachelier_vols(spark, sf_dir):
-    """Those with t > 0.4 and t < 1.5; bachelier_vols_all has all trades."""
-    return _bachelier_vols(trades(spark, sf_dir).where("t > 0.4 and t < 1.5"))
+    """Normal volatilities solved from the premiums of all trades, where a premium tells it (a density above a thousandth); null elsewhere."""
+    s, k, vol, t, _ = _args()
+    rows = _bachelier_vols(trades(spark, sf_dir)).withColumnRenamed("vol", "solved").join(trades(spark, sf_dir), "id")
+    return rows.select("id", F.when(normal.norm_pdf(op.bachelier_d(s, k, vol * s, t)) > 0.001, F.round("solved", 4)).alias("vol"))
 
 
 @query("bachelier_vols_all")
@@ -155,7 +167,7 @@ def _bachelier_vols(found):
     s, k, vol, t, r = _args()
     cp = F.col("cp")
     rows = found.withColumn("premium", op.bachelier_value(s, k, vol * s, t, r, cp))
-    return rows.select("id", *rounded(3, vol=op.bachelier_vol(F.col("premium"), s, k, t, r, cp)))
+    return rows.select("id", *rounded(6, vol=op.bachelier_vol(F.col("premium"), s, k, t, r, cp)))
 
 
 _K = f"""{TRADES}, b AS (SELECT *, CASE WHEN cp = 'c' THEN 1 ELSE -1 END AS w, exp(-r * t) AS df, 0.9 * s AS f2, 5.0 AS x, 0.25 AS v2, 0.6 AS rho FROM trades),
@@ -179,11 +191,98 @@ def exchange_option(spark, sf_dir):
     return rows.select("id", *rounded(6, value=F.col("value")))
 
 
-@query("cheapest_of_three")
+def _sds(*pairs: str) -> str:
+    return ", ".join(f"sqrt(greatest(0, v{i} * v{i} + v{j} * v{j} - 2 * r{i}{j} * v{i} * v{j}) * t) AS s{i}{j}" for i, j in pairs)
+
+
+def _ex(name: str, a: str, b: str, sd: str) -> str:
+    """SQL of the value of an exchange from columns of the CTE before."""
+    d1, d2 = f"(ln({a} / {b}) / {sd} + {sd} / 2)", f"(ln({a} / {b}) / {sd} - {sd} / 2)"
+    return f"{a} * {cdf(d1)} - {b} * {cdf(d2)} AS {name}"
+
+
+_CHEAPEST = f"""WITH {TRADES}, x AS (SELECT id, s AS a1, k AS a2, 1.05 * s AS a3, vol AS v1, 0.3 AS v2, 0.25 AS v3, 0.5 AS r12, 0.4 AS r13, 0.3 AS r23, t, r FROM trades),
+y AS (SELECT *, {_sds('12', '13', '23')}, a1 * a1 * exp(v1 * v1 * t) AS q1, a2 * a2 * exp(v2 * v2 * t) AS q2, a1 * a3 * exp(r13 * v1 * v3 * t) AS p1, a2 * a3 * exp(r23 * v2 * v3 * t) AS p2 FROM x),
+z AS (SELECT *, 2 * s12 AS sq FROM y), e AS (SELECT *, {_ex('m12', 'a1', 'a2', 's12')}, {_ex('m13', 'a1', 'a3', 's13')}, {_ex('m23', 'a2', 'a3', 's23')}, {_ex('mq', 'q1', 'q2', 'sq')}, {_ex('mp', 'p1', 'p2', 's12')} FROM z),
+g AS (SELECT *, a2 + m12 AS mean FROM e), h AS (SELECT *, sqrt(greatest(0, greatest(0, ln((q2 + mq) / (mean * mean))) + v3 * v3 * t - 2 * ln((p2 + mp) / (mean * a3)))) AS s3 FROM g), f AS (SELECT *, {_ex('m3', 'mean', 'a3', 's3')} FROM h)
+SELECT id, round(exp(-r * t) * (a1 - m12 - a3 - m13 - m23 + a3 + m3), 5) AS value FROM f"""
+
+
+@query("cheapest_of_three", _CHEAPEST)
 def cheapest_of_three(spark, sf_dir):
     s = F.col("s")
     rows = op.with_cheapest(trades(spark, sf_dir), [s, F.col("k"), 1.05 * s], [F.col("vol"), F.lit(0.3), F.lit(0.25)], F.lit(0.5), F.lit(0.4), F.lit(0.3), F.col("t"), F.col("r"))
-    return rows.select("id", *rounded(6, value=F.col("value")))
+    return rows.select("id", *rounded(5, value=F.col("value")))
+
+
+_DATED = TRADES.replace("p_size / 25.0 AS t", "(p_size * 11) / 365.0 AS t")
+
+
+def _dated_trades(spark, sf_dir):
+    """Trades priced on a day, expiring 11 days later for each unit of size."""
+    day = F.lit("2026-01-15").cast("date")
+    return trades(spark, sf_dir).withColumn("pricing", day).withColumn("expiry", F.date_add("pricing", F.round(F.col("t") * 25).cast("int") * 11)).drop("t")
+
+
+_DD = _D.replace(TRADES, _DATED)
+
+
+@query("black76_dated", plain(f"""WITH {_DD} SELECT id, round(df * w * (s * {cdf('a1')} - k * {cdf('a2')}), 7) AS value, round(w * {cdf('a1')} * df, 7) AS delta, round(df * {pdf('d1')} / (s * vol * sqrt(t)), 9) AS gamma, round(s * df * {pdf('d1')} * sqrt(t), 6) AS vega,
+round((-s * df * {pdf('d1')} * vol / (2 * sqrt(t)) + w * r * s * df * {cdf('a1')} - w * r * k * df * {cdf('a2')}) / 365, 7) AS theta FROM e""", "value delta gamma vega theta"))
+def black76_dated(spark, sf_dir):
+    """Prices and greeks between two dates."""
+    rows = op.with_black_dated(_dated_trades(spark, sf_dir), F.col("pricing"), F.col("expiry"), F.col("s"), F.col("k"), F.col("vol"), F.col("r"), F.col("cp"))
+    c = F.col
+    return rows.select("id", *rounded(7, value=c("value"), delta=c("delta")), *rounded(9, gamma=c("gamma")), *rounded(6, vega=c("vega")), *rounded(7, theta=c("theta")))
+
+
+_KD = _K.replace(TRADES, _DATED)
+
+
+@query("kirk_dated", plain(f"""WITH {_KD} SELECT id, round(df * w * (s * {cdf('a1')} - kk * {cdf('a2')}), 6) AS value, round(w * {cdf('a1')} * df, 7) AS delta1, round(-w * {cdf('a2')} * df, 7) AS delta2, round(vega * (vol - rho * vb) / v, 5) AS vega1, round(vega * (vb - rho * vol) / v * f2 / kk, 5) AS vega2,
+round(-vega * vol * vb / v, 2) AS rho_sensitivity, round((-s * df * {pdf('d1')} * v / (2 * sqrt(t)) + w * r * s * df * {cdf('a1')} - w * r * kk * df * {cdf('a2')}) / 365, 7) AS theta, round(df * greatest(w * (s - f2 - x), 0), 6) AS intrinsic FROM g""", "value delta1 delta2 vega1 vega2 rho_sensitivity theta intrinsic"))
+def kirk_dated(spark, sf_dir):
+    """Spread options between two dates, with their intrinsic values."""
+    c = F.col
+    legs = (c("s"), 0.9 * c("s"), F.lit(5.0))
+    rows = op.with_kirk_dated(_dated_trades(spark, sf_dir), c("pricing"), c("expiry"), *legs, c("vol"), F.lit(0.25), F.lit(0.6), c("r"), c("cp"))
+    t = F.datediff("expiry", "pricing") / 365
+    n = {"value": 6, "delta1": 7, "delta2": 7, "vega1": 5, "vega2": 5, "rho_sensitivity": 2, "theta": 7}
+    return rows.select("id", *[x for name, k in n.items() for x in rounded(k, **{name: c(name)})], *rounded(6, intrinsic=op.spread_intrinsic(*legs, t, c("r"), c("cp"))))
+
+
+@query("bachelier_paid_later", plain(f"WITH {_N} SELECT id, round(exp(-r * (t + 0.25)) * (w * (s - k) * {cdf('a')} + nv * sqrt(t) * {pdf('d')}), 6) AS value FROM e", "value"))
+def bachelier_paid_later(spark, sf_dir):
+    """Normal options that are paid a quarter after they expire."""
+    s, k, vol, t, r = _args()
+    return trades(spark, sf_dir).select("id", *rounded(6, value=op.bachelier_value(s, k, vol * s, t, r, F.col("cp"), paid=t + 0.25)))
+
+
+@query("copula_spread", f"""WITH {TRADES}, d AS (SELECT *, sqrt(vol * vol + 0.09 - 2 * 0.5 * vol * 0.3) AS v FROM trades), e AS (SELECT *, ln(s / k) / (v * sqrt(t)) + v * sqrt(t) / 2 AS d1, ln(s / k) / (v * sqrt(t)) - v * sqrt(t) / 2 AS d2 FROM d)
+SELECT id, round(s * {cdf('d1')} - k * {cdf('d2')}, 2) AS value FROM e""")
+def copula_spread(spark, sf_dir):
+    """Spreads without strike and smile by the copula integral: the exchange option."""
+    value = op.copula_spread(F.col("s"), F.col("k"), F.lit(0.0), F.col("vol"), F.lit(0.0), F.lit(0.3), F.lit(0.0), F.lit(0.5), F.col("t"))
+    return trades(spark, sf_dir).select("id", *rounded(2, value=value))
+
+
+@query("star_strikes", f"WITH {_D}, b AS (SELECT *, w * ln(s / k) / (vol * sqrt(t)) AS x FROM e WHERE abs(ln(s / k)) < 3 * vol * sqrt(t)) SELECT id, round(k, 4) AS strike FROM b")
+def star_strikes(spark, sf_dir):
+    """Strikes that symmetric deltas lead back to, where these tell them (within three deviations); others have no row."""
+    s, k, vol, t, r = _args()
+    cp = F.col("cp")
+    rows = trades(spark, sf_dir).where(F.abs(F.ln(s / k)) < 3 * vol * F.sqrt(t)).withColumn("star", op.delta_star(s, k, vol, t, r, cp))
+    return rows.select("id", *rounded(4, strike=op.strike_from_delta_star(F.col("star"), s, vol, t, r, cp)))
+
+
+@query("two_factor_sigmas", f"""WITH p AS (SELECT p_partkey AS id, 0.05 + (p_partkey % 9) / 100.0 AS p, 0.5 AS share, 0.2 + p_size / 50.0 AS a, 5.0 + p_size / 10.0 AS b, 0.5 + (p_partkey % 5) / 2.0 AS m, (p_partkey % 7) / 10.0 - 0.3 AS rho FROM part),
+x AS (SELECT *, {ppf('p')} AS q, (1 - exp(-a)) / a AS g, (1 - exp(-b)) / b AS h FROM p), y AS (SELECT *, (q + sqrt(q * q - 2 * ln(share))) / sqrt(g * g / (2 * a) + 2 * rho * m * g * h / (a + b) + m * m * h * h / (2 * b)) AS s FROM x)
+SELECT id, round(s, 6) AS slow, round(s * m, 6) AS fast FROM y""")
+def two_factor_sigmas(spark, sf_dir):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    found = op.two_factor_sigmas(0.05 + (k % 9) / 100.0, F.lit(0.5), 0.2 + size / 50.0, 5.0 + size / 10.0, 0.5 + (k % 5) / 2.0, (k % 7) / 10.0 - 0.3)
+    rows = table(spark, sf_dir, "part").select(k.alias("id"), found.alias("s"))
+    return rows.select("id", *rounded(6, slow=F.col("s.slow"), fast=F.col("s.fast")))
 
 
 @query("normal_functions", f"WITH p AS (SELECT p_partkey AS id, (p_partkey % 401 - 200) / 25.0 AS x, (p_partkey % 999 + 1) / 1000.0 AS p FROM part) SELECT id, round({pdf('x')}, 9) AS pdf, round({cdf('x')}, 9) AS cdf, round({ppf('p')}, 8) AS ppf FROM p")

@@ -143,19 +143,15 @@ def decay_fit(spark, sf_dir):
     return mc.fit_decay(d, ["event_type"], "tenor", "y", [0.5, 1.0, 2.0, 4.0]).select("event_type", F.round("mu", 4).alias("mu"), F.round("sigma", 4).alias("sigma"), "alpha", F.round("sse", 3).alias("sse"))
 
 
-def documents(spark, sf_dir, orders="true"):
-    """Release documents as JSON text, one for each order, or for those that meet a condition."""
-    lines = table(spark, sf_dir, "lineitem").where(orders)
+def documents(spark, sf_dir):
+    """Release documents as JSON text, one for each order."""
+    lines = table(spark, sf_dir, "lineitem")
     price = F.struct(F.col("l_extendedprice").cast("string").alias("spark"), (F.col("l_extendedprice") - 1).cast("string").alias("sparkMin"), F.when(F.col("l_linenumber") != 2, (F.col("l_extendedprice") + 1).cast("string")).otherwise("n/a").alias("sparkMax"))
     point = F.struct(F.struct(F.date_format("l_shipdate", "yyyy-MM-dd").alias("startAt"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("endAt"), F.concat(F.lit("M"), F.col("l_linenumber").cast("string")).alias("name")).alias("deliveryPeriod"), F.struct(price.alias("usdPerDay"), price.alias("usdPerMMBtu")).alias("derivedPrices"))
     rows = lines.groupBy("l_orderkey").agg(F.date_format(F.min("l_shipdate"), "yyyy-MM-dd").alias("releaseDate"), F.collect_list(point).alias("dataPoints"))
     return rows.select(F.to_json(F.struct("releaseDate", F.col("l_orderkey").cast("string").alias("contractId"), F.array(F.struct("dataPoints")).alias("data"))).alias("doc"))
 
 
-#: The orders that the SQL of release_points and release_month is about.
-EVERY_50TH = "l_orderkey % 50 = 0"
-
-
 def _points(docs):
     points = files.price_points(files.releases(docs))
     return points.withColumns({c: F.round(c, 6) for c in ("price", "low", "high")})
@@ -166,17 +162,17 @@ def _april(docs):
     return points.select("contract_id", "period", F.round("price", 6).alias("price"))
 
 
-@query("release_points", """WITH l AS (SELECT *, CAST(min(l_shipdate) OVER (PARTITION BY l_orderkey) AS DATE) AS rel FROM lineitem WHERE l_orderkey % 50 = 0)
+@query("release_points", """WITH l AS (SELECT *, CAST(min(l_shipdate) OVER (PARTITION BY l_orderkey) AS DATE) AS rel FROM lineitem)
 SELECT rel AS release_date, CAST(l_orderkey AS VARCHAR) AS contract_id, 'M' || l_linenumber AS period, CAST(l_shipdate AS DATE) AS start, round(l_extendedprice, 6) AS price, round(l_extendedprice - 1, 6) AS low, CASE WHEN l_linenumber <> 2 THEN round(l_extendedprice + 1, 6) END AS high FROM l""")
 def release_points(spark, sf_dir):
-    """Price points of every 50th order, as its SQL has it; release_points_all has all."""
-    return _points(documents(spark, sf_dir, EVERY_50TH))
+    """Price points of the release documents of all orders."""
+    return _points(documents(spark, sf_dir))
 
 
-@query("release_month", """WITH l AS (SELECT * FROM lineitem WHERE l_orderkey % 50 = 0 AND strftime(l_shipdate, '%b-%Y') = 'Apr-1996') SELECT CAST(l_orderkey AS VARCHAR) AS contract_id, 'M' || l_linenumber AS period, round(l_extendedprice, 6) AS price FROM l""")
+@query("release_month", """WITH l AS (SELECT * FROM lineitem WHERE strftime(l_shipdate, '%b-%Y') = 'Apr-1996') SELECT CAST(l_orderkey AS VARCHAR) AS contract_id, 'M' || l_linenumber AS period, round(l_extendedprice, 6) AS price FROM l""")
 def release_month(spark, sf_dir):
-    """Points of a month from every 50th order, as its SQL has it; release_month_all has all."""
-    return _april(documents(spark, sf_dir, EVERY_50TH))
+    """Points of a month from the release documents of all orders."""
+    return _april(documents(spark, sf_dir))
 
 
 @query("release_points_all", """WITH l AS (SELECT *, CAST(min(l_shipdate) OVER (PARTITION BY l_orderkey) AS DATE) AS rel FROM lineitem)
