@@ -62,8 +62,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     later = later.select(F.col("_id").alias("_id2"), F.col("_row").alias("_row2"), F.array_sort(F.array_distinct(over)).alias("_covered"))
     joined = docs.join(later, (F.col("_row") == F.col("_row2")) & F.col("_id").eqNullSafe(F.col("_id2")), "left")
 
-    # what stays are the stretches between covered lines
-    lines = F.split("_text", "\n", -1)
+    # what stays are the stretches between covered lines; the lines are a column, so that they are split once
+    joined = joined.withColumn("_lines", F.split("_text", "\n", -1))
+    lines = F.col("_lines")
     covered = F.filter("_covered", lambda c: c < F.size(lines))
     starts = F.concat(F.array(F.lit(0)), F.transform(covered, lambda c: c + 1))
     ends = F.concat(covered, F.array(F.size(lines)))
