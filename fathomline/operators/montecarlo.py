@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from fathomline.functions.normal import norm_cdf, norm_ppf
 
 #: Steps of the Weyl sequence in each dimension: fractional parts of square roots of primes.
-WEYL = (0.41421356237309515, 0.7320508075688772, 0.2360679774997898, 0.6457513110645907, 0.3166247903553998, 0.605551275463989)
+WEYL = tuple(p**0.5 % 1 for p in (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37))
 
 
 def uniform(path: Column, dimension: int, seed: int | None = None) -> Column:
@@ -96,7 +96,7 @@ def cargo_option(spark: SparkSession, forwards: list[float], vols: list[float],
     return out.select("value", F.lit(max(plain, 0.0) * kept).alias("intrinsic"), (F.col("value") - max(plain, 0.0) * kept).alias("extrinsic"), "forward", "error")
 
 
-def cancellation_option(spark: SparkSession, price: dict, freight: dict, bought: float, boil_off: float, days: float, net: float, n: int, seed: int = 1) -> DataFrame:
+def cancellation_option(spark: SparkSession, price: dict, freight: dict, bought: float, boil_off: float, days: float, net: float, n: int, seed: int | None = 1) -> DataFrame:
     """Right to cancel a cargo: sale price less freight on what is left, against what was paid.
 
     price and freight: low, high, mean, sd, jump (probability, mean, sd) of a
@@ -113,13 +113,16 @@ def cancellation_option(spark: SparkSession, price: dict, freight: dict, bought:
     return rows.agg(*statistics(F.greatest(payoff, F.lit(0.0))), F.avg(payoff).alias("forward")).withColumn("intrinsic", F.lit(max(plain, 0.0)))
 
 
-def scenario_values(draws: DataFrame, scenarios: DataFrame, legs: int = 3) -> DataFrame:
+def scenario_values(draws: DataFrame, scenarios: list[tuple], legs: int = 3) -> DataFrame:
     """Value of the least of the legs in each scenario, on common draws.
 
-    scenarios (scenario, f0…, v0…, t, r) is a small table; draws hold correlated
-    normals w0…; every draw meets every scenario and is summed up in the same task.
+    scenarios: rows (scenario, f0…, v0…, t, r), as of shifted(); draws hold correlated
+    normals w0…. Every draw is put into every scenario and summed up in the same task,
+    so only a row for each scenario and task is shuffled.
     """
-    rows = draws.crossJoin(F.broadcast(scenarios))  # scenarios are few
+    names = ["scenario", *(f"f{i}" for i in range(legs)), *(f"v{i}" for i in range(legs)), "t", "r"]
+    each = F.explode(F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(names, row)]) for row in scenarios])).alias("_s")
+    rows = draws.select(*[f"w{i}" for i in range(legs)], each).select("*", "_s.*")
     least = F.least(*[terminal(F.col(f"f{i}"), F.col(f"v{i}"), F.col("t"), F.col(f"w{i}")) for i in range(legs)])
     return rows.groupBy("scenario").agg(*statistics(F.exp(-F.col("r") * F.col("t")) * least))
 
@@ -138,8 +141,7 @@ def finite_greeks(spark: SparkSession, base: dict, rho: list[list[float]], n: in
     """(greek, value) of the least-of-three by central differences on common draws; theta is the change of value a day later."""
     shifts = {f"{k}{s}": {k: d * (1 if s == "+" else -1)} for k, d in [*((f"f{i}", bump_f) for i in range(3)), *((f"v{i}", bump_v) for i in range(3))] for s in "+-"}
     shifts["t-"] = {"t": -bump_t}
-    rows = spark.createDataFrame(shifted(base, shifts), "scenario string, f0 double, f1 double, f2 double, v0 double, v1 double, v2 double, t double, r double")
-    values = scenario_values(correlated(paths(spark, n, 3, seed, True), rho), rows)
+    values = scenario_values(correlated(paths(spark, n, 3, seed, True), rho), shifted(base, shifts))
     name = F.regexp_replace("scenario", "[+-]$", "")
     size = F.when(name.startswith("f"), 2 * bump_f).otherwise(2 * bump_v)
     sides = values.where("scenario <> 'base' and scenario <> 't-'").groupBy(name.alias("greek")).agg(F.sum(F.when(F.col("scenario").endswith("+"), F.col("value")).otherwise(-F.col("value")) / size).alias("value"))
@@ -165,9 +167,7 @@ def implied_least_vol(draws: DataFrame, base: dict, price: float, low: float = 0
     for _ in range(steps):
         vols = np.linspace(low, high, grid)
         rows = [(f"{k:03d}", base["f0"], base["f1"], base["f2"], float(v), float(v), float(v), base["t"], base["r"]) for k, v in enumerate(vols)]
-        spark = draws.sparkSession
-        table = spark.createDataFrame(rows, "scenario string, f0 double, f1 double, f2 double, v0 double, v1 double, v2 double, t double, r double")
-        values = [x.value - price for x in scenario_values(draws, table).orderBy("scenario").collect()]
+        values = [x.value - price for x in scenario_values(draws, rows).orderBy("scenario").collect()]  # grid rows
         turn = [k for k in range(grid - 1) if values[k] * values[k + 1] <= 0]
         if not turn:
             return None
@@ -265,11 +265,31 @@ def local_vol_spread(spark: SparkSession, f1: float, f2: float, grid1: tuple, gr
     return spark.range(n).mapInArrow(run, "payoff double").agg(*statistics(F.col("payoff")))
 
 
-def fit_decay(history: DataFrame, by: list[str], tenor: str, vol: str, alphas: list[float]) -> DataFrame:
-    """(by, mu, sigma, alpha, sse): best fit of vol = mu + sigma exp(-alpha (15 + 30 tenor) / 365), mu and sigma by regression for each alpha of a grid."""
-    grid = F.explode(F.array(*[F.lit(float(a)) for a in alphas])).alias("alpha")
-    x = F.exp(-F.col("alpha") * (15 + 30 * F.col(tenor)) / 365)
-    rows = history.select(*by, tenor, F.col(vol).alias("_y"), grid).withColumn("_x", x)
-    fits = rows.groupBy(*by, "alpha").agg(F.regr_intercept("_y", "_x").alias("mu"), F.regr_slope("_y", "_x").alias("sigma"), (F.regr_syy("_y", "_x") * (1 - F.coalesce(F.regr_r2("_y", "_x"), F.lit(0.0)))).alias("sse"))
-    best = fits.groupBy(*by).agg(F.min_by(F.struct("mu", "sigma", "alpha", "sse"), F.struct("sse", "alpha")).alias("b"))
-    return best.select(*by, "b.*")
+def fit_decay(history: DataFrame, by: list[str], tenor: str, vol: str, alphas: tuple[float, float] = (0.5, 2.0), level: tuple[float, float] = (0.0, 10.0), height: tuple[float, float] = (0.0, 10.0), grid: int = 151) -> DataFrame:
+    """(by, mu, sigma, alpha, sse): best fit of vol = mu + sigma exp(-alpha (15 + 30 tenor) / 365) within bounds.
+
+    For each alpha of an even grid between its bounds the least squares in mu and
+    sigma, a convex problem in a box, are solved in closed form from sums: inside, or
+    else on the best of the four edges.
+    """
+    each = F.explode(F.transform(F.sequence(F.lit(0), F.lit(grid - 1)), lambda i: alphas[0] + (alphas[1] - alphas[0]) * i / (grid - 1))).alias("alpha")
+    rows = history.select(*by, F.col(tenor).alias("_t"), F.col(vol).alias("_y")).where("_y is not null").select("*", each)
+    rows = rows.withColumn("_x", F.exp(-F.col("alpha") * (15 + 30 * F.col("_t")) / 365))
+    x, y, c = F.col("_x"), F.col("_y"), F.col
+    sums = rows.groupBy(*by, "alpha").agg(F.count("*").alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * x).alias("xx"), F.sum(x * y).alias("xy"), F.sum(y * y).alias("yy"))
+
+    def at(mu, sigma):
+        sse = c("yy") + c("n") * mu * mu + sigma * sigma * c("xx") - 2 * mu * c("y") - 2 * sigma * c("xy") + 2 * mu * sigma * c("x")
+        return F.struct(F.greatest(sse, F.lit(0.0)).alias("sse"), mu.alias("mu"), sigma.alias("sigma"))
+
+    def kept(v, ends):
+        return F.greatest(F.lit(ends[0]), F.least(F.lit(ends[1]), v))
+
+    det = c("n") * c("xx") - c("x") * c("x")
+    sigma = F.try_divide(c("n") * c("xy") - c("x") * c("y"), det)
+    mu = (c("y") - sigma * c("x")) / c("n")
+    inside = mu.between(*level) & sigma.between(*height)
+    edges = [at(F.lit(m), kept((c("xy") - m * c("x")) / c("xx"), height)) for m in level] + [at(kept((c("y") - s * c("x")) / c("n"), level), F.lit(s)) for s in height]
+    best = F.when(F.coalesce(inside, F.lit(False)), at(mu, sigma)).otherwise(F.array_min(F.array(*edges)))
+    out = sums.withColumn("_b", best).groupBy(*by).agg(F.min_by(F.struct("_b", "alpha"), F.struct(F.round("_b.sse", 9), "alpha")).alias("_b"))
+    return out.select(*by, "_b._b.mu", "_b._b.sigma", "_b.alpha", "_b._b.sse")

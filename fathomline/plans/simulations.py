@@ -12,7 +12,8 @@ from fathomline.sources import files
 from fathomline.sources.files import table
 
 RHO3 = [[1.0, 0.5, 0.3], [0.5, 1.0, 0.4], [0.3, 0.4, 1.0]]
-N = 20_000
+#: Paths of spreads and baskets, of the least of three, of its scenarios, and of cancellations.
+N, N_LEAST, N_SCENARIO, N_CANCEL = 100_000, 200_000, 50_000, 1_000_000
 
 
 def _weyl(n: int, dims: int, mirror: bool = False) -> str:
@@ -52,36 +53,62 @@ def basket_simulation(spark, sf_dir):
 
 
 BASE = {"f0": 80.0, "f1": 81.0, "f2": 79.5, "v0": 0.3, "v1": 0.28, "v2": 0.32, "t": 0.5, "r": 0.04}
-SHIFTS = {"vol up": {"v0": 0.05, "v1": 0.05, "v2": 0.05}, "vol down": {"v0": -0.05, "v1": -0.05, "v2": -0.05}, "curve up": {"f0": 5.0, "f1": 5.0, "f2": 5.0}, "steeper": {"f0": -2.0, "f2": 2.0}, "later": {"t": -30 / 365}}
+_EVERY = ("f0", "f1", "f2"), ("v0", "v1", "v2")
+SHIFTS = {f"vol {d:+.0%}": dict.fromkeys(_EVERY[1], d) for d in (-0.05, -0.02, 0.0, 0.02, 0.05)}
+SHIFTS |= {f"curve {d:+d}": dict.fromkeys(_EVERY[0], float(d)) for d in (-5, -2, 0, 2, 5)}
+SHIFTS |= {f"day {d:02d}": {"t": -d / 365} for d in range(31)}
+#: Named offsets of the three forwards: backwardation, contango, a flat curve and parallel moves.
+STRESSES = {"base case": (0.0, 0.0, 0.0), "steep backwardation": (3.0, 1.0, 0.0), "mild backwardation": (1.0, 0.5, 0.0), "flat curve": (BASE["f1"] - BASE["f0"], 0.0, BASE["f1"] - BASE["f2"]), "mild contango": (0.0, 0.5, 1.0), "steep contango": (0.0, 1.0, 3.0), "bull parallel": (5.0, 5.0, 5.0), "bear parallel": (-5.0, -5.0, -5.0)}
+SHIFTS |= {name: {f"f{i}": d for i, d in enumerate(x)} for name, x in STRESSES.items()}
 _SCENARIOS = mc.shifted(BASE, SHIFTS)
 _LEAST = "exp(-r * t) * least(" + ", ".join(f"f{i} * exp(v{i} * sqrt(t) * w{i} - v{i} * v{i} * t / 2)" for i in range(3)) + ")"
 
 
-def _scenarios(spark):
-    return spark.createDataFrame(_SCENARIOS, "scenario string, f0 double, f1 double, f2 double, v0 double, v1 double, v2 double, t double, r double")
+def _table(rows) -> str:
+    return f"s(scenario, f0, f1, f2, v0, v1, v2, t, r) AS (SELECT col0, {', '.join(f'CAST(col{k} AS DOUBLE)' for k in range(1, 9))} FROM (VALUES {', '.join(map(str, rows))}))"
 
 
-@query("chooser_scenarios", f"WITH {_weyl(N, 3, True)}, {_correlated(RHO3, 3)}, s(scenario, f0, f1, f2, v0, v1, v2, t, r) AS (SELECT col0, {', '.join(f'CAST(col{k} AS DOUBLE)' for k in range(1, 9))} FROM (VALUES {', '.join(map(str, _SCENARIOS))})) SELECT scenario, round(avg({_LEAST}), 4) AS value, round(stddev_samp({_LEAST}) / sqrt(count(*)), 4) AS error, count(*) AS paths FROM w CROSS JOIN s GROUP BY 1")
+@query("chooser_scenarios", f"WITH {_weyl(N_SCENARIO, 3, True)}, {_correlated(RHO3, 3)}, {_table(_SCENARIOS)} SELECT scenario, round(avg({_LEAST}), 4) AS value, round(stddev_samp({_LEAST}) / sqrt(count(*)), 4) AS error, count(*) AS paths FROM w CROSS JOIN s GROUP BY 1")
 def chooser_scenarios(spark, sf_dir):
-    """The least of three forwards under shifts of volatility, curve, shape and time."""
-    draws = mc.correlated(mc.paths(spark, N, 3, antithetic=True), RHO3)
-    return mc.scenario_values(draws, _scenarios(spark)).select("scenario", *_stats())
+    """The least of three forwards under five shifts of volatility and of the curve, 30 days of decay and eight stresses."""
+    draws = mc.correlated(mc.paths(spark, N_SCENARIO, 3, antithetic=True), RHO3)
+    return mc.scenario_values(draws, _SCENARIOS).select("scenario", *_stats())
 
 
-@query("chooser_correlations", "")
+@query("chooser_value", f"WITH {_weyl(N_LEAST, 3, True)}, {_correlated(RHO3, 3)}, {_table(_SCENARIOS[:1])}, x AS (SELECT {_LEAST} AS x, exp(-r * t) * least(f0, f1, f2) AS i FROM w CROSS JOIN s) SELECT round(avg(x), 4) AS value, round(stddev_samp(x) / sqrt(count(*)), 4) AS error, count(*) AS paths, round(max(i), 4) AS intrinsic, round(avg(x) - max(i), 4) AS time_value FROM x")
+def chooser_value(spark, sf_dir):
+    """The least of three forwards, its intrinsic and its time value."""
+    value = mc.scenario_values(mc.correlated(mc.paths(spark, N_LEAST, 3, antithetic=True), RHO3), _SCENARIOS[:1])
+    plain = float(np.exp(-BASE["r"] * BASE["t"])) * min(BASE[f"f{i}"] for i in range(3))
+    return value.select(*_stats(), F.round(F.lit(plain), 4).alias("intrinsic"), F.round(F.col("value") - plain, 4).alias("time_value"))
+
+
+_TURNS = (-0.1, -0.05, 0.0, 0.05, 0.1)
+
+
+def _turned(shift: float) -> list[list[float]]:
+    return [[1.0 if i == j else float(np.clip(RHO3[i][j] + shift, -0.99, 0.99)) for j in range(3)] for i in range(3)]
+
+
+_TURNED = ", ".join(_correlated(_turned(d), 3).replace("w AS", f"w{k} AS", 1) for k, d in enumerate(_TURNS))
+
+
+@query("chooser_correlations", f"WITH {_weyl(N_SCENARIO, 3, True)}, {_TURNED}, {_table(_SCENARIOS[:1])} " + " UNION ALL ".join(f"SELECT {d} AS shift, round(avg({_LEAST}), 4) AS value, round(stddev_samp({_LEAST}) / sqrt(count(*)), 4) AS error, count(*) AS paths FROM w{k} CROSS JOIN s" for k, d in enumerate(_TURNS)))
 def chooser_correlations(spark, sf_dir):
     """The same with all correlations shifted and kept within 0.99."""
     out = None
-    for shift in (-0.1, -0.05, 0.0, 0.05, 0.1):
-        rho = [[1.0 if i == j else float(np.clip(RHO3[i][j] + shift, -0.99, 0.99)) for j in range(3)] for i in range(3)]
-        rows = mc.scenario_values(mc.correlated(mc.paths(spark, N, 3, 42, True), rho), _scenarios(spark).where("scenario = 'base'")).withColumn("shift", F.lit(shift))
+    for shift in _TURNS:
+        rows = mc.scenario_values(mc.correlated(mc.paths(spark, N_SCENARIO, 3, antithetic=True), _turned(shift)), _SCENARIOS[:1]).withColumn("shift", F.lit(shift))
         out = rows if out is None else out.unionByName(rows)
     return out.select("shift", *_stats())
 
 
-@query("chooser_greeks")
+_BUMPS = {f"{k}{s}": {k: d * (1 if s == "+" else -1)} for k, d in [*((f"f{i}", 0.01) for i in range(3)), *((f"v{i}", 0.001) for i in range(3))] for s in "+-"} | {"t-": {"t": -1 / 365}}
+
+
+@query("chooser_greeks", f"WITH {_weyl(N_LEAST, 3, True)}, {_correlated(RHO3, 3)}, {_table(mc.shifted(BASE, _BUMPS))}, v AS (SELECT scenario, avg({_LEAST}) AS value FROM w CROSS JOIN s GROUP BY 1) SELECT substr(scenario, 1, 2) AS greek, round(sum(CASE WHEN scenario LIKE '%+' THEN value ELSE -value END) / CASE WHEN scenario LIKE 'f%' THEN 0.02 ELSE 0.002 END, 4) AS value FROM v WHERE scenario NOT IN ('base', 't-') GROUP BY 1, scenario LIKE 'f%' UNION ALL SELECT 'theta', round(max(value) FILTER (scenario = 't-') - max(value) FILTER (scenario = 'base'), 4) FROM v")
 def chooser_greeks(spark, sf_dir):
-    return mc.finite_greeks(spark, BASE, RHO3, N).select("greek", F.round("value", 6).alias("value"))
+    return mc.finite_greeks(spark, BASE, RHO3, N_LEAST, seed=None).select("greek", F.round("value", 4).alias("value"))
 
 
 _GREEKS = ", ".join(
@@ -90,9 +117,9 @@ _GREEKS = ", ".join(
 )
 
 
-@query("chooser_path_greeks", f"WITH {_weyl(N, 3)}, {_correlated(RHO3, 3)}, e AS (SELECT *, {', '.join(_end(BASE[f'f{i}'], BASE[f'v{i}'], 0.5, i) + f' AS e{i}' for i in range(3))} FROM w) SELECT {_GREEKS} FROM e")
+@query("chooser_path_greeks", f"WITH {_weyl(N_LEAST, 3)}, {_correlated(RHO3, 3)}, e AS (SELECT *, {', '.join(_end(BASE[f'f{i}'], BASE[f'v{i}'], 0.5, i) + f' AS e{i}' for i in range(3))} FROM w) SELECT {_GREEKS} FROM e")
 def chooser_path_greeks(spark, sf_dir):
-    rows = mc.path_greeks(mc.correlated(mc.paths(spark, N, 3), RHO3), BASE)
+    rows = mc.path_greeks(mc.correlated(mc.paths(spark, N_LEAST, 3), RHO3), BASE)
     return rows.select(*[F.round(f"{g}{i}", k).alias(f"{g}{i}") for i in range(3) for g, k in (("delta", 6), ("vega", 5))])
 
 
@@ -102,17 +129,40 @@ def truncated_normal(spark, sf_dir):
     return spark.range(N).select(x.alias("x")).agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.min("x"), 6).alias("low"), F.round(F.max("x"), 6).alias("high"))
 
 
-@query("cancellation_option")
+_PRICE = {"low": 6.0, "high": 18.0, "mean": 10.0, "sd": 2.0, "jump": (0.1, 3.0, 0.5)}
+_FREIGHT = {"low": 2e4, "high": 1.5e5, "mean": 6e4, "sd": 2e4, "jump": (0.05, 4e4, 1e4)}
+
+
+def _drawn(spec: dict, k: int) -> str:
+    """SQL of a bounded normal with jumps from u columns k to k + 2; its ends are columns a{k} and b{k}."""
+    p, mean, sd = spec["jump"]
+    return f"{spec['mean']} + {spec['sd']} * {ppf(f'(a{k} + u{k} * (b{k} - a{k}))')} + CASE WHEN u{k + 1} < {p} THEN {mean} + {sd} * {ppf(f'u{k + 2}')} ELSE 0 END"
+
+
+def _ends(spec: dict, k: int) -> str:
+    return ", ".join(f"{(spec[e] - spec['mean']) / spec['sd']!r} AS {c}{k}" for e, c in (("low", "x"), ("high", "y")))
+
+
+@query("cancellation_option", f"""WITH {_weyl(N_CANCEL, 6)}, e AS (SELECT {_ends(_PRICE, 0)}, {_ends(_FREIGHT, 3)}), c AS (SELECT {cdf('x0')} AS a0, {cdf('y0')} AS b0, {cdf('x3')} AS a3, {cdf('y3')} AS b3 FROM e),
+d AS (SELECT {_drawn(_PRICE, 0)} AS price, {_drawn(_FREIGHT, 3)} AS freight FROM u, c), p AS (SELECT (price + 0.2) * (1 - 15.0 * 0.001) - freight * 15.0 / 1e6 - 9.5 AS x FROM d)
+SELECT round(avg(greatest(x, 0)), 5) AS value, round(stddev_samp(greatest(x, 0)) / sqrt(count(*)), 5) AS error, count(*) AS paths, round(avg(x), 5) AS forward, round(greatest((10.0 + 0.2) * (1 - 15.0 * 0.001) - 6e4 * 15.0 / 1e6 - 9.5, 0), 5) AS intrinsic FROM p""")
 def cancellation_option(spark, sf_dir):
-    price = {"low": 6.0, "high": 18.0, "mean": 10.0, "sd": 2.0, "jump": (0.1, 3.0, 0.5)}
-    freight = {"low": 2e4, "high": 1.5e5, "mean": 6e4, "sd": 2e4, "jump": (0.05, 4e4, 1e4)}
-    return mc.cancellation_option(spark, price, freight, 9.5, 0.001, 15.0, 0.2, 50_000).select(F.round("value", 6).alias("value"), F.round("error", 6).alias("error"), "paths", F.round("forward", 6).alias("forward"), F.round("intrinsic", 6).alias("intrinsic"))
+    out = mc.cancellation_option(spark, _PRICE, _FREIGHT, 9.5, 0.001, 15.0, 0.2, N_CANCEL, seed=None)
+    return out.select(F.round("value", 5).alias("value"), F.round("error", 5).alias("error"), "paths", F.round("forward", 5).alias("forward"), F.round("intrinsic", 5).alias("intrinsic"))
+
+
+_JUMPS = [(0.05, 5.0, 1.0), (0.02, -4.0, 0.5)]
+_CARGO_W = _correlated(RHO3, 3).replace("SELECT i, ", "SELECT i, z3, z4, z5, z6, ", 1)
+_CARGO_END = _end(12.0, 0.4, 0.5, 0) + "".join(f" + CASE WHEN {cdf(f'z{3 + 2 * j}')} < {p} THEN {m} + {sd} * z{4 + 2 * j} ELSE 0 END" for j, (p, m, sd) in enumerate(_JUMPS))
 
 
-@query("cargo_option")
+@query("cargo_option", f"""WITH {_weyl(N, 7, True)}, {_CARGO_W}, p AS (SELECT ({_CARGO_END}) * 3.4e6 * (1 - 20.0 * 0.001) - 0.12 * {_end(80.0, 0.3, 0.5, 1)} * 3.4e6 - {_end(60000.0, 0.5, 0.5, 2)} * 20.0 - 1e5 AS x FROM w),
+i AS (SELECT greatest(12.0 * 3.4e6 * (1 - 20.0 * 0.001) - 0.12 * 80.0 * 3.4e6 - 60000.0 * 20.0 - 1e5, 0) * exp(-0.015) AS plain)
+SELECT round(avg(greatest(x, 0)) * exp(-0.015), 0) AS value, round(max(plain), 0) AS intrinsic, round(avg(greatest(x, 0)) * exp(-0.015) - max(plain), 0) AS extrinsic, round(avg(x), 0) AS forward, round(stddev_samp(greatest(x, 0)) * exp(-0.015) / sqrt(count(*)), 0) AS error FROM p, i""")
 def cargo_option(spark, sf_dir):
-    out = mc.cargo_option(spark, [12.0, 80.0, 60_000.0], [0.4, 0.3, 0.5], RHO3, 0.03, 0.5, 20.0, 0.001, 3.4e6, 0.12, 1e5, [(0.05, 5.0, 1.0)], N, seed=3)
-    return out.select(*[F.round(c, 2).alias(c) for c in out.columns])
+    """A cargo with two kinds of jumps of its price."""
+    out = mc.cargo_option(spark, [12.0, 80.0, 60_000.0], [0.4, 0.3, 0.5], RHO3, 0.03, 0.5, 20.0, 0.001, 3.4e6, 0.12, 1e5, _JUMPS, N)
+    return out.select(*[F.round(c, 0).alias(c) for c in out.columns])
 
 
 @query("curve_simulation")
@@ -134,13 +184,18 @@ def local_vol_spread(spark, sf_dir):
     return mc.local_vol_spread(spark, 100.0, 90.0, grid, grid, 0.6, 5.0, 0.5, 0.02, 25, 20_000).select(*_stats())
 
 
-@query("decay_fit", """WITH d AS (SELECT event_type, CAST(user_id % 24 AS INTEGER) AS tenor, stddev_samp(value) AS y FROM events GROUP BY 1, 2), a AS (SELECT unnest([0.5, 1.0, 2.0, 4.0]) AS alpha),
-x AS (SELECT event_type, alpha, y, exp(-alpha * (15 + 30 * tenor) / 365.0) AS x FROM d CROSS JOIN a), f AS (SELECT event_type, alpha, regr_intercept(y, x) AS mu, regr_slope(y, x) AS sigma, regr_syy(y, x) * (1 - regr_r2(y, x)) AS sse FROM x GROUP BY 1, 2),
-k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY sse, alpha) AS k FROM f) SELECT event_type, round(mu, 4) AS mu, round(sigma, 4) AS sigma, alpha, round(sse, 3) AS sse FROM k WHERE k = 1""")
+def _edge(mu: str, sigma: str) -> str:
+    return f"struct_pack(sse := greatest(yy + n * ({mu}) * ({mu}) + ({sigma}) * ({sigma}) * xx - 2 * ({mu}) * y - 2 * ({sigma}) * xy + 2 * ({mu}) * ({sigma}) * x, 0), mu := {mu}, sigma := {sigma})"
+
+
+@query("decay_fit", f"""WITH d AS (SELECT event_type, CAST(user_id % 24 AS INTEGER) AS tenor, stddev_samp(value) / 20 AS v FROM events GROUP BY 1, 2), a AS (SELECT 0.5 + 1.5 * unnest(range(151)) / 150 AS alpha), x AS (SELECT event_type, alpha, v, exp(-alpha * (15 + 30 * tenor) / 365.0) AS e FROM d, a WHERE v IS NOT NULL),
+t AS (SELECT event_type, alpha, CAST(count(*) AS DOUBLE) AS n, sum(e) AS x, sum(v) AS y, sum(e * e) AS xx, sum(e * v) AS xy, sum(v * v) AS yy FROM x GROUP BY 1, 2), u AS (SELECT *, (n * xy - x * y) / (n * xx - x * x) AS s FROM t), w AS (SELECT *, (y - s * x) / n AS m FROM u),
+b AS (SELECT event_type, alpha, CASE WHEN m BETWEEN 0 AND 10 AND s BETWEEN 0 AND 10 THEN {_edge('m', 's')} ELSE list_min([{', '.join([_edge(f'CAST({k} AS DOUBLE)', f'greatest(0, least(10, (xy - {k} * x) / xx))') for k in (0, 10)] + [_edge(f'greatest(0, least(10, (y - {k} * x) / n))', f'CAST({k} AS DOUBLE)') for k in (0, 10)])}]) END AS b FROM w),
+k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY round(b.sse, 9), alpha) AS k FROM b) SELECT event_type, round(b.mu, 4) AS mu, round(b.sigma, 4) AS sigma, round(alpha, 4) AS alpha, round(b.sse, 5) AS sse FROM k WHERE k = 1""")
 def decay_fit(spark, sf_dir):
-    """Volatility by tenor fitted with a level and a decay."""
-    d = table(spark, sf_dir, "events").groupBy("event_type", (F.col("user_id") % 24).cast("int").alias("tenor")).agg(F.stddev_samp("value").alias("y"))
-    return mc.fit_decay(d, ["event_type"], "tenor", "y", [0.5, 1.0, 2.0, 4.0]).select("event_type", F.round("mu", 4).alias("mu"), F.round("sigma", 4).alias("sigma"), "alpha", F.round("sse", 3).alias("sse"))
+    """Volatility by tenor fitted with a level and a decay, all within bounds."""
+    d = table(spark, sf_dir, "events").groupBy("event_type", (F.col("user_id") % 24).cast("int").alias("tenor")).agg((F.stddev_samp("value") / 20).alias("v"))
+    return mc.fit_decay(d, ["event_type"], "tenor", "v").select("event_type", *[F.round(c, n).alias(c) for c, n in (("mu", 4), ("sigma", 4), ("alpha", 4), ("sse", 5))])
 
 
 def documents(spark, sf_dir):
