@@ -107,3 +107,144 @@ def test_last_rows_and_missing_edges(spark):
     assert ts.last_rows(rows.limit(0), ["name"], "d", 2).count() == 0
     with pytest.raises(ValueError, match="series"):
         ts.pairwise_corr(spark.range(ts.MAX_SERIES + 1).select(F.col("id").alias("n"), F.lit(1).alias("d"), F.lit(0.1).alias("ret")), "n", "d")
+
+
+def test_simulated_prices_are_martingales_with_the_model_s_variance(spark):
+    from fathomline.plans import models
+
+    rows = {r.id: r for r in models.martingale_prices(spark, "").collect()}
+    asked = spark.createDataFrame([(f"{u}{s}", u, u, t, 0.6, 0.1, 0.6, 0.1) for u in "AB" for s, t in enumerate((0.1, 0.5))], "id string, lsu1 string, lsu2 string, t double, t1 double, d1 double, t2 double, d2 double")
+    for r in pricing.model(spark).covariances(asked).collect():
+        own = rows[r.id]
+        assert own.paths == 20_001 and own["mean"] == pytest.approx(1, abs=5 * (r["cov"] / 20_000) ** 0.5)
+        assert own["variance"] == pytest.approx(r["cov"], rel=0.06)
+
+
+def test_simulated_prices_over_a_currency(spark):
+    from fathomline.operators import factors as fc
+
+    m = pricing.model(spark)
+    asked = spark.createDataFrame([("x", "A", 0, 0.5, 0.6, 0.1)], "id string, lsu string, step int, t double, tau double, span double")
+    states = spark.createDataFrame([(0, 0, k, 0.0) for k in range(1, 5)], "path long, step int, factor int, state double")
+    plain = fc.simulated_prices(states, asked, m).first().price
+    over = fc.simulated_prices(states, asked, m, spark.createDataFrame([("x", "B")], "id string, lsu2 string")).first().price
+    cov = m.covariances(spark.createDataFrame([("A", "B", 0.5, 0.6, 0.1, 0.6, 0.1)], "lsu1 string, lsu2 string, t double, t1 double, d1 double, t2 double, d2 double")).first()["cov"]
+    assert over / plain == pytest.approx(2.718281828459045 ** -cov)
+
+
+def test_model_checks(spark):
+    from fathomline.operators import covariance as cv, factors as fc
+
+    m = pricing.model(spark)
+    assert fc.positive_definite(m)
+    bad = cv.Factors(m.factors, m.bridge, m.rho.withColumn("rho", F.when(F.col("i") == F.col("j"), 1.0).otherwise(-0.9)))
+    assert not fc.positive_definite(bad)
+    changed = m.override_sigma(2, 0.5).factors.where("idx = 2").first().sigma
+    assert changed == 0.5 and m.factor_counts().where("n = 2").count() == 2 and m.first_factors(1).factors.count() == 2
+    assert m.shift_third("A", 0.1).factors.where("sigma = 0.1 or sigma = 0.15 or sigma = 0.2").count() == 4
+    turned = {(r.i, r.j): r.rho for r in m.inverted(2).rho.collect()}
+    assert turned[1, 2] == -0.8 and turned[2, 2] == 1.0 and turned[1, 3] == 0.4
+    vol = spark.range(1).select(cv.triangulated(F.lit(0.2), F.lit(0.3), F.lit(0.3)).alias("x"), cv.ratio_vol(F.lit(0.2), F.lit(0.3), F.lit(0.3)).alias("y")).first()
+    assert vol.x == pytest.approx((0.04 + 0.09 + 2 * 0.3 * 0.06) ** 0.5) and vol.y == pytest.approx((0.04 + 0.09 - 2 * 0.3 * 0.06) ** 0.5)
+
+
+def test_variance_at_rest_of_one_factor(spark):
+    from fathomline.operators import covariance as cv
+
+    one = cv.Factors(spark.createDataFrame([(1, 0.3, 0.7)], "idx int, sigma double, alpha double"), spark.createDataFrame([(1, "A")], "idx int, lsu string"), spark.createDataFrame([(1, 1, 1.0)], "i int, j int, rho double"))
+    t, d = 60.0, 0.5
+    cov = one.covariances(spark.createDataFrame([("A", "A", t, t, d, t, d)], "lsu1 string, lsu2 string, t double, t1 double, d1 double, t2 double, d2 double")).first()["cov"]
+    assert cov == pytest.approx(0.09 / 1.4 * ((1 - 2.718281828459045 ** (-0.35)) / 0.35) ** 2, rel=1e-6)
+
+
+GOLDEN = [("black76", 19, 19, 0.28, 0.75, 0.1, "c", 1.7010507), ("black76", 18, 19, 0.28, 1.0, 0.0, "p", 2.5978), ("black76", 18, 19, 0.28, 0.0, 0.0, "p", 1.0), ("black76", 18, 17, 0.28, 0.0, 0.0, "p", 0.0), ("black76", 20, 18, 0.0, 1.0, 0.0, "c", 2.0), ("black76", 16, 18, 0.0, 1.0, 0.0, "c", 0.0), ("black76", 100, float("inf"), 0.5, 1.0, 0.0, "c", 0.0)]
+
+
+def test_option_golden_values(spark):
+    from fathomline.functions import options as op
+
+    rows = spark.createDataFrame([(i, *map(float, r[1:6]), r[6], float(r[7])) for i, r in enumerate(GOLDEN)], "i int, s double, k double, v double, t double, r double, cp string, want double")
+    args = [F.col(c) for c in ("s", "k", "v", "t", "r")]
+    for r in rows.withColumn("got", op.black_value(*args, F.col("cp"))).collect():
+        assert r.got == pytest.approx(r.want, abs=1e-4), r
+    normal = spark.range(1).select(*[op.bachelier_value(F.lit(18.0), F.lit(19.0), F.lit(2.0), F.lit(0.75), F.lit(0.1), F.lit(cp), paid=F.lit(1.0)).alias(cp) for cp in "cp"], op.bachelier_d(F.lit(18.0), F.lit(19.0), F.lit(2.0), F.lit(0.75)).alias("d")).first()
+    assert (normal.c, normal.p, normal.d) == pytest.approx((0.27421, 1.179055, -0.57735), abs=1e-4)
+    vols = spark.createDataFrame([(float(s), float(k), cp, r) for s, k in ((100, 90), (100, 100), (100, 110)) for cp in "cp" for r in (0.0, 0.05)], "s double, k double, cp string, r double")
+    again = vols.select(op.vol_from_premium(op.black_value(F.col("s"), F.col("k"), F.lit(0.25), F.lit(0.5), F.col("r"), F.col("cp")), F.col("s"), F.col("k"), F.lit(0.5), F.col("r"), F.col("cp")).alias("v")).collect()
+    assert [r.v for r in again] == pytest.approx([0.25] * 12, rel=1e-5)
+
+
+def test_copula_spread_is_a_double_integral(spark):
+    import numpy as np
+
+    from fathomline.functions import options as op
+
+    x, w = np.polynomial.hermite_e.hermegauss(200)
+    w = w / w.sum()
+    a, b = np.meshgrid(x, x, indexing="ij")
+    for f1, f2, k, v1, v2, rho, t in ((20.0, 15.0, 2.0, 0.3, 0.4, 0.6, 1.0), (20.0, 15.0, -3.0, 0.5, 0.2, -0.3, 0.4)):
+        one = f1 * np.exp(v1 * t**0.5 * a - v1 * v1 * t / 2)
+        two = f2 * np.exp(v2 * t**0.5 * (rho * a + (1 - rho * rho) ** 0.5 * b) - v2 * v2 * t / 2)
+        want = (np.maximum(one - two - k, 0) * w[:, None] * w[None, :]).sum()
+        got = spark.range(1).select(op.copula_spread(*[F.lit(z) for z in (f1, f2, k, v1, 0.0, v2, 0.0, rho, t)]).alias("v")).first().v
+        assert got == pytest.approx(want, rel=2e-3)
+
+
+def test_cheapest_of_three_is_near_its_simulation(spark):
+    import numpy as np
+
+    from fathomline.functions import options as op
+
+    f, v, t = [80.0, 82.0, 79.0], [0.3, 0.25, 0.4], 0.8
+    rho = np.array([[1, 0.6, 0.3], [0.6, 1, 0.5], [0.3, 0.5, 1]])
+    z = np.random.default_rng(1).normal(size=(400_000, 3)) @ np.linalg.cholesky(rho).T
+    want = np.min(np.array(f) * np.exp(np.array(v) * t**0.5 * z - np.array(v) ** 2 * t / 2), 1).mean()
+    lit = [[F.lit(x) for x in y] for y in (f, v)]
+    got = op.with_cheapest(spark.range(1), *lit, F.lit(0.6), F.lit(0.3), F.lit(0.5), F.lit(t), F.lit(0.0)).first().value
+    assert got == pytest.approx(want, rel=4e-3)
+
+
+def test_factor_pairs_meet_their_condition(spark):
+    import numpy as np
+
+    from fathomline.functions import options as op
+
+    s = spark.range(1).select(op.two_factor_sigmas(F.lit(0.05), F.lit(0.5), F.lit(0.4), F.lit(6.0), F.lit(1.5), F.lit(0.3)).alias("s")).first().s
+    g = [(1 - np.exp(-a)) / a for a in (0.4, 6.0)]
+    total = s.slow**2 * g[0] ** 2 / 0.8 + 2 * 0.3 * s.slow * s.fast * g[0] * g[1] / 6.4 + s.fast**2 * g[1] ** 2 / 12
+    q = -1.6448536269514722
+    assert total**0.5 == pytest.approx(q + (q * q - 2 * np.log(0.5)) ** 0.5) and s.fast / s.slow == pytest.approx(1.5)
+
+
+def test_implied_vol_of_the_least_of_three(spark):
+    from fathomline.operators import montecarlo as mc
+
+    base = {"f0": 80.0, "f1": 81.0, "f2": 79.5, "v0": 0.3, "v1": 0.3, "v2": 0.3, "t": 0.5, "r": 0.04}
+    rho = [[1.0, 0.5, 0.3], [0.5, 1.0, 0.4], [0.3, 0.4, 1.0]]
+    draws = mc.correlated(mc.paths(spark, 20_000, 3, antithetic=True), rho)
+    price = mc.scenario_values(draws, mc.shifted(base, {})).first().value
+    assert mc.implied_least_vol(draws, base, price) == pytest.approx(0.3, abs=1e-3)
+    assert mc.implied_least_vol(draws, base, 500.0) is None
+
+
+def test_curves_keep_started_months_and_bounds(spark):
+    from fathomline.operators import montecarlo as mc
+
+    rows = mc.simulate_curve(spark, [3.0, 3.2], [0.25, 1.0], [0.1, 0.3, 0.6], [0.5], [1.2], 4000, bounds=(2.0, 4.0)).toPandas()
+    assert rows["price"].between(2.0, 4.0).all()
+    free = mc.simulate_curve(spark, [3.0, 3.2], [0.25, 1.0], [0.1, 0.3, 0.6], [0.3, 0.2], [1.2, 4.0], 4000).toPandas()
+    first = free[free["tenor"] == 0].pivot(index="path", columns="step", values="price")
+    assert (first[1] == first[2]).all() and (first[0] != first[1]).any()
+    mean = free[free["step"] == 2].groupby("tenor")["price"].agg(["mean", "sem"])
+    assert (abs(mean["mean"] - [3.0, 3.2]) < 4 * mean["sem"]).all()
+
+
+def test_local_vol_without_smile_is_a_spread(spark):
+    from fathomline.operators import montecarlo as mc
+
+    flat = ([0.0, 1.0], [1.0, 1000.0], [[0.3, 0.3], [0.3, 0.3]])
+    r = mc.local_vol_spread(spark, 100.0, 90.0, flat, flat, 0.6, 0.0, 0.5, 0.0, 10, 40_000).first()
+    from fathomline.functions import options as op
+
+    want = op.with_margrabe(spark.range(1), "v", F.lit(100.0), F.lit(90.0), F.lit(0.3), F.lit(0.3), F.lit(0.6), F.lit(0.5)).first().v
+    assert abs(r.value - want) < 4 * r.error
