@@ -16,8 +16,8 @@ PERIODS = {"Q1": (1, 3), "Q2": (4, 3), "Q3": (7, 3), "Q4": (10, 3), "SS": (4, 6)
 #: Delivery month codes of futures, January to December (fixed values of the market).
 MONTH_CODES = "FGHJKMNQUVXZ"
 #: Date formats in the order in which they are tried.
-DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "yyyyMMdd", "dd-MMM-yyyy", "dd-MMM-yy", "dd MMM yyyy", "yyyy/MM/dd", "dd.MM.yyyy", "MMM-yyyy")
-DATETIME_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "yyyy-MM-dd HH:mm", "yyyyMMdd HH:mm:ss", "yyyy/MM/dd HH:mm:ss")
+DATE_FORMATS = ("yyyy-MM-dd", "yyyyMMdd", "yyyy_MM_dd", "dd-MM-yyyy", "dd/MM/yyyy", "dd-MMM-yy", "yyyy-MMM-dd", "dd-MMM-yyyy", "dd-MM-yy", "yyyy-MM-dd '00:00'", "yyyy-MM-dd '00:00:00'", "yyyy-MM-dd'T00:00:00'", "dd MMM yyyy", "yyyy/MM/dd", "dd.MM.yyyy", "MMM-yyyy")
+DATETIME_FORMATS = ("dd/MM/yyyy HH:mm", "dd/MM/yyyy HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyyMMdd HH:mm:ss", "yyyy-MM-dd HH:mm", "dd-MM-yyyy HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy-MM-dd HH:mm:ss.SSSSSS")
 
 
 def years_between(start: Column, end: Column) -> Column:
@@ -107,8 +107,8 @@ def contract_code(day: Column) -> Column:
 
 
 def parse_date(text: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
-    """The first format that fits; whole numbers are spreadsheet serials; null if none fits."""
-    text = F.trim(text)
+    """The first format that fits, after a weekday's name if there is one; whole numbers are spreadsheet serials; null if none fits."""
+    text = F.regexp_replace(F.trim(text), r"^(Mon|Tue|Wed|Thu|Fri|Sat|Sun) ", "")
     serial = F.when(text.rlike(r"^\d{5}$"), from_serial(text.try_cast("int")))
     return F.coalesce(serial, *[F.try_to_date(text, f) for f in formats])
 
@@ -196,6 +196,24 @@ def dst_end(year: Column) -> Column:
     return last_sunday(F.make_date(year, F.lit(10), F.lit(1)))
 
 
+def is_dst_start(day: Column) -> Column:
+    return day == dst_start(F.year(day))
+
+
+def is_dst_end(day: Column) -> Column:
+    return day == dst_end(F.year(day))
+
+
+def midnight(day: Column) -> Column:
+    """The timestamp at which a date begins; a timestamp keeps its time."""
+    return day.cast("timestamp")
+
+
+def month_from_code(day: Column, code: Column) -> Column:
+    """The day of the month that a code like M3 counts from a date; the last of a shorter month."""
+    return F.add_months(day, F.regexp_extract(code, r"^M(\d+)$", 1).try_cast("int"))
+
+
 def months_apart(a: Column, b: Column) -> Column:
     """Whole calendar months from a to b."""
     return (F.year(b) - F.year(a)) * 12 + F.month(b) - F.month(a)
