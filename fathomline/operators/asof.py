@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fathomline.operators.bounds import if_small
+
 
 #: Stretches that the time axis is cut into.
 STRETCHES = 256
@@ -86,16 +88,22 @@ def segments(points: DataFrame, x: str, y: str, by: list[str] | None = None) ->
 
 
 def interpolate(queries: DataFrame, points: DataFrame, at: str, x: str, y: str, by: list[str] | None = None, flat: bool = False) -> DataFrame:
-    """queries with `y` interpolated between the points of its group; beyond the ends along the end segments, or flat."""
+    """queries with `y` interpolated between the points of its group; beyond the ends along the end segments, or flat.
+
+    A query takes the last segment that begins at or before it, by asof(), and the
+    first of its group if there is none. A group of one point, or none, gives null, as
+    does a null query. The points of a group (of all, without `by`) are ordered in one
+    task: they are the quotes of a curve.
+    """
     by = by or []
-    parts = segments(points, x, y, by)
-    inside = (F.col("low").isNull() | (F.col(at) >= F.col("low"))) & (F.col("high").isNull() | (F.col(at) < F.col("high")))
-    on = inside
-    for c in by:
-        on = on & (F.col(f"q.{c}") == F.col(f"s.{c}"))
-    where = F.greatest(F.col("x0"), F.least(F.col("x1"), F.col(at))) if flat else F.col(at)
-    value = F.col("y0") + (F.col("y1") - F.col("y0")) * (where - F.col("x0")) / (F.col("x1") - F.col("x0"))
-    return queries.alias("q").join(parts.alias("s"), on, "left").select("q.*", value.alias(y))
+    parts = segments(points, x, y, by).select(*by, "x0", F.struct("x0", "y0", "x1", "y1").alias("_segment"), F.col("low").isNull().alias("_first"))
+    found = asof(queries, parts, at, "x0", "_segment", by=by).drop("x0_asof")
+    first = parts.where("_first").select(*by, F.col("_segment").alias("_start"))
+    found = found.join(first, by, "left") if by else found.crossJoin(F.broadcast(first.agg(F.min("_start").alias("_start"))))  # one row
+    s = F.when(F.col(at).isNotNull(), F.coalesce("_segment", "_start"))
+    where = F.greatest(s["x0"], F.least(s["x1"], F.col(at))) if flat else F.col(at)
+    value = s["y0"] + (s["y1"] - s["y0"]) * (where - s["x0"]) / (s["x1"] - s["x0"])
+    return found.select(*queries.columns, value.alias(y))
 
 
 def bilinear(queries: DataFrame, grid: DataFrame, strike: str, tenor: str, vol: str) -> DataFrame:
@@ -106,8 +114,8 @@ def bilinear(queries: DataFrame, grid: DataFrame, strike: str, tenor: str, vol:
     ends = grid.agg(F.min(strike).alias("kmin"), F.max(strike).alias("kmax"), F.min(tenor).alias("tmin"), F.max(tenor).alias("tmax"))
     q = queries.crossJoin(F.broadcast(ends))  # one row
     q = q.withColumn("_k", F.greatest("kmin", F.least("kmax", strike))).withColumn("_t", F.greatest("tmin", F.least("tmax", tenor)))
-    q = q.join(F.broadcast(ks), (F.col("_k") >= F.col("k0")) & ((F.col("_k") < F.col("k1")) | ((F.col("k1") == F.col("kmax")) & (F.col("_k") == F.col("kmax")))))
-    q = q.join(F.broadcast(ts), (F.col("_t") >= F.col("t0")) & ((F.col("_t") < F.col("t1")) | ((F.col("t1") == F.col("tmax")) & (F.col("_t") == F.col("tmax")))))
+    q = q.join(if_small(ks), (F.col("_k") >= F.col("k0")) & ((F.col("_k") < F.col("k1")) | ((F.col("k1") == F.col("kmax")) & (F.col("_k") == F.col("kmax")))))
+    q = q.join(if_small(ts), (F.col("_t") >= F.col("t0")) & ((F.col("_t") < F.col("t1")) | ((F.col("t1") == F.col("tmax")) & (F.col("_t") == F.col("tmax")))))
     for a in "01":
         for b in "01":
             corner = grid.select(F.col(strike).alias(f"k{a}"), F.col(tenor).alias(f"t{b}"), F.col(vol).alias(f"v{a}{b}"))

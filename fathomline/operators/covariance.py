@@ -12,6 +12,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomline.operators.bounds import if_small
+
 
 def full_rho(upper: DataFrame) -> DataFrame:
     """All pairs (i, j, rho) from those above the diagonal."""
@@ -71,7 +73,7 @@ class Factors:
 
     def scale_sigma(self, lsu: str, factor: float) -> Factors:
         own = self.bridge.where(F.col("lsu") == lsu).select("idx", F.lit(factor).alias("_x"))
-        new = self.factors.join(F.broadcast(own), "idx", "left").withColumn("sigma", F.col("sigma") * F.coalesce("_x", F.lit(1.0))).drop("_x")
+        new = self.factors.join(if_small(own), "idx", "left").withColumn("sigma", F.col("sigma") * F.coalesce("_x", F.lit(1.0))).drop("_x")
         return replace(self, factors=new)
 
     def override_sigma(self, idx: int, sigma: float) -> Factors:
@@ -91,13 +93,13 @@ class Factors:
     def shift_third(self, lsu: str, shift: float) -> Factors:
         """Add to the volatility of an underlying's third factor, if it has one."""
         own = self._ordered().where((F.col("lsu") == lsu) & (F.col("k") == 3)).select("idx", F.lit(shift).alias("_x"))
-        return replace(self, factors=self.factors.join(F.broadcast(own), "idx", "left").withColumn("sigma", F.col("sigma") + F.coalesce("_x", F.lit(0.0))).drop("_x"))
+        return replace(self, factors=self.factors.join(if_small(own), "idx", "left").withColumn("sigma", F.col("sigma") + F.coalesce("_x", F.lit(0.0))).drop("_x"))
 
     def first_factors(self, n: int = 2) -> Factors:
         """The n slowest factors of each underlying only."""
         keep = self._ordered().where(F.col("k") <= n).select("idx").distinct()
-        rho = self.rho.join(F.broadcast(keep.withColumnRenamed("idx", "i")), "i", "left_semi").join(F.broadcast(keep.withColumnRenamed("idx", "j")), "j", "left_semi").select("i", "j", "rho")
-        return Factors(self.factors.join(F.broadcast(keep), "idx", "left_semi"), self.bridge.join(F.broadcast(keep), "idx", "left_semi"), rho)
+        rho = self.rho.join(if_small(keep.withColumnRenamed("idx", "i")), "i", "left_semi").join(if_small(keep.withColumnRenamed("idx", "j")), "j", "left_semi").select("i", "j", "rho")
+        return Factors(self.factors.join(if_small(keep), "idx", "left_semi"), self.bridge.join(if_small(keep), "idx", "left_semi"), rho)
 
     def shift_rho(self, lsu1: str, lsu2: str, shift: float, same: float = 0.9998) -> Factors:
         """Add to the correlations between the factors of two underlyings; factors correlated above `same` with one of these move with it."""
@@ -109,7 +111,7 @@ class Factors:
         out = self.rho
         for name in ("i", "j"):
             for lsu in (lsu1, lsu2):
-                out = out.join(F.broadcast(owned(lsu, name)), name, "left")
+                out = out.join(if_small(owned(lsu, name)), name, "left")
         across = (F.col(f"_i{lsu1}") & F.col(f"_j{lsu2}")) | (F.col(f"_i{lsu2}") & F.col(f"_j{lsu1}"))
         moved = F.coalesce(across, F.lit(False)) & (F.col("rho") <= same)
         return replace(self, rho=out.select("i", "j", F.when(moved, F.col("rho") + shift).otherwise(F.col("rho")).alias("rho")))

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fathomline.operators.bounds import if_small
+
 
 #: Series whose full correlation matrix may be asked for.
 MAX_SERIES = 2000
@@ -187,7 +189,7 @@ def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int) -
 
 def composite(months: DataFrame, members: DataFrame, by: list[str], month: str, value: str) -> DataFrame:
     """Period averages (by, period, value) where every month of the period has a value. members: (period, month, size)."""
-    joined = months.where(F.col(value).isNotNull()).join(F.broadcast(members), month)
+    joined = months.where(F.col(value).isNotNull()).join(if_small(members), month)
     out = joined.groupBy(*by, "period").agg(F.avg(value).alias(value), F.count("*").alias("n"), F.first("size").alias("size"))
     return out.where("n = size").drop("n", "size")
 

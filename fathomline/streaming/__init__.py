@@ -1,0 +1 @@
+"""The same bars and order states on streams of events."""

@@ -248,3 +248,13 @@ def test_local_vol_without_smile_is_a_spread(spark):
 
     want = op.with_margrabe(spark.range(1), "v", F.lit(100.0), F.lit(90.0), F.lit(0.3), F.lit(0.3), F.lit(0.6), F.lit(0.5)).first().v
     assert abs(r.value - want) < 4 * r.error
+
+
+def test_interpolation_between_points_of_groups(spark):
+    points = spark.createDataFrame([("a", 1.0, 10.0), ("a", 2.0, 20.0), ("a", 4.0, 0.0), ("b", 0.0, 5.0)], "g string, x double, y double")
+    asked = spark.createDataFrame([("a", t) for t in (0.0, 1.0, 1.5, 3.0, 4.0, 5.0)] + [("a", None), ("b", 1.0), ("c", 1.0)], "g string, t double")
+    want = {0.0: 0.0, 1.0: 10.0, 1.5: 15.0, 3.0: 10.0, 4.0: 0.0, 5.0: -10.0}
+    got = asof.interpolate(asked, points, "t", "x", "y", by=["g"]).collect()
+    assert {(r.g, r.t): r.y for r in got} == {**{("a", k): v for k, v in want.items()}, ("a", None): None, ("b", 1.0): None, ("c", 1.0): None}
+    flat = asof.interpolate(asked.where("g = 'a'").select("t"), points.where("g = 'a'").select("x", "y"), "t", "x", "y", flat=True).collect()
+    assert {r.t: r.y for r in flat} == {**want, 0.0: 10.0, 5.0: 0.0, None: None}
