@@ -36,7 +36,7 @@ def stage(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
 
 
 def unstage(df: DataFrame) -> None:
-    """Delete the files of a staged table that nothing reads any more."""
+    """Delete the files of a staged table that nothing reads any more; an empty table may have none."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     for name in {re.match(r".*?/fathomline/[^/]+", f)[0] for f in df.inputFiles()}:
