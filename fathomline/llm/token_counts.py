@@ -16,8 +16,8 @@ from fathomline.llm._shared import BATCH_BYTES, by_bytes
 
 #: Longest run that is encoded at once, in characters, where a safe boundary allows.
 PIECE_CHARS = 1 << 16
-#: Units whose lengths a worker remembers, at most.
-REMEMBERED = 600_000
+#: Units whose lengths a worker remembers, at most, and the longest that it does, in characters.
+REMEMBERED, LONGEST = 600_000, 128
 #: A single space before a character that isn't white space starts a pre-token, whatever stands before it.
 BOUNDARY = re.compile(r" (?=\S)")
 UNSAFE = re.compile(r" (?:\s|$)")
@@ -68,7 +68,7 @@ def lengths(texts: list[str], path: str) -> list[int]:
     seen: Counter = Counter()
     for parts in split:
         seen.update(parts[1:])
-    new = [x for x, n in seen.items() if n > 1 and x not in known]
+    new = [x for x, n in seen.items() if n > 1 and len(x) <= LONGEST and x not in known]
     if new:
         if len(known) + len(new) > REMEMBERED:
             known.clear()

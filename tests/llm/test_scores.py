@@ -234,3 +234,32 @@ def test_token_counts_random_texts():
 def test_token_counts_empty(spark, nothing):
     assert token_counts.count_tokens(nothing, tokenizer_path("byte_bpe_50k.json")).count() == 0
     assert op7_token_counts(spark, "/root/testdata/sf0.001").columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+
+
+def test_languages_are_told_by_cosine(spark, sample):
+    """The decision and its score against vectors that are bound and bundled letter by letter."""
+    import numpy as np
+
+    docs = sample.where("length(text) < 400 or text is null").select("doc_id", "text", "lang")
+    langs, prototypes = hypervectors.fit(hypervectors.learning_rows(docs, F.lit(True)), dimensions=256)
+    letters = {}
+
+    def vector(c):
+        if c not in letters:
+            letters[c] = hypervectors.letter_vector(ord(c) if c else 0, 256).astype(int)
+        return letters[c]
+
+    for r in hypervectors.predict(docs, (langs, prototypes)).join(docs, "doc_id").collect():
+        words = re.findall(r"[^\W\d_]+", (r.text or "").lower())
+        total = np.zeros(256, int)
+        for w in words:
+            row = ["", *w, ""]
+            for a, b, c in zip(row, row[1:], row[2:]):
+                total += np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c)
+        if not words:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        cosine = prototypes @ total / np.maximum(np.linalg.norm(prototypes, axis=1) * np.linalg.norm(total), 1e-12)
+        assert r.score == pytest.approx(max(cosine.max(), 0), abs=1e-4)
+        if np.sort(cosine)[-1] - np.sort(cosine)[-2] > 1e-4:
+            assert r.lang_pred == langs[int(cosine.argmax())]
