@@ -40,6 +40,8 @@ TEXT_BITS, META_SLOTS = 18, 4096
 #: Share of the sample kept for calibration: one in so many.
 CALIBRATION = 4
 VIEWS = ("text", "meta")
+#: Bytes of text whose features are made at once.
+PART_BYTES = 1 << 20
 
 #: Classes of bytes: other, lower case, upper case, digit, space, newline, punctuation of prose, other punctuation, beyond ASCII.
 _CLASS = np.zeros(256, np.int32)
@@ -157,7 +159,7 @@ def _staged(docs: DataFrame, labels: DataFrame, heads: list[Column]) -> DataFram
     names = ["part", "y", "text", "meta"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, "text"):
+        for b in by_bytes(batches, "text", PART_BYTES):
             part, y, *rest = b.columns
             found = features(*(c.to_pylist() for c in rest))
             lists = [pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(slots)) for slots, edges in (found[v] for v in VIEWS)]
@@ -322,7 +324,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     own = {c: docs.columns.index(c) if c in docs.columns else None for c in ("text", "source", "lang", "n_chars")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, "text"):
+        for b in by_bytes(batches, "text", PART_BYTES):
             columns = [b.column(k).to_pylist() if k is not None else [None] * b.num_rows for k in own.values()]
             p = model.probabilities(features(*columns), b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, k]) for k in range(3))], [*b.schema.names, *added])
