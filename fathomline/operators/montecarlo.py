@@ -48,9 +48,19 @@ def terminal(forward: Column, vol: Column, t: Column, w: Column) -> Column:
     return forward * F.exp(vol * F.sqrt(t) * w - vol * vol * t / 2)
 
 
-def statistics(payoff: Column) -> list[Column]:
-    """Mean, its standard error and the number of paths."""
-    return [F.avg(payoff).alias("value"), (F.stddev_samp(payoff) / F.sqrt(F.count(payoff))).alias("error"), F.count(payoff).alias("paths")]
+def statistics(payoff: Column, population: bool = False) -> list[Column]:
+    """Mean, its standard error (by the deviation of the sample, or of the population) and the number of paths."""
+    deviation = (F.stddev_pop if population else F.stddev_samp)(payoff)
+    return [F.avg(payoff).alias("value"), (deviation / F.sqrt(F.count(payoff))).alias("error"), F.count(payoff).alias("paths")]
+
+
+def step_times(days: int, near: int = 60, far_step: int = 7) -> list[float]:
+    """Years at which a simulation of so many days stops: every far_step days while more than `near` are left, then daily."""
+    at, out = 0, []
+    while at < days:
+        at = min(at + far_step, days - near) if days - at > near else at + 1
+        out.append(at / 365)
+    return out
 
 
 def truncated_normal(u: Column, low: float, high: float, mean: float, sd: float) -> Column:
@@ -64,13 +74,13 @@ def jump(u: Column, z: Column, probability: float, mean: float, sd: float) -> Co
     return F.when(u < probability, mean + sd * z).otherwise(0.0)
 
 
-def spread_option(spark: SparkSession, forwards: list[float], vols: list[float], rho: list[list[float]], strike: float, t: float, r: float, n: int, seed: int | None = None, antithetic: bool = False, weights: list[float] | None = None) -> DataFrame:
+def spread_option(spark: SparkSession, forwards: list[float], vols: list[float], rho: list[list[float]], strike: float, t: float, r: float, n: int, seed: int | None = None, antithetic: bool = False, weights: list[float] | None = None, population: bool = False) -> DataFrame:
     """Value, error and paths of the right to a weighted sum (first minus the others by default) above a strike."""
     weights = weights or [1.0, *[-1.0] * (len(forwards) - 1)]
     rows = correlated(paths(spark, n, len(forwards), seed, antithetic), rho)
     ends = [terminal(F.lit(f), F.lit(v), F.lit(t), F.col(f"w{i}")) for i, (f, v) in enumerate(zip(forwards, vols))]
     payoff = F.exp(F.lit(-r * t)) * F.greatest(sum((F.lit(w) * e for w, e in zip(weights, ends)), F.lit(0.0)) - strike, F.lit(0.0))
-    return rows.agg(*statistics(payoff))
+    return rows.agg(*statistics(payoff, population))
 
 
 def cargo_option(spark: SparkSession, forwards: list[float], vols: list[float], rho: list[list[float]], r: float, t: float, days: float, boil_off: float, start_mmbtu: float, slope: float, costs: float, jumps: list[tuple[float, float, float]], n: int, seed: int | None = None) -> DataFrame:
@@ -237,12 +247,15 @@ def simulate_factors(spark: SparkSession, sigma: list[float], alpha: list[float]
     return spark.range(n).mapInArrow(run, "path long, step int, factor int, state double")
 
 
-def local_vol_spread(spark: SparkSession, f1: float, f2: float, grid1: tuple, grid2: tuple, rho: float, strike: float, t: float, r: float, steps: int, n: int, seed: int = 1, cap: float = 0.5) -> DataFrame:
+def local_vol_spread(spark: SparkSession, f1: float, f2: float, grid1: tuple, grid2: tuple, rho: float, strike: float, t: float, r: float, steps: int | list[float], n: int, seed: int = 1, cap: float = 0.5) -> DataFrame:
     """Value, error and paths of a spread option when volatilities depend on price and time.
 
     grids: (times, prices, vols) of a bounded table, looked up bilinearly with flat
-    ends; a volatility that can't be found is the cap.
+    ends; a volatility that can't be found is the cap. steps: equal ones, or the years
+    at which they end (see step_times()), the last of them t.
     """
+    ends = [t * (k + 1) / steps for k in range(steps)] if isinstance(steps, int) else steps
+
     def look_up(grid, time, price):
         times, prices, vols = (np.asarray(x, float) for x in grid)
         i = np.clip(np.searchsorted(times, time) - 1, 0, len(times) - 2)
@@ -251,14 +264,15 @@ def local_vol_spread(spark: SparkSession, f1: float, f2: float, grid1: tuple, gr
         return np.nan_to_num(np.interp(price, prices, row), nan=cap).clip(0, cap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dt = t / steps
         for b in batches:
             path = b.column(0).to_numpy()
-            a, c = np.full(len(path), f1), np.full(len(path), f2)
-            for k in range(steps):
+            a, c, before = np.full(len(path), f1), np.full(len(path), f2), 0.0
+            for k, end in enumerate(ends):
+                dt = end - before
                 z1, z2 = _draws(path, k, 0, seed), _draws(path, k, 1, seed)
                 z2 = rho * z1 + np.sqrt(1 - rho * rho) * z2
-                v1, v2 = look_up(grid1, k * dt, a), look_up(grid2, k * dt, c)
+                v1, v2 = look_up(grid1, before, a), look_up(grid2, before, c)
+                before = end
                 a, c = a * np.exp(v1 * np.sqrt(dt) * z1 - v1 * v1 * dt / 2), c * np.exp(v2 * np.sqrt(dt) * z2 - v2 * v2 * dt / 2)
             yield pa.RecordBatch.from_arrays([pa.array(np.exp(-r * t) * np.maximum(a - c - strike, 0))], ["payoff"])
 
