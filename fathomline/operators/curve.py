@@ -50,3 +50,19 @@ def curve_times(curve: DataFrame, pricing_date: str) -> DataFrame:
 def off_peak(base: Column, peak: Column, peak_hours: Column, off_hours: Column) -> Column:
     """Off-peak price that with the peak price averages to the base price over all hours."""
     return (base * (peak_hours + off_hours) - peak * peak_hours) / off_hours
+
+
+def local_vols(grid: DataFrame, by: list[str], forward: str, strike: str, tenor: str, vol: str) -> DataFrame:
+    """grid with local_vol at the inner points of each group's rectangular grid of implied volatilities: Dupire's formula in total variance and log-moneyness, by differences with the neighbours; null at the edges and where the grid has an arbitrage."""
+    out = grid.withColumns({"_k": F.ln(F.col(strike) / F.col(forward)), "_w": F.col(vol) ** 2 * F.col(tenor)})
+    across, along = Window.partitionBy(*by, tenor).orderBy(strike), Window.partitionBy(*by, strike).orderBy(tenor)
+    near = {f"_{c}{s}": f(c2).over(w) for c, c2, w in (("k", "_k", across), ("w", "_w", across), ("t", tenor, along), ("v", "_w", along)) for s, f in (("0", F.lag), ("1", F.lead))}
+    out = out.withColumns(near)
+    k, w, c = F.col("_k"), F.col("_w"), F.col
+    a, b = k - c("_k0"), c("_k1") - k
+    slope = (c("_w1") - w) / b * a / (a + b) + (w - c("_w0")) / a * b / (a + b)
+    bend = 2 * ((c("_w1") - w) / b - (w - c("_w0")) / a) / (a + b)
+    out = out.withColumns({"_s": slope, "_b": bend, "_r": (c("_v1") - c("_v0")) / (c("_t1") - c("_t0"))})
+    down = 1 - k / w * c("_s") + (-0.25 - 1 / w + k * k / (w * w)) * c("_s") ** 2 / 4 + c("_b") / 2
+    value = F.when((down > 1e-12) & (c("_r") > 0), F.sqrt(c("_r") / down))
+    return out.select(*grid.columns, value.alias("local_vol"))

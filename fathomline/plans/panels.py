@@ -261,6 +261,20 @@ def curve_on_day(spark, sf_dir):
     return o.where(F.col("d") == F.lit(day)).select("lsu", "contract", r("price"))
 
 
+_SURFACE = "g AS (SELECT n_nationkey AS id, 100.0 AS f, 70.0 + 10 * i AS k, 0.25 * j AS t, 0.2 + n_nationkey / 200.0 + (i - 3) * (i - 3) / 400.0 + 0.02 / j AS v FROM nation, (SELECT unnest(range(7)) AS i), (SELECT unnest(range(1, 6)) AS j))"
+
+
+@query("local_vols", f"""WITH {_SURFACE}, x AS (SELECT *, ln(k / f) AS m, v * v * t AS w FROM g), n AS (SELECT *, lag(m) OVER a AS m0, lead(m) OVER a AS m1, lag(w) OVER a AS w0, lead(w) OVER a AS w1, lag(t) OVER b AS t0, lead(t) OVER b AS t1, lag(w) OVER b AS v0, lead(w) OVER b AS v1 FROM x WINDOW a AS (PARTITION BY id, t ORDER BY k), b AS (PARTITION BY id, k ORDER BY t)),
+d AS (SELECT *, (w1 - w) / (m1 - m) * (m - m0) / (m1 - m0) + (w - w0) / (m - m0) * (m1 - m) / (m1 - m0) AS s, 2 * ((w1 - w) / (m1 - m) - (w - w0) / (m - m0)) / (m1 - m0) AS c, (v1 - v0) / (t1 - t0) AS r FROM n), e AS (SELECT *, 1 - m / w * s + (-0.25 - 1 / w + m * m / (w * w)) * s * s / 4 + c / 2 AS q FROM d)
+SELECT id, k, t, CASE WHEN q > 1e-12 AND r > 0 THEN round(sqrt(r / q), 7) END AS local_vol FROM e""")
+def local_vols(spark, sf_dir):
+    """Local volatilities of 25 grids of implied ones."""
+    i, j = F.explode(F.sequence(F.lit(0), F.lit(6))), F.explode(F.sequence(F.lit(1), F.lit(5)))
+    g = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), i.alias("i")).select("id", "i", j.alias("j"))
+    g = g.select("id", F.lit(100.0).alias("f"), (70.0 + 10 * F.col("i")).alias("k"), (0.25 * F.col("j")).alias("t"), (0.2 + F.col("id") / 200.0 + (F.col("i") - 3) * (F.col("i") - 3) / 400.0 + 0.02 / F.col("j")).alias("v"))
+    return curve.local_vols(g, ["id"], "f", "k", "t", "v").select("id", "k", "t", F.round("local_vol", 7).alias("local_vol"))
+
+
 dated("start", "hub_curves", "hub_spreads", "import_floor", "first_tenors", "outright_prices", "off_peak_prices")
 dated("d", "relative_prices", "relative_returns")
 dated("d contract", "bad_quotes", "quoted_rows", "generic_contracts")
