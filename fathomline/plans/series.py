@@ -121,6 +121,22 @@ def quoted_hubs(spark, sf_dir):
     return pn.quoted(hubs(spark, sf_dir), ["start"], "price").groupBy("start").agg(F.count("*").alias("hubs"), F.round(F.avg("price"), 6).alias("mean")).where("hubs = 5")
 
 
+@query("calibrated_spread", f"""WITH {OBS}, p AS (SELECT lsu, d, avg(price) AS price FROM obs GROUP BY 1, 2), x AS (SELECT lsu, d, ln(price / lag(price) OVER (PARTITION BY lsu ORDER BY d)) AS ret FROM p),
+c AS (SELECT (SELECT arg_max(price, d) FROM p WHERE lsu = 'U0') AS f0, (SELECT arg_max(price, d) FROM p WHERE lsu = 'U1') AS f1, (SELECT stddev_samp(ret) * sqrt(252) FROM x WHERE lsu = 'U0') AS v0, (SELECT stddev_samp(ret) * sqrt(252) FROM x WHERE lsu = 'U1') AS v1, (SELECT corr(a.ret, b.ret) FROM x a JOIN x b USING (d) WHERE a.lsu = 'U0' AND b.lsu = 'U1') AS rho),
+{_weyl(N, 2)}, e AS (SELECT f0 * exp(v0 * 0.1 * z0 - v0 * v0 * 0.01 / 2) - f1 * exp(v1 * 0.1 * (rho * z0 + sqrt(1 - rho * rho) * z1) - v1 * v1 * 0.01 / 2) AS s FROM z, c) SELECT round(avg(greatest(s, 0)), 3) AS value, count(*) AS paths FROM e""")
+def calibrated_spread(spark, sf_dir):
+    """A spread of two underlyings over a hundredth of a year, with prices, volatilities and correlation measured from their history: one row that all paths get."""
+    p = observations(spark, sf_dir).groupBy("lsu", "d").agg(F.avg("price").alias("price"))
+    rets = ts.lag_returns(p, ["lsu"], "d", "price")
+    own = lambda k, c: F.max(F.when(F.col("lsu") == f"U{k}", F.col(c)))
+    each = rets.groupBy("lsu").agg(F.max_by("price", "d").alias("f"), ts.annualised("ret", 252).alias("v")).agg(own(0, "f").alias("f0"), own(1, "f").alias("f1"), own(0, "v").alias("v0"), own(1, "v").alias("v1"))
+    corr = rets.groupBy("d").agg(own(0, "ret").alias("a"), own(1, "ret").alias("b")).agg(F.corr("a", "b").alias("rho"))
+    rows = mc.paths(spark, N, 2).crossJoin(F.broadcast(each.crossJoin(corr)))  # one row
+    t, c = F.lit(0.01), F.col
+    ends = [mc.terminal(c("f0"), c("v0"), t, c("z0")), mc.terminal(c("f1"), c("v1"), t, c("rho") * c("z0") + F.sqrt(1 - c("rho") ** 2) * c("z1"))]
+    return rows.agg(*mc.statistics(F.greatest(ends[0] - ends[1], F.lit(0.0)))).select(r("value", 3), "paths")
+
+
 dated("d", "return_columns", "spread_pairs")
 dated("d contract", "cargo_series")
 dated("month", "on_water")
