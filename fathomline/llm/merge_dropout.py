@@ -33,8 +33,8 @@ DROPOUT = 0.1
 #: Longest part whose agenda is a column of an array, and lengths that such arrays have.
 LONG = 64
 WIDTHS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 24, 40, LONG)
-#: Columns that are worked on together, and bytes of text in a batch.
-COLUMNS, BYTES = 8192, 1 << 20
+#: Columns that are worked on together, bytes of text in a batch, and characters of texts that are worked on at once.
+COLUMNS, BYTES, CHARS = 8192, 1 << 20, 1 << 20
 #: Factors of the three places of a candidate in its draw.
 _PLACES = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 _NONE, _LOW = 0xFFFFFF, 24
@@ -125,6 +125,8 @@ class Pieces:
             for k in range(1, len(p)):
                 if p[:k] in symbol and p[k:] in symbol:
                     found[symbol[p[:k]], symbol[p[k:]]] = i
+        #: Whether a piece goes on with a space after another character.
+        self.crossed = any(b == MARK and a != MARK for p in self.ids for a, b in zip(p, p[1:]))
         both = np.array(list(found), np.int64).reshape(-1, 2)
         self.pairs = Pairs(both[:, 0] * (self.other + 1) + both[:, 1], np.array(list(found.values()), np.int64), self.other + 1)
 
@@ -231,13 +233,42 @@ def text_key(doc: object, text: str) -> bytes:
     return b"i" + str(doc).encode() if doc is not None else b"t" + text.encode()
 
 
+def stretches(text: str, whole: bool) -> list[tuple[int, str]]:
+    """A text with a space before it, cut into stretches of about CHARS characters, and where each begins: only before a space after another character, where no piece goes on. whole: it can't be cut."""
+    spaced, out, first = " " + text, [], 0
+    while not whole and len(spaced) - first > CHARS:
+        at = spaced.find(" ", first + CHARS)
+        while at > 0 and spaced[at - 1] == " ":
+            at = spaced.find(" ", at + 1)
+        if at < 0:
+            break
+        out.append((first, spaced[first:at]))
+        first = at
+    return [*out, (first, spaced[first:])]
+
+
 def encode_batch(texts: list[str], path: str, seed: int, keys: list[bytes], dropout: float = DROPOUT) -> list[np.ndarray]:
-    """Ids of texts. The draws depend on the seed, a text's key and the places of a candidate."""
+    """Ids of texts. The draws depend on the seed, a text's key and the places of a candidate. Long texts are worked on in stretches."""
+    whole = vocabulary(path).crossed
+    parts = [(i, first, part) for i, t in enumerate(texts) if t for first, part in stretches(t, whole)]
+    found: list[list[np.ndarray]] = [[] for _ in texts]
+    at = 0
+    while at < len(parts):
+        last, size = at, 0
+        while last < len(parts) and (last == at or size + len(parts[last][2]) <= CHARS):
+            size += len(parts[last][2])
+            last += 1
+        own = parts[at:last]
+        for (i, _, _), ids in zip(own, _encode([p for _, _, p in own], [f for _, f, _ in own], path, seed, [keys[i] for i, _, _ in own], dropout)):
+            found[i].append(ids)
+        at = last
+    return [np.concatenate(x) if x else np.zeros(0, np.int32) for x in found]
+
+
+def _encode(spaced: list[str], origins: list[int], path: str, seed: int, keys: list[bytes], dropout: float) -> list[np.ndarray]:
+    """Ids of stretches of texts that begin at origins."""
     pieces, limit = vocabulary(path), int(dropout * 0x100000000)
-    spaced = [" " + t if t else "" for t in texts]
     joined = "".join(spaced)
-    if not joined:
-        return [np.zeros(0, np.int32)] * len(texts)
     points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     sym = pieces.char[points]
     edges = np.cumsum([0, *map(len, spaced)])
@@ -250,7 +281,7 @@ def encode_batch(texts: list[str], path: str, seed: int, keys: list[bytes], drop
     first = np.flatnonzero(cut)
     first, sizes = first[:-1], np.diff(first)
     doc = np.searchsorted(edges, first, side="right") - 1
-    start, own_keys = first - edges[doc], digests[doc]
+    start, own_keys = first - edges[doc] + np.array(origins)[doc], digests[doc]
     low = 2
     for width in WIDTHS:
         group = np.flatnonzero((sizes >= low) & (sizes <= width))

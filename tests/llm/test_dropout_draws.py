@@ -88,9 +88,10 @@ def test_each_candidate_is_skipped_at_the_rate():
         assert np.abs(both[~np.eye(8, dtype=bool)] - 0.01).max() < 0.003
 
 
-@pytest.mark.parametrize("columns", [8192, 3])
-def test_agendas_in_step_are_a_plain_agenda(monkeypatch, columns):
+@pytest.mark.parametrize("columns, chars", [(8192, 1 << 20), (3, 1 << 20), (8192, 7)])
+def test_agendas_in_step_are_a_plain_agenda(monkeypatch, columns, chars):
     monkeypatch.setattr(merge_dropout, "COLUMNS", columns)
+    monkeypatch.setattr(merge_dropout, "CHARS", chars)
     for seed, key in ((5, b"i1"), (5, b"i2"), (6, b"i1")):
         got = merge_dropout.encode_batch(TEXTS, PIECES, seed, [key] * len(TEXTS))
         assert [g.tolist() for g in got] == [brute(t, seed, key) for t in TEXTS]
