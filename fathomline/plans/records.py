@@ -183,7 +183,7 @@ def converted_cells(spark, sf_dir):
         cn.tenor_text(F.when(z % 2 == 0, F.concat(s, F.lit(".0"))).otherwise(" Q1_26")).alias("tenor"),
         cn.date_text(F.when(z % 2 == 0, F.lit("31/01/2026")).otherwise("12.5")).alias("day"),
         cn.curve_name(F.element_at(F.array(F.lit("Dutch TTF Natural Gas Futures Forward"), F.lit("ICE Brent Forward"), F.lit("Other")), z % 3 + 1)).alias("curve"),
-        cn.cleaned(F.concat(F.lit("C"), s, F.lit(" BGN Curncy")), " BGN", " Curncy").alias("code"),
+        cn.cleaned(F.concat(F.lit("C"), s, F.lit(" Comdty px")), " Comdty", " px").alias("code"),
     )
 
 
