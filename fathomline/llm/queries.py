@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import chosen_path, cotraining, hypervectors, infilling, line_windows, merge_dropout, mixcoder, positions, ppm, raster, resampling, token_counts
+from fathomline.llm import chosen_path, cotraining, hypervectors, infilling, line_windows, merge_dropout, mixcoder, positions, ppm, raster, resampling, suffix_sort, token_counts
 from fathomline.llm._shared import id_crc32
 
 
@@ -92,6 +92,12 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of 50-byte strings that start in a document of a smaller id."""
+    found = suffix_sort.dedup_strings(table(spark, sf_dir, "documents"), depth=50)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in fill-in-middle form, and the texts restored from it."""
     found = infilling.fill_in_middle(table(spark, sf_dir, "documents"), seed=1, plain_percent=10, spm_percent=20)
@@ -154,6 +160,30 @@ placed AS (
 SELECT doc_id, n_features, weight, score, k AS rank FROM scored LEFT JOIN (SELECT doc_id, k FROM placed WHERE k <= 10 * n // 100) USING (doc_id)
 """
 
+OP12_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(hex(encode(text)), '') AS x, coalesce(octet_length(encode(text)), 0) AS n FROM documents),
+w AS (
+  SELECT doc_id, unnest(range(n - 49)) AS i, x FROM d WHERE n >= 50),
+k AS (
+  SELECT doc_id, i, substr(x, (2 * i + 1)::INT, 100) AS key FROM w),
+later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY key) AS first FROM k) WHERE first < doc_id),
+steps AS (
+  SELECT *, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, true) AS new FROM later),
+spans AS (
+  SELECT doc_id, min(i) AS a, max(i) + 50 AS b
+  FROM (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM steps) GROUP BY doc_id, g),
+parts AS (
+  SELECT doc_id, a, b, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS k FROM spans),
+cut AS (
+  SELECT p.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans,
+         string_agg(CASE WHEN k = 1 THEN substr(x, 1, (2 * a)::INT) ELSE '' END || substr(x, (2 * b + 1)::INT, (2 * (coalesce(next, n) - b))::INT), '' ORDER BY a) AS kept
+  FROM parts p JOIN d ON p.doc_id = d.doc_id GROUP BY p.doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN cut ON d.doc_id = cut.doc_id
+"""
+
 OP13_SQL = """
 WITH h AS (
   SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS x FROM documents),
@@ -183,7 +213,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_token_id_coder": op10_token_id_coder,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op11_importance_resampling": OP11_SQL, "op13_fill_in_middle": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op11_importance_resampling": OP11_SQL, "op12_suffix_dedup": OP12_SQL, "op13_fill_in_middle": OP13_SQL}
