@@ -59,7 +59,7 @@ def build_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             whole = b"\0".join([*(data[i:j].tobytes() for i, j in zip(at[:-1], at[1:])), b""])
             ends = at[1:] + np.arange(1, b.num_rows + 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([(TaskContext.get().partitionId() << 32) + n]), pa.array([b.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64())), pa.array([len(whole)], pa.int64()), pa.array([pa.compress(whole, "zstd", asbytes=True)])],
+                [pa.array([(TaskContext.get().partitionId() << 32) + n]), pa.array([b.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64())), pa.array([len(whole)], pa.int64()), pa.array([squeezed(whole)])],
                 ["block", "ids", "ends", "size", "data"],
             )
 
@@ -72,7 +72,7 @@ class Block:
 
     def __init__(self, row: dict):
         self.number, self.size = row["block"], row["size"]
-        self.data = (pa.decompress(row["data"], decompressed_size=self.size, codec="zstd", asbytes=True) if self.size else b"") + _PAD
+        self.data = opened(row["data"], self.size) + _PAD
         self.ids = row["ids"]
         self.rank = np.array([NO_ID if x is None else x for x in self.ids], np.int64)
         self.starts = np.array([0, *row["ends"][:-1]], np.int64)
@@ -137,6 +137,14 @@ def slices(part: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
     return ((k, slice(int(at[k]), int(at[k + 1]))) for k in np.flatnonzero(np.diff(at)).tolist())
 
 
+def squeezed(data: bytes) -> bytes:
+    return pa.compress(data, "zstd", asbytes=True)
+
+
+def opened(data: bytes, size: int) -> bytes:
+    return pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+
+
 def packed(block: Block, bucket: int, *columns: np.ndarray | bytes) -> tuple:
     return (block.number, bucket, *(c if isinstance(c, bytes) else c.tobytes() for c in columns))
 
@@ -224,8 +232,8 @@ def string_hashes(data: np.ndarray, place: np.ndarray, depth: int) -> np.ndarray
 def shared_runs(blocks: DataFrame, replies: DataFrame, depth: int, first_buckets: int, n_buckets: int) -> DataFrame:
     """The distinct runs of shared digits of every block, with all their occurrences, by bucket.
 
-    Columns: block, bucket, digits (uint64), lengths (int32), text (lengths + depth - 1 bytes of each),
-    times (int32, occurrences of each), places (int32) and owners (int64) of all occurrences.
+    Columns: block, bucket, digits (uint64), lengths (int32), text (lengths + depth - 1 bytes of each, compressed),
+    times (int32, occurrences of each), places (int32) and owners (int64, compressed) of all occurrences.
     """
     names = ["block", "bucket", "digits", "lengths", "text", "times", "places", "owners"]
     told = replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("replies")).withColumnRenamed("block", "_block")
@@ -254,7 +262,7 @@ def shared_runs(blocks: DataFrame, replies: DataFrame, depth: int, first_buckets
                     at = groups(own[by])
                     first = by[at]
                     times = np.diff(at, append=len(by)).astype(np.int32)
-                    rows.append(packed(block, k, digit[s][first], length[s][first].astype(np.int32), b"".join(number), times, place[s][by].astype(np.int32), block.rank[text[s][by]]))
+                    rows.append(packed(block, k, digit[s][first], length[s][first].astype(np.int32), squeezed(b"".join(number)), times, place[s][by].astype(np.int32), squeezed(block.rank[text[s][by]].tobytes())))
                     if len(rows) == 64:
                         yield batch(rows, names)
                         rows = []
@@ -297,15 +305,15 @@ def covered(shared: DataFrame, depth: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block").to_numpy()
         read = lambda name, kind: [np.frombuffer(x.as_py(), kind) for x in table.column(name)]
-        digit, length, times = (np.concatenate(read(n, k)) for n, k in (("digits", np.uint64), ("lengths", np.int32), ("times", np.int32)))
-        places, owners = read("places", np.int32), read("owners", np.int64)
+        digit, times, lengths, places = np.concatenate(read("digits", np.uint64)), np.concatenate(read("times", np.int32)), read("lengths", np.int32), read("places", np.int32)
         n_places = [len(p) for p in places]
+        owners = [np.frombuffer(opened(x.as_py(), 8 * n), np.int64) for x, n in zip(table.column("owners"), n_places)]
+        text = b"".join([*(opened(x.as_py(), int(n.sum()) + (depth - 1) * len(n)) for x, n in zip(table.column("text"), lengths)), _PAD])
         place, owner = np.concatenate(places).astype(np.int64), np.concatenate(owners)
         low = np.minimum.reduceat(owner, np.cumsum(times) - times)  # of each distinct run of a block
 
         # equal runs of several blocks are one
-        length = length.astype(np.int64)
-        text = b"".join(x.as_py() for x in table.column("text")) + _PAD
+        length = np.concatenate(lengths).astype(np.int64)
         end = np.cumsum(length + depth - 1)
         start = end - length - depth + 1
         number: dict[bytes, int] = {}
