@@ -59,7 +59,7 @@ def build_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             whole = b"\0".join([*(data[i:j].tobytes() for i, j in zip(at[:-1], at[1:])), b""])
             ends = at[1:] + np.arange(1, b.num_rows + 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([(TaskContext.get().partitionId() << 32) + n]), pa.array([b.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64())), pa.array([len(whole)], pa.int64()), pa.array([squeezed(whole)])],
+                [pa.array([(TaskContext.get().partitionId() << 32) + n]), pa.array([b.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64())), pa.array([len(whole)], pa.int64()), pa.array([squeezed(whole, 5)])],
                 ["block", "ids", "ends", "size", "data"],
             )
 
@@ -137,8 +137,8 @@ def slices(part: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
     return ((k, slice(int(at[k]), int(at[k + 1]))) for k in np.flatnonzero(np.diff(at)).tolist())
 
 
-def squeezed(data: bytes) -> bytes:
-    return pa.compress(data, "zstd", asbytes=True)
+def squeezed(data: bytes | np.ndarray, level: int = 3) -> bytes:
+    return pa.Codec("zstd", compression_level=level).compress(data if isinstance(data, bytes) else data.tobytes(), asbytes=True)
 
 
 def opened(data: bytes, size: int) -> bytes:
@@ -232,8 +232,9 @@ def string_hashes(data: np.ndarray, place: np.ndarray, depth: int) -> np.ndarray
 def shared_runs(blocks: DataFrame, replies: DataFrame, depth: int, first_buckets: int, n_buckets: int) -> DataFrame:
     """The distinct runs of shared digits of every block, with all their occurrences, by bucket.
 
-    Columns: block, bucket, digits (uint64), lengths (int32), text (lengths + depth - 1 bytes of each, compressed),
-    times (int32, occurrences of each), places (int32) and owners (int64, compressed) of all occurrences.
+    Columns: block, bucket, digits (upper 32 bits: two that only differ below are ordered as one), lengths (uint16),
+    text (lengths + depth - 1 bytes of each), times (int32, occurrences of each), places (int32, differences) and
+    owners (int64) of all occurrences; all but digits and times compressed.
     """
     names = ["block", "bucket", "digits", "lengths", "text", "times", "places", "owners"]
     told = replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("replies")).withColumnRenamed("block", "_block")
@@ -262,7 +263,7 @@ def shared_runs(blocks: DataFrame, replies: DataFrame, depth: int, first_buckets
                     at = groups(own[by])
                     first = by[at]
                     times = np.diff(at, append=len(by)).astype(np.int32)
-                    rows.append(packed(block, k, digit[s][first], length[s][first].astype(np.int32), squeezed(b"".join(number)), times, place[s][by].astype(np.int32), squeezed(block.rank[text[s][by]].tobytes())))
+                    rows.append(packed(block, k, (digit[s][first] >> np.uint64(32)).astype(np.uint32), squeezed(length[s][first].astype(np.uint16)), squeezed(b"".join(number)), times, squeezed(np.diff(place[s][by], prepend=0).astype(np.int32)), squeezed(block.rank[text[s][by]])))
                     if len(rows) == 64:
                         yield batch(rows, names)
                         rows = []
@@ -304,16 +305,19 @@ def covered(shared: DataFrame, depth: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block").to_numpy()
-        read = lambda name, kind: [np.frombuffer(x.as_py(), kind) for x in table.column(name)]
-        digit, times, lengths, places = np.concatenate(read("digits", np.uint64)), np.concatenate(read("times", np.int32)), read("lengths", np.int32), read("places", np.int32)
+        parts = {c: [x.as_py() for x in table.column(c)] for c in ("digits", "lengths", "text", "times", "places", "owners")}
+        digit, times = np.frombuffer(b"".join(parts["digits"]), np.uint32), [np.frombuffer(x, np.int32) for x in parts["times"]]
+        lengths = [np.frombuffer(opened(x, 2 * len(n)), np.uint16).astype(np.int64) for x, n in zip(parts["lengths"], times)]
+        places = [np.cumsum(np.frombuffer(opened(x, 4 * int(n.sum())), np.int32), dtype=np.int64) for x, n in zip(parts["places"], times)]
         n_places = [len(p) for p in places]
-        owners = [np.frombuffer(opened(x.as_py(), 8 * n), np.int64) for x, n in zip(table.column("owners"), n_places)]
-        text = b"".join([*(opened(x.as_py(), int(n.sum()) + (depth - 1) * len(n)) for x, n in zip(table.column("text"), lengths)), _PAD])
-        place, owner = np.concatenate(places).astype(np.int64), np.concatenate(owners)
+        owners = [np.frombuffer(opened(x, 8 * n), np.int64) for x, n in zip(parts["owners"], n_places)]
+        text = b"".join([*(opened(x, int(n.sum()) + (depth - 1) * len(n)) for x, n in zip(parts["text"], lengths)), _PAD])
+        place, owner, times = np.concatenate(places), np.concatenate(owners), np.concatenate(times)
+        del parts
         low = np.minimum.reduceat(owner, np.cumsum(times) - times)  # of each distinct run of a block
 
         # equal runs of several blocks are one
-        length = np.concatenate(lengths).astype(np.int64)
+        length = np.concatenate(lengths)
         end = np.cumsum(length + depth - 1)
         start = end - length - depth + 1
         number: dict[bytes, int] = {}
