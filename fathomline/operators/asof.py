@@ -9,73 +9,94 @@ from pyspark.sql import types as T
 from fathomline.operators.bounds import if_small
 
 
-#: Stretches that the time axis is cut into.
-STRETCHES = 256
+#: Stretches that the axis of keys is cut into: COARSE times as many as there are fine ones in each.
+COARSE, FINE = 16, 16
+
+
+def common_type(left: DataFrame, on: str, right: DataFrame, right_on: str) -> T.DataType:
+    """The type that both keys are compared in: the wider one by Spark's rules (a date beside a time is its midnight). An error if one is a number and the other a time, or either is neither."""
+    kinds = [left.schema[on].dataType, right.schema[right_on].dataType]
+    times = [isinstance(k, T.DateType | T.TimestampType | T.TimestampNTZType) for k in kinds]
+    if times[0] != times[1] or not times[0] and not all(isinstance(k, T.NumericType) for k in kinds):
+        raise TypeError(f"{on} ({kinds[0].simpleString()}) and {right_on} ({kinds[1].simpleString()}) have no order in common")
+    return left.select(F.col(on).alias("k")).union(right.select(F.col(right_on).alias("k"))).schema["k"].dataType
 
 
 def _axis(key: Column, kind: T.DataType) -> Column:
-    """A time or number as a double."""
+    """A double that never falls where the key rises; keys that it can't tell apart are in one stretch and compared there as they are."""
     if isinstance(kind, T.DateType):
         return F.unix_date(key).cast("double")
-    if isinstance(kind, T.TimestampType | T.TimestampNTZType):
-        return F.unix_micros(key.cast("timestamp")).cast("double")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(key).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        return (F.unix_date(key.cast("date")) * 24 + F.hour(key)).cast("double") * 3600 + F.minute(key) * 60 + F.second(key)
     return key.cast("double")
 
 
+def _stretch(x: Column, bounds: Column) -> Column:
+    """How many of the sorted bounds are at or below x, found in two steps."""
+    coarse = F.size(F.filter(F.array(*[F.get(bounds, F.lit(FINE * k - 1)) for k in range(1, COARSE)]), lambda b: b <= x))
+    fine = F.size(F.filter(F.slice(bounds, coarse * FINE + 1, F.lit(FINE - 1)), lambda b: b <= x))
+    return F.coalesce(coarse * FINE + fine, F.lit(0)).cast("int")
+
+
 def asof(left: DataFrame, right: DataFrame, on: str, right_on: str, value: str, by: list[str] | None = None, forward: bool = False) -> DataFrame:
     """left with `value` and its key from the last row of right at or before `on` (the first at or after it if forward), per group.
 
-    The time axis is cut into STRETCHES equal stretches. Within a group's stretch both
-    sides are laid together and a window carries the last value on; what a stretch
-    begins with comes from one row for each stretch of right before it. So there is one
-    shuffle on group and stretch, no task has a whole group, and no pairs are made.
+    Both keys are cast to their common type (see common_type) and compared as they are.
+    The axis is cut at quantiles of the keys of right, a subquery of the same job.
+    Within a group's stretch the distinct keys of left and right are laid together and
+    a window carries the last value on; what a stretch begins with comes from one row
+    for each stretch of right before it. So no task has a whole group, and no pairs are
+    made. Rows of left get what their key has found by an equality join, in which
+    adaptive execution can split a crowded key.
 
     Ties in right take the largest value. Rows of right with a null key match nothing;
-    rows of left without a match, or with a null key, keep nulls. A null in `by` is a
-    group of its own.
+    rows of left without a match, or with a null key, keep nulls. NaN is above all other
+    keys. A null in `by` is a group of its own. Whole numbers beside floating ones are
+    compared as doubles.
     """
-    by = by or []
-    kind = right.schema[right_on].dataType
-    b = right.where(F.col(right_on).isNotNull()).groupBy(*by, right_on).agg(F.max(value).alias("_v"))
-    b = b.select(*by, _axis(F.col(right_on), kind).alias("_t"), F.struct(F.col(right_on).alias("k"), F.col("_v").alias("v")).alias("_v"))
-    a = left.select(*by, _axis(F.col(on), left.schema[on].dataType).alias("_t"), F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_left"))
-    low, high = b.agg(F.min("_t"), F.max("_t")).first()
-    width = (high - low) / STRETCHES if low is not None and high > low else 1.0
-    place = F.least(F.greatest(F.floor((F.col("_t") - (low or 0.0)) / width), F.lit(0)), F.lit(STRETCHES - 1)).cast("int")
-    a, b = a.withColumn("_at", F.coalesce(place, F.lit(0))), b.withColumn("_at", place)
+    by, kind = by or [], common_type(left, on, right, right_on)
+    groups = [f"_g{k}" for k in range(len(by))]
+    named = [F.col(c).alias(g) for c, g in zip(by, groups)]
+    b = right.where(F.col(right_on).isNotNull()).groupBy(*named, F.col(right_on).cast(kind).alias("_k"))
+    b = b.agg(F.max(F.struct(F.col(value).alias("v"), F.col(right_on).alias("k"))).alias("_v"))
+    a = left.where(F.col(on).isNotNull()).select(*named, F.col(on).cast(kind).alias("_k")).distinct()
+    x = _axis(F.col("_k"), kind)
+    shares = F.array(*[F.lit(k / (COARSE * FINE)) for k in range(1, COARSE * FINE)])
+    known = b.select(x.alias("x")).where(~F.isnan("x"))
+    bounds = known.agg(F.percentile_approx("x", shares, F.lit(10 * COARSE * FINE))).scalar()
+    a, b = (d.withColumn("_bounds", bounds).withColumn("_at", _stretch(x, F.col("_bounds"))).drop("_bounds") for d in (a, b))
+
+    none = F.lit(None).cast(b.schema["_v"].dataType)
+    both = a.select(*groups, "_at", "_k", none.alias("_v"), F.lit(1).alias("_mine")).unionByName(b.select(*groups, "_at", "_k", "_v", F.lit(0).alias("_mine")))
+    w = Window.partitionBy(*groups, "_at").orderBy(F.desc("_k") if forward else F.asc("_k"), "_mine").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_hit", F.last("_v", ignorenulls=True).over(w)).where("_mine = 1").drop("_v", "_mine")
 
     # the nearest value of each stretch of right, and from these what later (earlier if forward) stretches begin with
     pick = F.min_by if forward else F.max_by
-    ends = b.groupBy(*by, "_at").agg(pick("_v", "_t").alias("_v"))
-    if by:
-        order = Window.partitionBy(*by).orderBy(F.desc("_at") if forward else F.asc("_at"))
-        ends = ends.withColumn("_next", F.lead("_at").over(order))
+    ends = b.groupBy(*groups, "_at").agg(pick("_v", "_k").alias("_v"))
+    if groups:
+        order = Window.partitionBy(*groups).orderBy(F.desc("_at") if forward else F.asc("_at"))
         # a value holds from the stretch after its own to the next one that has values
-        last = F.coalesce("_next", F.lit(0 if forward else STRETCHES - 1))
+        last = F.coalesce(F.lead("_at").over(order), F.lit(0 if forward else COARSE * FINE - 1))
         first = F.col("_at") + (-1 if forward else 1)
-        spans = ends.where((first >= last) if forward else (first <= last)).select(*by, F.explode(F.sequence(first, last)).alias("_at"), F.col("_v").alias("_carried"))
+        spans = ends.withColumns({"_first": first, "_last": last}).where("_first >= _last" if forward else "_first <= _last")
+        spans = spans.select(*[F.col(g).alias(f"_s{g}") for g in groups], F.explode(F.sequence("_first", "_last")).alias("_s_at"), F.col("_v").alias("_carried"))
+        on_all = F.col("_at") == F.col("_s_at")
+        for g in groups:
+            on_all = on_all & F.col(g).eqNullSafe(F.col(f"_s{g}"))
+        found = found.join(spans, on_all, "left").select(*groups, "_k", F.coalesce("_hit", "_carried").alias("_found"))
     else:
-        found = {r["_at"]: r["_v"] for r in ends.collect()}  # STRETCHES rows at most
-        carried, rows = None, []
-        for k in range(STRETCHES - 1, -1, -1) if forward else range(STRETCHES):
-            if carried is not None:
-                rows.append((k, carried))
-            carried = found.get(k, carried)
-        spans = left.sparkSession.createDataFrame(rows, T.StructType([T.StructField("_at", T.IntegerType()), T.StructField("_carried", b.schema["_v"].dataType)]))
-        spans = F.broadcast(spans)  # STRETCHES rows at most
-    none = F.lit(None)
-    both = a.select(*by, "_at", "_t", none.cast(b.schema["_v"].dataType).alias("_v"), "_left", F.lit(1).alias("_mine")).unionByName(
-        b.select(*by, "_at", "_t", "_v", none.cast(a.schema["_left"].dataType).alias("_left"), F.lit(0).alias("_mine"))
-    )
-    order = (F.desc_nulls_first("_t"), F.asc("_mine")) if forward else (F.asc_nulls_first("_t"), F.asc("_mine"))
-    w = Window.partitionBy(*by, "_at").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_hit", F.last("_v", ignorenulls=True).over(w)).where("_mine = 1")
-    same = [F.col(f"f.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by]
-    on_all = F.col("f._at") == F.col("s._at")
-    for x in same:
-        on_all = on_all & x
-    found = found.alias("f").join(spans.alias("s"), on_all, "left").select("f.*", F.when(F.col("_t").isNotNull(), F.coalesce("_hit", "_carried")).alias("_found"))
-    return found.select("_left.*", F.col("_found.k").alias(f"{right_on}_asof"), F.col("_found.v").alias(value))
+        steps = ends.agg(F.sort_array(F.collect_list(F.struct("_at", "_v")))).scalar()  # one entry for each stretch at most
+        beyond = F.filter("_steps", (lambda e: e["_at"] > F.col("_at")) if forward else (lambda e: e["_at"] < F.col("_at")))
+        carried = F.try_element_at(beyond, F.lit(1 if forward else -1))
+        found = found.withColumn("_steps", steps).select("_k", F.coalesce("_hit", carried["_v"]).alias("_found"))
+    rows = left.select(F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_left"), *[F.col(c).alias(f"_l{g}") for c, g in zip(by, groups)], F.col(on).cast(kind).alias("_on"))
+    same = F.col("_on") == F.col("_k")
+    for g in groups:
+        same = same & F.col(f"_l{g}").eqNullSafe(F.col(g))
+    return rows.join(found, same, "left").select("_left.*", F.col("_found.k").alias(f"{right_on}_asof"), F.col("_found.v").alias(value))
 
 
 def segments(points: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:

@@ -8,38 +8,66 @@ from pyspark.sql import functions as F
 from fathomline.functions import tenor as tn
 
 
-def _members(rows: DataFrame) -> DataFrame:
-    periods = tn.period_table(rows.sparkSession)
-    return F.broadcast(periods.where(F.col("period").isin(*tn.PERIODS)))
+def _map(values: dict) -> Column:
+    return F.create_map(*[x for p, v in values.items() for x in (F.lit(p), F.lit(v))])
+
+
+def _months(first: Column, year: Column, n: Column) -> Column:
+    """The first days of n months from that month of that year."""
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.add_months(F.make_date(year, first, F.lit(1)), k))
+
+
+def _shape(months: Column, years: Column, first: int, n: int) -> Column:
+    """Prices of a period's months over their mean, in the first year of which all are quoted; null without one. months: start to price."""
+    prices = F.transform(years, lambda y: F.transform(_months(F.lit(first), y, F.lit(n)), lambda d: F.try_element_at(months, d)))
+    whole = F.filter(prices, lambda p: F.forall(p, lambda x: x.isNotNull()))
+    over_mean = F.transform(whole, lambda p: F.transform(p, lambda x: x * n / F.aggregate(p, F.lit(0.0), lambda s, y: s + y)))
+    return F.try_element_at(over_mean, F.lit(1))
+
+
+def _gathered(quotes: DataFrame, by: list[str], after: Column | None) -> DataFrame:
+    """One row for each group: months (start to price), longer quotes (period, year, price) and shapes (period to ratios or null). The lowest of several quotes counts; null ones don't."""
+    tenor = F.col("tenor")
+    rows = quotes.where(F.col("price").isNotNull() & tn.valid_tenor(tenor)).groupBy(*by, "tenor").agg(F.min("price").cast("double").alias("price"))
+    start = tn.tenor_date(tenor)
+    own = tn.is_month(tenor) if after is None else tn.is_month(tenor) & (start > after)
+    month = F.when(own, F.struct(start.alias("start"), F.col("price").alias("price")))
+    period = F.when(~tn.is_month(tenor), F.struct(tn.tenor_period(tenor).alias("period"), (2000 + tn.tenor_year(tenor)).alias("year"), F.col("price").alias("price")))
+    out = rows.groupBy(*by).agg(F.map_from_entries(F.collect_list(month)).alias("months"), F.collect_list(period).alias("longer"))
+    out = out.withColumn("years", F.array_sort(F.array_distinct(F.transform(F.map_keys("months"), F.year))))
+    shapes = [x for p, (first, n) in tn.PERIODS.items() for x in (F.lit(p), _shape(F.col("months"), F.col("years"), first, n))]
+    return out.withColumn("shapes", F.create_map(*shapes))
 
 
 def shape_ratios(quotes: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by, period, k, month, ratio): month price over period average in the first year whose months are all quoted, else 1."""
+    """(by, period, k, month, ratio): month price over period average in the first year whose months are all quoted, else 1. One row a group holds its quotes; no joins."""
     by = by or []
-    months = quotes.where(tn.is_month(F.col("tenor"))).select(*by, tn.tenor_date(F.col("tenor")).alias("start"), "price")
-    members = _members(quotes)
-    sizes = {p: n for p, (_, n) in tn.PERIODS.items()}
-    size = F.create_map(*[x for p, n in sizes.items() for x in (F.lit(p), F.lit(n))])
-    parts = months.join(members, F.month("start") == F.col("month")).withColumn("y", F.year("start") - F.col("year_shift"))
-    w = Window.partitionBy(*by, "period", "y")
-    whole = parts.withColumn("n", F.count("*").over(w)).withColumn("mean", F.avg("price").over(w)).where(F.col("n") == size[F.col("period")])
-    first = whole.withColumn("first", F.min("y").over(Window.partitionBy(*by, "period"))).where("y = first").select(*by, "period", "k", (F.col("price") / F.col("mean")).alias("ratio"))
-    groups = quotes.select(*by).distinct() if by else None
-    every = members.select("period", "k", "month")
-    every = groups.crossJoin(every) if groups is not None else every  # 42 fixed rows for each group
-    return every.join(first, [*by, "period", "k"], "left").select(*by, "period", "k", "month", F.coalesce("ratio", F.lit(1.0)).alias("ratio"))
+
+    def ratios(period: str, first: int, n: int) -> Column:
+        own = F.try_element_at("shapes", F.lit(period))
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(F.lit(period).alias("period"), k.alias("k"), ((k + (first - 1)) % 12 + 1).alias("month"), F.coalesce(F.get(own, k), F.lit(1.0)).alias("ratio")))
+
+    return _gathered(quotes, by, None).select(*by, F.inline(F.concat(*[ratios(p, a, n) for p, (a, n) in tn.PERIODS.items()])))
 
 
 def monthly_curve(quotes: DataFrame, pricing_date: str, by: list[str] | None = None) -> DataFrame:
-    """(by, start, price) of all months: quoted ones after the pricing date, others from the first of Q1..Q4, SS, WS, Y that has them, times its shape."""
+    """(by, start, price) of all months: quoted ones after the pricing date, others from the first of Q1..Q4, SS, WS, Y that has them, times its shape.
+
+    quotes: (by, tenor, price). They are read once and brought together in one row a
+    group, in which arrays hold months, shapes and what is inferred. The lowest of
+    several quotes of a tenor counts; null prices and unknown tenors don't.
+    """
     by = by or []
-    own = quotes.where(tn.is_month(F.col("tenor")) & (tn.tenor_date(F.col("tenor")) > F.lit(pricing_date).cast("date")))
-    months = own.select(*by, tn.tenor_date(F.col("tenor")).alias("start"), "price", F.lit(0).alias("rank"))
-    rank = F.create_map(*[x for i, p in enumerate(tn.PERIODS, 1) for x in (F.lit(p), F.lit(i))])
-    longer = tn.monthly_strip(quotes.where(~tn.is_month(F.col("tenor")))).withColumn("period", tn.tenor_period(F.col("tenor")))
-    longer = longer.join(shape_ratios(own, by), [*by, "period", "k"])
-    inferred = longer.select(*by, F.col("month_start").alias("start"), (F.col("price") * F.col("ratio")).alias("price"), rank[F.col("period")].alias("rank"))
-    return months.unionByName(inferred).groupBy(*by, "start").agg(F.min_by("price", F.struct("rank", "price")).alias("price"))
+    first, size, rank = (_map(m) for m in ({p: a for p, (a, _) in tn.PERIODS.items()}, {p: n for p, (_, n) in tn.PERIODS.items()}, {p: k for k, p in enumerate(tn.PERIODS, 1)}))
+
+    def inferred(q: Column) -> Column:
+        ratios = F.try_element_at("shapes", q["period"])
+        starts = _months(first[q["period"]], q["year"], size[q["period"]])
+        return F.transform(starts, lambda d, k: F.struct(d.alias("start"), (q["price"] * F.coalesce(F.get(ratios, k), F.lit(1.0))).alias("price"), rank[q["period"]].alias("rank")))
+
+    own = F.transform(F.map_entries("months"), lambda e: F.struct(e["key"].alias("start"), e["value"].alias("price"), F.lit(0).alias("rank")))
+    rows = _gathered(quotes, by, F.lit(pricing_date).cast("date")).select(*by, F.inline(F.concat(own, F.flatten(F.transform("longer", inferred)))))
+    return rows.groupBy(*by, "start").agg(F.min_by("price", F.struct("rank", "price")).alias("price"))
 
 
 def curve_times(curve: DataFrame, pricing_date: str) -> DataFrame:

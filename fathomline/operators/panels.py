@@ -76,23 +76,34 @@ def to_euro_mwh(pence_therm: Column, euro_pounds: Column) -> Column:
 def hub_spreads(curves: DataFrame, hub: str, reference: str, pence: list[str], fx: DataFrame) -> DataFrame:
     """(hub, start, value, spread, floor) of all hubs but the reference on months that both quote.
 
-    curves (hub, start, price); hubs in `pence` are converted with fx (start, rate), and
-    have a floor: what a hub at 98.5 % of their value less 1.24 allows.
+    curves (hub, start, price), a row for each hub and month; hubs in `pence` are
+    converted with fx (start, rate), and have a floor: what a hub at 98.5 % of their
+    value less 1.24 allows. The reference is spread over a month's rows by a window:
+    curves are read once.
     """
-    own = curves.where(F.col(hub) == reference).select("start", F.col("price").alias("_ref"))
-    rows = curves.where(F.col(hub) != reference).join(own, "start").join(fx, "start", "left")
+    month = Window.partitionBy("start")
+    there = F.max((F.col(hub) == reference).cast("int")).over(month)
+    rows = curves.withColumns({"_ref": F.max(F.when(F.col(hub) == reference, F.col("price"))).over(month), "_there": there})
+    rows = rows.where((F.col(hub) != reference) & (F.col("_there") == 1)).join(fx, "start", "left")
     in_pence = F.col(hub).isin(*pence)
     value = F.when(in_pence, to_euro_mwh(F.col("price"), F.col("rate"))).otherwise(F.col("price"))
     rows = rows.withColumn("value", value)
     return rows.select(hub, "start", "value", (F.col("_ref") - F.col("value")).alias("spread"), F.when(in_pence, F.col("value") * 0.985 - 1.24).alias("floor"))
 
 
-def import_floor(british: DataFrame, continental: DataFrame, discounts: DataFrame, fx: DataFrame) -> DataFrame:
+def import_floor(curves: DataFrame, hub: str, british: str, continental: str, discount: str, fx: DataFrame) -> DataFrame:
     """(start, floor, landed) on months that all quote: 98.5 % of the British price less 0.45 $/MMBtu, and the continental price with its import discount, in euros a megawatt hour.
 
-    british in pence a therm, discounts in $/MMBtu, fx (start, eurusd, gbpusd).
+    curves (hub, start, price): the British hub in pence a therm, the continental one
+    in euros a megawatt hour, the discount in $/MMBtu; fx (start, eurusd, gbpusd). The
+    three are columns of one aggregation.
     """
-    rows = british.select("start", F.col("price").alias("_b")).join(continental.select("start", F.col("price").alias("_c")), "start").join(discounts.select("start", F.col("price").alias("_d")), "start").join(fx, "start")
+    names = {"_b": british, "_c": continental, "_d": discount}
+    own = [(F.col(hub) == h, c) for c, h in names.items()]
+    rows = curves.where(F.col(hub).isin(*names.values())).groupBy("start").agg(
+        *[F.max(F.when(is_it, F.col("price"))).alias(c) for is_it, c in own], F.countDistinct(hub).alias("_n")
+    )
+    rows = rows.where(F.col("_n") == len(names)).join(fx, "start")
     usd = MWH_MMBTU / F.col("eurusd")
     floor = to_euro_mwh(F.col("_b"), F.col("eurusd") / F.col("gbpusd")) * 0.985 - 0.45 * usd
     return rows.select("start", floor.alias("floor"), (F.col("_c") + F.col("_d") * usd).alias("landed"))

@@ -1,6 +1,6 @@
 """The registered queries of the engine."""
 
-from fathomline.plans import calendar, cargo, markets, models, panels, pricing, records, series, simulations  # noqa: F401
+from fathomline.plans import calendar, calibration, cargo, markets, models, panels, pricing, records, series, simulations  # noqa: F401
 from fathomline.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

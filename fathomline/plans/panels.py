@@ -37,12 +37,10 @@ def r(c, n=6):
 
 def quotes(spark, sf_dir):
     """Months to 2027, quarters of 2028, years from 2029 on, of each hub."""
-    h = hubs(spark, sf_dir)
-    yy = F.date_format("start", "yy")
-    months = h.where(F.year("start") <= 2027).select("hub", tn.tenor_label(F.col("start")).alias("tenor"), "price")
-    quarters = h.where(F.year("start") == 2028).groupBy("hub", F.concat(F.lit("Q"), F.quarter("start").cast("string"), F.lit("_"), yy).alias("tenor")).agg(F.avg("price").alias("price"))
-    years = h.where(F.year("start") >= 2029).groupBy("hub", F.concat(F.lit("Y_"), yy).alias("tenor")).agg(F.avg("price").alias("price"))
-    return months.unionByName(quarters).unionByName(years)
+    y, yy = F.year("start"), F.date_format("start", "yy")
+    quarter = F.concat(F.lit("Q"), F.quarter("start").cast("string"), F.lit("_"), yy)
+    tenor = F.when(y <= 2027, tn.tenor_label(F.col("start"))).when(y == 2028, quarter).otherwise(F.concat(F.lit("Y_"), yy))
+    return hubs(spark, sf_dir).groupBy("hub", tenor.alias("tenor")).agg(F.avg("price").alias("price"))
 
 
 _CURVES = f"""WITH {HUBS}, {_PERIODS}, own AS (SELECT * FROM hubs WHERE year(start) <= 2027 AND start > DATE '2025-03-10'),
@@ -67,30 +65,30 @@ def hub_curves(spark, sf_dir):
 _FXC = "fx AS (SELECT DISTINCT start, 0.8 + month(start) / 100.0 AS rate, 1.05 + month(start) / 200.0 AS eurusd, 1.25 + month(start) / 300.0 AS gbpusd FROM curves)"
 
 
-def _fx(rows):
+def _fx(spark):
+    """Rates of all months from 2020 to 2069: 600 rows."""
+    start = F.add_months(F.lit("2020-01-01").cast("date"), F.col("id").cast("int"))
     m = F.month("start")
-    return rows.select("start").distinct().select("start", (0.8 + m / 100.0).alias("rate"), (1.05 + m / 200.0).alias("eurusd"), (1.25 + m / 300.0).alias("gbpusd"))
+    return spark.range(600).select(start.alias("start")).select("start", (0.8 + m / 100.0).alias("rate"), (1.05 + m / 200.0).alias("eurusd"), (1.25 + m / 300.0).alias("gbpusd"))
 
 
 @query("hub_spreads", f"""{_CURVES}, {_FXC}, v AS (SELECT c.hub, c.start, CASE WHEN c.hub = 'H1' THEN c.price * 0.01 / rate / 0.0293001 ELSE c.price END AS value, o.price AS ref FROM curves c JOIN curves o ON o.hub = 'H0' AND o.start = c.start LEFT JOIN fx ON fx.start = c.start WHERE c.hub <> 'H0')
 SELECT hub, start, round(value, 6) AS value, round(ref - value, 6) AS spread, CASE WHEN hub = 'H1' THEN round(value * 0.985 - 1.24, 6) END AS floor FROM v""")
 def hub_spreads(spark, sf_dir):
-    c = curves(spark, sf_dir)
-    return pn.hub_spreads(c, "hub", "H0", ["H1"], _fx(c).select("start", "rate")).select("hub", "start", r("value"), r("spread"), r("floor"))
+    return pn.hub_spreads(curves(spark, sf_dir), "hub", "H0", ["H1"], _fx(spark).select("start", "rate")).select("hub", "start", r("value"), r("spread"), r("floor"))
 
 
 @query("import_floor", f"""{_CURVES}, {_FXC} SELECT b.start, round(b.price * 0.01 * gbpusd / eurusd / 0.0293001 * 0.985 - 0.45 / eurusd * 3.412142, 6) AS floor, round(c.price + d.price / -1000 / eurusd * 3.412142, 6) AS landed
 FROM curves b JOIN curves c ON c.hub = 'H0' AND c.start = b.start JOIN curves d ON d.hub = 'H2' AND d.start = b.start JOIN fx ON fx.start = b.start WHERE b.hub = 'H1'""")
 def import_floor(spark, sf_dir):
-    c = curves(spark, sf_dir)
-    own = lambda h: c.where(F.col("hub") == h).select("start", "price")
-    return pn.import_floor(own("H1"), own("H0"), own("H2").withColumn("price", F.col("price") / -1000), _fx(c)).select("start", r("floor"), r("landed"))
+    c = curves(spark, sf_dir).withColumn("price", F.when(F.col("hub") == "H2", F.col("price") / -1000).otherwise(F.col("price")))
+    return pn.import_floor(c, "hub", "H1", "H0", "H2", _fx(spark)).select("start", r("floor"), r("landed"))
 
 
-@query("first_tenors", f"{_CURVES} SELECT hub, start, round(price, 6) AS price FROM (SELECT *, row_number() OVER (PARTITION BY hub ORDER BY start) AS k FROM curves WHERE hub IN ('H0', 'H1', 'H2')) WHERE k <= 24")
+@query("first_tenors", f"{_CURVES} SELECT hub, start, round(price, 6) AS price FROM (SELECT *, row_number() OVER (PARTITION BY hub ORDER BY start) AS k FROM curves) WHERE k <= 24")
 def first_tenors(spark, sf_dir):
-    """The first 24 months of three curves."""
-    return pn.first_tenors(curves(spark, sf_dir).where(F.col("hub").isin("H0", "H1", "H2")), ["hub"]).select("hub", "start", r("price"))
+    """The first 24 months of each curve."""
+    return pn.first_tenors(curves(spark, sf_dir), ["hub"]).select("hub", "start", r("price"))
 
 
 @query("synthetic_periods", f"""WITH {HUBS}, {_PERIODS}, w AS (SELECT hub, period, year(start) - shift AS y, avg(price) AS price, count(*) AS n FROM hubs JOIN members ON month(start) = m GROUP BY 1, 2, 3)

@@ -21,6 +21,75 @@ def brute_asof(left, right, forward):
     return sorted(out, key=repr)
 
 
+def test_asof_compares_keys_in_one_type(spark):
+    """A date beside a time is its midnight; whole numbers and decimals beyond 2**53 are told apart."""
+    days = spark.createDataFrame([(D(2024, 1, 10),), (D(2024, 1, 4),)], "d date")
+    times = spark.createDataFrame([(dt.datetime(2024, 1, 5, 12), 1.0), (dt.datetime(2024, 1, 10, 0), 2.0), (dt.datetime(2024, 1, 10, 1), 3.0)], "t timestamp, v double")
+    assert sorted(map(tuple, asof.asof(days, times, "d", "t", "v").collect())) == [(D(2024, 1, 4), None, None), (D(2024, 1, 10), dt.datetime(2024, 1, 10), 2.0)]
+    assert [r.v for r in asof.asof(times.select("t"), days.withColumn("w", F.lit(7)), "t", "d", "w").select("t", F.col("w").alias("v")).orderBy("t").collect()] == [7, 7, 7]
+    assert sorted(r.v for r in asof.asof(days, times, "d", "t", "v", forward=True).collect()) == [1.0, 2.0]
+    ntz = times.select(F.col("t").cast("timestamp_ntz").alias("t"), "v")
+    assert sorted(map(repr, asof.asof(days, ntz, "d", "t", "v").select("v").collect())) == ["Row(v=2.0)", "Row(v=None)"]
+    big = 2**53
+    left = spark.createDataFrame([(big + k,) for k in range(4)], "k long")
+    right = spark.createDataFrame([(big + 1, "a"), (big + 2, "b")], "k2 long, v string")
+    assert [r.v for r in asof.asof(left, right, "k", "k2", "v").orderBy("k").collect()] == [None, "a", "b", "b"]
+    assert [r.v for r in asof.asof(left, right, "k", "k2", "v", forward=True).orderBy("k").collect()] == ["a", "a", "b", None]
+    dec = right.select(F.col("k2").cast("decimal(30,5)").alias("k2"), "v")
+    assert [r.v for r in asof.asof(left, dec, "k", "k2", "v").orderBy("k").collect()] == [None, "a", "b", "b"]
+    assert [r.v for r in asof.asof(left.select(F.col("k").cast("decimal(25,2)").alias("k")), dec, "k", "k2", "v").orderBy("k").collect()] == [None, "a", "b", "b"]
+    nan = spark.createDataFrame([(float("nan"),), (1.0,), (0.5,)], "x double")
+    some = spark.createDataFrame([(1, "one"), (3, "three")], "y int, v string")
+    assert sorted((str(r.x), r.v) for r in asof.asof(nan, some, "x", "y", "v").collect()) == [("0.5", None), ("1.0", "one"), ("nan", "three")]
+    for a, b in ((days, some.withColumnRenamed("y", "t")), (some.select(F.col("v").alias("d")), times)):
+        with pytest.raises(TypeError):
+            asof.asof(a, b, "d", "t", "v")
+
+
+@pytest.mark.parametrize("forward", [False, True])
+def test_asof_of_crowded_keys_and_empty_sides(spark, forward):
+    rng = random.Random(3)
+    left = [("a", 500)] * 400 + [("a", rng.randrange(1000)) for _ in range(400)] + [(None, 5), (None, None)]
+    right = [("a", 490 + k % 20, float(k)) for k in range(900)] + [("a", k * 3, float(k)) for k in range(330)] + [(None, 4, 1.5), (None, 6, 2.5), ("b", None, 1.0)]
+    a, b = spark.createDataFrame(left, "g string, t int"), spark.createDataFrame(right, "g string, k int, v double")
+    got = asof.asof(a, b, "t", "k", "v", by=["g"], forward=forward)
+    assert sorted(((r.g, r.t, r.k_asof, r.v) for r in got.collect()), key=repr) == brute_asof(left, right, forward)
+    assert all(r.v is None for r in asof.asof(a, b.where("k < 0"), "t", "k", "v", by=["g"], forward=forward).collect())
+    assert asof.asof(a.where("t < 0"), b, "t", "k", "v", by=["g"], forward=forward).count() == 0
+    clash = a.withColumnsRenamed({"t": "_k", "g": "_at"}).withColumn("_left", F.lit(1))
+    assert asof.asof(clash, b.withColumnRenamed("g", "_at"), "_k", "k", "v", by=["_at"], forward=forward).count() == len(left)
+
+
+def test_curves_read_their_quotes_once(spark):
+    """One scan of each source and at most three shuffles, whatever is asked of the curves."""
+    import re
+
+    from fathomline import plans
+
+    for name, most in (("hub_curves", 3), ("hub_spreads", 4), ("import_floor", 4), ("first_tenors", 3)):
+        plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"FileScan|Scan parquet", plan)) == 2, name
+        assert len(re.findall(r"Exchange hashpartitioning", plan)) <= most, name
+        assert "NestedLoop" not in plan and "SinglePartition" not in plan
+
+
+def test_curve_edges(spark):
+    from fathomline.operators import curve
+
+    rows = [("a", "Jan_26", 10.0), ("a", "Feb_26", 20.0), ("a", "Mar_26", 30.0), ("a", "Mar_26", 27.0), ("a", "Q1_27", 40.0), ("a", "Q2_26", 8.0), ("a", "odd", 1.0), ("a", None, 1.0), ("a", "May_26", None), ("b", "Y_26", 12.0), ("b", "Jan_26", 1.0), ("c", "Jun_26", None)]
+    quotes = spark.createDataFrame(rows, "hub string, tenor string, price double")
+    got = {(r.hub, str(r.start)): r.price for r in curve.monthly_curve(quotes, "2025-12-15", by=["hub"]).collect()}
+    mean = 19.0
+    assert [round(got["a", f"2027-0{k}-01"], 9) for k in (1, 2, 3)] == [round(40 * x / mean, 9) for x in (10, 20, 27)]
+    assert got["a", "2026-03-01"] == 27.0 and got["a", "2026-05-01"] == 8.0 and got["b", "2026-01-01"] == 1.0 and got["b", "2026-12-01"] == 12.0
+    assert not any(h == "c" for h, _ in got) and len(got) == 3 + 3 + 3 + 12
+    later = {(r.hub, str(r.start)) for r in curve.monthly_curve(quotes, "2026-01-01", by=["hub"]).collect()}
+    assert ("a", "2026-01-01") not in later and ("b", "2026-01-01") in later
+    assert curve.monthly_curve(quotes.where("hub = 'z'"), "2025-12-15", by=["hub"]).count() == 0
+    plain = curve.monthly_curve(quotes.where("hub = 'b'"), "2025-12-15")
+    assert plain.count() == 12 and plain.columns == ["start", "price"]
+
+
 @pytest.mark.parametrize("forward", [False, True])
 @pytest.mark.parametrize("kind", ["long", "date"])
 def test_asof(spark, forward, kind):
@@ -34,7 +103,9 @@ def test_asof(spark, forward, kind):
     plain = asof.asof(a.select("t"), b.select("k", "v"), "t", "k", "v", forward=forward)
     want = brute_asof([("x", t) for _, t in left], [("x", k, v) for _, k, v in right], forward)
     assert sorted((("x", r.t, r.k_asof, r.v) for r in plain.collect()), key=repr) == want
-    assert "SinglePartition" not in plain._jdf.queryExecution().executedPlan().toString()
+    lines = plain._jdf.queryExecution().executedPlan().toString().split("\n")
+    # what meets in one task are partial aggregates: the bounds of the stretches and one value for each
+    assert all("functions=[partial_" in below for line, below in zip(lines, lines[1:]) if "SinglePartition" in line)
     assert asof.asof(a, b.limit(0), "t", "k", "v", by=["g"], forward=forward).where("v is not null").count() == 0
 
 

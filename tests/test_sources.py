@@ -82,3 +82,27 @@ def test_streamed_order_states_end_as_the_batch_does(spark, stream):
     assert sorted(map(tuple, newest.collect())) == sorted(map(tuple, want.collect()))
     last = got.join(newest, ["order_id", "ts"]).select("order_id", "state").distinct()
     assert last.count() == want.count() and last.join(rows.join(want, ["order_id", "ts"]), ["order_id", "state"], "left_anti").count() == 0
+
+
+def test_an_ended_order_does_not_come_back(spark, tmp_path):
+    """An event older than the end changes nothing; a newer one is a new state; a batch after the watermark has passed drops what is late."""
+    schema = "order_id long, ts timestamp, state string, side string, price double, qty double"
+    at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    parts = [
+        [(1, at(1), "active", "Bid", 1.0, 1.0), (2, at(1), "active", "Bid", 1.0, 1.0)],
+        [(1, at(5), "withdrawn", "Bid", 1.0, 1.0)],
+        [(1, at(4, 30), "active", "Offer", 2.0, 1.0), (2, None, "withdrawn", "Bid", 1.0, 1.0)],
+        [(2, at(9), "active", "Bid", 3.0, None)],
+        [(1, at(5, 30), "active", "Offer", 4.0, 1.0), (2, at(9, 10), "consummated", "Bid", 3.0, None)],
+        [(1, at(9, 20), "active", "Bid", 5.0, 1.0)],
+    ]
+    path, checkpoint = str(tmp_path / "events"), str(tmp_path / "checkpoint")
+    seen = []
+    for k, rows in enumerate(parts):  # one run a part, each from where the one before stopped
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        streamed = spark.readStream.schema(schema).parquet(path)
+        q = st.order_states(streamed, late="2 hours").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        now = sorted((r.order_id, r.ts.hour, r.state) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+        seen.append([x for x in now if x not in (seen[0] if k == 1 else sum(seen, []))])
+    assert seen == [[(1, 1, "active"), (2, 1, "active")], [(1, 5, "withdrawn")], [], [(2, 9, "active")], [(2, 9, "consummated")], [(1, 9, "active")]]
