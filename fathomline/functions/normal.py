@@ -35,27 +35,34 @@ def norm_pdf(x: Column) -> Column:
 
 
 def norm_cdf(x: Column) -> Column:
-    """Cumulative probability of the standard normal; exact 0 and 1 at the infinities, null for null."""
+    """Cumulative probability of the standard normal; exact 0 and 1 at the infinities, null for null.
+
+    The upper tail stands in the expression once, so that generated methods stay small
+    enough for the JVM to compile.
+    """
     a = F.abs(x)
     e = F.exp(-a * a / 2)
     tail = a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65))))
     upper = F.when(a > 37.0, 0.0).when(a < 7.07106781186547, e * horner(a, CDF_NUM) / horner(a, CDF_DEN)).otherwise(e / tail / 2.506628274631)
-    return F.when(x > 0, 1 - upper).otherwise(upper)
+    return F.when(x > 0, 1.0).otherwise(0.0) + F.when(x > 0, -1.0).otherwise(1.0) * upper
 
 
 def norm_ppf(p: Column) -> Column:
-    """Quantile of the standard normal; minus and plus infinity at 0 and 1, null outside."""
+    """Quantile of the standard normal; minus and plus infinity at 0 and 1, null outside.
+
+    The variable of the polynomials, which depends on the region, stands in the first
+    condition: so it is worked out once for all of them, and the generated method
+    stays small enough for the JVM to compile.
+    """
     q = p - 0.5
-    r = 0.180625 - q * q
-    tail = F.sqrt(-F.ln(F.least(p, 1 - p)))
-    middle = q * horner(r, PPF_MID_NUM) / horner(r, PPF_MID_DEN)
-    near = horner(tail - 1.6, PPF_NEAR_NUM) / horner(tail - 1.6, PPF_NEAR_DEN)
-    far = horner(tail - 5.0, PPF_FAR_NUM) / horner(tail - 5.0, PPF_FAR_DEN)
-    outer = F.when(tail <= 5.0, near).otherwise(far)
+    middle = F.abs(q) <= 0.425
+    tail = F.sqrt(-F.coalesce(F.ln(F.least(p, 1 - p)), F.lit(float("-inf"))))
+    r = F.when(middle, 0.180625 - q * q).otherwise(tail)
+    near, far = ((horner(r - at, n), horner(r - at, d)) for at, n, d in ((1.6, PPF_NEAR_NUM, PPF_NEAR_DEN), (5.0, PPF_FAR_NUM, PPF_FAR_DEN)))
+    sign = F.when(q < 0, -1.0).otherwise(1.0)
     return (
-        F.when((p < 0) | (p > 1), None)
-        .when(p == 0, float("-inf"))
-        .when(p == 1, float("inf"))
-        .when(F.abs(q) <= 0.425, middle)
-        .otherwise(F.when(q < 0, -outer).otherwise(outer))
+        F.when(F.isnan(r) | (r > 1e3), F.when(p == 0, float("-inf")).when(p == 1, float("inf")))  # at and beyond the ends
+        .when(middle, q * horner(r, PPF_MID_NUM) / horner(r, PPF_MID_DEN))
+        .when(r <= 5.0, sign * near[0] / near[1])
+        .otherwise(sign * far[0] / far[1])
     )

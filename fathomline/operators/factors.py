@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomline.operators.bounds import if_small
 from fathomline.operators.covariance import Factors, loading
 
 #: Factors of a model that are checked as one matrix.
@@ -170,7 +171,7 @@ def corr_matrix(periods: DataFrame, model: Factors) -> DataFrame:
 def simulated_prices(states: DataFrame, asked: DataFrame, model: Factors, fx: DataFrame | None = None) -> DataFrame:
     """(path, step, id, price): martingale prices exp(sum of loading x state - variance / 2), over a currency drift if fx is given.
 
-    states (path, step, factor, state) with factor as the model's index; asked (id,
+    states (path, step, factor, state) with factor as the model's index, and lsu where each underlying was simulated by itself; asked (id,
     lsu, step, t, tau, span), t the time of the step; fx (id, lsu2): the currency factor's
     underlying, whose covariance with the price is taken out.
     """
@@ -179,8 +180,9 @@ def simulated_prices(states: DataFrame, asked: DataFrame, model: Factors, fx: Da
     if fx is not None:
         cov = model.covariances(rows.drop("lsu2").join(fx, "id")).select("id", "step", F.col("cov").alias("_fx"))
         var = var.join(cov, ["id", "step"], "left").select("id", "step", (F.col("_drift") + F.coalesce("_fx", F.lit(0.0))).alias("_drift"))
-    load = loadings(asked, model).select("id", "step", "factor", "loading").join(var, ["id", "step"])
-    moved = states.join(F.broadcast(load), ["step", "factor"]) if load.count() <= MOST_FACTORS else states.join(load, ["step", "factor"])
+    own = ["lsu"] if "lsu" in states.columns else []
+    load = loadings(asked, model).select(*own, "id", "step", "factor", "loading").join(var, ["id", "step"])
+    moved = states.join(if_small(load, MOST_FACTORS), [*own, "step", "factor"])
     return moved.groupBy("path", "step", "id").agg(F.exp(F.sum(F.col("loading") * F.col("state")) - F.max("_drift")).alias("price"))
 
 
@@ -211,7 +213,8 @@ def filled_rho(measured: DataFrame, factors: DataFrame) -> DataFrame:
     both = measured.select("a", "b", "corr").unionByName(measured.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr")).groupBy("a", "b").agg(F.max("corr").alias("corr"))
     left, right = named.select(F.col("idx").alias("i"), F.col("name").alias("a")), named.select(F.col("idx").alias("j"), F.col("name").alias("b"))
     found = both.join(left, "a").join(right, "b").where("i <> j").select("i", "j", F.col("corr").alias("rho"))
-    return found.unionByName(named.select(F.col("idx").alias("i"), F.col("idx").alias("j"), F.lit(1.0).alias("rho")))
+    own = named.select("idx").distinct()  # factors that underlyings share have several names
+    return found.distinct().unionByName(own.select(F.col("idx").alias("i"), F.col("idx").alias("j"), F.lit(1.0).alias("rho")))
 
 
 def ordered(factors: DataFrame) -> DataFrame:

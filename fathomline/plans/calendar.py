@@ -18,10 +18,10 @@ def _days(spark, sf_dir):
 
 @query("tenor_labels", f"""WITH {_DAYS} SELECT d, strftime(d, '%b_%y') AS label, month(d) AS number, strftime(d, '%b') AS name,
 CAST(date_trunc('month', d) AS DATE) AS start, strftime(d, '%Y%m%d') AS compact, substr('FGHJKMNQUVXZ', month(d), 1) || (year(d) % 10) AS code,
-strftime(date_trunc('month', d + 3) + INTERVAL 2 MONTH, '%b_%y') AS second FROM days WHERE year(d) >= 1990""")
+strftime(date_trunc('month', d + 3) + INTERVAL 2 MONTH, '%b_%y') AS second FROM days""")
 def tenor_labels(spark, sf_dir):
     d = F.col("d")
-    return _days(spark, sf_dir).where("year(d) >= 1990").select(
+    return _days(spark, sf_dir).select(
         "d", tn.tenor_label(d).alias("label"), tn.month_number(tn.month_name(F.month(d))).cast("long").alias("number"), tn.month_name(F.month(d)).alias("name"), F.trunc(d, "MM").alias("start"), tn.compact_date(d).alias("compact"), tn.contract_code(d).alias("code"), tn.contract_label(d, F.lit(2), 3).alias("second")
     )
 
@@ -78,17 +78,26 @@ def parsed_dates(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(text.alias("t")).distinct().select("t", tn.parse_date(F.col("t")).alias("parsed"))
 
 
-#: Quotes of a test curve (tenor, price).
-QUOTES = [("Jan_25", 31.0), ("Feb_25", 31.0), ("Mar_25", 30.0), ("Apr_25", 25.0), ("May_25", 26.0), ("Jun_25", 27.0), ("Jul_25", 28.0), ("Aug_25", 29.0), ("Sep_25", 29.0), ("Oct_25", 23.0), ("Nov_25", 22.0), ("Dec_25", 21.0)]
-MORE = [*QUOTES, ("Jan_26", 41.0), ("Feb_26", 42.0), ("Mar_26", 43.0), ("Y_26", 50.0)]
+#: Quotes from orders: prices of the months of 1995 and of early 1996, and of 1996 as a year, 30 years on.
+_QUOTES = """rows AS (SELECT CASE WHEN o_orderdate < DATE '1996-04-01' THEN strftime(o_orderdate, '%b_') || (year(o_orderdate) + 30) % 100 END AS month, CASE WHEN year(o_orderdate) = 1996 THEN 'Y_26' END AS y, o_totalprice / 10000 AS p FROM orders WHERE year(o_orderdate) IN (1995, 1996)),
+quotes AS (SELECT month AS tenor, avg(p) AS price FROM rows WHERE month IS NOT NULL GROUP BY 1 UNION ALL SELECT y, avg(p) FROM rows WHERE y IS NOT NULL GROUP BY 1)"""
+#: Labels of all order days, of five kinds.
+_LABELS = "t AS (SELECT DISTINCT CASE o_custkey % 5 WHEN 0 THEN 'Q' || quarter(o_orderdate) || strftime(o_orderdate, '_%y') WHEN 1 THEN strftime(o_orderdate, 'WS_%y') WHEN 2 THEN strftime(o_orderdate, '%b_%y') WHEN 3 THEN strftime(o_orderdate, 'Y_%y') ELSE strftime(o_orderdate, 'odd_%y') END AS tenor FROM orders)"
 
 
-def _quotes(spark, rows):
-    return spark.createDataFrame(rows, "tenor string, price double")
+def _labels(spark, sf_dir):
+    d, k = F.col("o_orderdate"), F.col("o_custkey") % 5
+    yy = F.date_format(d, "yy")
+    label = F.when(k == 0, F.concat(F.lit("Q"), F.quarter(d).cast("string"), F.lit("_"), yy)).when(k == 1, F.concat(F.lit("WS_"), yy)).when(k == 2, tn.tenor_label(d)).when(k == 3, F.concat(F.lit("Y_"), yy)).otherwise(F.concat(F.lit("odd_"), yy))
+    return table(spark, sf_dir, "orders").select(label.alias("tenor")).distinct()
 
 
-def _values(rows):
-    return "quotes(tenor, price) AS (VALUES " + ", ".join(f"('{t}', {p})" for t, p in rows) + ")"
+def _quotes(spark, sf_dir):
+    d = F.col("o_orderdate")
+    month = F.when(d < "1996-04-01", F.concat(F.date_format(d, "MMM_"), ((F.year(d) + 30) % 100).cast("string")))
+    labels = F.array_compact(F.array(month, F.when(F.year(d) == 1996, "Y_26")))
+    rows = table(spark, sf_dir, "orders").where(F.year(d).isin(1995, 1996)).select(F.explode(labels).alias("tenor"), (F.col("o_totalprice") / 10000).alias("price"))
+    return rows.groupBy("tenor").agg(F.avg("price").alias("price"))
 
 
 _MONTHS = "months(name, m) AS (VALUES " + ", ".join(f"('{n}', {i})" for i, n in enumerate(tn.MONTHS, 1)) + ")"
@@ -99,35 +108,38 @@ firsts AS (SELECT f.period, min(y) AS y FROM full_ f JOIN (SELECT period, count(
 ratios AS (SELECT b.period, b.k, b.m, coalesce(q.price / f.mean, 1.0) AS ratio FROM members b LEFT JOIN firsts x ON b.period = x.period LEFT JOIN full_ f ON f.period = x.period AND f.y = x.y LEFT JOIN q ON q.start = make_date(CAST(x.y + b.shift AS INTEGER), b.m, 1))"""
 
 
-@query("monthly_strip", f"WITH t(tenor) AS (VALUES ('Q1_26'), ('WS_26'), ('Jan_27'), ('Y_28'), ('odd')), {_PERIODS}, {_MONTHS}, all_ AS (SELECT * FROM members UNION ALL SELECT name, 0, m, 0 FROM months) SELECT tenor, k, make_date(2000 + CAST(split_part(tenor, '_', 2) AS INTEGER) + shift, m, 1) AS month_start FROM t JOIN all_ ON split_part(tenor, '_', 1) = period")
+@query("monthly_strip", f"WITH {_LABELS}, {_PERIODS}, {_MONTHS}, all_ AS (SELECT * FROM members UNION ALL SELECT name, 0, m, 0 FROM months) SELECT tenor, k, make_date(2000 + CAST(split_part(tenor, '_', 2) AS INTEGER) + shift, m, 1) AS month_start FROM t JOIN all_ ON split_part(tenor, '_', 1) = period")
 def monthly_strip(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in ("Q1_26", "WS_26", "Jan_27", "Y_28", "odd")], "tenor string")
-    return tn.monthly_strip(rows).select("tenor", "k", "month_start")
+    """Months of all labels of order days; labels that are no tenor have none."""
+    return tn.monthly_strip(_labels(spark, sf_dir)).select("tenor", "k", "month_start")
 
 
-@query("shape_ratios", f"WITH {_values(QUOTES)}, {_MONTHS}, {_PERIODS}, {_STARTS}, {_RATIOS} SELECT period, m AS month, round(ratio, 9) AS ratio FROM ratios")
+@query("shape_ratios", f"WITH {_QUOTES}, {_MONTHS}, {_PERIODS}, {_STARTS}, {_RATIOS} SELECT period, m AS month, round(ratio, 9) AS ratio FROM ratios")
 def shape_ratios(spark, sf_dir):
-    return curve.shape_ratios(_quotes(spark, QUOTES)).select("period", "month", F.round("ratio", 9).alias("ratio"))
+    """Shapes of quarters, seasons and years from the months of orders."""
+    return curve.shape_ratios(_quotes(spark, sf_dir)).select("period", "month", F.round("ratio", 9).alias("ratio"))
 
 
 _FILL = "rank_(period, rank) AS (VALUES " + ", ".join(f"('{p}', {i})" for i, p in enumerate(tn.PERIODS)) + ")"
-_CURVE = f"""WITH {_values(MORE)}, {_MONTHS}, {_PERIODS}, {_STARTS.replace("= name)", "= name WHERE make_date(2000 + CAST(split_part(tenor, '_', 2) AS INTEGER), m, 1) > DATE '2024-12-01')")}, {_RATIOS}, {_FILL},
+_CURVE = f"""WITH {_QUOTES}, {_MONTHS}, {_PERIODS}, {_STARTS.replace("= name)", "= name WHERE make_date(2000 + CAST(split_part(tenor, '_', 2) AS INTEGER), m, 1) > DATE '2024-12-01')")}, {_RATIOS}, {_FILL},
 more AS (SELECT make_date(2000 + CAST(split_part(tenor, '_', 2) AS INTEGER) + b.shift, b.m, 1) AS start, price * ratio AS price, rank FROM quotes JOIN members b ON split_part(tenor, '_', 1) = b.period JOIN ratios USING (period, k) JOIN rank_ USING (period)),
 curve AS (SELECT start, price FROM q UNION ALL SELECT start, arg_min(price, rank) FROM more WHERE start NOT IN (SELECT start FROM q) GROUP BY 1)"""
 
 
 @query("forward_curve", f"{_CURVE} SELECT start, round(price, 9) AS price FROM curve")
 def forward_curve(spark, sf_dir):
-    return curve.monthly_curve(_quotes(spark, MORE), "2024-12-01").select("start", F.round("price", 9).alias("price"))
+    """The monthly curve of orders, a year shaped by the year before."""
+    return curve.monthly_curve(_quotes(spark, sf_dir), "2024-12-01").select("start", F.round("price", 9).alias("price"))
 
 
 @query("curve_lookup", f"""{_CURVE}, p AS (SELECT date_diff('day', DATE '2024-12-01', start + 14) / 365.0 AS x, price AS y FROM curve),
 s AS (SELECT x AS x0, y AS y0, lead(x) OVER (ORDER BY x) AS x1, lead(y) OVER (ORDER BY x) AS y1 FROM p),
-a AS (SELECT unnest([0.01, 0.2, 0.55, 1.3, 2.0, 3.0]) AS t), k AS (SELECT t, coalesce((SELECT max(x0) FROM s WHERE x0 <= t AND x1 IS NOT NULL), (SELECT min(x0) FROM s)) AS x0 FROM a)
+a AS (SELECT DISTINCT p_size / 20.0 AS t FROM part), k AS (SELECT t, coalesce((SELECT max(x0) FROM s WHERE x0 <= t AND x1 IS NOT NULL), (SELECT min(x0) FROM s)) AS x0 FROM a)
 SELECT t, round(y0 + (y1 - y0) * (t - s.x0) / (x1 - s.x0), 9) AS price FROM k JOIN s USING (x0)""")
 def curve_lookup(spark, sf_dir):
-    at = spark.createDataFrame([(x,) for x in (0.01, 0.2, 0.55, 1.3, 2.0, 3.0)], "t double")
-    points = curve.curve_times(curve.monthly_curve(_quotes(spark, MORE), "2024-12-01"), "2024-12-01")
+    """Prices of the curve at the times that parts ask for, those beyond its ends too."""
+    at = table(spark, sf_dir, "part").select((F.col("p_size") / 20.0).alias("t")).distinct()
+    points = curve.curve_times(curve.monthly_curve(_quotes(spark, sf_dir), "2024-12-01"), "2024-12-01")
     return asof.interpolate(at, points, "t", "x", "price").select("t", F.round("price", 9).alias("price"))
 
 

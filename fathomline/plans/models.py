@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fathomline.operators import covariance as cv, factors as fc, montecarlo as mc
-from fathomline.plans.pricing import FACTORS, RHO, UNDERLYINGS, _model_sql, model, rounded
+from fathomline.plans.pricing import _model_sql, model, rounded
 from fathomline.plans.registry import query
 from fathomline.sources.files import table
 
-_FULL = [*RHO, *((j, i, v) for i, j, v in RHO), *((i, i, 1.0) for i in range(1, 5))]
-
-
 def stored(spark, sf_dir):
     """A model table made from the nations: a factor each, neighbours of a region share every fifth."""
     n = table(spark, sf_dir, "nation")
@@ -52,37 +49,98 @@ def model_subset(spark, sf_dir):
     return fc.subset(fc.from_table(*stored(spark, sf_dir)), ["U1", "U2"]).rho.select("i", "j")
 
 
-@query("model_problems", "SELECT col0 AS problem, col1 AS \"at\" FROM (VALUES ('asymmetric', '1-2'), ('asymmetric', '2-1'), ('diagonal', '3-3'))")
+def nations_model(spark, sf_dir):
+    return fc.from_table(*stored(spark, sf_dir))
+
+
+#: Correlations of the stored model, with the regions of both factors.
+_CELLS = "cells AS (SELECT CAST(a.n_nationkey AS INTEGER) AS i, CAST(b.n_nationkey AS INTEGER) AS j, a.n_regionkey AS r, b.n_regionkey AS q, exp(-abs(a.n_nationkey - b.n_nationkey) / 10.0) AS rho FROM nation a, nation b WHERE a.n_nationkey < 23 AND b.n_nationkey < 23)"
+
+
+@query("shifted_rho", f"WITH {_CELLS} SELECT i, j, round(CASE WHEN least(r, q) = 1 AND greatest(r, q) = 2 THEN rho - 0.05 ELSE rho END, 9) AS rho FROM cells")
+def shifted_rho(spark, sf_dir):
+    """Correlations between two underlyings' factors moved down."""
+    return nations_model(spark, sf_dir).shift_rho("U1", "U2", -0.05).rho.select("i", "j", F.round("rho", 9).alias("rho"))
+
+
+@query("scaled_factors", "SELECT CAST(n_nationkey AS INTEGER) AS idx, round((0.1 + n_nationkey / 100.0) * CASE WHEN n_regionkey = 1 THEN 1.5 ELSE 1 END, 9) AS sigma FROM nation WHERE n_nationkey < 23")
+def scaled_factors(spark, sf_dir):
+    return nations_model(spark, sf_dir).scale_sigma("U1", 1.5).factors.select("idx", F.round("sigma", 9).alias("sigma"))
+
+
+@query("pulled_rho", f"WITH {_CELLS} SELECT i, j, round(CASE WHEN i = j THEN 1 ELSE rho * 0.9 + 0.1 END, 9) AS rho FROM cells")
+def pulled_rho(spark, sf_dir):
+    return nations_model(spark, sf_dir).pull_rho(0.1).rho.select("i", "j", F.round("rho", 9).alias("rho"))
+
+
+_SLOWEST = "o AS (SELECT CAST(n_nationkey AS INTEGER) AS idx, n_regionkey AS r, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation WHERE n_nationkey < 23)"
+
+
+@query("third_factors", f"WITH {_SLOWEST} SELECT idx, round(0.1 + idx / 100.0 + CASE WHEN r = 2 AND k = 3 THEN 0.05 ELSE 0 END, 9) AS sigma FROM o")
+def third_factors(spark, sf_dir):
+    """Volatilities with that of an underlying's third factor moved up."""
+    return nations_model(spark, sf_dir).shift_third("U2", 0.05).factors.select("idx", F.round("sigma", 9).alias("sigma"))
+
+
+@query("most_factors", "WITH u AS (SELECT 'U' || n_regionkey AS lsu FROM nation WHERE n_nationkey < 23 UNION ALL SELECT 'U' || (n_regionkey + 5) FROM nation WHERE n_nationkey < 23 AND n_nationkey % 5 = 0) SELECT lsu, count(*) AS n FROM u GROUP BY 1")
+def most_factors(spark, sf_dir):
+    """How many factors each underlying has."""
+    return nations_model(spark, sf_dir).factor_counts()
+
+
+@query("inverted_rate", f"WITH {_CELLS} SELECT i, j, round(CASE WHEN (i = 7) <> (j = 7) THEN -rho ELSE rho END, 9) AS rho FROM cells")
+def inverted_rate(spark, sf_dir):
+    """The model with one currency factor seen from the other side."""
+    return nations_model(spark, sf_dir).inverted(7).rho.select("i", "j", F.round("rho", 9).alias("rho"))
+
+
+@query("crossed_rates", f"WITH {_CELLS} SELECT i, j, round(sqrt(power(0.1 + i / 100.0, 2) + power(0.1 + j / 100.0, 2) + 2 * rho * (0.1 + i / 100.0) * (0.1 + j / 100.0)), 9) AS vol FROM cells")
+def crossed_rates(spark, sf_dir):
+    """Volatilities of the products of all two rates."""
+    m = nations_model(spark, sf_dir)
+    own = lambda k: m.factors.select(F.col("idx").alias(k), F.col("sigma").alias(f"_{k}"))
+    rows = m.rho.join(own("i"), "i").join(own("j"), "j")
+    return rows.select("i", "j", F.round(cv.triangulated(F.col("_i"), F.col("_j"), F.col("rho")), 9).alias("vol"))
+
+
+@query("model_problems", f"""WITH {_CELLS} SELECT 'asymmetric' AS problem, i || '-' || j AS "at" FROM cells WHERE j = i + 1 AND i % 6 = 1 UNION ALL SELECT 'asymmetric', j || '-' || i FROM cells WHERE j = i + 1 AND i % 6 = 1
+UNION ALL SELECT 'diagonal', i || '-' || j FROM cells WHERE i = j AND i % 7 = 3 UNION ALL SELECT 'beyond one', i || '-' || j FROM cells WHERE i + j = 11 AND i > 8 UNION ALL SELECT 'beyond one', j || '-' || i FROM cells WHERE i + j = 11 AND i > 8""")
 def model_problems(spark, sf_dir):
-    """What is wrong with a model that has two faults."""
-    m = model(spark)
-    bad = F.when((F.col("i") == 1) & (F.col("j") == 2), 0.9).when((F.col("i") == 3) & (F.col("j") == 3), 0.5).otherwise(F.col("rho"))
+    """What is wrong with the stored model when some of its cells are spoilt."""
+    m, i, j = nations_model(spark, sf_dir), F.col("i"), F.col("j")
+    bad = F.when((j == i + 1) & (i % 6 == 1), F.col("rho") - 0.2).when((i == j) & (i % 7 == 3), 0.5).when((i + j == 11) & (F.abs(i - j) > 5), 1.5).otherwise(F.col("rho"))
     return cv.Factors(m.factors, m.bridge, m.rho.withColumn("rho", bad)).problems()
 
 
-#: Currency pairs as factors 1 to 4 of the test model: the second and fourth are seen from elsewhere than USD.
-PAIRS = [(1, "USD", "EUR"), (2, "EUR", "GBP"), (3, "JPY", "USD"), (4, "USD", "CHF")]
-_W = "w(i, k, w) AS (VALUES (1, 1, 0.1), (2, 2, 0.15), (2, 1, 0.1), (3, 3, -0.2), (4, 4, 0.2))"
+#: Currency pairs as the factors of the stored model: some are seen from USD, some turned round, every fourth from a currency that has a pair of its own.
+_PAIRS = "pairs AS (SELECT CAST(n_nationkey AS INTEGER) AS idx, CASE n_nationkey % 4 WHEN 1 THEN 'C' || (n_nationkey - 1) WHEN 2 THEN 'C' || n_nationkey ELSE 'USD' END AS currency, CASE n_nationkey % 4 WHEN 2 THEN 'USD' ELSE 'C' || n_nationkey END AS other FROM nation WHERE n_nationkey < 23)"
+_W = "w AS (SELECT CAST(n_nationkey AS INTEGER) AS i, CAST(n_nationkey AS INTEGER) AS k, (0.1 + n_nationkey / 100.0) * CASE WHEN n_nationkey % 4 = 2 THEN -1 ELSE 1 END AS w FROM nation WHERE n_nationkey < 23 UNION ALL SELECT CAST(n_nationkey AS INTEGER), CAST(n_nationkey - 1 AS INTEGER), 0.1 + (n_nationkey - 1) / 100.0 FROM nation WHERE n_nationkey < 23 AND n_nationkey % 4 = 1)"
 
 
-@query("model_currency", f"""WITH rho(k, l, v) AS (VALUES {', '.join(map(str, _FULL))}), {_W}, c AS (SELECT a.i, b.i AS j, sum(a.w * b.w * v) AS cov FROM w a, w b JOIN rho ON a.k = rho.k AND b.k = rho.l GROUP BY 1, 2)
+def currency_pairs(spark, sf_dir):
+    k = F.col("n_nationkey")
+    name = lambda x: F.concat(F.lit("C"), x.cast("string"))
+    own = F.when(k % 4 == 1, name(k - 1)).when(k % 4 == 2, name(k)).otherwise("USD")
+    return table(spark, sf_dir, "nation").where("n_nationkey < 23").select(k.alias("idx"), own.alias("currency"), F.when(k % 4 == 2, "USD").otherwise(name(k)).alias("foreign"))
+
+
+@query("model_currency", f"""WITH {_CELLS}, {_W}, c AS (SELECT a.i, b.i AS j, sum(a.w * b.w * rho) AS cov FROM w a, w b JOIN cells ON a.k = cells.i AND b.k = cells.j GROUP BY 1, 2)
 SELECT c.i, c.j, round(sqrt(x.cov), 9) AS sigma, round(c.cov / sqrt(x.cov * y.cov), 9) AS rho FROM c JOIN c x ON x.i = c.i AND x.j = c.i JOIN c y ON y.i = c.j AND y.j = c.j""")
 def model_currency(spark, sf_dir):
-    """The test model's pairs all seen from USD: one turned round, one through a third currency."""
-    pairs = spark.createDataFrame(PAIRS, "idx int, currency string, foreign string")
-    new, _ = fc.in_currency(model(spark), pairs, "USD")
+    """The stored model's pairs all seen from USD: some turned round, some through a third currency."""
+    new, _ = fc.in_currency(nations_model(spark, sf_dir), currency_pairs(spark, sf_dir), "USD")
     return new.rho.join(new.factors.select(F.col("idx").alias("i"), "sigma"), "i").select("i", "j", F.round("sigma", 9).alias("sigma"), F.round("rho", 9).alias("rho"))
 
 
-@query("model_pairs", "SELECT 1 AS idx, 'USD' AS currency, 'EUR' AS foreign UNION ALL SELECT 2, 'USD', 'GBP' UNION ALL SELECT 3, 'USD', 'JPY' UNION ALL SELECT 4, 'USD', 'CHF'".replace(" AS foreign", ' AS "foreign"'))
+@query("model_pairs", """SELECT CAST(n_nationkey AS INTEGER) AS idx, 'USD' AS currency, 'C' || n_nationkey AS "foreign" FROM nation WHERE n_nationkey < 23""")
 def model_pairs(spark, sf_dir):
-    return fc.in_currency(model(spark), spark.createDataFrame(PAIRS, "idx int, currency string, foreign string"), "USD")[1]
+    return fc.in_currency(nations_model(spark, sf_dir), currency_pairs(spark, sf_dir), "USD")[1]
 
 
-@query("pivot_currencies", "SELECT 'USD' AS currency")
+@query("pivot_currencies", f"WITH {_PAIRS}, s AS (SELECT idx, currency FROM pairs WHERE idx % 4 <> 1 UNION SELECT idx, other FROM pairs WHERE idx % 4 <> 1) SELECT currency FROM s GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM pairs WHERE idx % 4 <> 1)")
 def pivot_currencies(spark, sf_dir):
-    """The currency that all of some pairs have in common."""
-    return fc.pivot_currencies(spark.createDataFrame([p for p in PAIRS if p[0] != 2], "idx int, currency string, foreign string"))
+    """The currency that all pairs but those from elsewhere have in common."""
+    return fc.pivot_currencies(currency_pairs(spark, sf_dir).where("idx % 4 <> 1"))
 
 
 _ORDERS = "q AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'A' ELSE 'B' END AS lsu, CAST(o_orderdate AS DATE) AS pricing, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) + 20 END AS ex, CAST(o_orderdate AS DATE) + CAST(40 + o_custkey % 300 AS INTEGER) AS start FROM orders)"
@@ -186,26 +244,40 @@ def factor_fit(spark, sf_dir):
     return fit.select("event_type", "slow", "fast", "ratio", "rho", *[F.round(c, 6).alias(c) for c in ("sigma", "sse")])
 
 
-@query("filled_rho", "WITH m(a, b, corr) AS (SELECT 'A:1', 'B:1', 0.5 UNION ALL SELECT 'A:2', 'A:1', 0.7 UNION ALL SELECT 'B:2', 'A:2', 0.2), u(idx, name) AS (VALUES (1, 'A:1'), (2, 'A:2'), (3, 'B:1'), (4, 'B:2')), s AS (SELECT a, b, corr FROM m UNION ALL SELECT b, a, corr FROM m) SELECT x.idx AS i, y.idx AS j, round(CAST(corr AS DOUBLE), 9) AS rho FROM s JOIN u x ON x.name = a JOIN u y ON y.name = b UNION ALL SELECT idx, idx, 1.0 FROM u")
+_FILLED = f"{_SLOWEST}, m AS (SELECT a.idx AS i, b.idx AS j, 0.1 + a.r / 10.0 AS corr FROM o a JOIN o b ON b.r = (a.r + 1) % 5 AND a.k = 1 AND b.k = 2 UNION ALL SELECT a.idx, b.idx, -0.1 - a.r / 10.0 FROM o a JOIN o b ON b.r = a.r AND a.k = 1 AND b.k = 2)"
+
+
+@query("filled_rho", f"WITH {_FILLED} SELECT i, j, round(corr, 9) AS rho FROM m UNION ALL SELECT j, i, round(corr, 9) FROM m UNION ALL SELECT idx, idx, 1.0 FROM o")
 def filled_rho(spark, sf_dir):
-    """Correlations of factors from those measured between the contracts that stand for them."""
-    own = fc.ordered(model(spark).factors.join(model(spark).bridge, "idx"))
-    measured = spark.createDataFrame([("A:1", "B:2", 0.5), ("A:2", "A:1", 0.7), ("B:1", "A:2", 0.2)], "a string, b string, corr double")
-    # underlying B's slowest factor is the third, as in the SQL
-    measured = measured.replace({"B:2": "B:x", "B:1": "B:2"}, subset=["a", "b"]).replace({"B:x": "B:1"}, subset=["a", "b"])
-    return fc.filled_rho(measured, own).select("i", "j", F.round("rho", 9).alias("rho"))
+    """Correlations of factors from those measured between the contracts that stand for them: of each region's first with the next one's second, and with its own second."""
+    m = nations_model(spark, sf_dir)
+    r = F.col("r_regionkey")
+    name = lambda x, k: F.concat(F.lit("U"), x.cast("string"), F.lit(f":{k}"))
+    rows = table(spark, sf_dir, "region")
+    across = rows.select(name(r, 1).alias("a"), name((r + 1) % 5, 2).alias("b"), (0.1 + r / 10.0).alias("corr"))
+    measured = across.unionByName(rows.select(name(r, 1).alias("a"), name(r, 2).alias("b"), (-0.1 - r / 10.0).alias("corr")))
+    return fc.filled_rho(measured, fc.ordered(m.factors.join(m.bridge, "idx"))).select("i", "j", F.round("rho", 9).alias("rho"))
+
+
+def own_models(model):
+    """A row for each underlying of a model: lsu, idxs, and sigmas (1), alphas and rho of its factors in the order of idxs."""
+    own = model.bridge.select("idx", "lsu").join(model.factors, "idx")
+    a, b = own.select("lsu", F.col("idx").alias("i"), "alpha"), own.select("lsu", F.col("idx").alias("j"))
+    cells = a.join(b, "lsu").join(model.rho, ["i", "j"])
+    rows = cells.groupBy("lsu", "i", "alpha").agg(F.array_sort(F.collect_list(F.struct("j", "rho"))).alias("row"))
+    lists = rows.groupBy("lsu").agg(F.array_sort(F.collect_list(F.struct("i", "alpha", F.col("row.rho").alias("rho")))).alias("x"))
+    return lists.select("lsu", F.col("x.i").alias("idxs"), F.transform("x", lambda _: F.lit(1.0)).alias("sigmas"), F.col("x.alpha").alias("alphas"), F.col("x.rho").alias("rho"))
 
 
 @query("martingale_prices")
 def martingale_prices(spark, sf_dir):
-    """Means of simulated forward prices, 1 up to their errors, at two times; no SQL repeats the draws, a test holds them against the model's variance."""
-    m = model(spark)
-    rho = [[1.0 if i == j else next(v for a, b, v in RHO if {a, b} == {i, j}) for j in range(1, 5)] for i in range(1, 5)]
+    """Means of simulated forward prices of each underlying of the stored model, 1 up to their errors, at two times; no SQL repeats the draws, a test holds them against the model's variance."""
+    m = nations_model(spark, sf_dir)
+    models = own_models(m)
     times = [0.1, 0.5]
-    states = mc.simulate_factors(spark, [1.0] * 4, [a for _, _, a in FACTORS], rho, times, 20_001).withColumn("factor", F.col("factor") + 1)
-    asked = spark.createDataFrame([(f"{u}{s}", u, s, t, 0.6, 0.1) for u in "AB" for s, t in enumerate(times)], "id string, lsu string, step int, t double, tau double, span double")
+    states = mc.simulate_factors(models, "lsu", times, 20_001).join(models.select("lsu", "idxs"), "lsu")
+    states = states.select("lsu", "path", "step", F.get("idxs", F.col("factor")).alias("factor"), "state")
+    at = F.posexplode(F.array(*[F.lit(t) for t in times])).alias("step", "t")
+    asked = models.select("lsu", at).select(F.concat("lsu", F.lit("-"), F.col("step").cast("string")).alias("id"), "lsu", "step", "t", F.lit(0.6).alias("tau"), F.lit(0.1).alias("span"))
     prices = fc.simulated_prices(states, asked, m)
     return prices.groupBy("id").agg(F.count("*").alias("paths"), F.round(F.avg("price"), 6).alias("mean"), F.round(F.var_samp(F.ln("price")), 6).alias("variance"))
-
-
-assert len(UNDERLYINGS) == len(FACTORS)

@@ -339,21 +339,6 @@ def instant_covariance(spark, sf_dir):
     return model(spark).correlations(q, instant=True).select("id", *rounded(7, vol=F.col("vol1"), corr=F.col("corr")))
 
 
-@query("shifted_rho", f"WITH rho(i, j, v) AS (VALUES {', '.join(map(str, RHO))}), u(idx, lsu) AS (VALUES {', '.join(map(str, UNDERLYINGS))}), b AS (SELECT i, j, CASE WHEN x.lsu <> y.lsu THEN v - 0.05 ELSE v END AS rho FROM rho JOIN u x ON i = x.idx JOIN u y ON j = y.idx) SELECT i, j, round(rho, 9) AS rho FROM b UNION ALL SELECT j, i, round(rho, 9) FROM b UNION ALL SELECT idx, idx, 1.0 FROM u")
-def shifted_rho(spark, sf_dir):
-    return model(spark).shift_rho("A", "B", -0.05).rho.select("i", "j", F.round("rho", 9).alias("rho"))
-
-
-@query("scaled_factors", f"SELECT idx, round(sigma * CASE WHEN idx <= 2 THEN 1.5 ELSE 1 END, 9) AS sigma FROM (VALUES {', '.join(map(str, FACTORS))}) AS f(idx, sigma, alpha)")
-def scaled_factors(spark, sf_dir):
-    return model(spark).scale_sigma("A", 1.5).factors.select("idx", F.round("sigma", 9).alias("sigma"))
-
-
-@query("pulled_rho", f"WITH rho(i, j, v) AS (VALUES {', '.join(map(str, RHO))}) SELECT i, j, round(v * 0.9 + 0.1, 9) AS rho FROM rho UNION ALL SELECT j, i, round(v * 0.9 + 0.1, 9) FROM rho UNION ALL SELECT unnest([1, 2, 3, 4]), unnest([1, 2, 3, 4]), 1.0")
-def pulled_rho(spark, sf_dir):
-    return model(spark).pull_rho(0.1).rho.select("i", "j", F.round("rho", 9).alias("rho"))
-
-
 @query("spread_days_value", f"""WITH {_D} SELECT round(sum(30 * df * (s * {cdf('d1')} - k * {cdf('d2')})), 2) AS value FROM e WHERE cp = 'c'""")
 def spread_days_value(spark, sf_dir):
     """Value of the right to a margin on 30 days of each trade."""

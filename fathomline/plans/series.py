@@ -8,15 +8,15 @@ from fathomline.operators import montecarlo as mc, panels as pn, timeseries as t
 from fathomline.plans.mapping import PRICES, VISITS, prices, visits
 from fathomline.plans.panels import HUBS, OBS, hubs, observations, r
 from fathomline.plans.registry import dated, query
-from fathomline.plans.simulations import _PAY, N, RHO3, _correlated, _weyl
+from fathomline.plans.simulations import _PAY, NATIONS, N, RHO3, _correlated, _deals, _weyl, deals
 from fathomline.sources.files import table
 
 
-@query("spread_error", f"WITH {_weyl(N, 3)}, {_correlated(RHO3, 3)}, p AS (SELECT {_PAY} AS x FROM w) SELECT round(avg(x), 4) AS value, round(stddev_pop(x) / sqrt(count(*)), 6) AS error, count(*) AS paths FROM p")
+@query("spread_error", f"WITH {_weyl(N, 3)}, {_correlated(RHO3, 3)}, {_deals(*NATIONS)}, p AS (SELECT id, {_PAY} AS x FROM w CROSS JOIN deals) SELECT id, round(avg(x), 4) AS value, round(stddev_pop(x) / sqrt(count(*)), 6) AS error, count(*) AS paths FROM p GROUP BY 1")
 def spread_error(spark, sf_dir):
-    """A simulated spread with the error of the whole population of its paths."""
-    out = mc.spread_option(spark, [20.0, 12.0, 6.0], [0.3, 0.25, 0.4], RHO3, 1.0, 0.75, 0.03, N, population=True)
-    return out.select(r("value", 4), r("error", 6), "paths")
+    """Simulated spreads of the nations with the error of the whole population of their paths."""
+    out = mc.spread_option(deals(spark, sf_dir, *NATIONS), ["id"], RHO3, N, population=True)
+    return out.select("id", r("value", 4), r("error", 6), "paths")
 
 
 @query("histograms", """WITH v AS (SELECT event_type, CAST(least(floor(value / 10), 9) AS INTEGER) AS bin FROM events WHERE value BETWEEN 0 AND 100), n AS (SELECT event_type, count(*) AS n FROM v GROUP BY 1)

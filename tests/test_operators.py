@@ -10,6 +10,7 @@ from fathomline.operators import asof, timeseries as ts
 from fathomline.plans import pricing
 
 D = dt.date
+SF = "/root/testdata/sf0.001"
 
 
 def brute_asof(left, right, forward):
@@ -183,9 +184,12 @@ def test_last_rows_and_missing_edges(spark):
 def test_simulated_prices_are_martingales_with_the_model_s_variance(spark):
     from fathomline.plans import models
 
-    rows = {r.id: r for r in models.martingale_prices(spark, "").collect()}
-    asked = spark.createDataFrame([(f"{u}{s}", u, u, t, 0.6, 0.1, 0.6, 0.1) for u in "AB" for s, t in enumerate((0.1, 0.5))], "id string, lsu1 string, lsu2 string, t double, t1 double, d1 double, t2 double, d2 double")
-    for r in pricing.model(spark).covariances(asked).collect():
+    rows = {r.id: r for r in models.martingale_prices(spark, SF).collect()}
+    m = models.nations_model(spark, SF)
+    names = [r.lsu for r in m.bridge.select("lsu").distinct().collect()]
+    asked = spark.createDataFrame([(f"{u}-{s}", u, u, t, 0.6, 0.1, 0.6, 0.1) for u in names for s, t in enumerate((0.1, 0.5))], "id string, lsu1 string, lsu2 string, t double, t1 double, d1 double, t2 double, d2 double")
+    assert len(rows) == 2 * len(names) > 10
+    for r in m.covariances(asked).collect():
         own = rows[r.id]
         assert own.paths == 20_001 and own["mean"] == pytest.approx(1, abs=5 * (r["cov"] / 20_000) ** 0.5)
         assert own["variance"] == pytest.approx(r["cov"], rel=0.06)
@@ -301,20 +305,54 @@ def test_implied_vol_of_the_least_of_three(spark):
 def test_curves_keep_started_months_and_bounds(spark):
     from fathomline.operators import montecarlo as mc
 
-    rows = mc.simulate_curve(spark, [3.0, 3.2], [0.25, 1.0], [0.1, 0.3, 0.6], [0.5], [1.2], 4000, bounds=(2.0, 4.0)).toPandas()
+    def curves(sigmas, alphas, low, high):
+        row = ("x", [3.0, 3.2], [0.25, 1.0], [0.1, 0.3, 0.6], sigmas, alphas, low, high, None)
+        return spark.createDataFrame([row], "id string, forwards array<double>, starts array<double>, times array<double>, sigmas array<double>, alphas array<double>, low double, high double, drift double")
+
+    rows = mc.simulate_curve(curves([0.5], [1.2], 2.0, 4.0), "id", 4000).toPandas()
     assert rows["price"].between(2.0, 4.0).all()
-    free = mc.simulate_curve(spark, [3.0, 3.2], [0.25, 1.0], [0.1, 0.3, 0.6], [0.3, 0.2], [1.2, 4.0], 4000).toPandas()
+    free = mc.simulate_curve(curves([0.3, 0.2], [1.2, 4.0], None, None), "id", 4000).toPandas()
+    assert sorted(free["path"].unique()) == list(range(4000)) and set(free["id"]) == {"x"}
     first = free[free["tenor"] == 0].pivot(index="path", columns="step", values="price")
     assert (first[1] == first[2]).all() and (first[0] != first[1]).any()
     mean = free[free["step"] == 2].groupby("tenor")["price"].agg(["mean", "sem"])
     assert (abs(mean["mean"] - [3.0, 3.2]) < 4 * mean["sem"]).all()
 
 
+def test_deals_are_simulated_each_on_the_same_paths(spark):
+    """Equal deals have equal values wherever they are; values don't depend on other rows or partitions; nulls and empty tables."""
+    from fathomline.operators import montecarlo as mc
+
+    rho = [[1.0, 0.4], [0.4, 1.0]]
+    schema = "id long, f0 double, f1 double, v0 double, v1 double, strike double, t double, r double"
+    rows = [(k, 10.0 + k % 2, 8.0, 0.3, 0.2, 1.0, 0.5, 0.01) for k in range(4)] + [(9, None, 8.0, 0.3, 0.2, 1.0, 0.5, 0.01)]
+    deals = spark.createDataFrame(rows, schema)
+    got = {r.id: r for r in mc.spread_option(deals, ["id"], rho, 25_001, seed=3).collect()}
+    assert got[0].value == pytest.approx(got[2].value, rel=1e-12) and got[1].value > got[0].value and got[0].paths == 25_001
+    assert got[9].value is None and got[9].paths == 0
+    alone = mc.spread_option(deals.where("id = 3").repartition(3), ["id"], rho, 25_001, seed=3).first()
+    assert alone.value == pytest.approx(got[3].value, rel=1e-12)
+    assert mc.spread_option(deals.where("id < 0"), ["id"], rho, 1000).count() == 0 and mc.deal_paths(deals, 0, 2).count() == 0
+    plain = mc.correlated(mc.paths(spark, 25_001, 2, seed=3), rho).select(mc.terminal(F.lit(10.0), F.lit(0.3), F.lit(0.5), F.col("w0")).alias("a"), mc.terminal(F.lit(8.0), F.lit(0.2), F.lit(0.5), F.col("w1")).alias("b"))
+    want = plain.agg(F.avg(F.greatest(F.col("a") - F.col("b") - 1.0, F.lit(0.0)) * F.exp(F.lit(-0.005)))).first()[0]
+    assert got[0].value == pytest.approx(want, rel=1e-9)
+
+
+def test_correlations_by_row_are_those_of_the_matrix(spark):
+    from fathomline.operators import montecarlo as mc
+
+    draws = mc.paths(spark, 500, 3, seed=1)
+    by_row = mc.correlated_three(draws, F.lit(0.5), F.lit(-0.3), F.lit(0.4)).orderBy("path").toPandas()
+    fixed = mc.correlated(draws, [[1.0, 0.5, -0.3], [0.5, 1.0, 0.4], [-0.3, 0.4, 1.0]]).orderBy("path").toPandas()
+    assert (abs(by_row[["w0", "w1", "w2"]] - fixed[["w0", "w1", "w2"]]).max() < 1e-12).all()
+
+
 def test_local_vol_without_smile_is_a_spread(spark):
     from fathomline.operators import montecarlo as mc
 
     flat = ([0.0, 1.0], [1.0, 1000.0], [[0.3, 0.3], [0.3, 0.3]])
-    r = mc.local_vol_spread(spark, 100.0, 90.0, flat, flat, 0.6, 0.0, 0.5, 0.0, 10, 40_000).first()
+    deal = spark.createDataFrame([(1, 100.0, 90.0, 0.6, 0.0, 0.5, 0.0)], "id long, f1 double, f2 double, rho double, strike double, t double, r double")
+    r = mc.local_vol_spread(deal, "id", flat, flat, 10, 40_000).first()
     from fathomline.functions import options as op
 
     want = op.with_margrabe(spark.range(1), "v", F.lit(100.0), F.lit(90.0), F.lit(0.3), F.lit(0.3), F.lit(0.6), F.lit(0.5)).first().v
