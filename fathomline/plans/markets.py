@@ -165,12 +165,15 @@ def value_histogram(spark, sf_dir):
     return ts.histogram(table(spark, sf_dir, "events"), "value", 0.0, 100.0, 10)
 
 
-@query("period_averages", f"""WITH {PRICES}, m AS (SELECT ticker, year(d) AS y, month(d) AS month, avg(price) AS price FROM prices GROUP BY 1, 2, 3)
-SELECT ticker, y, 'Q' || ((month + 2) // 3) AS period, round(avg(price), 9) AS price FROM m GROUP BY 1, 2, 3 HAVING count(*) = 3""")
+@query("period_averages", """WITH m AS (SELECT l_returnflag AS ticker, year(l_shipdate) AS y, month(l_shipdate) AS month, avg(l_extendedprice / l_quantity) AS price FROM lineitem WHERE NOT (l_returnflag = 'A' AND month(l_shipdate) = 5) GROUP BY 1, 2, 3)
+SELECT ticker, y, 'Q' || ((month + 2) // 3) AS period, round(avg(price), 6) AS price FROM m GROUP BY 1, 2, 3 HAVING count(*) = 3""")
 def period_averages(spark, sf_dir):
-    months = prices(spark, sf_dir).groupBy("ticker", F.year("d").alias("y"), F.month("d").alias("month")).agg(F.avg("price").alias("price"))
+    """Quarters of each kind of order line whose months all have a price; one kind lacks every May."""
+    d = F.col("l_shipdate")
+    lines = table(spark, sf_dir, "lineitem").where(~((F.col("l_returnflag") == "A") & (F.month(d) == 5)))
+    months = lines.groupBy(F.col("l_returnflag").alias("ticker"), F.year(d).cast("long").alias("y"), F.month(d).alias("month")).agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
     members = spark.createDataFrame([(f"Q{(m + 2) // 3}", m, 3) for m in range(1, 13)], "period string, month int, size int")
-    return ts.composite(months, members, ["ticker", "y"], "month", "price").select("ticker", "y", "period", r("price"))
+    return ts.composite(months, members, ["ticker", "y"], "month", "price").select("ticker", "y", "period", F.round("price", 6).alias("price"))
 
 
 @query("longest_dated", f"""WITH t AS (SELECT event_type, CAST(ts AS DATE) AS d, arg_max(value, struct_pack(a := user_id, b := event_id)) AS v FROM events GROUP BY 1, 2),

@@ -266,12 +266,13 @@ def copula_spread(spark, sf_dir):
     return trades(spark, sf_dir).select("id", *rounded(2, value=value))
 
 
-@query("star_strikes", f"WITH {_D}, b AS (SELECT *, w * ln(s / k) / (vol * sqrt(t)) AS x FROM e WHERE abs(ln(s / k)) < 3 * vol * sqrt(t)) SELECT id, round(k, 4) AS strike FROM b")
+@query("star_strikes", f"WITH {_D} SELECT id, CASE WHEN abs(ln(s / k)) < 3 * vol * sqrt(t) THEN round(k, 4) END AS strike FROM e")
 def star_strikes(spark, sf_dir):
-    """Strikes that symmetric deltas lead back to, where these tell them (within three deviations); others have no row."""
+    """Strikes that symmetric deltas lead back to; null beyond three deviations, where a delta, as a number, doesn't tell them."""
     s, k, vol, t, r = _args()
     cp = F.col("cp")
-    rows = trades(spark, sf_dir).where(F.abs(F.ln(s / k)) < 3 * vol * F.sqrt(t)).withColumn("star", op.delta_star(s, k, vol, t, r, cp))
+    told = F.abs(F.ln(s / k)) < 3 * vol * F.sqrt(t)
+    rows = trades(spark, sf_dir).withColumn("star", F.when(told, op.delta_star(s, k, vol, t, r, cp)))
     return rows.select("id", *rounded(4, strike=op.strike_from_delta_star(F.col("star"), s, vol, t, r, cp)))
 
 

@@ -157,10 +157,11 @@ def written_dates(spark, sf_dir):
     return _days(spark, sf_dir).select("d", tn.parse_date(text).alias("read"), tn.long_date(F.date_format(d, "EEEE, MMMM d, yyyy")).alias("long"))
 
 
-@query("month_texts", f"WITH {_DAYS} SELECT d, CAST(date_trunc('month', d) AS DATE) AS month FROM days WHERE year(d) >= 2000")
+@query("month_texts", f"WITH {_DAYS} SELECT d, CASE WHEN year(d) >= 2000 THEN CAST(date_trunc('month', d) AS DATE) END AS month FROM days")
 def month_texts(spark, sf_dir):
-    """First days of months written like Jan-26, of this century, which they can tell."""
-    return _days(spark, sf_dir).where("year(d) >= 2000").select("d", tn.parse_month(F.date_format("d", "MMM-yy")).alias("month"))
+    """First days of months written like Jan-26; null for days before 2000, which that can't tell."""
+    text = F.when(F.year("d") >= 2000, F.date_format("d", "MMM-yy"))
+    return _days(spark, sf_dir).select("d", tn.parse_month(text).alias("month"))
 
 
 @query("converted_cells", """WITH c AS (SELECT p_partkey AS id, p_size AS z FROM part) SELECT id, CASE z % 4 WHEN 0 THEN true WHEN 1 THEN false END AS flag, CASE WHEN z % 5 = 0 THEN NULL ELSE z + 0.5 END AS first, CASE WHEN z % 3 = 0 THEN 2 ELSE 3 END AS parts,
