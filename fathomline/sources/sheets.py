@@ -132,6 +132,16 @@ def as_type(text: Column, kind: T.DataType) -> Column:
     return text.try_cast(kind)
 
 
+def typed_cells(schema: T.StructType, cells: str = "_cells") -> list[Column]:
+    """The columns of a schema out of a map of cells by header, null where there is none or it isn't of the type, and the map _rest of all other cells. Headers match in any case."""
+    def cell(field: T.StructField) -> Column:
+        own = F.filter(F.map_entries(cells), lambda e: F.lower(e["key"]) == field.name.strip().lower())
+        return as_type(F.try_element_at(own, F.lit(1))["value"], field.dataType).alias(field.name)
+
+    known = F.array(*[F.lit(f.name.strip().lower()) for f in schema]) if len(schema) else F.array().cast("array<string>")
+    return [*[cell(f) for f in schema], F.map_filter(cells, lambda k, v: ~F.array_contains(known, F.lower(k))).alias("_rest")]
+
+
 def read_sheets(spark: SparkSession, path: str, schema: str | T.StructType, sheet: str | None = None, columns: str | None = None, skip: int = 0) -> tuple[DataFrame, DataFrame]:
     """Rows of all workbooks at a path (folders and patterns too), and what can't be read.
 
@@ -201,15 +211,7 @@ def read_sheets(spark: SparkSession, path: str, schema: str | T.StructType, shee
     sheets = files.mapInArrow(apart, "path string, sheet string, data binary, shared binary, error string")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     found = sheets.repartition(parts, "path", "sheet").mapInArrow(parsed, "_path string, _sheet string, _row long, _cells map<string,string>, error string")
-    names = [f.name for f in schema]
-    known = F.array(*[F.lit(n.strip().lower()) for n in names]) if names else F.array().cast("array<string>")
-
-    def cell(field: T.StructField) -> Column:
-        own = F.filter(F.map_entries("_cells"), lambda e: F.lower(e["key"]) == field.name.strip().lower())
-        return as_type(F.try_element_at(own, F.lit(1))["value"], field.dataType).alias(field.name)
-
-    rest = F.map_filter("_cells", lambda k, v: ~F.array_contains(known, F.lower(k)))
-    rows = found.where("error is null").select("_path", "_sheet", "_row", *[cell(f) for f in schema], rest.alias("_rest"))
+    rows = found.where("error is null").select("_path", "_sheet", "_row", *typed_cells(schema))
     return rows, found.where("error is not null").select("_path", "_sheet", "error")
 
 
