@@ -11,11 +11,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from fathomline.functions.normal import CDF_DEN, CDF_NUM, norm_cdf, norm_pdf, norm_ppf
 
 INF = float("inf")
 
+#: Newton steps of an implied volatility.
+STEPS = 40
+
 
 def omega(right: Column) -> Column:
     """1 for a call, -1 for a put, null otherwise."""
@@ -28,12 +32,17 @@ def black_d1(s: Column, k: Column, vol: Column, t: Column) -> Column:
     return F.when((sd > 0) & (s > 0) & (k > 0) & (k < INF), F.try_divide(F.ln(F.try_divide(s, k)), sd) + sd / 2)
 
 
+def intrinsic(margin: Column, vol: Column, t: Column) -> Column:
+    """The margin if it is positive, else 0; null if it, the volatility or the time is."""
+    return F.when(margin.isNotNull() & vol.isNotNull() & t.isNotNull(), F.greatest(margin, F.lit(0.0)))
+
+
 def black_value(s: Column, k: Column, vol: Column, t: Column, r: Column, right: Column) -> Column:
     """Black 76 value, the intrinsic value (discounted) where there is no time, volatility or finite strike."""
     w, d1 = omega(right), black_d1(s, k, vol, t)
     d2 = d1 - vol * F.sqrt(t)
     disc = F.exp(-r * F.greatest(t, F.lit(0.0)))
-    return disc * F.when((t <= 0) | d1.isNull(), F.greatest(w * (s - k), F.lit(0.0))).otherwise(w * (s * norm_cdf(w * d1) - k * norm_cdf(w * d2)))
+    return disc * F.when((t <= 0) | d1.isNull(), intrinsic(w * (s - k), vol, t)).otherwise(w * (s * norm_cdf(w * d1) - k * norm_cdf(w * d2)))
 
 
 def delta_star(s, k, vol, t, r, right) -> Column:
@@ -75,31 +84,27 @@ def vol_bharadia(premium, s, k, t, r, right) -> Column:
     return F.sqrt(2 * F.lit(3.141592653589793) / t) * (call - delta) / (s - delta)
 
 
-def vol_from_premium(premium, s, k, t, r, right, steps: int = 40) -> Column:
-    """Implied Black volatility by Newton steps from the inflection point sqrt(2 |ln(s/k)| / t).
-
-    Vectorised over Arrow batches; null without time value or where no volatility
-    gives the premium.
-    """
-    call = call_from_put(premium, s, k, t, r, right) * F.exp(r * t)
-
-    @F.pandas_udf("double")
-    def solve(c: pd.Series, s: pd.Series, k: pd.Series, t: pd.Series) -> pd.Series:
-        c, s, k, t = (x.to_numpy(dtype=float, na_value=np.nan) for x in (c, s, k, t))
-        with np.errstate(all="ignore"):
-            ok = (t > 0) & (s > 0) & (k > 0) & (c - np.maximum(s - k, 0) > 1e-8) & (c < s)
-            moneyness = np.where(ok, np.log(s / k), np.nan)
-            vol = np.sqrt(2 * np.maximum(np.abs(moneyness), 0.02) / t)
-            for _ in range(steps):
-                sd = vol * np.sqrt(t)
-                d1 = moneyness / sd + sd / 2
-                value = s * _cdf(d1) - k * _cdf(d1 - sd)
-                vega = s * np.sqrt(t) * np.exp(-d1 * d1 / 2) / np.sqrt(2 * np.pi)
-                vol = np.clip(vol - (value - c) / np.maximum(vega, 1e-300), vol / 4, vol * 4)
-            miss = np.abs(value - c) > 1e-7 * (c - np.maximum(s - k, 0)) + 1e-12 * np.maximum(s, 1)
-        return pd.Series(np.where(ok & ~miss, vol, np.nan))
-
-    found = solve(call, s, k, t)
+@F.pandas_udf(DoubleType())
+def forward_vol(call: pd.Series, s: pd.Series, k: pd.Series, t: pd.Series) -> pd.Series:
+    """Black volatility of undiscounted calls by Newton steps from the inflection point sqrt(2 |ln(s/k)| / t), over whole batches; NaN where none gives the premium."""
+    c, s, k, t = (x.to_numpy(dtype=float, na_value=np.nan) for x in (call, s, k, t))
+    with np.errstate(all="ignore"):
+        ok = (t > 0) & (s > 0) & (k > 0) & (c - np.maximum(s - k, 0) > 1e-8) & (c < s)
+        moneyness = np.where(ok, np.log(s / k), np.nan)
+        vol = np.sqrt(2 * np.maximum(np.abs(moneyness), 0.02) / t)
+        for _ in range(STEPS):
+            sd = vol * np.sqrt(t)
+            d1 = moneyness / sd + sd / 2
+            value = s * _cdf(d1) - k * _cdf(d1 - sd)
+            vega = s * np.sqrt(t) * np.exp(-d1 * d1 / 2) / np.sqrt(2 * np.pi)
+            vol = np.clip(vol - (value - c) / np.maximum(vega, 1e-300), vol / 4, vol * 4)
+        miss = np.abs(value - c) > 1e-7 * (c - np.maximum(s - k, 0)) + 1e-12 * np.maximum(s, 1)
+    return pd.Series(np.where(ok & ~miss, vol, np.nan))
+
+
+def vol_from_premium(premium, s, k, t, r, right) -> Column:
+    """Implied Black volatility, solved over Arrow batches; null without time value or where no volatility gives the premium."""
+    found = forward_vol(call_from_put(premium, s, k, t, r, right) * F.exp(r * t), s, k, t)
     return F.when(~F.isnan(found), found)
 
 
@@ -170,7 +175,7 @@ def bachelier_vol(premium, s, k, t, r, right, steps: int = 30) -> Column:
 
 def kirk_leg_vol(vol2, f2, k) -> Column:
     """Volatility of the second leg scaled by its share of leg and strike; infinite where these cancel."""
-    return F.coalesce(vol2 * F.try_divide(f2, f2 + k), F.lit(INF))
+    return F.when(f2 + k == 0, INF).otherwise(vol2 * F.try_divide(f2, f2 + k))
 
 
 def with_margrabe(rows: DataFrame, name: str, f1: Column, f2: Column, vol1: Column, vol2: Column, rho: Column, t: Column) -> DataFrame:
@@ -255,7 +260,7 @@ def with_black(rows: DataFrame, s: Column, k: Column, vol: Column, t: Column, r:
     out = out.withColumns({"_n1": norm_cdf(c("a1")), "_n2": norm_cdf(c("a2")), "_p": norm_pdf(c("d1"))})
     open_value = c("w") * (c("s") * c("n1") - c("k") * c("n2"))
     figures = {
-        "value": c("df") * F.when(c("d1").isNull(), F.greatest(c("w") * (c("s") - c("k")), F.lit(0.0))).otherwise(open_value),
+        "value": c("df") * F.when(c("d1").isNull(), intrinsic(c("w") * (c("s") - c("k")), c("v"), c("t"))).otherwise(open_value),
         "delta": c("w") * c("n1") * c("df"),
         "gamma": F.try_divide(c("df") * c("p"), c("s") * c("sd")),
         "vega": c("s") * c("df") * c("p") * F.sqrt(c("t")),
@@ -268,7 +273,8 @@ def with_kirk(rows: DataFrame, f1: Column, f2: Column, k: Column, vol1: Column,
     """rows with all figures of Kirk spread options, shared parts computed once: value, delta1, delta2, gamma1, gamma2, vega1, vega2, theta (a day), rho_sensitivity."""
     out = rows.withColumns({"_f1": f1, "_f2": f2, "_kk": f2 + k, "_v1": vol1, "_rho": rho, "_tt": t, "_rr": r, "_right": right, "_vol2": vol2})
     out = out.withColumn("_b", kirk_leg_vol(F.col("_vol2"), F.col("_f2"), F.col("_kk") - F.col("_f2")))
-    out = out.withColumn("_vol", F.sqrt(F.greatest(F.lit(0.0), F.col("_v1") * F.col("_v1") + F.col("_b") * F.col("_b") - 2 * F.col("_rho") * F.col("_v1") * F.col("_b"))))
+    variance = F.col("_v1") * F.col("_v1") + F.col("_b") * F.col("_b") - 2 * F.col("_rho") * F.col("_v1") * F.col("_b")
+    out = out.withColumn("_vol", F.sqrt(F.when(variance < 0, 0.0).otherwise(variance)))
     out = with_black(out, F.col("_f1"), F.col("_kk"), F.col("_vol"), F.col("_tt"), F.col("_rr"), F.col("_right"), "_x_")
     out = out.withColumn("_dd2", F.ln(F.col("_f1") / F.col("_kk")) / (F.col("_vol") * F.sqrt("_tt")) - F.col("_vol") * F.sqrt("_tt") / 2)
     w, v, kept = omega(F.col("_right")), F.col("_vol"), F.exp(-F.col("_rr") * F.col("_tt"))
@@ -279,10 +285,10 @@ def with_kirk(rows: DataFrame, f1: Column, f2: Column, k: Column, vol1: Column,
         "delta2": -w * F.col("_n2w") * kept,
         "gamma1": F.col("_x_gamma"),
         "gamma2": kept * F.col("_p2") / (F.col("_kk") * v * F.sqrt("_tt")),
-        "vega1": F.col("_x_vega") * F.when(v > 1e-6, (F.col("_v1") - F.col("_rho") * F.col("_b")) / v).otherwise(0.0),
-        "vega2": F.col("_x_vega") * F.when(v > 1e-6, (F.col("_b") - F.col("_rho") * F.col("_v1")) / v * F.col("_f2") / F.col("_kk")).otherwise(0.0),
+        "vega1": F.col("_x_vega") * F.when(v > 1e-6, (F.col("_v1") - F.col("_rho") * F.col("_b")) / v).when(v.isNotNull(), 0.0),
+        "vega2": F.col("_x_vega") * F.when(v > 1e-6, (F.col("_b") - F.col("_rho") * F.col("_v1")) / v * F.col("_f2") / F.col("_kk")).when(v.isNotNull(), 0.0),
         "theta": F.col("_x_theta"),
-        "rho_sensitivity": F.when(v > 1e-6, -F.col("_x_vega") * F.col("_v1") * F.col("_b") / v).otherwise(0.0),
+        "rho_sensitivity": F.when(v > 1e-6, -F.col("_x_vega") * F.col("_v1") * F.col("_b") / v).when(v.isNotNull(), 0.0),
     }
     return out.withColumns(figures).select(*rows.columns, *figures)
 
