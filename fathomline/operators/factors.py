@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from fathomline.operators.bounds import if_small
 from fathomline.operators.covariance import Factors, loading
+from fathomline.operators.intervals import overlaps
+from fathomline.operators.staging import stage
 
 #: Factors of a model that are checked as one matrix.
 MOST_FACTORS = 2000
@@ -142,9 +144,11 @@ def loadings(asked: DataFrame, model: Factors, scales: DataFrame | None = None)
     if scales is None:
         each = asked.join(own, "lsu").withColumn("loading", at(F.col("tau"), F.col("span")))
     else:
-        numbered = asked.withColumn("_n", F.monotonically_increasing_id())
-        met = numbered.alias("a").join(scales.alias("s"), (F.col("a.lsu") == F.col("s.lsu")) & (F.col("s.first") < F.col("a.tau") + F.col("a.span")) & (F.col("s.last") > F.col("a.tau")), "left")
-        part = met.select("a.*", F.greatest(F.coalesce("s.first", "a.tau"), F.col("a.tau")).alias("_from"), F.least(F.coalesce("s.last", F.col("a.tau") + F.col("a.span")), F.col("a.tau") + F.col("a.span")).alias("_to"), F.coalesce("s.scale", F.lit(1.0)).alias("_scale"))
+        own_rows = stage(asked.withColumns({"_n": F.monotonically_increasing_id(), "_end": F.col("tau") + F.col("span")}), "asked")
+        met = overlaps(own_rows, scales, ("tau", "_end"), ("first", "last"), by=["lsu"])
+        part = met.select("l.*", F.greatest("l.tau", "r.first").alias("_from"), F.least("l._end", "r.last").alias("_to"), F.col("r.scale").alias("_scale"))
+        rest = own_rows.join(met.select("l._n").distinct(), "_n", "left_anti").select(*own_rows.columns, F.col("tau").alias("_from"), F.col("_end").alias("_to"), F.lit(1.0).alias("_scale"))
+        part = part.unionByName(rest)
         size = F.col("_to") - F.col("_from")
         each = part.join(own, "lsu").groupBy(*keys, "_n", "idx", "sigma", "alpha").agg(F.sum(at(F.col("_from"), size) * F.col("_scale") * size).alias("_sum")).withColumn("loading", F.col("_sum") / F.col("span"))
     each = each.select(*keys, F.col("idx").alias("factor"), "loading")

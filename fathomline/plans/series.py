@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fathomline.operators import montecarlo as mc, panels as pn, timeseries as ts
+from fathomline.operators.intervals import overlaps
 from fathomline.plans.mapping import PRICES, VISITS, prices, visits
 from fathomline.plans.panels import HUBS, OBS, hubs, observations, r
 from fathomline.plans.registry import dated, query
@@ -140,4 +141,20 @@ def calibrated_spread(spark, sf_dir):
 dated("d", "return_columns", "spread_pairs")
 dated("d contract", "cargo_series")
 dated("month", "on_water")
+
+@query("overlapping_orders", """WITH o AS (SELECT o_custkey AS cust, o_orderkey AS id, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(1 + o_orderkey % 90 AS INTEGER) AS b FROM orders),
+s AS (SELECT o_custkey AS cust, l_orderkey AS key, CAST(l_shipdate AS DATE) AS a, CAST(l_shipdate AS DATE) + CAST(l_quantity * (CASE WHEN l_linenumber = 1 THEN 20 ELSE 1 END) AS INTEGER) AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT id, count(*) AS n, sum(least(o.b, s.b) - greatest(o.a, s.a)) AS days FROM o JOIN s ON o.cust = s.cust AND o.a < s.b AND s.a < o.b GROUP BY 1""")
+def overlapping_orders(spark, sf_dir):
+    """How many shipments of the same customer are under way during each order, and for how many days in all; some last very long."""
+    o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")  # noqa: E741
+    day = F.to_date("o_orderdate")
+    own = o.select(F.col("o_custkey").alias("cust"), F.col("o_orderkey").alias("id"), day.alias("a"), F.date_add(day, (1 + F.col("o_orderkey") % 90).cast("int")).alias("b"))
+    lasting = (F.col("l_quantity") * F.when(F.col("l_linenumber") == 1, 20).otherwise(1)).cast("int")
+    ships = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("cust"), F.to_date("l_shipdate").alias("a"), F.date_add(F.to_date("l_shipdate"), lasting).alias("b"))
+    met = overlaps(own, ships, ("a", "b"), ("a", "b"), by=["cust"])
+    days = F.datediff(F.least("l.b", "r.b"), F.greatest("l.a", "r.a"))
+    return met.groupBy(F.col("l.id").alias("id")).agg(F.count("*").alias("n"), F.sum(days).alias("days"))
+
+
 dated("start", "quoted_hubs")
