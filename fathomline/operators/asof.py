@@ -99,6 +99,38 @@ def asof(left: DataFrame, right: DataFrame, on: str, right_on: str, value: str,
     return rows.join(found, same, "left").select("_left.*", F.col("_found.k").alias(f"{right_on}_asof"), F.col("_found.v").alias(value))
 
 
+def known_asof(asked: DataFrame, quotes: DataFrame, by: list[str], day: str, at: str, valid: str, known: str, value: str, within: int) -> DataFrame:
+    """asked with what was known: the quote of the newest valid day that lies at most `within` days before `day` and of which anything was known by `at`, in the version known last by then.
+
+    Two axes: quotes (by, valid, known, value) are of a day and become known, or are
+    corrected, later. asked: by, day (a date), at (of the type of known). A corrected
+    value that is null takes the quote of that day back; the day then has a null, and
+    isn't passed over. Adds valid, known and value; nulls where nothing was known. Of
+    versions known at one time the largest value counts.
+
+    Each distinct question is asked of within + 1 days by an equality join on group and
+    day with the time at which that day was first known; the version comes from asof()
+    on the time of knowledge within group and day. No group meets in one task.
+    """
+    groups = [f"_g{k}" for k in range(len(by))]
+    named = [F.col(c).alias(g) for c, g in zip(by, groups)]
+    q = quotes.where(F.col(valid).isNotNull() & F.col(known).isNotNull()).select(*named, F.col(valid).cast("date").alias("_v"), F.col(known).alias("_k"), F.struct(F.col(value).alias("x")).alias("_x"))
+    first = q.groupBy(*groups, "_v").agg(F.min("_k").alias("_first")).select(*[F.col(g).alias(f"_f{g}") for g in groups], F.col("_v").alias("_fv"), "_first")
+    questions = asked.where(F.col(day).isNotNull() & F.col(at).isNotNull()).select(*named, F.col(day).cast("date").alias("_d"), F.col(at).alias("_at_")).distinct()
+    each = questions.withColumn("_v", F.explode(F.sequence(F.date_sub("_d", within), F.col("_d"))))
+    same = (F.col("_v") == F.col("_fv")) & (F.col("_first") <= F.col("_at_"))
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_f{g}"))
+    newest = each.join(first, same).groupBy(*groups, "_d", "_at_").agg(F.max("_v").alias("_v"))
+    found = asof(newest, q, "_at_", "_k", "_x", by=[*groups, "_v"])
+    found = found.select(*[F.col(g).alias(f"_n{g}") for g in groups], F.col("_d").alias("_nd"), F.col("_at_").alias("_nat"), F.col("_v").alias("_nv"), F.col("_k_asof").alias("_nk"), F.col("_x.x").alias("_nx"))
+    rows = asked.select(F.struct(*[F.col(f"`{c}`") for c in asked.columns]).alias("_row"), *named, F.col(day).cast("date").alias("_d"), F.col(at).alias("_at_"))
+    on = (F.col("_d") == F.col("_nd")) & (F.col("_at_") == F.col("_nat"))
+    for g in groups:
+        on = on & F.col(g).eqNullSafe(F.col(f"_n{g}"))
+    return rows.join(found, on, "left").select("_row.*", F.col("_nv").alias(valid), F.col("_nk").alias(known), F.col("_nx").alias(value))
+
+
 def segments(points: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
     """Neighbouring points as segments x0, y0, x1, y1 with the ends reaching out: low and high are null there."""
     by = by or []

@@ -73,6 +73,11 @@ def to_euro_mwh(pence_therm: Column, euro_pounds: Column) -> Column:
     return pence_therm * 0.01 / euro_pounds / THERM_MWH
 
 
+def outright_rate(spot: Column, points: Column) -> Column:
+    """Forward rate of a currency pair: spot plus points, which are quoted in ten-thousandths."""
+    return spot + points / 10_000
+
+
 def hub_spreads(curves: DataFrame, hub: str, reference: str, pence: list[str], fx: DataFrame) -> DataFrame:
     """(hub, start, value, spread, floor) of all hubs but the reference on months that both quote.
 

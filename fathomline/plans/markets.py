@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fathomline.operators import asof, timeseries as ts
+from fathomline.operators import asof, panels as pn, timeseries as ts
 from fathomline.plans.mapping import BARS, PRICES, bars, prices
 from fathomline.plans.registry import dated, query
 from fathomline.sources.files import table
@@ -244,6 +244,34 @@ def asof_backward(spark, sf_dir):
     return asof.asof(prices(spark, sf_dir).select("ticker", "d"), _fx(spark, sf_dir), "d", "fd", "rate")
 
 
+_KNOWN = """q AS (SELECT o_orderpriority AS g, l_returnflag AS kind, CAST(o_orderdate AS DATE) AS v, CAST(o_orderdate AS DATE) + CAST(l_linenumber * l_linenumber AS INTEGER) AS k, l_extendedprice / l_quantity / 97 AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+a AS (SELECT DISTINCT o_orderpriority AS g, CAST(o_orderdate AS DATE) AS d, CAST(o_orderdate AS DATE) + CAST(2 + 20 * unnest([0, 1]) AS INTEGER) AS seen FROM orders),
+n AS (SELECT a.g, kind, d, seen, max(v) AS v FROM a JOIN q ON a.g = q.g AND q.v BETWEEN d - 7 AND d AND q.k <= seen GROUP BY ALL),
+w AS (SELECT n.g, n.kind, d, seen, n.v, q.k, max(x) AS x, row_number() OVER (PARTITION BY n.g, n.kind, d, seen ORDER BY q.k DESC) AS i FROM n JOIN q ON q.g = n.g AND q.kind = n.kind AND q.v = n.v AND q.k <= seen GROUP BY n.g, n.kind, d, seen, n.v, q.k)"""
+
+
+def known_quotes(spark, sf_dir, kind: str):
+    """Questions on every order day, as known two and 22 days later, and quotes of one kind with their corrections."""
+    o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == kind)  # noqa: E741
+    day = F.to_date("o_orderdate")
+    rows = l.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    quotes = rows.select(F.col("o_orderpriority").alias("g"), day.alias("v"), F.date_add(day, (F.col("l_linenumber") * F.col("l_linenumber")).cast("int")).alias("k"), (F.col("l_extendedprice") / F.col("l_quantity") / 97).alias("x"))
+    asked = o.select(F.col("o_orderpriority").alias("g"), day.alias("d")).distinct().select("g", "d", F.explode(F.array(F.date_add("d", 2), F.date_add("d", 22))).alias("seen"))
+    return asked, quotes
+
+
+@query("known_rates", f"""WITH {_KNOWN} SELECT a.g, a.d, a.seen, s.v, s.k, round(s.x, 6) AS spot, round(s.x + p.x / 10000, 6) AS forward FROM a LEFT JOIN (SELECT * FROM w WHERE i = 1 AND kind = 'N') s ON s.g = a.g AND s.d = a.d AND s.seen = a.seen
+LEFT JOIN (SELECT * FROM w WHERE i = 1 AND kind = 'R') p ON p.g = a.g AND p.d = a.d AND p.seen = a.seen""")
+def known_rates(spark, sf_dir):
+    """Spot rates and forwards (spot plus points) as they were known two and 22 days after each day: later questions see corrections."""
+    asked, spot = known_quotes(spark, sf_dir, "N")
+    _, points = known_quotes(spark, sf_dir, "R")
+    got = asof.known_asof(asked, spot, ["g"], "d", "seen", "v", "k", "x", 7)
+    other = asof.known_asof(asked, points, ["g"], "d", "seen", "v", "k", "x", 7).select("g", "d", "seen", F.col("x").alias("points"))
+    rate = pn.outright_rate(F.col("x"), F.col("points"))
+    return got.join(other, ["g", "d", "seen"]).select("g", "d", "seen", "v", "k", F.round("x", 6).alias("spot"), F.round(rate, 6).alias("forward"))
+
+
 @query("asof_forward", f"WITH {PRICES}, {_FX} SELECT p.ticker, p.d, f.fd AS fd_asof, f.rate FROM prices p ASOF LEFT JOIN fx f ON p.d <= f.fd")
 def asof_forward(spark, sf_dir):
     return asof.asof(prices(spark, sf_dir).select("ticker", "d"), _fx(spark, sf_dir), "d", "fd", "rate", forward=True)
@@ -262,6 +290,7 @@ def series_override(spark, sf_dir):
     return asof.overridden(p, p.withColumn("price", F.col("price") * 2), ["ticker", "d"], "price", F.col("ticker").isin("view")).select("ticker", "d", r("price"))
 
 
+dated("d seen v k", "known_rates")
 dated("d", "log_returns", "lead_differences", "calendar_lag_returns", "forward_fill", "backward_fill", "rolling_mean", "lagged_mean", "rolling_corr", "daily_bars", "true_range", "wilder_mean", "volume_waves")
 dated("d", "last_rows", "marginal_ticker", "ticker_columns", "selected_sums", "spread_common_days", "market_filter", "history_stitch", "series_override")
 dated("month", "monthly_mean", "first_of_month")

@@ -367,3 +367,25 @@ def test_interpolation_between_points_of_groups(spark):
     assert {(r.g, r.t): r.y for r in got} == {**{("a", k): v for k, v in want.items()}, ("a", None): None, ("b", 1.0): None, ("c", 1.0): None}
     flat = asof.interpolate(asked.where("g = 'a'").select("t"), points.where("g = 'a'").select("x", "y"), "t", "x", "y", flat=True).collect()
     assert {r.t: r.y for r in flat} == {**want, 0.0: 10.0, 5.0: 0.0, None: None}
+
+
+def test_what_was_known(spark):
+    """Corrections, quotes known late, taken back or stale, against plain Python."""
+    rng = random.Random(12)
+    day = lambda k: D(2024, 1, 1) + dt.timedelta(days=k)
+    quotes = [(rng.choice(["a", "b", None]), day(v), day(v + rng.choice([0, 1, 1, 2, 5, 30])), rng.choice([None, float(rng.randrange(100))])) for v in (rng.randrange(60) for _ in range(150))]
+    quotes += [("a", None, day(3), 1.0), ("a", day(3), None, 1.0)]
+    asked = [(rng.choice(["a", "b", "c", None]), day(d), day(d + rng.choice([-1, 0, 1, 3, 40]))) for d in (rng.randrange(70) for _ in range(200))] + [("a", None, day(3)), ("a", day(3), None)]
+    asked += asked[:5]
+
+    def brute(g, d, at):
+        own = [q for q in quotes if q[0] == g and None not in (q[1], q[2], d, at) and d - dt.timedelta(days=6) <= q[1] <= d and q[2] <= at]
+        v = max((q[1] for q in own), default=None)
+        k = max((q[2] for q in own if q[1] == v), default=None)
+        return v, k, max((q[3] for q in own if q[1:3] == (v, k) and q[3] is not None), default=None)
+
+    a, q = spark.createDataFrame(asked, "g string, d date, at date"), spark.createDataFrame(quotes, "g string, v date, k date, x double")
+    got = asof.known_asof(a, q, ["g"], "d", "at", "v", "k", "x", 6)
+    assert got.columns == ["g", "d", "at", "v", "k", "x"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(((*r, *brute(*r)) for r in asked), key=repr)
+    assert asof.known_asof(a, q.where("v is null"), ["g"], "d", "at", "v", "k", "x", 6).where("v is not null").count() == 0
