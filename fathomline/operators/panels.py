@@ -16,8 +16,6 @@ THERM_MWH, MWH_MMBTU = 0.0293001, 3.412142
 ALMOST_ZERO = 1e-7
 #: Contract codes of the first month of quarters and seasons, and the labels they get (fixed values of the market).
 QUARTERS, SEASONS = {"J": "Q2", "N": "Q3", "V": "Q4", "F": "Q1"}, {"J": "SS", "V": "WS"}
-#: What follows the pair in currency tickers (fixed value of the market: the composite quote).
-COMPOSITE = " BGN Curncy"
 #: Months ahead of the pillars of a currency's forwards after spot.
 PILLARS = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 15, 18, 24)
 
@@ -188,12 +186,12 @@ def ticker_list(commodities: DataFrame, years: int) -> DataFrame:
     return commodities.select("commodity", F.posexplode(F.concat(*parts)).alias("position", "x")).select("commodity", "x.kind", "position", "x.ticker", "x.label")
 
 
-def currency_tickers(pairs: DataFrame, pillars: tuple[int, ...] = PILLARS) -> DataFrame:
-    """(pair, position, ticker, label): spot and forward pillars of currency pairs seen from month `start` (a date)."""
+def currency_tickers(pairs: DataFrame, suffix: str, pillars: tuple[int, ...] = PILLARS) -> DataFrame:
+    """(pair, position, ticker, label): spot and forward pillars of currency pairs seen from month `start` (a date); tickers end in the suffix."""
     ahead = F.array(F.lit(0), *[F.lit(m) for m in pillars])
     rows = pairs.select("pair", "start", F.posexplode(ahead).alias("position", "m"))
     code = F.when(F.col("m") == 0, F.col("pair")).otherwise(F.concat("pair", F.col("m").cast("string"), F.lit("M")))
-    return rows.select("pair", "position", F.concat(code, F.lit(COMPOSITE)).alias("ticker"), tn.tenor_label(F.add_months(F.trunc("start", "MM"), F.col("m"))).alias("label"))
+    return rows.select("pair", "position", F.concat(code, F.lit(suffix)).alias("ticker"), tn.tenor_label(F.add_months(F.trunc("start", "MM"), F.col("m"))).alias("label"))
 
 
 def generic_contracts(days: DataFrame, rolls: DataFrame, day: str, n: int) -> DataFrame:

@@ -229,10 +229,10 @@ def ticker_list(spark, sf_dir):
 
 
 @query("currency_tickers", f"""WITH p AS (SELECT n_name AS pair, make_date(2026, CAST(n_nationkey % 12 + 1 AS INTEGER), 1) AS start FROM nation), m AS (SELECT unnest([0, {', '.join(map(str, pn.PILLARS))}]) AS m, unnest(generate_series(0, {len(pn.PILLARS)})) AS position)
-SELECT pair, CAST(position AS INTEGER) AS position, pair || CASE WHEN m = 0 THEN '' ELSE m || 'M' END || '{pn.COMPOSITE}' AS ticker, strftime(start + to_months(m), '%b_%y') AS label FROM p, m""")
+SELECT pair, CAST(position AS INTEGER) AS position, pair || CASE WHEN m = 0 THEN '' ELSE m || 'M' END || ' Curncy' AS ticker, strftime(start + to_months(m), '%b_%y') AS label FROM p, m""")
 def currency_tickers(spark, sf_dir):
     rows = table(spark, sf_dir, "nation").select(F.col("n_name").alias("pair"), F.make_date(F.lit(2026), (F.col("n_nationkey") % 12 + 1).cast("int"), F.lit(1)).alias("start"))
-    return pn.currency_tickers(rows)
+    return pn.currency_tickers(rows, " Curncy")
 
 
 _ROLLS = "rolls AS (SELECT DISTINCT contract, contract - 5 AS last FROM obs)"
