@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from fathomline.operators import montecarlo as mc
+from fathomline.operators import montecarlo as mc, sketches as sk
 from fathomline.plans.pricing import cdf, ppf
 from fathomline.plans.registry import dated, query
 from fathomline.sources import files
@@ -254,6 +254,25 @@ def local_vol_spread(spark, sf_dir):
     return mc.local_vol_spread(deals(spark, sf_dir, "region", "r_regionkey", figures), "id", grid, grid, 25, 20_000).select("id", *_stats())
 
 
+#: Distributions of a price for each nation: a bounded normal with jumps.
+MODELLED = {"x_low": "6e0 + k / 10e0", "x_high": "18e0 + k / 5e0", "x_mean": "10e0 + k / 8e0", "x_sd": "2e0 + (k % 4) / 4e0", "x_chance": "0.1e0 + (k % 3) / 20e0", "x_jump": "3e0 - (k % 2)", "x_jump_sd": "0.5e0"}
+
+
+@query("modelled_distribution", f"""WITH {_weyl(N, 3)}, {_deals('nation', 'n_nationkey', MODELLED)}, e AS (SELECT *, {_ends('x', 0)} FROM deals), c AS (SELECT *, {cdf('x0')} AS a0, {cdf('y0')} AS b0 FROM e), d AS (SELECT id, {_drawn('x', 0)} AS x FROM u CROSS JOIN c)
+SELECT id, CAST(least(floor((x - 5) / 0.5), 39) AS INTEGER) AS bin, round(count(*) / {N}.0, 6) AS share FROM d WHERE x BETWEEN 5 AND 25 GROUP BY 1, 2""")
+def modelled_distribution(spark, sf_dir):
+    """Shares of each nation's modelled price in forty bins."""
+    draws = sk.modelled(deals(spark, sf_dir, "nation", "n_nationkey", MODELLED), ["id"], "x", N)
+    return sk.shares(draws, ["id"], "x", 5.0, 25.0, 40).select("id", "bin", F.round("share", 6).alias("share"))
+
+
+@query("modelled_quantiles")
+def modelled_quantiles(spark, sf_dir):
+    """Quantiles of each nation's modelled price by sketches, in one pass; tests hold their ranks against the stated error."""
+    draws = sk.modelled(deals(spark, sf_dir, "nation", "n_nationkey", MODELLED), ["id"], "x", N)
+    return sk.quantiles(sk.sketched(draws, ["id"], "x"), [0.05, 0.25, 0.5, 0.75, 0.95])
+
+
 def _edge(mu: str, sigma: str) -> str:
     return f"struct_pack(sse := greatest(yy + n * ({mu}) * ({mu}) + ({sigma}) * ({sigma}) * xx - 2 * ({mu}) * y - 2 * ({sigma}) * xy + 2 * ({mu}) * ({sigma}) * x, 0), mu := {mu}, sigma := {sigma})"
 
