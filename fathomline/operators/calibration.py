@@ -235,6 +235,9 @@ def fit_models(models: DataFrame, quotes: DataFrame, alphas: tuple = ALPHAS, lon
     known = quotes.where("lsu is not null and t1 is not null and d1 is not null and vol is not null").groupBy("lsu").agg(F.array_sort(F.collect_list(quote)).alias("quotes"))
     rows = models.select("lsu", F.col("n").cast("int").alias("n"), *[F.col(c).cast("double").alias(c) for c in ("rho12", "rho13", "rho23", "rest")], F.col("sigmas").cast("array<double>").alias("sigmas"), F.col("alphas").cast("array<double>").alias("alphas"))
     rows = rows.join(known, "lsu", "left").withColumn("quotes", F.coalesce("quotes", F.array().cast(known.schema["quotes"].dataType)))
+    spark = models.sparkSession
+    # a stated number of tasks: the rows are small, the fits aren't
+    rows = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "lsu")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
