@@ -303,8 +303,9 @@ def confirmed_components(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
     A candidate cluster is dealt into blocks, each with a few pivots of the whole
     cluster, and a block's sets are all compared. What is linked then needs no
-    further comparison: only clusters that are still in several parts have their
-    parts compared across blocks.
+    further comparison: only clusters of several blocks, be it by their sets or by
+    their shingles, that are still in several parts have their parts compared across
+    blocks.
     """
     used: list[DataFrame] = []
     found = components(candidates(classes, used))
@@ -315,7 +316,8 @@ def confirmed_components(docs: DataFrame, classes: DataFrame) -> DataFrame:
     members = stage(members.join(classes.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles")), "rep"), "clusters")
     pivots = F.array(*[F.min_by("rep", F.xxhash64("rep", F.lit(k))) for k in range(PIVOTS)])
     sizes = stage(members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"), pivots.alias("pivots")), "cluster-sizes")
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    full = lambda n, shingles: F.greatest(n / BLOCK, shingles / BLOCK_SHINGLES)  # noqa: E731  how many blocks sets fill
+    blocks = F.ceil(full(F.col("n"), F.col("shingles"))).cast("int")
     at = F.when(F.array_contains("pivots", F.col("rep")), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), blocks).cast("int")))
     placed = members.join(sizes, "cluster").select("rep", "cluster", at.alias("blocks"))
     known = docs.where("text is not null").select("doc_id", "text")
@@ -326,14 +328,16 @@ def confirmed_components(docs: DataFrame, classes: DataFrame) -> DataFrame:
     label = components(links)
     unstage(links)
 
-    named = members.join(label.withColumnsRenamed({"u": "rep", "v": "label"}), "rep", "left").select("rep", "cluster", F.coalesce("label", "rep").alias("label"))
-    parts = stage(named.groupBy("cluster", "label").agg(F.count("*").alias("size")), "parts")
-    small = F.sum(F.when(F.col("size") < BLOCK, F.col("size")).otherwise(0))
-    still = parts.groupBy("cluster").agg(F.count("*").alias("parts"), F.sum("size").alias("n"), small.alias("small")).where((F.col("n") > BLOCK) & (F.col("parts") > 1))
+    named = members.join(label.withColumnsRenamed({"u": "rep", "v": "label"}), "rep", "left").select("rep", "cluster", "n_shingles", F.coalesce("label", "rep").alias("label"))
+    parts = stage(named.groupBy("cluster", "label").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("load")), "parts")
+    big = full(F.col("size"), F.col("load")) >= 1
+    small = [F.sum(F.when(big, 0).otherwise(F.col(c))).alias(f"small_{c}") for c in ("size", "load")]
+    dealt = sizes.where(blocks > 1).select("cluster")
+    still = parts.groupBy("cluster").agg(F.count("*").alias("parts"), *small).where("parts > 1").join(dealt, "cluster")
     if still.isEmpty():
         return label
-    big = F.col("size") >= BLOCK
-    sub = F.when(big, F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK))).otherwise(F.pmod(F.xxhash64("label"), F.ceil(F.greatest(F.col("small"), F.lit(1)) / BLOCK)))
+    own_blocks = lambda size, load: F.greatest(F.ceil(full(F.col(size), F.col(load))), F.lit(1))
+    sub = F.when(big, F.pmod(F.xxhash64("rep"), own_blocks("size", "load"))).otherwise(F.pmod(F.xxhash64("label"), own_blocks("small_size", "small_load")))
     home = F.when(big, F.col("label"))
     rest = stage(named.join(still, "cluster").join(parts, ["cluster", "label"]).select("rep", "cluster", "label", home.alias("home"), F.xxhash64(big, home, sub).alias("block")), "rest")
     units = rest.select("cluster", "block", "home").distinct()
@@ -370,6 +374,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = rows.where("n_shingles > 0 and doc_id is not null")
     classes = stage(linked.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
     label = confirmed_components(docs.where("doc_id is not null"), classes)
+    several = linked.groupBy("doc_id").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in "ab"]).where("min_a < max_a or min_b < max_b").select("doc_id")
+    owned = stage(linked.select("doc_id", "a", "b").join(several, "doc_id").join(classes.select("a", "b", "rep"), ["a", "b"]).select("doc_id", "rep").distinct(), "owned")
+    if not owned.isEmpty():  # the classes of an id's texts
+        least = owned.groupBy("doc_id").agg(F.min("rep").alias("v"))
+        label = components(label.unionByName(owned.join(least, "doc_id").select(F.col("rep").alias("u"), "v")))
     named = stage(classes.select("a", "b", "rep").join(label.withColumnsRenamed({"u": "rep", "v": "label"}), "rep", "left").select("a", "b", F.coalesce("label", "rep").alias("component")), "class-components")
     out = rows.select("doc_id", "n_shingles", "a", "b").join(named, ["a", "b"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -124,6 +124,24 @@ def test_near_duplicates_of_named_documents(spark):
     assert got[1:] == [(f"n{i:04}", n, f"n{c:04}", k) for i, n, c, k in brute_near(rows)]
 
 
+def chain(n, size=60, step=8):
+    """Texts of which neighbours are linked, by exactly 75 in 100, and no others."""
+    words = [f"c{k}" for k in range(n * step + size)]
+    return [(i, " ".join(words[i * step : i * step + size])) for i in range(n)]
+
+
+def test_near_duplicates_of_few_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "BLOCK_SHINGLES", 400)  # a cluster of several blocks by its shingles, not by its sets
+    rows = chain(30)
+    assert near(spark.createDataFrame(rows, "doc_id long, text string")) == brute_near(rows)
+
+
+def test_near_duplicates_of_an_id_with_two_texts(spark):
+    one, two, three = ("alpha beta gamma delta epsilon zeta", "one two three four five six", "red green blue black white grey")
+    rows = [(5, one), (7, one), (7, two), (9, two), (9, three), (11, three), (12, "no copy of any of these others")]
+    assert near(spark.createDataFrame(rows, "doc_id long, text string")) == brute_near(rows)
+
+
 def test_components_of_a_hub_and_a_chain(spark):
     links = [(i, 0) for i in range(1, 500)] + [(1000 + i, 1001 + i) for i in range(60)] + [(7, 7)]
     found = chosen_path.components(spark.createDataFrame(links, "u long, v long").repartition(7))
