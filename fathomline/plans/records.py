@@ -16,12 +16,17 @@ from fathomline.sources.files import table
 def pages(spark, sf_dir):
     """Pages of netbacks, one for each order: its lines are terminals' figures."""
     lines = table(spark, sf_dir, "lineitem")
-    k = F.col("l_suppkey") % 7
-    figure = {f: F.when((F.col("l_linenumber") == 3) & (f == "gasInKind"), F.lit("n/a")).otherwise(F.round(F.col("l_extendedprice") / 100 + i, 4).cast("string")).alias(f) for i, f in enumerate(nb.FIELDS)}
-    row = F.struct(F.date_format("l_shipdate", "yyyy-MM-dd").alias("releaseDate"), F.concat(F.lit("u"), k.cast("string")).alias("terminalUuid"), F.concat(F.lit("M+"), F.col("l_linenumber").cast("string")).alias("monthIndex"), F.date_format(F.trunc("l_shipdate", "MM"), "yyyy-MM-dd").alias("deliveryMonth"), *figure.values())
+
+    def row(x):
+        figure = {f: F.when((x["l_linenumber"] == 3) & (f == "gasInKind"), F.lit("n/a")).otherwise(F.round(x["l_extendedprice"] / 100 + i, 4).cast("string")).alias(f) for i, f in enumerate(nb.FIELDS)}
+        day = F.to_date(x["l_shipdate"])
+        return F.struct(day.cast("string").alias("releaseDate"), F.concat(F.lit("u"), (x["l_suppkey"] % 7).cast("string")).alias("terminalUuid"), F.concat(F.lit("M+"), x["l_linenumber"].cast("string")).alias("monthIndex"), F.trunc(day, "MM").cast("string").alias("deliveryMonth"), *figure.values())
+
     names = F.create_map(*[F.lit(x) for i in range(6) for x in (f"u{i}", f"Terminal {i}")])
-    docs = lines.groupBy("l_orderkey").agg(F.collect_list(row).alias("data"))
-    return docs.select(F.to_json(F.struct("data", F.struct(names.alias("terminals")).alias("metaData"))).alias("doc"))
+    # lines are brought together as they are and written out as text afterwards
+    docs = lines.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate")).alias("lines"))
+    data = F.transform("lines", row).alias("data")
+    return docs.select(F.to_json(F.struct(data, F.struct(names.alias("terminals")).alias("metaData"))).alias("doc"))
 
 
 _NB = "nb AS (SELECT CAST(l_shipdate AS DATE) AS release_date, CASE WHEN l_suppkey % 7 < 6 THEN 'Terminal ' || (l_suppkey % 7) END AS terminal, 'M+' || l_linenumber AS month_index, CAST(date_trunc('month', l_shipdate) AS DATE) AS delivery_month, {} FROM lineitem)".format(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathomline.operators.staging import stage
+
 #: Number fields of a netback, in the order of the document (fixed values of the format).
 FIELDS = ("netbackTtfBasis", "netbackOutright", "totalRegasificationCost", "slotBerth", "slotUnloadStorageRegas", "slotBerthUnloadStorageRegas", "additionalStorage", "additionalSendout", "gasInKind", "entryCapacity", "commodityCharge")
 PAGE = f"data array<struct<releaseDate:string,terminalUuid:string,monthIndex:string,deliveryMonth:string,{','.join(f'{f}:string' for f in FIELDS)}>>, metaData struct<terminals:map<string,string>>"
@@ -19,8 +21,9 @@ def netbacks(documents: DataFrame, column: str = "doc") -> DataFrame:
     unload, storage and regas slot twice to the basis, as the column has always been
     defined. Documents that can't be read give no row.
     """
-    page = documents.select(F.from_json(column, PAGE).alias("p")).where("p.data is not null")
-    rows = page.select(F.explode("p.data").alias("d"), F.col("p.metaData.terminals").alias("names"))
+    # out of a generator a document is read once; as a column it would be once for the filter and for each field that is taken
+    page = documents.select(F.inline(F.array(F.from_json(column, PAGE)))).where("data is not null")
+    rows = page.select(F.explode("data").alias("d"), F.col("metaData.terminals").alias("names"))
     own = rows.select(
         F.to_date("d.releaseDate").alias("release_date"),
         F.try_element_at("names", F.col("d.terminalUuid")).alias("terminal"),
@@ -52,11 +55,13 @@ def willingness(rows: DataFrame, cargo: DataFrame, regions: DataFrame, default:
 
     cargo (release_date, region, price): a day without a price takes the next one's,
     by region. regions (terminal, region); a terminal without one counts to `default`.
-    Few terminals and regions a day: prices are filled on the days of netbacks.
+    Few terminals and regions a day: prices are filled on the days of netbacks. What is
+    left of the rows is staged, as the join reads it more than once.
     """
     from fathomline.operators.asof import asof
 
-    own = rows.groupBy("release_date", "terminal").agg(F.max("variable_only").alias("_v")).join(regions, "terminal", "left").withColumn("region", F.coalesce("region", F.lit(default)))
+    best = stage(rows.groupBy("release_date", "terminal").agg(F.max("variable_only").alias("_v")), "netbacks")
+    own, cargo = best.join(regions, "terminal", "left").withColumn("region", F.coalesce("region", F.lit(default))), stage(cargo, "cargo-prices")
     priced = asof(own, cargo.withColumnRenamed("release_date", "_day"), "release_date", "_day", "price", by=["region"], forward=True)
     return priced.select("release_date", "terminal", (F.col("_v") - F.col("price")).alias("wtp"))
 

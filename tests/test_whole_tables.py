@@ -76,3 +76,14 @@ def test_delta_strikes_of_all_trades(spark, priced):
     w = np.where(x.cp == "c", 1, -1)
     star = w * cdf(w * np.log(x.s / x.k) / (x.vol * np.sqrt(x.t))) * np.exp(-x.r * x.t)
     assert (rows.star - star).abs().max() < 2e-7
+
+
+@pytest.mark.parametrize("name", ["netback_rows", "release_month", "release_month_all"])
+def test_documents_are_read_once(spark, name):
+    plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(") == 1
+
+
+def test_margins_read_their_pages_once(spark):
+    plan = plans.QUERIES["terminal_margins"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "from_json(" not in plan and "lineitem" not in plan  # staged before the as-of join
