@@ -290,10 +290,16 @@ def decay_fit(spark, sf_dir):
 def documents(spark, sf_dir):
     """Release documents as JSON text, one for each order."""
     lines = table(spark, sf_dir, "lineitem")
-    price = F.struct(F.col("l_extendedprice").cast("string").alias("spark"), (F.col("l_extendedprice") - 1).cast("string").alias("sparkMin"), F.when(F.col("l_linenumber") != 2, (F.col("l_extendedprice") + 1).cast("string")).otherwise("n/a").alias("sparkMax"))
-    point = F.struct(F.struct(F.date_format("l_shipdate", "yyyy-MM-dd").alias("startAt"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("endAt"), F.concat(F.lit("M"), F.col("l_linenumber").cast("string")).alias("name")).alias("deliveryPeriod"), F.struct(price.alias("usdPerDay"), price.alias("usdPerMMBtu")).alias("derivedPrices"))
-    rows = lines.groupBy("l_orderkey").agg(F.date_format(F.min("l_shipdate"), "yyyy-MM-dd").alias("releaseDate"), F.collect_list(point).alias("dataPoints"))
-    return rows.select(F.to_json(F.struct("releaseDate", F.col("l_orderkey").cast("string").alias("contractId"), F.array(F.struct("dataPoints")).alias("data"))).alias("doc"))
+
+    def point(x):
+        day, quote = F.to_date(x["l_shipdate"]).cast("string"), x["l_extendedprice"]
+        price = F.struct(quote.cast("string").alias("spark"), (quote - 1).cast("string").alias("sparkMin"), F.when(x["l_linenumber"] != 2, (quote + 1).cast("string")).otherwise("n/a").alias("sparkMax"))
+        return F.struct(F.struct(day.alias("startAt"), day.alias("endAt"), F.concat(F.lit("M"), x["l_linenumber"].cast("string")).alias("name")).alias("deliveryPeriod"), F.struct(price.alias("usdPerDay"), price.alias("usdPerMMBtu")).alias("derivedPrices"))
+
+    # lines are brought together as they are and written out as text afterwards
+    rows = lines.groupBy("l_orderkey").agg(F.to_date(F.min("l_shipdate")).cast("string").alias("releaseDate"), F.collect_list(F.struct("l_linenumber", "l_extendedprice", "l_shipdate")).alias("lines"))
+    points = F.transform("lines", point).alias("dataPoints")
+    return rows.select(F.to_json(F.struct("releaseDate", F.col("l_orderkey").cast("string").alias("contractId"), F.array(F.struct(points)).alias("data"))).alias("doc"))
 
 
 def _points(docs):

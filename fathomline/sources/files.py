@@ -44,7 +44,8 @@ def read_prices(spark: SparkSession, path: str, start: str | None = None, end: s
 
 def releases(documents: DataFrame, column: str = "doc") -> DataFrame:
     """Release documents (JSON text) as structs; broken documents are dropped, see broken()."""
-    return documents.select("*", F.from_json(column, RELEASE).alias("release")).where("release.contractId is not null")
+    # out of a generator a document is read once; as a column it would be once for the filter and for each field that is taken
+    return documents.select("*", F.explode(F.array(F.from_json(column, RELEASE))).alias("release")).where("release.contractId is not null")
 
 
 def broken(documents: DataFrame, column: str = "doc") -> DataFrame:
