@@ -138,24 +138,42 @@ def loadings(asked: DataFrame, model: Factors, scales: DataFrame | None = None)
     of delivery time; then the loading is the mean over the stretches that tau to tau +
     span meets, by their length (1 where there is none, so none is lost).
     """
-    keys = asked.columns
     own = model.factors.join(model.bridge.select("idx", "lsu"), "idx")
-    at = lambda start, length: loading(F.col("sigma"), F.col("alpha"), F.col("t"), start, length)
+    lists = own.groupBy("lsu").agg(F.array_sort(F.collect_list(F.struct("idx", "sigma", "alpha"))).alias("_f"))
+    pairs = own.select("lsu", F.col("idx").alias("i")).distinct().join(own.select("lsu", F.col("idx").alias("j")).distinct(), "lsu").join(model.rho, ["i", "j"])
+    lists = lists.join(pairs.groupBy("lsu").agg(F.collect_list(F.struct("i", "j", "rho")).alias("_rho")), "lsu", "left")
+    keys = asked.columns
+    rows = asked if scales is None else _stretches(asked, scales)
+    at = lambda f, start, length: loading(f["sigma"], f["alpha"], F.col("t"), start, length)
     if scales is None:
-        each = asked.join(own, "lsu").withColumn("loading", at(F.col("tau"), F.col("span")))
+        whole = lambda f: at(f, F.col("tau"), F.col("span"))
     else:
-        own_rows = stage(asked.withColumns({"_n": F.monotonically_increasing_id(), "_end": F.col("tau") + F.col("span")}), "asked")
-        met = overlaps(own_rows, scales, ("tau", "_end"), ("first", "last"), by=["lsu"])
-        part = met.select("l.*", F.greatest("l.tau", "r.first").alias("_from"), F.least("l._end", "r.last").alias("_to"), F.col("r.scale").alias("_scale"))
-        rest = own_rows.join(met.select("l._n").distinct(), "_n", "left_anti").select(*own_rows.columns, F.col("tau").alias("_from"), F.col("_end").alias("_to"), F.lit(1.0).alias("_scale"))
-        part = part.unionByName(rest)
-        size = F.col("_to") - F.col("_from")
-        each = part.join(own, "lsu").groupBy(*keys, "_n", "idx", "sigma", "alpha").agg(F.sum(at(F.col("_from"), size) * F.col("_scale") * size).alias("_sum")).withColumn("loading", F.col("_sum") / F.col("span"))
-    each = each.select(*keys, F.col("idx").alias("factor"), "loading")
-    pair = each.withColumnRenamed("factor", "i")
-    other = each.select(*keys, F.col("factor").alias("j"), F.col("loading").alias("_l")).distinct()
-    var = pair.distinct().join(other, keys).join(model.rho, ["i", "j"]).groupBy(*keys).agg(F.sum(F.col("loading") * F.col("_l") * F.col("rho")).alias("_var"))
-    return each.join(var, keys).withColumn("part", F.col("loading") / F.sqrt("_var")).drop("_var")
+        whole = lambda f: F.aggregate("_part", F.lit(0.0), lambda acc, p: acc + at(f, p["from"], p["to"] - p["from"]) * p["scale"] * (p["to"] - p["from"])) / F.col("span")
+    # the factors of an underlying are few: they come to the rows as arrays, and no row is shuffled or joined with itself
+    rows = rows.join(if_small(lists, MOST_FACTORS), "lsu").withColumn("_l", F.transform("_f", lambda f: F.struct(f["idx"].alias("factor"), whole(f).alias("loading"))))
+    rows = rows.withColumn("_by", F.map_from_entries(F.array_distinct("_l")))
+    var = F.aggregate("_rho", F.lit(0.0), lambda acc, r: acc + F.try_element_at("_by", r["i"]) * F.try_element_at("_by", r["j"]) * r["rho"])
+    return rows.withColumn("_var", var).select(*keys, "_var", F.inline("_l")).select(*keys, "factor", "loading", (F.col("loading") / F.sqrt("_var")).alias("part"))
+
+
+def _stretches(asked: DataFrame, scales: DataFrame) -> DataFrame:
+    """asked (lsu, tau, span, …) with _part: the stretches (from, to, scale) that tau to tau + span meets, the whole with scale 1 where there is none.
+
+    Few stretches (MOST_FACTORS in all) come to the rows as arrays; more are joined by their overlaps.
+    """
+    end = F.col("tau") + F.col("span")
+    whole = F.array(F.struct(F.col("tau").alias("from"), end.alias("to"), F.lit(1.0).alias("scale")))
+    if scales.limit(MOST_FACTORS + 1).count() <= MOST_FACTORS:
+        own = scales.where("first < last").groupBy("lsu").agg(F.collect_list(F.struct("first", "last", "scale")).alias("_s"))
+        met = F.filter("_s", lambda x: (x["first"] < end) & (F.col("tau") < x["last"]) & (F.col("tau") < end))
+        cut = F.transform(met, lambda x: F.struct(F.greatest("tau", x["first"]).alias("from"), F.least(end, x["last"]).alias("to"), x["scale"].alias("scale")))
+        rows = asked.join(F.broadcast(own), "lsu", "left").withColumn("_part", cut)
+        return rows.select(*asked.columns, F.when(F.size("_part") > 0, F.col("_part")).otherwise(whole).alias("_part"))
+    own_rows = stage(asked.withColumns({"_n": F.monotonically_increasing_id(), "_end": end}), "asked")
+    met = overlaps(own_rows.select("_n", "lsu", "tau", "_end"), scales, ("tau", "_end"), ("first", "last"), by=["lsu"])
+    cut = F.struct(F.greatest("l.tau", "r.first").alias("from"), F.least("l._end", "r.last").alias("to"), F.col("r.scale").alias("scale"))
+    parts = met.groupBy(F.col("l._n").alias("_n")).agg(F.collect_list(cut).alias("_part"))
+    return own_rows.join(parts, "_n", "left").select(*asked.columns, F.coalesce("_part", whole).alias("_part"))
 
 
 def ratio_vols(asked: DataFrame, model: Factors) -> DataFrame:

@@ -87,3 +87,15 @@ def test_documents_are_read_once(spark, name):
 def test_margins_read_their_pages_once(spark):
     plan = plans.QUERIES["terminal_margins"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "from_json(" not in plan and "lineitem" not in plan  # staged before the as-of join
+
+
+@pytest.mark.parametrize("name", ["model_loadings", "scaled_loadings"])
+def test_loadings_shuffle_no_rows(spark, name, monkeypatch):
+    from fathomline.operators import factors
+
+    found = plans.QUERIES[name](spark, SF)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id#" not in plan and "hashpartitioning(_n#" not in plan
+    monkeypatch.setattr(factors, "MOST_FACTORS", 0)  # too many stretches and factors for arrays in all tasks
+    joined = plans.QUERIES[name](spark, SF)
+    assert found.exceptAll(joined).isEmpty() and joined.exceptAll(found).isEmpty()
