@@ -19,6 +19,7 @@ Equal runs are one run with its smallest id before the last passes.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm._shared import by_bytes, mix64, partitions_for, stage, utf8_view
+from fathomline.llm._shared import by_bytes, mix64, partitions_for, shared_dir, utf8_view
 
 #: Bytes that a string must have in common.
 DEPTH = 50
@@ -51,7 +52,10 @@ _PAD = bytes(64)
 
 
 def build_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Texts in blocks, written to the shared folder: block, ids, ends (places behind each text and one zero byte), size, data (compressed)."""
+    """Texts in blocks, written to the shared folder: block, ids, ends (places behind each text and one zero byte), size, data (compressed).
+
+    A table bucketed by block: what is joined with the blocks goes to them, the blocks themselves are never shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for n, b in enumerate(by_bytes(batches, "text", BLOCK_BYTES)):
@@ -64,7 +68,12 @@ def build_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             )
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return stage(texts.mapInArrow(run, "block long, ids array<long>, ends array<long>, size long, data binary"), "suffix-blocks")
+    blocks = texts.mapInArrow(run, "block long, ids array<long>, ends array<long>, size long, data binary")
+    spark, name = docs.sparkSession, f"suffix_blocks_{uuid.uuid4().hex}"
+    # as many buckets as a shuffle has partitions, so that grouped replies lie as the blocks do
+    written = blocks.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/fathomline/{name}")
+    written.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").saveAsTable(name)
+    return spark.table(name)
 
 
 class Block:

@@ -88,3 +88,16 @@ def test_ids_and_depths_that_it_refuses(spark):
         suffix_sort.dedup_strings(docs)
     with pytest.raises(ValueError):
         suffix_sort.dedup_strings(docs.selectExpr("1 as doc_id", "text"), depth=10)
+
+
+def test_blocks_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(1, "a" * 70), (2, "b" * 60 + "a" * 60)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = suffix_sort.dedup_strings(docs)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(block#") == 2  # what is told to the blocks, not the blocks
+        assert {r.doc_id: r.n_removed for r in found.collect()} == {1: 0, 2: 60}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
