@@ -30,11 +30,15 @@ MOST = 3
 AT_ONCE = 256
 #: Other starts besides the given one: where in their bounds (as powers of the ratio of most to least) the speeds of the factors begin.
 OTHER_STARTS = ((0.2, 0.3, 0.5), (0.5, 0.7, 0.5), (0.3, 0.9, 0.2), (0.7, 0.4, 0.8), (0.6, 0.8, 0.3))
+#: A sum of squares that is nothing but rounding.
+NOTHING = 1e-26
 #: Bounds of the logarithm of the fast volatility over the slow one, where both follow from a condition.
 LOG_RATIO = (0.0, -7.0, 7.0)
 
 
-def bounded_least_squares(residuals: Callable[[np.ndarray, np.ndarray], np.ndarray], start: np.ndarray, low: np.ndarray, high: np.ndarray, free: np.ndarray, turns: int = 300) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bounded_least_squares(
+    residuals: Callable[[np.ndarray, np.ndarray], np.ndarray], start: np.ndarray, low: np.ndarray, high: np.ndarray, free: np.ndarray, turns: int = 300, slopes: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Parameters, sums of squares and turns of many small least squares problems at once, each within its box.
 
     residuals(parameters, rows) gives a row of residuals for each row of parameters;
@@ -43,44 +47,46 @@ def bounded_least_squares(residuals: Callable[[np.ndarray, np.ndarray], np.ndarr
 
     Each turn is a damped Gauss-Newton step in the parameters that aren't held by a
     bound (one that the slope points out of), cut back to the box, and taken if it
-    lowers the sum; the damping falls with success and rises without. Slopes are
-    central differences that never leave the box.
+    lowers the sum; the damping falls with success and rises without. A problem ends
+    where its sum is nothing, or neither a step nor what its slopes promise lowers it
+    by more than rounding does. slopes(parameters, rows) are those of the residuals
+    (problems x residuals x parameters), worked out anew only where a step was taken;
+    without it they are central differences that never leave the box.
     """
     p = np.clip(start, low, high)
     n, width = p.shape
     rows = np.arange(n)
-    r = residuals(p, rows)
-    loss, damp, took = (r * r).sum(1), np.full(n, 1e-3), np.zeros(n, int)
+    at = residuals(p, rows)
+    loss, damp, took = (at * at).sum(1), np.full(n, 1e-3), np.zeros(n, int)
+    known, moved = np.zeros((n, at.shape[1], width)), np.ones(n, bool)
     todo = rows[free.any(1)]
     eye = np.eye(width)
+    differences = lambda x, own: _differences(residuals, x, own, low[own], high[own], free[own])
     for _ in range(turns):
         if not len(todo):
             break
+        fresh = todo[moved[todo]]
+        if len(fresh):
+            known[fresh] = (slopes or differences)(p[fresh], fresh)
+            moved[fresh] = False
         x, lo, hi, own = p[todo], low[todo], high[todo], free[todo]
-        r = residuals(x, todo)
-        slope = np.zeros((len(todo), r.shape[1], width))
-        for k in np.flatnonzero(own.any(0)):
-            step = 1e-6 * np.maximum(np.abs(x[:, k]), 1e-2)
-            up, down = x.copy(), x.copy()
-            up[:, k], down[:, k] = np.minimum(x[:, k] + step, hi[:, k]), np.maximum(x[:, k] - step, lo[:, k])
-            span = up[:, k] - down[:, k]
-            slope[:, :, k] = (residuals(up, todo) - residuals(down, todo)) / np.where(span > 0, span, 1.0)[:, None]
-        g = np.einsum("nqk,nq->nk", slope, r)
+        slope = known[todo]
+        g = (at[todo][:, None, :] @ slope)[:, 0]
         held = ~own | (x <= lo) & (g >= 0) | (x >= hi) & (g <= 0)
         g[held] = 0.0
-        slope = np.where(held[:, None, :], 0.0, slope)
-        h = np.einsum("nqk,nql->nkl", slope, slope)
+        h = np.where(held[:, None, :] | held[:, :, None], 0.0, slope.transpose(0, 2, 1) @ slope)
         scale = np.einsum("nkk->nk", h)
         scale = np.where(held, 1.0, np.maximum(scale, 1e-12 * np.maximum(scale.max(1, keepdims=True), 1e-30)))
         step = -np.linalg.solve(h + (damp[todo][:, None] * scale + held)[:, :, None] * eye, g[:, :, None])[:, :, 0]
+        promised = -(g * step).sum(1)  # at least half of what the slopes promise, and shorter steps promise less
         new = np.clip(x + step, lo, hi)
         r2 = residuals(new, todo)
         lower = (r2 * r2).sum(1)
         good = lower < loss[todo]
         gain = loss[todo] - lower
         won = todo[good]
-        p[won] = new[good]
-        still = np.where(good, (gain > 1e-15 * loss[todo]) & (loss[todo] > 1e-26), damp[todo] < 1e12)
+        p[won], at[won], moved[won] = new[good], r2[good], True
+        still = np.where(good, (gain > 1e-15 * loss[todo]) & (loss[todo] > NOTHING), (damp[todo] < 1e12) & (promised > 1e-15 * loss[todo]))
         loss[won] = lower[good]
         damp[todo] = np.clip(np.where(good, damp[todo] * 0.3, damp[todo] * 5), 1e-12, 1e13)
         took[todo] += 1
@@ -88,22 +94,87 @@ def bounded_least_squares(residuals: Callable[[np.ndarray, np.ndarray], np.ndarr
     return p, loss, took
 
 
+def _differences(residuals: Callable[[np.ndarray, np.ndarray], np.ndarray], x: np.ndarray, rows: np.ndarray, low: np.ndarray, high: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """Slopes of the free parameters by central differences within the box."""
+    slope = None
+    for k in np.flatnonzero(free.any(0)):
+        step = 1e-6 * np.maximum(np.abs(x[:, k]), 1e-2)
+        up, down = x.copy(), x.copy()
+        up[:, k], down[:, k] = np.minimum(x[:, k] + step, high[:, k]), np.maximum(x[:, k] - step, low[:, k])
+        span = up[:, k] - down[:, k]
+        change = (residuals(up, rows) - residuals(down, rows)) / np.where(span > 0, span, 1.0)[:, None]
+        if slope is None:
+            slope = np.zeros((*change.shape, x.shape[1]))
+        slope[:, :, k] = change
+    return slope
+
+
 def _mean_decay(x: np.ndarray) -> np.ndarray:
     """(1 - exp(-x)) / x, 1 at 0."""
     small = np.abs(x) < 1e-8
     return np.where(small, 1 - x / 2, -np.expm1(-x) / np.where(small, 1.0, x))
 
 
+def _mean_decay_slope(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """The derivative of _mean_decay, whose value is mean."""
+    small = np.abs(x) < 1e-4
+    return np.where(small, -0.5 + x / 3 - x * x / 8, (np.exp(-x) - mean) / np.where(small, 1.0, x))
+
+
+def _loads(alpha: np.ndarray, start: np.ndarray, length: np.ndarray, slopes: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Mean loading on a factor of unit volatility over a delivery, and its derivative in the factor's speed."""
+    kept, x = np.exp(-alpha * start), alpha * length
+    mean = _mean_decay(x)
+    return kept * mean, kept * (length * _mean_decay_slope(x, mean) - start * mean) if slopes else None
+
+
 def model_vols(sigma: np.ndarray, alpha: np.ndarray, rho: np.ndarray, q: dict[str, np.ndarray]) -> np.ndarray:
     """Yearly volatilities (models x quotes) until t of contracts that deliver from t1 on for d1 years, or of their ratio to those of t2 and d2 where `ratio` is 1; t 0 is now.
 
     sigma and alpha (models x MOST), rho (models x MOST x MOST); a factor that a model lacks has sigma 0.
     """
-    s, a = sigma[:, None, :], alpha[:, None, :]
-    load = lambda start, length: s * np.exp(-a * (start - q["t"])[:, :, None]) * _mean_decay(a * length[:, :, None])
-    w = load(q["t1"], q["d1"]) - q["ratio"][:, :, None] * load(q["t2"], q["d2"])
-    rest = _mean_decay((alpha[:, None, :, None] + alpha[:, None, None, :]) * q["t"][:, :, None, None])
-    return np.sqrt(np.maximum(np.einsum("nqi,nqj,nij,nqij->nq", w, w, rho, rest), 0.0))
+    return _vols(sigma, alpha, rho, q, False)[0]
+
+
+def _vols(sigma: np.ndarray, alpha: np.ndarray, rho: np.ndarray, q: dict[str, np.ndarray], slopes: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """model_vols, and its derivatives (models x quotes x 2 MOST) in sigma and alpha; those of a volatility of 0 are 0."""
+    used = np.flatnonzero((sigma != 0).any(0))
+    i, j = np.nonzero(q["ratio"])
+    t = q["t"]
+    start, second, length = q["t1"] - t, (q["t2"] - t)[i, j], q["d2"][i, j]
+    unit, bend, w = {}, {}, {}
+    for k in used:
+        unit[k], bend[k] = _loads(alpha[:, k : k + 1], start, q["d1"], slopes)
+        if len(i):
+            more, more_bend = _loads(alpha[i, k], second, length, slopes)
+            unit[k][i, j] -= q["ratio"][i, j] * more
+            if slopes:
+                bend[k][i, j] -= q["ratio"][i, j] * more_bend
+        w[k] = sigma[:, k : k + 1] * unit[k]
+    # what a factor moves together with all others, and how that changes with its speed
+    joint, turned = {k: 0.0 for k in used}, {k: 0.0 for k in used}
+    for n, k in enumerate(used):
+        for m in used[n:]:
+            x = (alpha[:, k] + alpha[:, m])[:, None] * t
+            rest, c = _mean_decay(x), rho[:, k, m][:, None]
+            both = c * rest
+            joint[k] = joint[k] + both * w[m]
+            if m != k:
+                joint[m] = joint[m] + both * w[k]
+            if slopes:
+                slow = c * t * _mean_decay_slope(x, rest)
+                turned[k] = turned[k] + slow * w[m]
+                if m != k:
+                    turned[m] = turned[m] + slow * w[k]
+    vol = np.sqrt(np.maximum(sum((w[k] * joint[k] for k in used), np.zeros_like(t)), 0.0))
+    if not slopes:
+        return vol, None
+    out = np.zeros((*t.shape, 2 * MOST))
+    over = np.where(vol > 0, 1.0, 0.0) / np.where(vol > 0, vol, 1.0)
+    for k in used:
+        out[:, :, k] = over * unit[k] * joint[k]
+        out[:, :, MOST + k] = over * (sigma[:, k : k + 1] * bend[k] * joint[k] + w[k] * turned[k])
+    return vol, out
 
 
 def _sigmas(p: np.ndarray, rest: np.ndarray, n: np.ndarray, rho: np.ndarray) -> np.ndarray:
@@ -134,6 +205,26 @@ class Problem:
         found = model_vols(_sigmas(p, self.rest[rows], self.n[rows], self.rho[rows]), p[:, MOST:], self.rho[rows], q)
         return np.sqrt(q["weight"]) * (found - q["vol"])
 
+    def slopes(self, p: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Derivatives of the residuals in the parameters."""
+        q = {k: v[rows] for k, v in self.quotes.items()}
+        own = (self.rest[rows], self.n[rows], self.rho[rows])
+        _, out = _vols(_sigmas(p, *own), p[:, MOST:], own[2], q, True)
+        tied = np.flatnonzero(~np.isnan(own[0]))
+        if len(tied):  # there the volatilities follow from the other parameters: by central differences of these few numbers
+            x, by_sigma, at = p[tied], out[tied, :, :MOST], [v[tied] for v in own]
+            out[tied, :, :MOST] = 0.0
+            for k in (1, MOST, MOST + 1):
+                step = 1e-6 * np.maximum(np.abs(x[:, k]), 1e-2)
+                up, down = x.copy(), x.copy()
+                up[:, k], down[:, k] = x[:, k] + step, np.maximum(x[:, k] - step, 0.0) if k >= MOST else x[:, k] - step
+                change = (_sigmas(up, *at) - _sigmas(down, *at)) / (up[:, k] - down[:, k])[:, None]
+                out[tied, :, k] += np.einsum("nqi,ni->nq", by_sigma, change)
+        return np.sqrt(q["weight"])[:, :, None] * out
+
+    def part(self, rows: np.ndarray) -> Problem:
+        return Problem(self.n[rows], self.rho[rows], self.rest[rows], {k: v[rows] for k, v in self.quotes.items()})
+
     def level(self, p: np.ndarray) -> np.ndarray:
         """Mean measured volatility over that of the parameters, by weight; 1 where there are no quotes."""
         w = self.quotes["weight"]
@@ -161,12 +252,16 @@ class Problem:
             size = self.level(other)[:, None]  # volatilities of the right size
             other[:, :MOST] = np.where(free[:, :MOST] & ~tied, other[:, :MOST] * size, other[:, :MOST])
             starts.append(other)
-        best, loss, took = bounded_least_squares(self.residuals, starts[0], low, high, free, turns)
+        best, loss, took = bounded_least_squares(self.residuals, starts[0], low, high, free, turns, self.slopes)
         for x in starts[1:]:
-            p, less, more = bounded_least_squares(self.residuals, x, low, high, free, turns)
-            better = less < loss * (1 - 1e-9)
-            best[better], loss[better] = p[better], less[better]
-            took += more
+            rows = np.flatnonzero(loss > NOTHING)  # no start can better a sum of nothing
+            if not len(rows):
+                break
+            own = self.part(rows)
+            p, less, more = bounded_least_squares(own.residuals, x[rows], low[rows], high[rows], free[rows], turns, own.slopes)
+            better = less < loss[rows] * (1 - 1e-9)
+            best[rows[better]], loss[rows[better]] = p[better], less[better]
+            took[rows] += more
         return best, loss, took
 
 
@@ -232,7 +327,9 @@ def fit_models(models: DataFrame, quotes: DataFrame, alphas: tuple = ALPHAS, lon
         F.when(ratio, F.col("t2")).otherwise(none).cast("double").alias("t2"), F.when(ratio, F.col("d2")).otherwise(none).cast("double").alias("d2"),
         F.col("vol").cast("double").alias("vol"), F.coalesce("weight", F.lit(1.0)).cast("double").alias("weight"), ratio.cast("double").alias("ratio"),
     )
-    known = quotes.where("lsu is not null and t1 is not null and d1 is not null and vol is not null").groupBy("lsu").agg(F.array_sort(F.collect_list(quote)).alias("quotes"))
+    # nulls are left out of the lists, not of the rows: as a filter of rows Spark would work out derived volatilities once more
+    whole = lambda q: q["t1"].isNotNull() & q["d1"].isNotNull() & q["vol"].isNotNull()
+    known = quotes.where("lsu is not null").groupBy("lsu").agg(F.array_sort(F.filter(F.collect_list(quote), whole)).alias("quotes"))
     rows = models.select("lsu", F.col("n").cast("int").alias("n"), *[F.col(c).cast("double").alias(c) for c in ("rho12", "rho13", "rho23", "rest")], F.col("sigmas").cast("array<double>").alias("sigmas"), F.col("alphas").cast("array<double>").alias("alphas"))
     rows = rows.join(known, "lsu", "left").withColumn("quotes", F.coalesce("quotes", F.array().cast(known.schema["quotes"].dataType)))
     spark = models.sparkSession

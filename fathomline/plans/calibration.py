@@ -52,7 +52,9 @@ e AS (SELECT k, 1 AS factor, s1 AS sigma, a1 AS alpha FROM p UNION ALL SELECT k,
 SELECT k AS id, factor, round(sigma, 3) AS sigma, round(alpha, 2) AS alpha, true AS exact FROM e""")
 def calibrated_factors(spark, sf_dir):
     """Models of one to three factors of all suppliers, found again from the volatilities of their contracts."""
-    models = _models(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("lsu")), F.col("lsu"), 1 + F.col("lsu") % 3)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # dealt before each becomes dozens of quotes: a file of a few MB is one task otherwise
+    models = _models(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("lsu")).repartition(parts, "lsu"), F.col("lsu"), 1 + F.col("lsu") % 3)
     quotes = quoted(models).select("lsu", "t", "t1", "d1", "t2", "d2", "vol", "weight")
     none = F.lit(None)
     asked = models.select("lsu", "n", F.col("r12").alias("rho12"), F.col("r13").alias("rho13"), F.col("r23").alias("rho23"), none.cast("array<double>").alias("sigmas"), none.cast("array<double>").alias("alphas"), none.cast("double").alias("rest"))
