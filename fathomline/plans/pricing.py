@@ -263,7 +263,9 @@ SELECT id, round(s * {cdf('d1')} - k * {cdf('d2')}, 2) AS value FROM e""")
 def copula_spread(spark, sf_dir):
     """Spreads without strike and smile by the copula integral: the exchange option."""
     value = op.copula_spread(F.col("s"), F.col("k"), F.lit(0.0), F.col("vol"), F.lit(0.0), F.lit(0.3), F.lit(0.0), F.lit(0.5), F.col("t"))
-    return trades(spark, sf_dir).select("id", *rounded(2, value=value))
+    # a row takes tenths of a millisecond: dealt to a stated number of tasks, as a file of a few MB is one otherwise
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return trades(spark, sf_dir).repartition(parts).select("id", *rounded(2, value=value))
 
 
 @query("star_strikes", f"WITH {_D} SELECT id, CASE WHEN abs(ln(s / k)) < 3 * vol * sqrt(t) THEN round(k, 4) END AS strike FROM e")

@@ -265,6 +265,24 @@ def test_copula_spread_is_a_double_integral(spark):
         assert got == pytest.approx(want, rel=2e-3)
 
 
+def test_copula_spread_works_out_few_rows_at_once_in_many_tasks(spark, monkeypatch):
+    import numpy as np
+
+    from fathomline import plans
+    from fathomline.functions import options as op
+
+    one = [np.full((40, 1), x) for x in (20.0, 15.0, 2.0, 0.3, 0.05, 0.4, -0.05, 0.6, 1.0)]
+    one[7][:, 0] = np.linspace(-0.95, 0.95, 40)
+    whole = op._copula(*one, 500, 7.0)
+    near = op.NEAR
+    monkeypatch.setattr(op, "NEAR", 40.0)  # nothing is left out
+    assert np.allclose(whole, op._copula(*one, 500, 7.0), rtol=1e-13, atol=0) and near > 8
+    one[4][3] = one[7][5] = np.nan
+    assert np.flatnonzero(np.isnan(op._copula(*one, 500, 7.0))).tolist() == [3, 5]
+    got = plans.QUERIES["copula_spread"](spark, "/root/testdata/sf0.001")
+    assert got.rdd.getNumPartitions() >= 8  # a small file was one task
+
+
 def test_cheapest_of_three_is_near_its_simulation(spark):
     import numpy as np
 
