@@ -3,7 +3,9 @@
 Reading goes through Spark's binary files, so any store will do: a first pass takes
 each workbook apart into one row for each sheet, still compressed, and these rows are
 dealt out, so that a task parses a sheet, not a file. Writing is a Python data source:
-each task writes one workbook aside, and all are moved into place when all are there.
+each task writes its workbooks aside, and all are moved into place when all are there.
+Sheets are unpacked, parsed and packed piece by piece: memory holds a workbook as it is
+stored, never the text or the tree of a sheet.
 """
 
 from __future__ import annotations
@@ -33,6 +35,10 @@ DAY_ZERO = dt.datetime(1899, 12, 30)
 MOST_ROWS = 1_048_576
 #: Rows that are handed on at once.
 ROWS_AT_ONCE = 4096
+#: Bytes of a sheet's text that are in hand at once.
+PIECE = 1 << 18
+#: Bytes of workbooks for each task that parses sheets, about.
+TASK_BYTES = 32 << 20
 #: What can't be in XML.
 UNFIT = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]")
 
@@ -65,10 +71,10 @@ def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
-def sheet_parts(data: bytes) -> list[tuple[str, str]]:
+def sheet_parts(data: bytes | pa.Buffer) -> list[tuple[str, str]]:
     """(name, part) of the sheets of a workbook, in its order. ValueError if it isn't one."""
     try:
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
+        with zipfile.ZipFile(pa.BufferReader(data)) as z:
             links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
             out = []
             for e in ElementTree.fromstring(z.read("xl/workbook.xml")).iter():
@@ -96,12 +102,14 @@ def sheet_rows(xml: io.BufferedIOBase, shared: list[str], first: int, last: int)
 
     Numbers and serial dates are text as they stand; truth values are true or false.
     """
-    row, before, cells = 0, 0, {}
+    row, before, cells, outer = 0, 0, {}, None
     for event, e in ElementTree.iterparse(xml, events=("start", "end")):
         tag = _local(e.tag)
         if event == "start":
             if tag == "row":
                 row, before, cells = int(e.get("r") or row + 1), 0, {}
+            elif tag == "sheetData":
+                outer = e
         elif tag == "c":
             ref = re.match(r"[A-Za-z]+", e.get("r") or "")
             column = column_number(ref[0]) if ref else before + 1
@@ -119,6 +127,8 @@ def sheet_rows(xml: io.BufferedIOBase, shared: list[str], first: int, last: int)
             if cells:
                 yield row, cells
             e.clear()
+            if outer is not None:
+                del outer[:]  # rows that are done, which it would keep to the sheet's end
 
 
 def as_type(text: Column, kind: T.DataType) -> Column:
@@ -161,25 +171,35 @@ def read_sheets(spark: SparkSession, path: str, schema: str | T.StructType, shee
     low, high = column_range(columns)
     wanted = re.compile(sheet) if sheet is not None else None
 
+    def one(row: tuple) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, (pa.string(), pa.string(), pa.binary(), pa.binary(), pa.string()))], ["path", "sheet", "data", "shared", "error"])
+
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, data in zip(b.column(0).to_pylist(), b.column(1)):
-                data, out = data.as_py(), []
+                data, parts, error = data.as_buffer(), [], None
                 try:
-                    sheets = [x for x in sheet_parts(data) if wanted is None or wanted.fullmatch(x[0])]
-                    with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    parts = [x for x in sheet_parts(data) if wanted is None or wanted.fullmatch(x[0])]
+                    with zipfile.ZipFile(pa.BufferReader(data)) as z:
+                        for _, part in parts:  # a file counts only if all of these can be unpacked
+                            for _ in _pieces(z, part):
+                                pass
                         shared = z.read("xl/sharedStrings.xml") if "xl/sharedStrings.xml" in z.namelist() else None
                         shared = None if shared is None else zlib.compress(shared)
-                        out = [(path, name, _taken(z, part), shared, None) for name, part in sheets]
-                except (ValueError, zipfile.BadZipFile, zlib.error, OSError) as e:
-                    out = [(path, None, None, None, str(e))]
-                for row in out:  # a sheet at a time
-                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, (pa.string(), pa.string(), pa.binary(), pa.binary(), pa.string()))], ["path", "sheet", "data", "shared", "error"])
+                except (ValueError, zipfile.BadZipFile, zlib.error, EOFError, OSError) as e:
+                    error = str(e)
+                if error is not None:
+                    yield one((path, None, None, None, error))
+                    continue
+                with zipfile.ZipFile(pa.BufferReader(data)) as z:
+                    for name, part in parts:  # a sheet at a time
+                        yield one((path, name, _taken(z, part), shared, None))
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                path, name, data, shared, error = (b.column(k)[i].as_py() for k in range(5))
+                path, name, _, shared, error = (b.column(k)[i].as_py() if k != 2 else None for k in range(5))
+                data = b.column(2)[i].as_buffer()
                 if error is None:
                     try:
                         for _ in _cells(data, shared, low, high):  # a sheet counts only if it is sound to its end
@@ -209,18 +229,45 @@ def read_sheets(spark: SparkSession, path: str, schema: str | T.StructType, shee
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     sheets = files.mapInArrow(apart, "path string, sheet string, data binary, shared binary, error string")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    size = spark.read.format("binaryFile").load(path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]  # of the list of files alone
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, size // TASK_BYTES)
     found = sheets.repartition(parts, "path", "sheet").mapInArrow(parsed, "_path string, _sheet string, _row long, _cells map<string,string>, error string")
     rows = found.where("error is null").select("_path", "_sheet", "_row", *typed_cells(schema))
     return rows, found.where("error is not null").select("_path", "_sheet", "error")
 
 
+def _pieces(z: zipfile.ZipFile, part: str) -> Iterator[bytes]:
+    with z.open(part) as f:
+        while piece := f.read(PIECE):
+            yield piece
+
+
 def _taken(z: zipfile.ZipFile, part: str) -> bytes:
-    return zlib.compress(z.read(part), 1)
+    packer = zlib.compressobj(1)
+    return b"".join([*(packer.compress(x) for x in _pieces(z, part)), packer.flush()])
+
+
+class Unpacked(io.RawIOBase):
+    """Compressed bytes, read as what they stand for without being unpacked as a whole."""
+
+    def __init__(self, data: bytes | pa.Buffer):
+        self.data, self.at, self.packer = memoryview(data), 0, zlib.decompressobj()
+
+    def read(self, size: int = -1) -> bytes:
+        out = b""
+        while not out and not self.packer.eof:
+            rest = self.packer.unconsumed_tail
+            if not rest:
+                rest = self.data[self.at : self.at + PIECE]
+                self.at += PIECE
+            if not len(rest):
+                raise zlib.error("the sheet is cut off")
+            out = self.packer.decompress(rest, max(size, 0) or PIECE)
+        return out
 
 
-def _cells(data: bytes, shared: bytes | None, low: int, high: int) -> Iterator[tuple[int, dict[int, str]]]:
-    return sheet_rows(io.BytesIO(zlib.decompress(data)), [] if shared is None else shared_strings(zlib.decompress(shared)), low, high)
+def _cells(data: bytes | pa.Buffer, shared: bytes | None, low: int, high: int) -> Iterator[tuple[int, dict[int, str]]]:
+    return sheet_rows(Unpacked(data), [] if shared is None else shared_strings(zlib.decompress(shared)), low, high)
 
 
 def _sheet_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -307,13 +354,13 @@ class WorkbookFile:
 
 @dataclass
 class Written(WriterCommitMessage):
-    """The file that a task has written aside; None where it had no rows."""
+    """The files that a task has written aside; none where it had no rows."""
 
-    path: str | None
+    paths: list[str]
 
 
 class SheetWriter(DataSourceWriter):
-    """One workbook for each task, written aside; moved into the folder when all tasks are done, deleted if any fails."""
+    """The workbooks of each task, written aside; moved into the folder when all tasks are done, deleted if any fails."""
 
     def __init__(self, options: dict, schema: T.StructType, overwrite: bool):
         self.folder = re.sub(r"^file:(//)?(?=/)", "", options["path"])
@@ -325,21 +372,25 @@ class SheetWriter(DataSourceWriter):
         os.makedirs(self.aside, exist_ok=True)
         kept = [k for k, n in enumerate(self.names) if n != self.sheet]
         at = self.names.index(self.sheet) if self.sheet else None
-        path, book = os.path.join(self.aside, f"part-{uuid.uuid4().hex}.xlsx"), None
+        paths, book = [], None
         for row in iterator:
-            book = book or WorkbookFile(path, [self.names[k] for k in kept])
+            if book is not None and at is None and book.rows >= MOST_ROWS:
+                book.close()
+                book = None
+            if book is None:
+                paths.append(os.path.join(self.aside, f"part-{uuid.uuid4().hex}.xlsx"))
+                book = WorkbookFile(paths[-1], [self.names[k] for k in kept])
             book.add("Sheet1" if at is None else str(row[at]), [row[k] for k in kept])
-        if book is None:
-            return Written(None)
-        book.close()
-        return Written(path)
+        if book is not None:
+            book.close()
+        return Written(paths)
 
     def commit(self, messages: list[Written | None]) -> None:
         os.makedirs(self.folder, exist_ok=True)
         old = [x for x in os.listdir(self.folder) if x.endswith(".xlsx")] if self.overwrite else []
         for m in messages:
-            if m is not None and m.path:
-                os.replace(m.path, os.path.join(self.folder, os.path.basename(m.path)))
+            for x in m.paths if m is not None else []:
+                os.replace(x, os.path.join(self.folder, os.path.basename(x)))
         for x in old:
             os.remove(os.path.join(self.folder, x))
         shutil.rmtree(self.aside, ignore_errors=True)
@@ -360,7 +411,7 @@ class SheetSink(DataSource):
 
 
 def write_sheets(df: DataFrame, path: str, sheet: str | None = None, mode: str = "append") -> None:
-    """Write df as workbooks into a folder that driver and executors share: one file for each task, whole or not at all.
+    """Write df as workbooks into a folder that driver and executors share: one file for each task, and another whenever its sheet is full, whole or not at all.
 
     sheet: the column whose text names each row's sheet; the rows of a sheet are
     brought together then, and a file holds whole sheets. Without it rows stay where

@@ -135,3 +135,28 @@ def test_a_task_for_each_sheet(spark, tmp_path):
     good, _ = sheets.read_sheets(spark, str(tmp_path), "`1` int")
     tasks = good.select("_sheet", F.spark_partition_id().alias("p")).distinct()
     assert good.count() == 24 and tasks.count() == 12 and tasks.select("p").distinct().count() > 3
+
+
+def test_a_sheet_is_never_held_as_a_whole(monkeypatch):
+    import tracemalloc
+    import zlib
+
+    n = 40_000
+    xml = ("<worksheet><sheetData>" + "".join(f'<row r="{k}"><c r="A{k}"><v>{k}</v></c></row>' for k in range(1, n + 1)) + "</sheetData></worksheet>").encode()
+    packed = zlib.compress(xml, 1)
+    tracemalloc.start()
+    assert sum(1 for _ in sheets._cells(packed, None, 1, 9)) == n
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(xml) > 1_800_000 and peak < 1_200_000  # before: its text and all rows at once
+    with pytest.raises(zlib.error):
+        list(sheets._cells(packed[:-9], None, 1, 9))
+
+
+def test_a_full_sheet_goes_on_in_another_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sheets, "MOST_ROWS", 4)
+    writer = sheets.SheetWriter({"path": str(tmp_path / "out")}, spark.range(0).schema, False)
+    writer.commit([writer.write(iter([(k,) for k in range(7)])), writer.write(iter([]))])
+    rows, _ = sheets.read_sheets(spark, str(tmp_path / "out"), "id long")
+    assert sorted(r.id for r in rows.collect()) == list(range(7))
+    assert sorted(r["count"] for r in rows.groupBy("_path").count().collect()) == [1, 3, 3]
