@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.operators.asof import _axis, common_type
 
+#: Ratio of the widths of two classes: with few classes a row stands in few bins, but meets more that it doesn't overlap.
+BASE = 8.0
+
 
 def _spread(rows: DataFrame, side: str, by: list[str], start: Column, end: Column, kind, classes: Column) -> DataFrame:
     """Rows (a struct `side`) in the bins that they reach, at most two of a class: those of their own class, for what is narrower on the other side, and those of each wider class that the other side has.
@@ -22,20 +27,20 @@ def _spread(rows: DataFrame, side: str, by: list[str], start: Column, end: Colum
     others = F.filter("_every", (lambda c: c > F.col("_own")) if left else (lambda c: c >= F.col("_own")))
     x = x.withColumn("_p", F.explode(F.concat(F.array(place(F.col("_own"), True)), F.transform(others, lambda c: place(c, False)))))
     x = x.withColumns({f"_{side}class": F.col("_p.c"), f"_{side}wide": F.col("_p.wide")})
-    width = F.pow(F.lit(2.0), F.col(f"_{side}class"))
+    width = F.pow(F.lit(BASE), F.col(f"_{side}class"))
     x = x.withColumn(f"_{side}bin", F.explode(F.sequence(F.floor(F.col("_a") / width), F.floor(F.col("_b") / width))))
     return x.drop("_a", "_b", "_own", "_every", "_p")
 
 
 def width_class(length: Column) -> Column:
-    """The least power of two that is as wide; those below a millionth are one class."""
-    return F.ceil(F.log2(F.greatest(length, F.lit(1e-6)))).cast("int")
+    """The least power of BASE that is as wide; those below a millionth are one class."""
+    return F.ceil(F.log2(F.greatest(length, F.lit(1e-6))) / math.log2(BASE)).cast("int")
 
 
 def overlaps(left: DataFrame, right: DataFrame, left_bounds: tuple[str, str], right_bounds: tuple[str, str], by: list[str] | None = None) -> DataFrame:
     """(l, r): structs of the rows of left and right, of one group, whose intervals [start, end) overlap; each pair once.
 
-    Intervals are put in classes by their width, a power of two. Two meet in the bins of
+    Intervals are put in classes by their width, a power of BASE. Two meet in the bins of
     the wider one's class, of which each reaches at most two; so a row stands in twice
     as many bins as there are classes on the other side, and short ones don't meet each
     other in the bins of long ones. A pair that meets in two bins counts in the one
@@ -63,5 +68,5 @@ def overlaps(left: DataFrame, right: DataFrame, left_bounds: tuple[str, str], ri
     for c in ("wide", "class", "bin", *map(str, range(len(by)))):
         on = on & (F.col(f"_l{c}") == F.col(f"_r{c}"))
     first = _axis(F.greatest("_ls", "_rs"), kind)
-    here = F.floor(first / F.pow(F.lit(2.0), F.col("_lclass"))) == F.col("_lbin")
+    here = F.floor(first / F.pow(F.lit(BASE), F.col("_lclass"))) == F.col("_lbin")
     return a.join(b, on & (F.col("_ls") < F.col("_re")) & (F.col("_rs") < F.col("_le")) & here).select("l", "r")

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fathomline.operators.intervals import overlaps
+from fathomline.operators.intervals import BASE, overlaps, width_class
 
 
 def brute(left, right, grouped):
@@ -64,3 +64,9 @@ def test_types_that_have_no_order_in_common(spark):
     days = spark.createDataFrame([(dt.date(2024, 1, 1), dt.date(2024, 1, 3))], "s date, e date")
     times = spark.createDataFrame([(dt.datetime(2024, 1, 2, 23), dt.datetime(2024, 1, 9)), (dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 9))], "s timestamp, e timestamp")
     assert overlaps(days, times, ("s", "e"), ("s", "e")).count() == 1
+
+
+def test_few_classes_of_widths(spark):
+    wide = spark.range(1, 1025).select(width_class(F.col("id").cast("double")).alias("c"), "id")
+    assert wide.select("c").distinct().count() <= 6  # before: 11, and a row stood in bins of each
+    assert wide.where(F.pow(F.lit(BASE), "c") < F.col("id") - 1e-9).count() == 0
