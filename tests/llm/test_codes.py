@@ -185,3 +185,55 @@ def test_remembered_units_have_bounds(monkeypatch):
         assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
         assert len(mixcoder.remembered(BPE)) <= 4
     mixcoder.remembered.cache_clear()
+
+
+TRICKY = ["it's we'll they've 's'x ''s x's5", "a  <|endoftext|>  b <|endoftext|>", "re.\nErtion\n\nand \n x\n y .  z\t.\n", "(one) [two] \"three\" 'four' five-six 7th a1b2 x_y __z", "é.a a.é cafés au lait x y a  b 　c d e 漢字.kanji 字 \U0001f600a", "a\x1c b \x1d.c \x00d\x7f.e \r\nf\n", ".\n.\n\n. \n.", " ", "  lead", "trail  ", "\n\n\n", "x'", "'", "'\n's", "", None]
+
+
+def test_units_are_cut_where_the_library_begins_anew():
+    import itertools
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng, tok = random.Random(3), Tokenizer.from_file(BPE)
+    signs = ["a", "Bc", "s", "re", "7", ".", "'", "(", "_", " ", "  ", "\n", "\t", "\r", "\x1c", "é", " ", "　", " ", "字", "<|endoftext|>"]
+    texts = TRICKY + ["".join(x) for x in itertools.product(signs, repeat=3)] + ["".join(rng.choices(signs, k=40)) for _ in range(2000)]
+    want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, np.int32).tolist() for x in mixcoder.text_ids(texts, BPE)] == want
+    data, n = mixcoder.encode_texts([pa.array(texts[:9000]), pa.array([], pa.string()), pa.array(texts[9000:])], BPE)
+    ids, counts = mixcoder.decode_file(data)
+    assert n == len(ids) and counts.tolist() == [len(x) + 1 for x in want]
+    assert ids.tolist() == [i for x in want for i in [*x, mixcoder.END_ID]]
+
+
+def test_ids_of_units_are_coded_once(spark, monkeypatch):
+    """Fewer symbols go through the coder than there are ids, and the file is smaller than with each id coded."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").toArrow().column(0)
+    coded, plain = [], mixcoder.code_places
+    monkeypatch.setattr(mixcoder, "code_places", lambda places, sizes, *rest: coded.append(int(sizes.sum())) or plain(places, sizes, *rest))
+    data, n = mixcoder.encode_texts(docs.chunks, BPE)
+    assert sum(coded) < 0.8 * n
+    ids, counts = mixcoder.decode_file(data)
+    assert len(data) < len(mixcoder.encode_file(ids, counts.tolist()))
+
+
+@pytest.mark.parametrize("n_units", [1, 5, 70_000])
+def test_unit_files_round_trip(n_units):
+    rng = np.random.default_rng(n_units)
+    lengths = rng.integers(1, 4, n_units)
+    ids = rng.integers(0, 50257, lengths.sum()).astype(np.int32)
+    stream = rng.zipf(1.3, 100_000) % n_units
+    starts = np.cumsum(lengths) - lengths
+    want = np.concatenate([ids[starts[u] : starts[u] + lengths[u]] for u in stream])
+    data = mixcoder.encode_units(stream, ids, lengths, np.array([len(want)]))
+    assert (mixcoder.decode_file(data)[0] == want).all()
+    for at in np.linspace(28, len(data) - 1, 40).astype(int):
+        broken = bytearray(data)
+        broken[at] ^= 0x5A
+        try:
+            got = mixcoder.decode_file(bytes(broken))[0]
+        except ValueError:
+            continue
+        assert len(got) == len(want) and (got == want).all()
