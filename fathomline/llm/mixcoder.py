@@ -43,15 +43,15 @@ MAGIC = b"FLCM3\0\0\0"
 #: Symbols in a block, at most and at least, and blocks that are wished for in a file.
 BLOCK, LEAST, LANES = 8192, 512, 2048
 #: Bytes of text in a file, about.
-FILE_BYTES = 24 << 20
+FILE_BYTES = 18 << 20
 #: Bits of the numbers of a block's order-1 and order-2 contexts.
 BITS1, BITS2 = 10, 12
 #: Bits of the sum of a state's weights, how fast they adapt (a share of 1 / 2^RATE at a time), and how sure order 2 may be.
 SUM_BITS, RATE, SUREST = 12, 5, 3
 #: Units that a worker remembers, bytes of their texts and ids, and bytes of the longest.
 REMEMBERED, REMEMBERED_BYTES, LONGEST = 600_000, 32 << 20, 64
-#: Units that the library encodes at a time.
-UNITS = 20_000
+#: Units that the library encodes at a time, and those in a piece.
+UNITS, PIECE = 32_000, 2000
 #: Id that ends a document.
 END_ID = 2
 #: Registers have 60 bits and give out 16 at a time when a range is below _LOW. It may stay there as long as that is enough to be cut twice.
@@ -137,6 +137,7 @@ class Coder:
         table = np.zeros((len(low), len(self.words)), np.int32)  # word << 1, 1 more if it is one
         for t, w in enumerate(self.words):
             table[: len(w), t] = w
+            self.words[t] = None
         self.words.clear()
         given = (table & 1).astype(bool)
         ends = np.cumsum(np.count_nonzero(given, axis=1))
@@ -152,7 +153,7 @@ def code_places(places: np.ndarray, sizes: np.ndarray, order0: Order0, data: tup
     """Code lanes x steps of places in the table; with data fill places in. Lanes lie by size, the longest first."""
     n, read = len(sizes), data is not None
     coder = Coder(n, SUM_BITS + order0.bits, data)
-    columns = np.ascontiguousarray(places.T, np.int64)
+    columns = np.ascontiguousarray(places.T, np.int32)
     every = np.arange(n, dtype=np.int64)
     states = (SUREST + 1) * 4
     base1, base2, base_w, base_c = every << BITS1, every << BITS2, every * states, every * 8
@@ -186,8 +187,8 @@ def code_places(places: np.ndarray, sizes: np.ndarray, order0: Order0, data: tup
             right += code >= part * by_state[:, 2]
             right += code >= part * by_state[:, 3]
         else:
-            symbol = columns[t, :m] + 1
-            small = symbol.astype(np.int32)
+            small = columns[t, :m] + 1
+            symbol = small.astype(np.int64)
             right = which.take((guess == small).view(np.uint8) * np.uint8(4) + (first == small).view(np.uint8) * np.uint8(2) + (then == small).view(np.uint8))
         at = right + base_c[:m]
         start = own.take(at)
@@ -200,7 +201,7 @@ def code_places(places: np.ndarray, sizes: np.ndarray, order0: Order0, data: tup
             np.add(place, 1, out=lines[3], casting="unsafe")
             small = found.reshape(-1).take(right * n + every[:m])
             symbol = small.astype(np.int64)
-            columns[t, :m] = symbol
+            columns[t, :m] = small - 1
             place = np.where(right == 3, place, others)
             code -= part2 * order0.first.take(place)
         else:
@@ -221,7 +222,7 @@ def code_places(places: np.ndarray, sizes: np.ndarray, order0: Order0, data: tup
         one[:m] = symbol
     if not read:
         return coder.done()
-    places[:] = columns.T - 1
+    places[:] = columns.T
     return None
 
 
@@ -237,8 +238,8 @@ def encode_symbols(symbols: np.ndarray) -> bytes:
     if not n:
         return head
     sizes = np.minimum(length, len(symbols) - np.arange(n) * length)
-    grid = np.zeros((n, length), np.int64)
-    numbers = np.zeros(int(names[-1]) + 1, np.int64)
+    grid = np.zeros((n, length), np.int32)
+    numbers = np.zeros(int(names[-1]) + 1, np.int32)
     numbers[names] = np.arange(len(names))
     grid.reshape(-1)[: len(symbols)] = numbers[symbols]
     payloads = code_places(grid, sizes, Order0(times))
@@ -260,7 +261,7 @@ def decode_symbols(data: bytes) -> np.ndarray:
         raise ValueError("the list of blocks is broken")
     words = np.frombuffer(data[at : at + int(rows[:, 1].sum())] + bytes(64), "<u2").astype(np.int64)  # a broken block may ask for more than there is
     names = np.cumsum(table[0]).astype(np.uint32)
-    grid = np.zeros((n, length), np.int64)
+    grid = np.zeros((n, length), np.int32)
     code_places(grid, rows[:, 0], Order0(table[1]), (words, starts // 2))
     out = []
     for i in range(n):
@@ -280,10 +281,11 @@ def inflate(data: bytes) -> bytes:
 
 def runs(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Runs of the pool, one after the other."""
-    ends = np.cumsum(lengths)
-    if not len(ends) or not ends[-1]:
-        return pool[:0]
-    at = np.repeat((starts - ends + lengths).astype(np.int32), lengths)
+    at = starts.astype(np.int32)
+    lengths = lengths.astype(np.int32)
+    at += lengths
+    at -= np.cumsum(lengths, dtype=np.int32)
+    at = np.repeat(at, lengths)
     at += np.arange(len(at), dtype=np.int32)
     return pool.take(at)
 
@@ -296,12 +298,12 @@ def encode_file(ids: np.ndarray, counts: list[int]) -> bytes:
 
 def encode_units(stream: np.ndarray, ids: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> bytes:
     """A file of documents as a stream of numbers of units, whose ids (lengths of them each) lie one after the other in ids; counts has the documents' ids."""
-    first = np.full(len(lengths), -1, np.int64)
-    first[stream[::-1]] = np.arange(len(stream) - 1, -1, -1)  # the last to be set stays
+    first = np.full(len(lengths), -1, np.int32)
+    first[stream[::-1]] = np.arange(len(stream) - 1, -1, -1, np.int32)  # the last to be set stays
     used = np.flatnonzero(first >= 0)
     used = used[np.argsort(first[used])]
     again = np.bincount(stream, minlength=len(lengths))[used] > 1
-    symbols = np.zeros(len(lengths), np.int64)
+    symbols = np.zeros(len(lengths), np.int32)
     symbols[used[again]] = np.arange(1, np.count_nonzero(again) + 1)
     symbols = symbols[stream]
     symbols[first[used]] = 0
@@ -325,12 +327,13 @@ def decode_file(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         return symbols, counts
     at += n_stream
     about = inflate(data[at : at + n_about])
-    lengths = np.frombuffer(about, "<u4", n_units).astype(np.int64)
+    lengths = np.frombuffer(about, "<u4", n_units).astype(np.int32)
     again = np.flatnonzero(np.unpackbits(np.frombuffer(about, np.uint8, offset=4 * n_units), count=n_units))
     ids = decode_symbols(data[at + n_about :])
-    units = np.r_[0, again][symbols]
+    units = np.r_[0, again].astype(np.int32)[symbols]
     units[symbols == 0] = np.arange(n_units)
-    return runs(ids, (np.cumsum(lengths) - lengths)[units], lengths[units]), counts
+    starts = np.cumsum(lengths, dtype=np.int32) - lengths
+    return runs(ids, starts[units], lengths[units]), counts
 
 
 #: Kinds of bytes: 1 letters, 2 digits, 4 other signs, 8 a space, 16 a line feed; 32 bytes that may begin white space, 64 others that don't; 0 controls.
@@ -412,13 +415,40 @@ def remembered(path: str) -> Remembered:
     return Remembered()
 
 
+@cache
+def id_bytes(path: str) -> np.ndarray:
+    """Bytes of text that each id of a byte-level vocabulary stands for."""
+    tok = tokenizer(path)
+    special = {i: len(t.content.encode()) for i, t in tok.get_added_tokens_decoder().items()}
+    return np.array([special.get(i) or len(tok.id_to_token(i) or "") for i in range(tok.get_vocab_size(with_added_tokens=True))], np.int64)
+
+
 def library_ids(units: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of units, one after the other, and how many each has."""
+    """Ids of units, one after the other, and how many each has.
+
+    Words with a space before them begin a token wherever they stand: they are
+    joined to pieces, and the ids of a piece are cut apart by their bytes. Other units are encoded alone.
+    """
     tok, ids, lengths = tokenizer(path), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    joins = pc.match_substring_regex(units, "^ [!-~]").to_numpy(zero_copy_only=False)
     for i in range(0, len(units), UNITS):
-        found = [e.ids for e in tok.encode_batch_fast(units[i : i + UNITS].to_pylist(), add_special_tokens=False)]
-        lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
-        ids.append(np.fromiter(chain.from_iterable(found), np.int32, int(lengths[-1].sum())))
+        own = units[i : i + UNITS]
+        join = joins[i : i + UNITS]
+        words, others = own.filter(pa.array(join)), own.filter(pa.array(~join)).to_pylist()
+        texts, ends = words.to_pylist(), np.cumsum(pc.binary_length(words).to_numpy(), dtype=np.int64)
+        found = [e.ids for e in tok.encode_batch_fast(["".join(texts[j : j + PIECE]) for j in range(0, len(texts), PIECE)] + others, add_special_tokens=False)]
+        n_pieces = len(found) - len(others)
+        pool = np.fromiter(chain.from_iterable(found), np.int32, sum(map(len, found)))
+        n_joined = sum(map(len, found[:n_pieces]))
+        cuts = np.searchsorted(np.cumsum(id_bytes(path)[pool[:n_joined]]), ends, side="left") + 1
+        counts = np.zeros(len(own), np.int64)
+        counts[join] = np.diff(cuts, prepend=0)
+        counts[~join] = np.fromiter(map(len, found[n_pieces:]), np.int64, len(others))
+        starts = np.zeros(len(own), np.int64)
+        starts[join] = cuts - counts[join]
+        starts[~join] = n_joined + np.cumsum(counts[~join]) - counts[~join]
+        lengths.append(counts)
+        ids.append(runs(pool, starts, counts))
     return np.concatenate(ids), np.concatenate(lengths)
 
 
@@ -436,7 +466,7 @@ def unit_ids(units: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     at[fresh] = len(known) + np.arange(len(new))
     starts = np.cumsum(pool_lengths) - pool_lengths
     known.keep(new, ids, lengths)
-    return runs(pool, starts[at], pool_lengths[at]), pool_lengths[at]
+    return runs(pool, starts[at], pool_lengths[at]), pool_lengths[at].astype(np.int32)
 
 
 @cache
@@ -465,12 +495,13 @@ def encode_texts(texts: list[pa.Array], path: str, end_id: int = END_ID) -> tupl
     """A file of whole texts, each with an end, and how many ids it has."""
     stream, n_units, ids, lengths = numbered(texts, path)
     ends = np.cumsum(n_units + 1)
-    ended = np.full(len(stream) + len(n_units), len(lengths), np.int64)  # the end is one more unit
+    ended = np.full(len(stream) + len(n_units), len(lengths), np.int32)  # the end is one more unit
     inner = np.ones(len(ended), bool)
     inner[ends - 1] = False
     ended[inner] = stream
-    ids, lengths = np.r_[ids, np.int32(end_id)], np.r_[lengths, 1]
+    ids, lengths = np.r_[ids, np.int32(end_id)], np.r_[lengths, np.int32(1)]
     counts = np.diff(np.r_[0, np.cumsum(lengths[ended])][ends], prepend=0)
+    del stream, inner
     return encode_units(ended, ids, lengths, counts), int(counts.sum())
 
 
