@@ -43,7 +43,7 @@ MAGIC = b"FLCM3\0\0\0"
 #: Symbols in a block, at most and at least, and blocks that are wished for in a file.
 BLOCK, LEAST, LANES = 8192, 512, 2048
 #: Bytes of text in a file, about.
-FILE_BYTES = 18 << 20
+FILE_BYTES = 9 << 20
 #: Bits of the numbers of a block's order-1 and order-2 contexts.
 BITS1, BITS2 = 10, 12
 #: Bits of the sum of a state's weights, how fast they adapt (a share of 1 / 2^RATE at a time), and how sure order 2 may be.
@@ -51,7 +51,7 @@ SUM_BITS, RATE, SUREST = 12, 5, 3
 #: Units that a worker remembers, bytes of their texts and ids, and bytes of the longest.
 REMEMBERED, REMEMBERED_BYTES, LONGEST = 600_000, 32 << 20, 64
 #: Units that the library encodes at a time, and those in a piece.
-UNITS, PIECE = 32_000, 2000
+UNITS, PIECE = 16_000, 2000
 #: Id that ends a document.
 END_ID = 2
 #: Registers have 60 bits and give out 16 at a time when a range is below _LOW. It may stay there as long as that is enough to be cut twice.
@@ -106,7 +106,8 @@ class Coder:
         self.code = None
         if data is not None:
             words, self.at = data[0], data[1] + 3
-            self.code = words[data[1]] << 44 | words[data[1] + 1] << 28 | words[data[1] + 2] << 12 | words[data[1] + 3] >> 4
+            begin = words[data[1][:, None] + np.arange(4)].astype(np.int64)
+            self.code = begin[:, 0] << 44 | begin[:, 1] << 28 | begin[:, 2] << 12 | begin[:, 3] >> 4
             self.raw = (words[:-1] & 15) << 12 | words[1:] >> 4
 
     def turn_over(self, m: int) -> None:
@@ -259,7 +260,7 @@ def decode_symbols(data: bytes) -> np.ndarray:
     starts = np.cumsum(rows[:, 1]) - rows[:, 1]
     if (rows[:, 1] % 2).any() or rows[:, 0].max() > length or at + rows[:, 1].sum() > len(data):
         raise ValueError("the list of blocks is broken")
-    words = np.frombuffer(data[at : at + int(rows[:, 1].sum())] + bytes(64), "<u2").astype(np.int64)  # a broken block may ask for more than there is
+    words = np.frombuffer(data[at : at + int(rows[:, 1].sum())] + bytes(64), "<u2")  # a broken block may ask for more than there is
     names = np.cumsum(table[0]).astype(np.uint32)
     grid = np.zeros((n, length), np.int32)
     code_places(grid, rows[:, 0], Order0(table[1]), (words, starts // 2))
@@ -502,6 +503,7 @@ def encode_texts(texts: list[pa.Array], path: str, end_id: int = END_ID) -> tupl
     ids, lengths = np.r_[ids, np.int32(end_id)], np.r_[lengths, np.int32(1)]
     counts = np.diff(np.r_[0, np.cumsum(lengths[ended])][ends], prepend=0)
     del stream, inner
+    pa.default_memory_pool().release_unused()  # texts and their units went through Arrow; coding needs the room
     return encode_units(ended, ids, lengths, counts), int(counts.sum())
 
 
@@ -564,9 +566,8 @@ def read_ids(files: DataFrame) -> DataFrame:
                 ids, counts = decode_file(data.as_py())
                 ends = np.cumsum(counts, dtype=np.int64)
                 first = before[part.as_py()] + start.as_py() + ends - counts
-                raw = ids.astype("<u4").tobytes()
-                rows = [raw[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), counts.tolist())]
-                yield pa.RecordBatch.from_arrays([doc_ids.values, pa.array(first), pa.array(counts.astype(np.int64)), pa.array(rows, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                rows = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.r_[0, 4 * ends]), pa.py_buffer(np.asarray(ids, "<u4"))])
+                yield pa.RecordBatch.from_arrays([doc_ids.values, pa.array(first), pa.array(counts.astype(np.int64)), rows.cast(pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
     joined = files.join(starts, ["part", "file"]).select("part", "start", "doc_ids", "data")
     return joined.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids binary")
