@@ -99,14 +99,14 @@ def _roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """For each of n places the smallest place that the pairs connect it with."""
     label = np.arange(n)
     while len(left):
-        least = np.minimum(label[left], label[right])
-        np.minimum.at(label, left, least)
-        np.minimum.at(label, right, least)
-        label = label[label]
+        one, two = label[left], label[right]  # places that are their own labels: these are relabelled, so that what has met stays together
+        least = np.minimum(one, two)
+        np.minimum.at(label, one, least)
+        np.minimum.at(label, two, least)
+        while (label != label[label]).any():
+            label = label[label]
         open_ = label[left] != label[right]
         left, right = left[open_], right[open_]
-    while (label != label[label]).any():
-        label = label[label]
     return label
 
 

@@ -5,6 +5,7 @@ import random
 import re
 
 import compare
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,6 +149,37 @@ def test_components_of_a_hub_and_a_chain(spark):
     assert sorted(map(tuple, found.collect())) == [(i, 0) for i in range(1, 500)] + [(1001 + i, 1000) for i in range(60)]
 
 
+def staged(monkeypatch):
+    """Labels of the tables that the operator stages from now on."""
+    labels, real = [], chosen_path.stage
+    monkeypatch.setattr(chosen_path, "stage", lambda df, label: labels.append(label) or real(df, label))
+    return labels
+
+
+def test_roots_of_chains_in_any_order():
+    rng = np.random.default_rng(4)
+    for n in (2, 3, 10, 101, 1000):
+        names = rng.permutation(n)
+        order = rng.permutation(n - 1)
+        assert (chosen_path._roots(n, names[:-1][order], names[1:][order]) == 0).all()
+    for n, m in ((50, 20), (200, 150), (500, 600)):
+        left, right = rng.integers(0, n, (2, m))
+        want = np.arange(n)
+        for _ in range(n):
+            for a, b in zip(left, right):
+                want[a] = want[b] = min(want[a], want[b])
+        assert (chosen_path._roots(n, left, right) == want).all()
+
+
+def test_near_duplicates_join_parts_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "BLOCK", 4)
+    monkeypatch.setattr(chosen_path, "PIVOTS", 1)
+    labels = staged(monkeypatch)
+    rows = [(i * 37 % 101, t) for i, t in chain(101)]
+    assert near(spark.createDataFrame(rows, "doc_id long, text string")) == brute_near(rows)
+    assert labels.count("rest") == 1
+
+
 def test_near_duplicates_sample(spark, sample, nothing):
     rows = sample.where("length(text) < 4000").select("doc_id", "text")
     assert near(rows) == brute_near([tuple(r) for r in rows.collect()])
