@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -133,7 +133,7 @@ def node_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(classes: DataFrame, used: list[DataFrame]) -> DataFrame:
-    """Links (u, v) of classes (rep, a, b, sketch; none of them null) that may be similar, from all trees. Tables written on the way are added to used, for deletion when the links have been read."""
+    """Links (u, v) of classes (rep, a, b, sketch; none of them null) that may be similar, from all trees, some of them several times. Tables written on the way are added to used, for deletion when the links have been read."""
 
     def kept(df: DataFrame, label: str) -> DataFrame:
         used.append(stage(df, label))
@@ -142,28 +142,36 @@ def candidates(classes: DataFrame, used: list[DataFrame]) -> DataFrame:
     tokens = F.array(*[F.xxhash64(F.lit(t), F.get("sketch", F.lit((t * 53 + 7) % SKETCH))) for t in range(TREES)])
     codes = classes.select("rep", "a", "b", F.transform("sketch", lambda x: F.hex(x.bitwiseAND(F.lit(255)) + 256)).alias("h")).select("rep", "a", "b", F.unhex(F.array_join(F.transform("h", lambda x: F.substr(x, F.lit(2), F.lit(2))), "")).alias("code"))
     here = classes.select("rep", "a", "b", F.explode(tokens).alias("node"))
-    found = []
+    found, small = [], []
     for depth in range(DEPTH + 1):
         # a staged count has an exchange of its own in the join, whose large partitions Spark can then split
-        sizes = kept(here.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("least")).where("size > 1"), "sizes")
+        counts = F.count("*").alias("size"), F.min("rep").alias("least"), F.min(F.xxhash64("a", "node")).alias("first")
+        sizes = kept(here.groupBy("node").agg(*counts).where("size > 1"), "sizes")
         sized = kept(here.join(sizes, "node"), "nodes")
-        small = sized.where(F.col("size") <= NODE).join(codes, ["rep", "a", "b"]).select("node", "rep", "code")
-        found.append(kept(small.repartition("node").sortWithinPartitions("node").mapInArrow(node_links, "u long, v long"), "links"))
+        small.append(sized.where(F.col("size") <= NODE).select("node", "rep", "a", "b"))
         large = sized.where(F.col("size") > NODE)
         if large.isEmpty():
             break
-        large = kept(large.select("node", "rep", "a", "b", "least").join(classes.select("rep", "a", "b", "sketch"), ["rep", "a", "b"]), "large")
-        pivots = kept(large.groupBy("node").agg(F.min_by("sketch", F.xxhash64("a", "node")).alias("pivot")), "node-pivots")
+        if depth == DEPTH:
+            found.append(large.where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")))
+            break
+        large = kept(large.join(classes.select("rep", "a", "b", "sketch"), ["rep", "a", "b"]), "large")
+        pivots = kept(large.where(F.xxhash64("a", "node") == F.col("first")).select("node", F.col("sketch").alias("pivot")), "node-pivots")
         agree = F.size(F.filter(F.zip_with("sketch", "pivot", lambda x, y: x == y), lambda same: same))
         alike = kept(large.join(pivots, "node").groupBy("node").agg(F.avg((agree >= AGREE).cast("int")).alias("alike")), "alike")
-        judged = kept(large.join(alike, "node").withColumn("whole", (F.col("alike") >= ALIKE) | F.lit(depth == DEPTH)), "judged")
-        found.append(judged.where("whole and rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")))
         choice = [F.xxhash64("node", F.lit(j), F.get("sketch", F.pmod(F.xxhash64("node", F.lit(j)), F.lit(SKETCH)).cast("int"))) for j in range(CHOICES)]
-        here = judged.where("not whole").select("rep", "a", "b", F.explode(F.array(*choice)).alias("node"))
-    out = found[0]
-    for x in found[1:]:
+        judged = kept(large.join(alike, "node").select("rep", "a", "b", "least", F.when(F.col("alike") < ALIKE, F.array(*choice)).alias("nodes")), "judged")
+        found.append(judged.where("nodes is null and rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")))
+        here = judged.where("nodes is not null").select("rep", "a", "b", F.explode("nodes").alias("node"))
+    # the small nodes of all levels are compared in one pass
+    nodes = small[0]
+    for x in small[1:]:
+        nodes = nodes.unionByName(x)
+    nodes = nodes.join(codes, ["rep", "a", "b"]).select("node", "rep", "code")
+    out = kept(nodes.repartition("node").sortWithinPartitions("node").mapInArrow(node_links, "u long, v long"), "links")
+    for x in found:
         out = out.unionByName(x)
-    return out.distinct()
+    return out
 
 
 def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,31 +203,26 @@ def components(links: DataFrame) -> DataFrame:
     """(u, v): for each id in links but the smallest of its component, that smallest id; staged.
 
     Each task first reduces its links to a forest. Then large-star and small-star
-    steps in turn until nothing changes; each step is written to the shared folder.
-    The smallest neighbours of a large-star step are staged too: joined by them, the
-    links of an id that very many share can be split among tasks.
+    steps in turn, each written to the shared folder, until each id that has a
+    smaller neighbour has no other one: then all components are stars. The smallest
+    neighbours tell that and are staged for the large-star step too: joined by them,
+    the links of an id that very many share can be split among tasks.
     """
-
-    def star(edges: DataFrame, large: bool) -> DataFrame:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        if large:
-            return both.join(stage(least, "least"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        out = both.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        return out.select("e.*").where("u <> v").distinct()
-
-    def state(edges: DataFrame):
-        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
     own = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    edges = stage(own.mapInArrow(forest, "u long, v long").distinct(), "edges")
-    seen = state(edges)
+    edges = stage(own.mapInArrow(forest, "u long, v long"), "edges")
     while True:
-        new = stage(star(star(edges, True), False), "edges")
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        ends = stage(both.groupBy("u").agg(F.min("v").alias("least"), F.max("v").alias("most")), "least")
+        if ends.where("least < u and least < most").isEmpty():
+            unstage(edges)
+            return ends.where("least < u").select("u", F.col("least").alias("v"))
+        large = both.join(ends, "u").where("v > u").select(F.col("v").alias("u"), F.least("least", "u").alias("v"))
+        near = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        star = near.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        new = stage(star.distinct(), "edges")
         unstage(edges)
-        edges, before, seen = new, seen, state(new)
-        if seen == before:
-            return edges
+        unstage(ends)
+        edges = new
 
 
 def similar(sets: list[np.ndarray], split: int) -> tuple[np.ndarray, np.ndarray]:
@@ -328,12 +331,14 @@ def confirmed_components(docs: DataFrame, classes: DataFrame) -> DataFrame:
     label = components(links)
     unstage(links)
 
-    named = members.join(label.withColumnsRenamed({"u": "rep", "v": "label"}), "rep", "left").select("rep", "cluster", "n_shingles", F.coalesce("label", "rep").alias("label"))
+    dealt = sizes.where(blocks > 1).select("cluster")
+    if dealt.isEmpty():
+        return label
+    named = members.join(dealt, "cluster").join(label.withColumnsRenamed({"u": "rep", "v": "label"}), "rep", "left").select("rep", "cluster", "n_shingles", F.coalesce("label", "rep").alias("label"))
     parts = stage(named.groupBy("cluster", "label").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("load")), "parts")
     big = full(F.col("size"), F.col("load")) >= 1
     small = [F.sum(F.when(big, 0).otherwise(F.col(c))).alias(f"small_{c}") for c in ("size", "load")]
-    dealt = sizes.where(blocks > 1).select("cluster")
-    still = parts.groupBy("cluster").agg(F.count("*").alias("parts"), *small).where("parts > 1").join(dealt, "cluster")
+    still = parts.groupBy("cluster").agg(F.count("*").alias("parts"), *small).where("parts > 1")
     if still.isEmpty():
         return label
     own_blocks = lambda size, load: F.greatest(F.ceil(full(F.col(size), F.col(load))), F.lit(1))
@@ -348,7 +353,11 @@ def confirmed_components(docs: DataFrame, classes: DataFrame) -> DataFrame:
     crossed = sets.join(pairs, ["cluster", "block"]).select("cluster", "i", "j", "block", "label", "set")
     # rows of block i come first in a pair, as i <= j
     links = crossed.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "block").mapInArrow(crossing, "u long, v long")
-    return components(label.unionByName(stage(links, "links")))
+    links = stage(links, "links")
+    joined = components(links)  # of labels alone, each the smallest of its part
+    unstage(links)
+    moved = label.join(joined.select(F.col("u").alias("v"), F.col("v").alias("root")), "v", "left").select("u", F.coalesce("root", "v").alias("v"))
+    return moved.unionByName(joined)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -171,6 +171,24 @@ def test_roots_of_chains_in_any_order():
         assert (chosen_path._roots(n, left, right) == want).all()
 
 
+def test_components_that_are_stars_take_no_step(spark, monkeypatch):
+    labels = staged(monkeypatch)
+    links = [(i, i % 3) for i in range(3, 300)] * 2
+    found = chosen_path.components(spark.createDataFrame(links, "u long, v long").repartition(7))
+    assert sorted(map(tuple, found.collect())) == [(i, i % 3) for i in range(3, 300)]
+    assert labels == ["edges", "least"]
+
+
+def test_near_duplicates_compare_nodes_of_all_levels_in_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "NODE", 4)
+    monkeypatch.setattr(chosen_path, "ALIKE", 2)  # no node is left whole before the last level
+    labels = staged(monkeypatch)
+    rows = planted(200, 3)
+    assert near(spark.createDataFrame(rows, "doc_id long, text string")) == brute_near(rows)
+    levels = labels.count("nodes")
+    assert levels == chosen_path.DEPTH + 1 and labels.count("links") == 2 and labels.count("alike") == levels - 1
+
+
 def test_near_duplicates_join_parts_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(chosen_path, "BLOCK", 4)
     monkeypatch.setattr(chosen_path, "PIVOTS", 1)
