@@ -4,36 +4,44 @@ Two places of a corpus hold the same string of `depth` bytes just when their
 suffixes are equal through `depth` bytes, so suffixes are ordered that far and no
 further. The digits, from the most significant on:
 
-1. The least hash of the byte 16-grams within the first `depth` bytes. It is a
-   function of those bytes, so equal strings have it in common; neighbouring
-   suffixes mostly share it, and such a run of suffixes travels as one piece of
-   text. A digit that only one document holds ends the sort of its suffixes: for
-   that, each block of texts sends the digits only, not the text.
+1. The least hash of the byte grams within the first `depth` bytes, grams of 24
+   bytes (16 for small depths). It is a function of those bytes, so equal strings
+   have it in common; neighbouring suffixes mostly share it, and such a run of
+   suffixes travels as one piece of text. A digit that only one document holds ends
+   the sort of its suffixes: for that, each block of texts sends the digits only,
+   not the text. Short grams recur by chance, the more the larger the corpus is.
 2. A digit with very many occurrences is followed by a hash of all `depth` bytes,
    so that its suffixes are dealt to many groups.
 3. The bytes themselves, eight at a time. After each pass the groups that lie in
    one document are done with; those left after the last are the repeated strings.
 
 Equal runs are one run with its smallest id before the last passes.
+
+A large corpus is sorted in steps, each written to the shared folder before the
+shuffles it came from are deleted, and its runs travel in turns, some buckets at a
+time, so that the disk taken at once stays in proportion to the texts however many
+of them repeat.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm._shared import by_bytes, mix64, partitions_for, shared_dir, utf8_view
+from fathomline.llm._shared import by_bytes, mix64, partitions_for, shared_dir, unstage, utf8_view
 
 #: Bytes that a string must have in common.
 DEPTH = 50
-#: Bytes of a gram of the first digit.
-GRAM = 16
+#: Bytes of a gram of the first digit, and those from a depth of twice as many on.
+GRAM, LONG_GRAM = 16, 24
 #: Bytes of text in a block, about; a longer text is a block of its own.
 BLOCK_BYTES = 8 << 20
 #: Occurrences from which a first digit is followed by a hash of the whole string.
@@ -44,10 +52,14 @@ RUN = 256
 AT_ONCE = 1 << 17
 #: Places whose grams are hashed at once.
 PLACES = 1 << 15
+#: Bytes of texts from which the sort goes in steps.
+STEPS_FROM = 64 << 20
+#: Bytes of runs that may travel in one turn, as a share of the texts' bytes.
+TURN = 0.5
 #: The id that a null one counts as: after all others.
 NO_ID = (1 << 63) - 1
 
-_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
+_A, _B, _C, _D = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 _PAD = bytes(64)
 
 
@@ -69,13 +81,30 @@ def build_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     blocks = texts.mapInArrow(run, "block long, ids array<long>, ends array<long>, size long, data binary")
-    spark, name = docs.sparkSession, f"suffix_blocks_{uuid.uuid4().hex}"
     # as many buckets as a shuffle has partitions, so that grouped replies lie as the blocks do
-    written = blocks.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/fathomline/{name}")
-    written.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").saveAsTable(name)
+    return bucketed(blocks, f"suffix_blocks_{uuid.uuid4().hex}", int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def bucketed(rows: DataFrame, name: str, n_buckets: int, mode: str = "error") -> DataFrame:
+    """Rows written to (or added to) a table of the shared folder that is bucketed by block."""
+    spark = rows.sparkSession
+    written = rows.write.mode(mode).option("compression", "zstd").option("path", f"{shared_dir(spark)}/fathomline/{name}")
+    written.bucketBy(n_buckets, "block").saveAsTable(name)
     return spark.table(name)
 
 
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Within it, what a query shuffled is deleted when the query has ended; only for queries that write what they found."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Block:
     """One block: its bytes (padded), where texts start and end (without the zero byte), and their ids."""
 
@@ -90,10 +119,12 @@ class Block:
 
 def least_grams(data: bytes, first: int, n: int, depth: int) -> np.ndarray:
     """For n places from `first` the least hash of the grams within the depth bytes that start there."""
-    span = depth - GRAM + 1
-    word = np.ndarray((n + span + GRAM - 9 + 8,), "<u8", data, first, (1,))
+    gram = LONG_GRAM if depth >= 2 * LONG_GRAM else GRAM
+    span = depth - gram + 1
+    word = np.ndarray((n + span + gram - 9 + 8,), "<u8", data, first, (1,))
     m = word[: n + span - 1] * _A
-    m += word[8 : n + span + 7] * _B
+    for k, factor in zip(range(8, gram, 8), (_B, _D)):
+        m += word[k : n + span + k - 1] * factor
     m ^= m >> np.uint64(32)
     m *= _C
     m ^= m >> np.uint64(29)
@@ -159,7 +190,7 @@ def packed(block: Block, bucket: int, *columns: np.ndarray | bytes) -> tuple:
 
 
 def batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int64() if n in ("block", "bucket") else pa.binary() for n in names]
+    kinds = [pa.int64() if n in ("block", "bucket", "runs", "n") else pa.binary() for n in names]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
@@ -189,7 +220,7 @@ def first_digits(blocks: DataFrame, depth: int, n_buckets: int) -> DataFrame:
 
 
 def shared_digits(digits: DataFrame, hot: int) -> DataFrame:
-    """What each block learns of its digits: block, bucket, shared and hot (upper 32 bits of digits that another block or text has too)."""
+    """What each block learns of its digits: block, bucket, shared and hot (upper 32 bits of digits that another block or text has too), runs (about as many as it will send)."""
 
     def run(table: pa.Table) -> pa.Table:
         block, bucket = table.column("block").to_numpy(), table.column("bucket")[0].as_py()
@@ -204,13 +235,19 @@ def shared_digits(digits: DataFrame, hot: int) -> DataFrame:
         state[order] = np.repeat(np.where(alive, 1 + (total >= hot), 0), n)
         rows, first = [], 0
         for number, part in zip(block.tolist(), parts):
-            own = state[first : first + len(part)]
+            own, n_own = state[first : first + len(part)], times[first : first + len(part)] & 0x7FFF
             first += len(part)
             if own.any():
-                rows.append((number, bucket, part[own == 1].tobytes(), part[own == 2].tobytes()))
-        return pa.Table.from_batches([batch(rows, ["block", "bucket", "shared", "hot"])])
+                # of a hot digit each suffix is a run
+                rows.append((number, bucket, part[own == 1].tobytes(), part[own == 2].tobytes(), int(n_own[own == 1].sum()) + GRAM * int(n_own[own == 2].sum())))
+        return pa.Table.from_batches([batch(rows, ["block", "bucket", "shared", "hot", "runs"])])
+
+    return digits.groupBy("bucket").applyInArrow(run, "block long, bucket long, shared binary, hot binary, runs long")
 
-    return digits.groupBy("bucket").applyInArrow(run, "block long, bucket long, shared binary, hot binary")
+
+def told(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row a block: block and told, an array of structs of the columns."""
+    return rows.groupBy("block").agg(F.collect_list(F.struct(*columns)).alias("told"))
 
 
 def states(digit: np.ndarray, replies: list[dict], n_buckets: int) -> np.ndarray:
@@ -241,19 +278,20 @@ def string_hashes(data: np.ndarray, place: np.ndarray, depth: int) -> np.ndarray
 def shared_runs(blocks: DataFrame, replies: DataFrame, depth: int, first_buckets: int, n_buckets: int) -> DataFrame:
     """The distinct runs of shared digits of every block, with all their occurrences, by bucket.
 
+    replies: block and told (structs of bucket, shared, hot).
+
     Columns: block, bucket, digits (upper 32 bits: two that only differ below are ordered as one), lengths (uint16),
     text (lengths + depth - 1 bytes of each), times (int32, occurrences of each), places (int32, differences) and
     owners (int64) of all occurrences; all but digits and times compressed.
     """
     names = ["block", "bucket", "digits", "lengths", "text", "times", "places", "owners"]
-    told = replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("replies")).withColumnRenamed("block", "_block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
                 block = Block(row)
                 digit, place, length, text = runs(block, depth)
-                state = states(digit, row["replies"], first_buckets)
+                state = states(digit, row["told"], first_buckets)
                 alone, hot = state == 1, state == 2
                 n = length[hot]
                 step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -279,7 +317,7 @@ def shared_runs(blocks: DataFrame, replies: DataFrame, depth: int, first_buckets
                 if rows:
                     yield batch(rows, names)
 
-    joined = blocks.join(told, F.col("block") == F.col("_block")).drop("_block")
+    joined = blocks.join(replies.withColumnRenamed("block", "_block"), F.col("block") == F.col("_block")).drop("_block")
     return joined.mapInArrow(run, "block long, bucket long, digits binary, lengths binary, text binary, times binary, places binary, owners binary")
 
 
@@ -310,7 +348,7 @@ def least_owners(words: np.ndarray, place: np.ndarray, group: np.ndarray, owner:
 
 
 def covered(shared: DataFrame, depth: int) -> DataFrame:
-    """What each block must remove: block, starts and ends (int32) of covered bytes."""
+    """What each block must remove: block, n, starts (int32, differences, ascending) and sizes (uint16) of n stretches of covered bytes, both compressed."""
 
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block").to_numpy()
@@ -379,10 +417,36 @@ def covered(shared: DataFrame, depth: int) -> DataFrame:
         part, which = part[gone], which[gone]
         from_, to = place[which] + since[part], place[which] + until[part] + depth - 1
         cut = np.searchsorted(which, np.cumsum([0, *n_places]))
-        rows = [(int(block[k]), from_[i:j].astype(np.int32).tobytes(), to[i:j].astype(np.int32).tobytes()) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:])) if j > i]
-        return pa.Table.from_batches([batch(rows, ["block", "starts", "ends_"])])
+        rows = []
+        for k, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+            if j > i:
+                by = i + np.argsort(from_[i:j], kind="stable")
+                rows.append((int(block[k]), j - i, squeezed(np.diff(from_[by], prepend=0).astype(np.int32)), squeezed((to - from_)[by].astype(np.uint16))))
+        return pa.Table.from_batches([batch(rows, ["block", "n", "starts", "sizes"])])
+
+    return shared.groupBy("bucket").applyInArrow(run, "block long, n long, starts binary, sizes binary")
 
-    return shared.groupBy("bucket").applyInArrow(run, "block long, starts binary, ends_ binary")
+
+def covered_in_turns(blocks: DataFrame, size: int, depth: int, n_buckets: int, hot: int) -> DataFrame:
+    """What `covered` finds, told to each block, from tables bucketed as the blocks are.
+
+    Each shuffle is deleted once it is used. Buckets take turns, so that about TURN of the texts' bytes travel at once.
+    """
+    spark, name = blocks.sparkSession, uuid.uuid4().hex
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with shuffles_deleted(spark):
+        replies = bucketed(shared_digits(first_digits(blocks, depth, n_buckets).repartition(n_buckets, "bucket"), hot).repartition(n, "block"), f"suffix_replies_{name}", n)
+        # a run has some (depth - LONG_GRAM) / 2 suffixes; its text is compressed to about half, its places and numbers take some 16 bytes
+        sent = (replies.agg(F.sum("runs")).first()[0] or 0) * (0.75 * depth + 16)
+        turns = min(max(1, math.ceil(sent / (TURN * size))), n_buckets)
+        for turn in range(turns):
+            own = replies.where(F.col("bucket") % turns == turn)
+            shared = shared_runs(blocks, told(own, "bucket", "shared", "hot"), depth, n_buckets, n_buckets)
+            found = covered(shared.repartition(n_buckets, "bucket"), depth).repartition(n, "block")
+            gone = bucketed(found, f"suffix_gone_{name}", n, "append")
+        unstage(replies)
+        spark.sql(f"DROP TABLE suffix_replies_{name}")
+    return told(gone, "n", "starts", "sizes")
 
 
 def without(block: Block, starts: np.ndarray, ends: np.ndarray) -> list[tuple]:
@@ -420,19 +484,24 @@ def dedup_strings(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", t
         raise ValueError(f"depth must be {GRAM + 8} at least")
     spark = docs.sparkSession
     blocks = build_blocks(docs, id_col, text_col)
-    n_buckets = partitions_for(spark, blocks.agg(F.sum("size")).first()[0] or 0)
-    replies = shared_digits(first_digits(blocks, depth, n_buckets), hot)
-    gone = covered(shared_runs(blocks, replies, depth, n_buckets, n_buckets), depth)
-    told = gone.groupBy("block").agg(F.collect_list(F.struct("starts", "ends_")).alias("gone")).withColumnRenamed("block", "_block")
+    size = blocks.agg(F.sum("size")).first()[0] or 0
+    n_buckets = partitions_for(spark, size)
+    if size >= STEPS_FROM:
+        gone = covered_in_turns(blocks, size, depth, n_buckets, hot)
+    else:
+        replies = told(shared_digits(first_digits(blocks, depth, n_buckets), hot), "bucket", "shared", "hot")
+        gone = told(covered(shared_runs(blocks, replies, depth, n_buckets, n_buckets), depth), "n", "starts", "sizes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
                 block = Block(row)
-                parts = row["gone"] or []
-                starts, ends = (np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(p[c], np.int32) for p in parts)]) for c in ("starts", "ends_"))
-                columns = list(zip(*without(block, starts, ends)))
+                parts = row["told"] or []
+                starts = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(np.frombuffer(opened(p["starts"], 4 * p["n"]), np.int32), dtype=np.int64) for p in parts)])
+                sizes = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(opened(p["sizes"], 2 * p["n"]), np.uint16) for p in parts)])
+                columns = list(zip(*without(block, starts, starts + sizes)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (*[pa.int64()] * 4, pa.binary()))], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    found = blocks.join(told, F.col("block") == F.col("_block"), "left").mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    joined = blocks.join(gone.withColumnRenamed("block", "_block"), F.col("block") == F.col("_block"), "left")
+    found = joined.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return found.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept")

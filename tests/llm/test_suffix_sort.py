@@ -1,6 +1,7 @@
 """Removal of repeated byte strings against brute force."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -101,3 +102,40 @@ def test_blocks_are_not_shuffled(spark):
         assert {r.doc_id: r.n_removed for r in found.collect()} == {1: 0, 2: 60}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_phrases_shorter_than_a_long_gram_send_no_text(spark):
+    """Texts that have only phrases of 20 bytes in common, as any large corpus has."""
+    rng = random.Random(4)
+    rows = [(k, "".join(rng.choice("abcdefghij") * (n % 3) + chr(98 + rng.randrange(24)) for n in range(60)) + "this is the phrase, " + "".join(chr(97 + rng.randrange(26)) for _ in range(60))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    blocks = suffix_sort.build_blocks(docs, "doc_id", "text")
+    assert suffix_sort.shared_digits(suffix_sort.first_digits(blocks, 50, 4), 4096).count() == 0
+    assert found(docs) == brute(rows, 50)
+
+
+@pytest.mark.parametrize("turn", [1e9, 0.2])
+def test_steps_keep_neither_shuffles_nor_replies(spark, monkeypatch, turn):
+    """A corpus sorted in steps: the same rows, in one turn and in several, and nothing left of what was shuffled for them."""
+    rng = random.Random(7)
+    pool = ["".join(rng.choice("ab é漢") for _ in range(rng.choice([49, 50, 51, 90, 400]))) for _ in range(12)]
+    rows = [(k, "".join(rng.choice(pool) + rng.choice(["", "x", str(k)]) for _ in range(rng.randint(1, 6)))) for k in range(60)]
+    rows += [(90, "a" * 49), (91, "a" * 3000), (92, "a" * 2999), (None, rows[3][1]), (5, rows[9][1]), (93, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
+    folders = [str(f) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    written, append = [], suffix_sort.bucketed
+    monkeypatch.setattr(suffix_sort, "bucketed", lambda rows, name, n, mode="error": (written.append(name), append(rows, name, n, mode))[1])
+    monkeypatch.setattr(suffix_sort, "BLOCK_BYTES", 700)
+    monkeypatch.setattr(suffix_sort, "STEPS_FROM", 1)
+    monkeypatch.setattr(suffix_sort, "TURN", turn)
+    kept = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    for hot in (2, 4096):
+        before = {f for d in folders for f in Path(d).rglob("shuffle_*.data")}
+        got = suffix_sort.dedup_strings(docs, hot=hot)
+        assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted((repr(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect()) == brute(rows, 50)
+        since = {f.name.split("_")[1] for d in folders for f in Path(d).rglob("shuffle_*.data") if f not in before}
+        assert len(since) <= 2  # the test's own and the sum of sizes
+    assert (len([n for n in written if n.startswith("suffix_gone")]) > 2) == (turn < 1)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == kept
+    assert not any(t.name.startswith("suffix_replies") for t in spark.catalog.listTables())
