@@ -55,7 +55,7 @@ PLACES = 1 << 15
 #: Bytes of texts from which the sort goes in steps.
 STEPS_FROM = 64 << 20
 #: Bytes of runs that may travel in one turn, as a share of the texts' bytes.
-TURN = 0.5
+TURN = 1.0
 #: The id that a null one counts as: after all others.
 NO_ID = (1 << 63) - 1
 
